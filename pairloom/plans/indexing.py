@@ -2,68 +2,97 @@
 
 ``row_number().over(Window.orderBy(...))`` moves every row into one task, and
 ``Window.partitionBy(key)`` moves a whole hot key into one task. Both break at
-scale. ``row_index`` gives the same numbers from a range-partitioned sort:
-
-1. range-partition on (group, order) keys and sort inside each partition
-   (the sampler splits a hot group over many partitions);
-2. number rows locally with ``monotonically_increasing_id``;
-3. count rows per (partition, group) - a table no larger than
-   partitions x groups-per-partition - and turn the counts into offsets with a
-   window over that small table;
-4. join the offsets back (broadcast when the checked size allows).
-
-The order keys must form a total order (add the id as the last key), so a
-recomputed task yields the same numbers.
+scale. ``row_index`` gives the same numbers in three bounded steps:
+
+1. **Buckets.** A hash-selected sample of the composite key
+   (group keys + order keys) is sorted by Spark and cut into ``B`` ranges. The
+   cut points become literals of the plan, so every later evaluation - a
+   retried task, a lost executor - assigns the same bucket. (Spark's own range
+   partitioner re-samples with a seed tied to the RDD id, so two reads of "the
+   same" range partitioning can disagree.) A hot group spreads over many
+   buckets because the order keys are part of the bucketed key.
+2. **Local numbers.** ``row_number`` over (group, bucket): each window
+   partition holds about ``rows / B`` rows.
+3. **Offsets.** Rows per (group, bucket), summed over earlier buckets of the
+   same group with a window over that small table, and joined back.
+
+The order keys must form a total order (put the id last) and sort
+ascending; for a descending numeric key pass its negation.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import broadcast_if_small
+SAMPLE_PER_BUCKET = 64
 
-_LOCAL_MASK = (1 << 33) - 1
 
+def _col(x) -> Column:
+    return F.col(x) if isinstance(x, str) else x
 
-def _cols(xs) -> list[Column]:
-    return [F.col(x) if isinstance(x, str) else x for x in xs]
 
+def bucket_of(key: Column, bounds: list, key_type) -> Column:
+    """Number of cut points <= key: a binary search in an array literal."""
+    if not bounds:
+        return F.lit(0)
+    arr = F.array(*[F.lit(None).cast(key_type) if b is None else
+                    F.struct(*[F.lit(v).cast(f.dataType) for v, f in zip(b, key_type.fields)]).cast(key_type)
+                    for b in bounds])
+    n = len(bounds)
+    iters = max(1, math.ceil(math.log2(n + 1)) + 1)
+    init = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
 
-def row_index(df: DataFrame, order_by: Sequence, partition_by: Sequence[str] = (),
-              name: str = "rn", num_partitions: int | None = None,
-              start: int = 1) -> DataFrame:
-    """Add ``name``: row number within ``partition_by`` following ``order_by``.
+    def step(acc, _):
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        go_right = F.element_at(arr, mid + 1) <= key
+        return F.when(acc["lo"] < acc["hi"],
+                      F.when(go_right, F.struct((mid + 1).alias("lo"), acc["hi"].alias("hi")))
+                       .otherwise(F.struct(acc["lo"].alias("lo"), mid.alias("hi")))).otherwise(acc)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(iters)), init, step)["lo"]
 
-    ``order_by`` items are column names or Columns (use ``F.desc`` for
-    descending keys). Numbers start at ``start``.
-    """
+
+def row_index(df: DataFrame, order_by: Sequence, partition_by: Sequence[str] = (),
+              name: str = "rn", num_buckets: int | None = None, start: int = 1) -> DataFrame:
+    """Add ``name``: row number within ``partition_by`` following ``order_by``."""
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = _cols(partition_by) + _cols(order_by)
-    pid, local = "_pl_pid", "_pl_local"
-    tagged = (df.repartitionByRange(n, *keys)
-                .sortWithinPartitions(*keys)
-                .withColumn(pid, F.spark_partition_id())
-                .withColumn(local, F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL_MASK))))
+    nb = num_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = list(partition_by)
-    stats = (tagged.groupBy(pid, *groups)
-                   .agg(F.min(local).alias("_pl_first"), F.count(F.lit(1)).alias("_pl_n")))
-    w = Window.partitionBy(*groups).orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
-    stats = stats.withColumn("_pl_off", F.coalesce(F.sum("_pl_n").over(w), F.lit(0)))
-    stats = stats.select(pid, *groups, "_pl_first", "_pl_off")
-    if groups:
-        # partitions x groups: bounded by the row count; broadcast only after a check
-        stats, _ = broadcast_if_small(stats, max_rows=2_000_000)
-    else:
-        # one row per partition: bounded by the partition count
-        stats = F.broadcast(stats)
-    out = tagged.join(stats, on=[pid, *groups], how="inner")
-    out = out.withColumn(name, (F.col(local) - F.col("_pl_first") + F.col("_pl_off") + F.lit(start)).cast("long"))
-    return out.drop(pid, local, "_pl_first", "_pl_off")
-
-
-def total_count(df: DataFrame) -> int:
-    return int(df.count())
+    keys = [_col(g) for g in groups] + [_col(o) for o in order_by]
+    kstruct = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
+    keyed = df.withColumn("_pl_key", kstruct)
+    key_type = keyed.schema["_pl_key"].dataType
+
+    bounds: list = []
+    if nb > 1:
+        n = keyed.count()
+        every = max(1, n // (SAMPLE_PER_BUCKET * nb))
+        sample = (keyed.select("_pl_key")
+                       .where(F.pmod(F.xxhash64("_pl_key"), F.lit(every)) == 0)
+                       .orderBy("_pl_key").collect())
+        s = len(sample)
+        if s > 0:
+            seen = []
+            for i in range(1, nb):
+                b = tuple(sample[min(s - 1, (i * s) // nb)]["_pl_key"])
+                if not seen or b != seen[-1]:
+                    seen.append(b)
+            bounds = seen
+
+    b = keyed.withColumn("_pl_b", bucket_of(F.col("_pl_key"), bounds, key_type).cast("int")).drop("_pl_key")
+    local = b.withColumn("_pl_r", F.row_number().over(
+        Window.partitionBy(*groups, "_pl_b").orderBy(*[_col(o) for o in order_by])))
+    stats = b.groupBy(*groups, "_pl_b").agg(F.count(F.lit(1)).alias("_pl_n"))
+    w = Window.partitionBy(*groups).orderBy("_pl_b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = stats.select(*[F.col(g).alias(f"_pl_g{i}") for i, g in enumerate(groups)],
+                        F.col("_pl_b").alias("_pl_bb"),
+                        F.coalesce(F.sum("_pl_n").over(w), F.lit(0)).alias("_pl_off"))
+    cond = [local["_pl_b"] == offs["_pl_bb"]] + [local[g].eqNullSafe(offs[f"_pl_g{i}"])
+                                                 for i, g in enumerate(groups)]
+    out = local.join(offs, cond, "inner")
+    out = out.withColumn(name, (F.col("_pl_r") + F.col("_pl_off") + F.lit(start - 1)).cast("long"))
+    return out.drop("_pl_b", "_pl_r", "_pl_bb", "_pl_off", *[f"_pl_g{i}" for i in range(len(groups))])
