@@ -106,7 +106,7 @@ def collate(df: DataFrame, batch_col: str, order_col: str, fields: Sequence[str]
            .agg(F.sort_array(F.collect_list(F.struct(F.col(order_col).alias("_o"), *fields))).alias("_rows")))
     out = [batch_col, F.transform("_rows", lambda r: r["_o"]).alias(order_col)]
     for f in fields:
-        col = F.transform("_rows", lambda r, f=f: r[f])
+        col = F.transform("_rows", _field(f))
         if f in pad:
             width = F.array_max(F.transform(col, lambda a: F.size(a)))
             col = F.transform(col, lambda a: F.concat(a, F.array_repeat(F.lit(pad[f]).cast(
@@ -115,6 +115,12 @@ def collate(df: DataFrame, batch_col: str, order_col: str, fields: Sequence[str]
     return g.select(*out)
 
 
+def _field(name: str):
+    def get(r):
+        return r[name]
+    return get
+
+
 def interleave(main: DataFrame, sub: DataFrame, batch_col: str = "batch_id") -> DataFrame:
     """One batch from each side in turn, stopping at the shorter side.
 

@@ -1,3 +1,242 @@
-"""Checked queries."""
+"""Checked queries: text cleaning, tokens, vocabularies, BPE, padding, masks (X1-X11, X17, X19,
+J6, F4, P12-P14)."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import batching as BT
+from ..operators import tokens as TK
+from ..session import load
+from . import fixtures as fx
+from .registry import register
+
+N_MERGES = 200
+MAX_LEN = 75  # fixed value: max tokens in the reference scripts
+VOCAB_SIZE = 30000  # random-replacement range of the MLM mask
+MASK_ID = VOCAB_SIZE + fx.N_SPECIAL  # first id after the vocabulary
+SEED = 42
+
+_WS_SQL = r"[\t\n\x0B\f\r \x1C-\x1F\x85\p{Z}]+"
+_PAT_SQL = T.PRETOKEN_PATTERN.replace("'", "''")
+
+
+def _clean_sql(col: str) -> str:
+    return f"lower(trim(regexp_replace({col}, '{_WS_SQL}', ' ', 'g')))"
+
+
+SQL_TOK = f"""tok AS (
+  SELECT doc_id, unnest(generate_series(0, len(t) - 1)) AS pos, unnest(t) AS token
+  FROM (SELECT doc_id, regexp_extract_all({_clean_sql('text')}, '{_PAT_SQL}') AS t FROM documents))"""
+
+SQL_VOCAB = SQL_TOK + """,
+vocab AS (SELECT token, count(*) AS count, (row_number() OVER (ORDER BY count(*) DESC, token) + 2)::BIGINT AS id
+          FROM tok GROUP BY token)"""
+
+SQL_FTOKENS = SQL_VOCAB + """,
+f_tokens AS (SELECT doc_id, list(id ORDER BY pos) AS ids FROM tok JOIN vocab USING (token) GROUP BY doc_id)"""
+
+_B = "('0x' || substr(hex(encode(token)), 2 * i - 1, 2))::INTEGER"
+_CP = (f"CASE WHEN ({_B} BETWEEN 33 AND 126) OR ({_B} BETWEEN 161 AND 172) OR ({_B} BETWEEN 174 AND 255) "
+       f"THEN {_B} WHEN {_B} <= 32 THEN {_B} + 256 WHEN {_B} <= 160 THEN {_B} - 127 + 289 ELSE 323 END")
+_SYM = f"array_to_string(list_transform(generate_series(1, octet_length(encode(token))), lambda i: chr({_CP})), '')"
+
+SQL_PAIRS = SQL_TOK + f""",
+words AS (SELECT token, count(*) AS count, {_SYM} AS sym FROM tok GROUP BY token),
+ch AS (SELECT token, count, string_split(sym, '') AS c FROM words),
+pr AS (SELECT DISTINCT token, count, c[i] AS l, c[i + 1] || CASE WHEN i + 1 = len(c) THEN '</w>' ELSE '' END AS r
+       FROM (SELECT token, count, c, unnest(generate_series(1, len(c) - 1)) AS i FROM ch WHERE len(c) > 1)),
+pairs AS (SELECT l, r, sum(count)::BIGINT AS count FROM pr GROUP BY l, r)"""
+
+
+def _occ(spark, d):
+    return TK.token_occurrences(load(spark, d, "documents"), "doc_id", "text")
+
+
+def f_tokens(spark, d):
+    occ = _occ(spark, d)
+    return TK.lookup_ids(occ, TK.vocabulary(occ, fx.N_SPECIAL), "doc_id")
+
+
+def f_merges(spark, d):
+    return TK.learn_merges(_occ(spark, d), N_MERGES)
+
+
+@register("whitespace_clean", f"SELECT doc_id, trim(regexp_replace(text, '{_WS_SQL}', ' ', 'g')) AS cleaned FROM documents")
+def q_whitespace_clean(spark, d):
+    return load(spark, d, "documents").select("doc_id", T.whitespace_clean("text").alias("cleaned"))
+
+
+@register("pretokenize", f"SELECT doc_id, regexp_extract_all({_clean_sql('text')}, '{_PAT_SQL}') AS tokens FROM documents")
+def q_pretokenize(spark, d):
+    return load(spark, d, "documents").select("doc_id", T.pretokenize(T.clean_for_tokens("text")).alias("tokens"))
+
+
+@register("basic_clean")
+def q_basic_clean(spark, d):
+    return load(spark, d, "pages").select("page_id", T.basic_clean(F.col("html")).alias("cleaned"))
+
+
+@register("byte_symbols", f"{'WITH ' + SQL_TOK} SELECT DISTINCT token, {_SYM} AS sym FROM tok")
+def q_byte_symbols(spark, d):
+    return _occ(spark, d).select("token").distinct().select("token", T.byte_symbols("token").alias("sym"))
+
+
+@register("adjacent_pairs", f"WITH {SQL_PAIRS} SELECT l AS \"left\", r AS \"right\", count FROM pairs")
+def q_adjacent_pairs(spark, d):
+    return TK.pair_counts(_occ(spark, d))
+
+
+@register("learn_merges", f"""WITH {SQL_PAIRS}
+SELECT (row_number() OVER (ORDER BY count DESC, l, r) - 1)::BIGINT AS rank, l AS "left", r AS "right"
+FROM pairs ORDER BY count DESC, l, r LIMIT {N_MERGES}""")
+def q_learn_merges(spark, d):
+    return f_merges(spark, d)
+
+
+@register("bpe_encode")
+def q_bpe_encode(spark, d):
+    return TK.bpe_encode(_occ(spark, d), f_merges(spark, d)).select("token", "pieces", "piece_ids")
+
+
+@register("encode")
+def q_encode(spark, d):
+    return TK.encode(load(spark, d, "documents"), "doc_id", "text", f_merges(spark, d))
+
+
+@register("decode")
+def q_decode(spark, d):
+    merges = f_merges(spark, d)
+    enc = TK.encode(load(spark, d, "documents"), "doc_id", "text", merges)
+    return enc.select("doc_id", TK.decode_column(merges)(F.col("ids")).alias("text"))
+
+
+@register("vocabulary", f"WITH {SQL_VOCAB} SELECT token, count, id FROM vocab")
+def q_vocabulary(spark, d):
+    return TK.vocabulary(_occ(spark, d), fx.N_SPECIAL)
+
+
+@register("lookup_ids", f"WITH {SQL_FTOKENS} SELECT doc_id, ids FROM f_tokens")
+def q_lookup_ids(spark, d):
+    return f_tokens(spark, d)
+
+
+@register("lookup_pieces", f"""WITH {SQL_TOK}
+SELECT doc_id, list(token ORDER BY pos) AS pieces FROM tok GROUP BY doc_id""")
+def q_lookup_pieces(spark, d):
+    occ = _occ(spark, d)
+    vocab = TK.vocabulary(occ, fx.N_SPECIAL)
+    return TK.lookup_pieces(TK.lookup_ids(occ, vocab, "doc_id"), vocab, "doc_id")
+
+
+@register("tokenize_fixed", f"""WITH {SQL_FTOKENS},
+f AS (SELECT doc_id, list_concat([{T.SOT_ID}::BIGINT], ids, [{T.EOT_ID}::BIGINT]) AS f FROM f_tokens)
+SELECT doc_id, CASE WHEN len(f) > {T.CONTEXT_LENGTH} THEN list_concat(f[1:{T.CONTEXT_LENGTH - 1}], [{T.EOT_ID}::BIGINT])
+                    ELSE list_concat(f, list_resize([]::BIGINT[], {T.CONTEXT_LENGTH} - len(f), 0)) END AS ids
+FROM f""")
+def q_tokenize_fixed(spark, d):
+    return f_tokens(spark, d).select("doc_id", T.tokenize_fixed("ids", truncate=True).alias("ids"))
+
+
+_SQL_BATCH8 = f"""b AS (SELECT doc_id, ids[1:{MAX_LEN}] AS ids, ((row_number() OVER (ORDER BY doc_id) - 1) // 8)::BIGINT AS batch_id
+      FROM f_tokens)"""
+
+
+def _x10(spark, d, padding, multiple=None):
+    b = BT.batch_ids(f_tokens(spark, d), 8, ["doc_id"])
+    return TK.tokenize_pad(b, "ids", MAX_LEN, padding, pad_id=fx.PAD_ID, batch_col="batch_id", multiple=multiple)
+
+
+@register("tokenize_pad_longest", f"""WITH {SQL_FTOKENS}, {_SQL_BATCH8}
+SELECT doc_id, batch_id,
+       list_concat(ids, list_resize([]::BIGINT[], max(len(ids)) OVER (PARTITION BY batch_id) - len(ids), 1)) AS ids
+FROM b""")
+def q_tokenize_pad_longest(spark, d):
+    return _x10(spark, d, "longest").select("doc_id", "batch_id", "ids")
+
+
+@register("tokenize_pad_max_length", f"""WITH {SQL_FTOKENS}, {_SQL_BATCH8}
+SELECT doc_id, list_concat(ids, list_resize([]::BIGINT[], 80 - len(ids), 1)) AS ids FROM b""")
+def q_tokenize_pad_max_length(spark, d):
+    return _x10(spark, d, "max_length", multiple=8).select("doc_id", "ids")
+
+
+@register("attention_mask", f"""WITH {SQL_FTOKENS}, {_SQL_BATCH8},
+p AS (SELECT doc_id, list_concat(ids, list_resize([]::BIGINT[], max(len(ids)) OVER (PARTITION BY batch_id) - len(ids), 1)) AS ids
+      FROM b)
+SELECT doc_id, list_transform(ids, lambda x: CASE WHEN x <> 1 THEN 1 ELSE 0 END) AS mask FROM p""")
+def q_attention_mask(spark, d):
+    return _x10(spark, d, "longest").select("doc_id", T.attention_mask("ids", fx.PAD_ID).alias("mask"))
+
+
+def _draw_sql(k: str) -> str:
+    return (f"('0x' || substr(md5(doc_id::VARCHAR || ':' || (i - 1)::VARCHAR || ':{SEED}:{k}'), 1, 8))::BIGINT")
+
+
+_CHOSEN = f"(x >= {fx.N_SPECIAL} AND {_draw_sql('c')} / 4294967296.0 < 0.15)"
+
+
+@register("mlm_mask", f"""WITH {SQL_FTOKENS},
+t AS (SELECT doc_id, ids[1:{MAX_LEN}] AS ids FROM f_tokens)
+SELECT doc_id,
+  list_transform(ids, lambda x, i: CASE WHEN {_CHOSEN} THEN
+      CASE WHEN {_draw_sql('m')} / 4294967296.0 < 0.8 THEN {MASK_ID}
+           WHEN {_draw_sql('m')} / 4294967296.0 < 0.9 THEN {_draw_sql('r')} % {VOCAB_SIZE} + {fx.N_SPECIAL}
+           ELSE x END
+    ELSE x END) AS mlm_input_ids,
+  list_transform(ids, lambda x, i: CASE WHEN {_CHOSEN} THEN x ELSE -100 END) AS mlm_labels
+FROM t""")
+def q_mlm_mask(spark, d):
+    t = f_tokens(spark, d).select("doc_id", T.truncate_ids("ids", MAX_LEN).alias("ids"))
+    new_ids, labels = T.mlm_mask("ids", "doc_id", SEED, MASK_ID, VOCAB_SIZE, fx.N_SPECIAL)
+    return t.select("doc_id", new_ids.alias("mlm_input_ids"), labels.alias("mlm_labels"))
+
+
+@register("collate", f"""WITH {SQL_FTOKENS}, {_SQL_BATCH8},
+p AS (SELECT batch_id, doc_id,
+             list_concat(ids, list_resize([]::BIGINT[], max(len(ids)) OVER (PARTITION BY batch_id) - len(ids), 1)) AS ids
+      FROM b)
+SELECT batch_id, list(doc_id ORDER BY doc_id) AS doc_id, list(ids ORDER BY doc_id) AS ids,
+       list(list_transform(ids, lambda x: CASE WHEN x <> 1 THEN 1 ELSE 0 END) ORDER BY doc_id) AS mask
+FROM p GROUP BY batch_id""")
+def q_collate(spark, d):
+    b = _x10(spark, d, "none")
+    out = BT.collate(b, "batch_id", "doc_id", ["ids"], pad={"ids": fx.PAD_ID})
+    return out.select("batch_id", "doc_id", "ids",
+                      F.transform("ids", lambda a: T.attention_mask(a, fx.PAD_ID)).alias("mask"))
+
+
+@register("camel_to_snake", r"""
+SELECT name, lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\1_\2', 'g')) AS snake
+FROM (SELECT DISTINCT upper(substr(event_type, 1, 1)) || substr(event_type, 2) || 'Pooler' AS name FROM events)
+""")
+def q_camel_to_snake(spark, d):
+    e = load(spark, d, "events").select("event_type").distinct()
+    name = F.concat(F.upper(F.substring("event_type", 1, 1)), F.expr("substring(event_type, 2)"), F.lit("Pooler"))
+    return e.select(name.alias("name")).select("name", T.camel_to_snake("name").alias("snake"))
+
+
+@register("prompt", "SELECT n_nationkey, 'a photo of a ' || lower(n_name) || '.' AS prompt FROM nation")
+def q_prompt(spark, d):
+    return load(spark, d, "nation").select("n_nationkey", T.prompt(F.lower("n_name")).alias("prompt"))
+
+
+@register("file_stem", r"""
+SELECT page_id, name, regexp_extract(name, '\.([^./]*)$', 1) AS ext, regexp_replace(name, '\.[^./]*$', '') AS stem,
+       left(name, greatest(length(name) - 5, 0)) AS cut5
+FROM (SELECT page_id, string_split(url, '/')[-1] AS name FROM pages)
+""")
+def q_file_stem(spark, d):
+    p = load(spark, d, "pages")
+    return p.select("page_id", T.file_name("url").alias("name"), T.file_ext("url").alias("ext"),
+                    T.file_stem("url").alias("stem"), T.cut_chars(T.file_name("url"), 5).alias("cut5"))
+
+
+@register("dataset_fingerprint", f"""
+SELECT DISTINCT source, lang, concat_ws('_', 'teacher', '{MAX_LEN}', source, lang, 'all') AS key FROM documents
+""")
+def q_dataset_fingerprint(spark, d):
+    docs = load(spark, d, "documents").select("source", "lang").distinct()
+    return docs.select("source", "lang", T.fingerprint("teacher", MAX_LEN, F.col("source"), F.col("lang"),
+                                                       "all").alias("key"))
