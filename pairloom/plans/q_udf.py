@@ -1,3 +1,101 @@
-"""Checked queries."""
+"""Checked queries: user functions, poolers by name, corpus embedding, materialise, arriving files
+(F1-F3, F5-F7, T1)."""
 
 from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import vectors as V
+from ..operators import pooling as PL
+from ..operators import udf as U
+from ..session import load, scratch_path
+from ..streaming import arriving as ST
+from . import fixtures as fx
+from .q_metrics import _pool_sql
+from .q_pairs import SQL_HASHED
+from .q_text import SQL_FTOKENS, f_tokens
+from .registry import register
+
+
+def _line_stats(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"doc_id": pdf["doc_id"].astype("int64"),
+                         "n_lines": pdf["text"].map(lambda t: len(t.split("\n"))).astype("int64"),
+                         "n_chars": pdf["text"].map(len).astype("int64")})
+
+
+@register("map_batches", """
+SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS n_lines, length(text)::BIGINT AS n_chars FROM documents
+""")
+def q_map_batches(spark, d):
+    docs = load(spark, d, "documents").select("doc_id", "text")
+    return U.map_batches(docs, _line_stats, "doc_id long, n_lines long, n_chars long", batch_size=100)
+
+
+def _has_digit(s: pd.Series) -> pd.Series:
+    return s.str.contains(r"[0-9]", regex=True)
+
+
+@register("filter_batches", "SELECT doc_id FROM documents WHERE regexp_matches(text, '[0-9]')")
+def q_filter_batches(spark, d):
+    return U.filter_batches(load(spark, d, "documents").select("doc_id", "text"), _has_digit, "text").select("doc_id")
+
+
+def _title(s: pd.Series) -> pd.Series:
+    return s.str.extract(r"<title>(.*?)</title>", expand=False).fillna("")
+
+
+@register("lazy_transform", "SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title FROM pages")
+def q_lazy_transform(spark, d):
+    pages = load(spark, d, "pages").select("page_id", "html")
+    return U.lazy_transform(pages, "html", _title, "string", "title").select("page_id", "title")
+
+
+@register("register_pooler", _pool_sql("SELECT seq_id, dim, sum(x * mask) / sum(mask) AS v FROM e GROUP BY seq_id, dim"))
+def q_register_pooler(spark, d):
+    pooler = PL.get_pooler("MeanPooler")
+    p = pooler(fx.f_seq(spark, d), "seq_id", "vec", "mask")
+    return p.select("seq_id", V.vec_round("pooled").alias("pooled"))
+
+
+@register("embed_corpus", f"WITH {SQL_HASHED} SELECT doc_id, embedding FROM hashed")
+def q_embed_corpus(spark, d):
+    e = U.embed_corpus(load(spark, d, "documents"), "doc_id", "text")
+    return e.select("doc_id", V.vec_round("embedding").alias("embedding"))
+
+
+def _numpy_encoder_factory():
+    return U.numpy_hashed_encoder
+
+
+@register("embed_corpus_udf", f"WITH {SQL_HASHED} SELECT doc_id, embedding FROM hashed")
+def q_embed_corpus_udf(spark, d):
+    e = U.embed_corpus(load(spark, d, "documents"), "doc_id", "text", encoder_factory=_numpy_encoder_factory)
+    return e.select("doc_id", V.vec_round("embedding").alias("embedding"))
+
+
+@register("materialize", f"WITH {SQL_FTOKENS} SELECT doc_id, ids FROM f_tokens")
+def q_materialize(spark, d):
+    root = scratch_path(spark, "cache")
+    key = "teacher_75_documents_all"
+    first = U.materialize(f_tokens(spark, d), root, key)
+    first.count()
+    return U.materialize(f_tokens(spark, d), root, key)  # second call reads the stored table
+
+
+_DOC_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
+                            T.StructField("lang", T.StringType())])
+
+
+@register("embed_new_files", f"WITH {SQL_HASHED} SELECT doc_id, embedding FROM hashed")
+def q_embed_new_files(spark, d):
+    base = scratch_path(spark, "arriving")
+    docs = load(spark, d, "documents").select("doc_id", "text", "lang")
+    # files arrive in two waves; each run only embeds the files it has not seen
+    docs.filter(F.col("lang") == "en").write.mode("overwrite").json(f"{base}/in/wave1")
+    ST.embed_new_files(spark, f"{base}/in/*/*.json", f"{base}/out", f"{base}/ckpt", _DOC_SCHEMA, "doc_id", "text")
+    docs.filter(F.col("lang") != "en").write.mode("overwrite").json(f"{base}/in/wave2")
+    ST.embed_new_files(spark, f"{base}/in/*/*.json", f"{base}/out", f"{base}/ckpt", _DOC_SCHEMA, "doc_id", "text")
+    out = ST.read_embeddings(spark, f"{base}/out")
+    return out.select("doc_id", V.vec_round("embedding").alias("embedding"))
