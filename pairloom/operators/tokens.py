@@ -79,8 +79,9 @@ def learn_merges(occ: DataFrame, n: int) -> DataFrame:
     A top-n (per-partition top-n, then merge): the limit is the feature.
     """
     top = pair_counts(occ).orderBy(F.desc("count"), "left", "right").limit(n)
-    return row_index(top, [-F.col("count"), F.col("left"), F.col("right")], name="rank", start=0).select(
-        "rank", "left", "right")
+    # at most n rows (a parameter): a window over them is bounded
+    w = Window.orderBy(F.desc("count"), "left", "right")
+    return top.select((F.row_number().over(w) - 1).cast("long").alias("rank"), "left", "right")
 
 
 def bpe_word(sym: str, ranks: dict[tuple[str, str], int]) -> list[str]:
@@ -115,7 +116,10 @@ def vocab_pieces(merges: list[tuple[str, str]]) -> list[str]:
     return base + [s + "</w>" for s in base] + [a + b for a, b in merges] + ["<|startoftext|>", "<|endoftext|>"]
 
 
-def _merge_list(merges: DataFrame) -> list[tuple[str, str]]:
+def merge_list(merges) -> list[tuple[str, str]]:
+    """The merge table as an ordered list (bounded: a model parameter, size checked)."""
+    if isinstance(merges, list):
+        return merges
     n = merges.count()
     if n > MAX_MERGES:
         raise ValueError(f"{n} merges exceed the checked bound {MAX_MERGES}")
@@ -123,9 +127,9 @@ def _merge_list(merges: DataFrame) -> list[tuple[str, str]]:
     return [(r.left, r.right) for r in sorted(rows, key=lambda r: r["rank"])]
 
 
-def bpe_encode(occ: DataFrame, merges: DataFrame) -> DataFrame:
+def bpe_encode(occ: DataFrame, merges) -> DataFrame:
     """(token, pieces, piece_ids) for every distinct pre-token."""
-    mlist = _merge_list(merges)
+    mlist = merge_list(merges)
     ranks = {p: i for i, p in enumerate(mlist)}
     ids = {p: i for i, p in enumerate(vocab_pieces(mlist))}
 
@@ -139,7 +143,7 @@ def bpe_encode(occ: DataFrame, merges: DataFrame) -> DataFrame:
     return words.mapInPandas(run, "token string, pieces array<string>, piece_ids array<long>")
 
 
-def encode(docs: DataFrame, id_col: str, text_col: str, merges: DataFrame) -> DataFrame:
+def encode(docs: DataFrame, id_col: str, text_col: str, merges) -> DataFrame:
     """Text -> subword ids: clean, lower, pre-tokenise, byte symbols, BPE, ids."""
     occ = token_occurrences(docs.select(id_col, T.basic_clean(F.col(text_col)).alias(text_col)), id_col, text_col)
     enc = bpe_encode(occ, merges)
@@ -148,9 +152,9 @@ def encode(docs: DataFrame, id_col: str, text_col: str, merges: DataFrame) -> Da
              .select(id_col, F.flatten(F.transform("_p", lambda s: s["piece_ids"])).alias("ids")))
 
 
-def decode_column(merges: DataFrame):
+def decode_column(merges):
     """A pandas UDF turning an ids array into text ('</w>' -> space, bad bytes replaced)."""
-    mlist = _merge_list(merges)
+    mlist = merge_list(merges)
     pieces = vocab_pieces(mlist)
     back = {s: b for b, s in T.byte_table()}
 

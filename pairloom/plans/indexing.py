@@ -30,6 +30,17 @@ from pyspark.sql import functions as F
 
 SAMPLE_PER_BUCKET = 64
 
+# Plan nodes that make an input expensive to recompute (shuffles, joins,
+# generators, Python). Such an input is written once as a table so the count,
+# the sample and the numbering all read the same stored rows.
+_EXPENSIVE = ("Exchange", "Generate", "EvalPython", "MapInPandas", "FlatMapGroupsInPandas", "Window",
+              "HashAggregate", "SortAggregate", "Join")
+
+
+def is_expensive(df: DataFrame) -> bool:
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return any(tok in plan for tok in _EXPENSIVE)
+
 
 def _col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -57,9 +68,19 @@ def bucket_of(key: Column, bounds: list, key_type) -> Column:
 
 
 def row_index(df: DataFrame, order_by: Sequence, partition_by: Sequence[str] = (),
-              name: str = "rn", num_buckets: int | None = None, start: int = 1) -> DataFrame:
-    """Add ``name``: row number within ``partition_by`` following ``order_by``."""
+              name: str = "rn", num_buckets: int | None = None, start: int = 1,
+              cut_lineage: bool | None = None) -> DataFrame:
+    """Add ``name``: row number within ``partition_by`` following ``order_by``.
+
+    ``cut_lineage`` (default: when the input plan is expensive) writes the
+    input once as a table in the shared checkpoint folder first.
+    """
     spark = df.sparkSession
+    if cut_lineage is None:
+        cut_lineage = is_expensive(df)
+    if cut_lineage:
+        from ..session import cut_lineage as _cut
+        df = _cut(df, "row-index")
     nb = num_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = list(partition_by)
     keys = [_col(g) for g in groups] + [_col(o) for o in order_by]

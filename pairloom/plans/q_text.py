@@ -107,7 +107,7 @@ def q_encode(spark, d):
 
 @register("decode")
 def q_decode(spark, d):
-    merges = f_merges(spark, d)
+    merges = TK.merge_list(f_merges(spark, d))
     enc = TK.encode(load(spark, d, "documents"), "doc_id", "text", merges)
     return enc.select("doc_id", TK.decode_column(merges)(F.col("ids")).alias("text"))
 

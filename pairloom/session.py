@@ -65,3 +65,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet"))
+
+
+def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Compute ``df`` once into a parquet table in the shared folder and read it back.
+
+    Later passes (counts, samples, joins) scan the stored rows instead of
+    recomputing the plan, and a lost executor restarts from the table.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
