@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..plans.indexing import row_index
 from ..plans.joins import broadcast_if_small
+from ..session import cut_lineage
 
 MAX_MERGES = 1_000_000
 
@@ -146,8 +147,12 @@ def bpe_encode(occ: DataFrame, merges) -> DataFrame:
 def encode(docs: DataFrame, id_col: str, text_col: str, merges) -> DataFrame:
     """Text -> subword ids: clean, lower, pre-tokenise, byte symbols, BPE, ids."""
     occ = token_occurrences(docs.select(id_col, T.basic_clean(F.col(text_col)).alias(text_col)), id_col, text_col)
-    enc = bpe_encode(occ, merges)
-    j = occ.join(enc, "token")  # hot tokens: AQE splits skewed partitions
+    # the per-token encodings are computed once and stored (the memo); joined
+    # back by broadcast when their checked size allows, else by a shuffle join
+    # whose hot tokens AQE splits
+    enc = cut_lineage(bpe_encode(occ, merges).select("token", "piece_ids"), "bpe")
+    enc, _ = broadcast_if_small(enc, max_rows=2_000_000)
+    j = occ.join(enc, "token")
     return (j.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("pos", "piece_ids"))).alias("_p"))
              .select(id_col, F.flatten(F.transform("_p", lambda s: s["piece_ids"])).alias("ids")))
 

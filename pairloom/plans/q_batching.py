@@ -90,3 +90,12 @@ def q_interleave(spark, d):
     m = BT.batch_ids(docs.filter(F.col("lang") == "en"), 16, ["doc_id"])
     s = BT.batch_ids(docs.filter(F.col("lang") != "en"), 16, ["doc_id"])
     return BT.interleave(m, s).select("doc_id", "batch_id", "which", "step")
+
+
+@register("seeded", """
+SELECT doc_id, (row_number() OVER (ORDER BY md5(doc_id::VARCHAR || ':42:2'), doc_id) - 1)::BIGINT AS pos FROM documents
+""")
+def q_seeded(spark, d):
+    # O3: one seed drives the permutation; the input is deliberately re-partitioned
+    # (37 parts) and the positions still equal the single-order definition
+    return BT.epoch_shuffle(_docs(spark, d).repartition(37), "doc_id", seed=42, epoch=2).select("doc_id", "pos")
