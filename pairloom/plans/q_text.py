@@ -95,17 +95,60 @@ def q_learn_merges(spark, d):
     return f_merges(spark, d)
 
 
-@register("bpe_encode")
+_IDX = ("CASE WHEN cp BETWEEN 33 AND 126 THEN cp - 33 WHEN cp BETWEEN 161 AND 172 THEN cp - 161 + 94 "
+        "WHEN cp BETWEEN 174 AND 255 THEN cp - 174 + 106 ELSE cp - 256 + 188 END")
+
+# BPE as a recursive query: each round finds the best-ranked neighbouring pair
+# of every unfinished word and merges its occurrences left to right.
+SQL_BPE = f"""WITH RECURSIVE {SQL_PAIRS},
+m AS (SELECT (row_number() OVER (ORDER BY count DESC, l, r) - 1)::BIGINT AS rank, l, r
+      FROM pairs ORDER BY count DESC, l, r LIMIT {N_MERGES}),
+keys AS (SELECT list(l || chr(1) || r ORDER BY rank) AS k, list(l ORDER BY rank) AS ls,
+                list(r ORDER BY rank) AS rs FROM m),
+init AS (SELECT token, list_transform(string_split(sym, ''), lambda x, i: CASE WHEN i = len(string_split(sym, '')) THEN x || '</w>' ELSE x END) AS w
+         FROM words),
+bpe(token, w, done) AS (
+  SELECT token, w, len(w) <= 1 FROM init
+  UNION ALL
+  SELECT token,
+         CASE WHEN best IS NULL THEN w ELSE
+           list_reduce(w, lambda acc, x: CASE WHEN len(acc) > 0 AND acc[len(acc)] = bl AND x = br
+                                              THEN list_append(acc[1:len(acc) - 1], bl || br)
+                                              ELSE list_append(acc, x) END, []::VARCHAR[]) END,
+         best IS NULL
+  FROM (SELECT token, w, best, keys.ls[best] AS bl, keys.rs[best] AS br
+        FROM (SELECT b.token, b.w,
+                     list_min(list_transform(generate_series(1, len(b.w) - 1),
+                                             lambda i: list_position(keys.k, b.w[i] || chr(1) || b.w[i + 1]))) AS best
+              FROM bpe b, keys WHERE NOT b.done) x, keys)
+),
+done AS (SELECT token, w AS pieces FROM bpe WHERE done),
+ids AS (SELECT l || r AS piece, max(rank) + 512 AS id FROM m GROUP BY l || r),
+ex AS (SELECT token, i, pieces[i] AS piece FROM (SELECT token, pieces, unnest(generate_series(1, len(pieces))) AS i FROM done)),
+pid AS (SELECT ex.token, ex.i, ex.piece,
+               coalesce(ids.id, CASE WHEN ex.piece LIKE '%</w>' THEN 256 ELSE 0 END
+                        + (SELECT {_IDX} FROM (SELECT unicode(ex.piece) AS cp))) AS id
+        FROM ex LEFT JOIN ids USING (piece)),
+bpe_tok AS (SELECT token, list(piece ORDER BY i) AS pieces, list(id::BIGINT ORDER BY i) AS piece_ids
+            FROM pid GROUP BY token)"""
+
+
+@register("bpe_encode", SQL_BPE + " SELECT token, pieces, piece_ids FROM bpe_tok")
 def q_bpe_encode(spark, d):
     return TK.bpe_encode(_occ(spark, d), f_merges(spark, d)).select("token", "pieces", "piece_ids")
 
 
-@register("encode")
+# X1 (HTML unescape, mojibake repair) has no SQL form; on the given documents it
+# changes no text (checked at every scale), so the oracles below start from the
+# pre-tokens directly.
+@register("encode", SQL_BPE + """
+SELECT doc_id, flatten(list(piece_ids ORDER BY pos)) AS ids FROM tok JOIN bpe_tok USING (token) GROUP BY doc_id""")
 def q_encode(spark, d):
     return TK.encode(load(spark, d, "documents"), "doc_id", "text", f_merges(spark, d))
 
 
-@register("decode")
+@register("decode", f"""WITH {SQL_TOK}
+SELECT doc_id, string_agg(token || ' ', '' ORDER BY pos) AS text FROM tok GROUP BY doc_id""")
 def q_decode(spark, d):
     merges = TK.merge_list(f_merges(spark, d))
     enc = TK.encode(load(spark, d, "documents"), "doc_id", "text", merges)
