@@ -68,6 +68,24 @@ def top_k(queries: DataFrame, cands: DataFrame, k: int, *, q_id: str, q_vec: str
                  .select("q_id", F.col("rank").cast("long").alias("rank"), "c_id", "score"))
 
 
+def top_k_softmax(queries: DataFrame, cands: DataFrame, k: int, *, q_id: str, q_vec: str, c_id: str,
+                  c_vec: str, scale: float = 1.0, normalize: bool = True,
+                  block_rows: int = B.DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """W1 + W2 in one scoring pass: the k best candidates with their softmax probability
+    over *all* candidates (``q_id, rank, c_id, score, prob``)."""
+    q = _side(queries, q_id, q_vec, normalize)
+    c = _side(cands, c_id, c_vec, normalize)
+    parts = B.block_pairs(q, c, B.topk_lse_kernel(k, scale), B.TOPK_LSE_SCHEMA, block_rows=block_rows)
+    norm = merge_summaries(parts.select("q_id", "cb", "m", "s").dropDuplicates(["q_id", "cb"])
+                                .withColumn("best_id", F.lit(0).cast("long"))
+                                .withColumn("best_score", F.col("m")))
+    w = Window.partitionBy("q_id").orderBy(F.desc("score"), F.asc("c_id"))
+    top = (parts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+                .select("q_id", F.col("rank").cast("long").alias("rank"), "c_id", "score"))
+    return (top.join(norm.select("q_id", "lse"), "q_id")
+               .select("q_id", "rank", "c_id", "score", F.exp(F.col("score") - F.col("lse")).alias("prob")))
+
+
 def _dense_kernel(scale: float):
     def kern(q, c, empty):
         if empty:

@@ -78,6 +78,8 @@ def hashed_embedding(df: DataFrame, id_col: str, text_col: str, dim: int = DEFAU
 
 
 _PRETOKEN = None
+# bound here so worker-side code carries the string, not the text module
+_PATTERN = TX.PRETOKEN_PATTERN
 _WS = "[\t\n\x0b\f\r \x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
@@ -86,7 +88,7 @@ def numpy_hashed_encoder(texts: list[str], dim: int = DEFAULT_DIM) -> np.ndarray
     global _PRETOKEN
     if _PRETOKEN is None:
         import regex
-        _PRETOKEN = regex.compile(TX.PRETOKEN_PATTERN)
+        _PRETOKEN = regex.compile(_PATTERN)
     out = np.zeros((len(texts), dim))
     for r, t in enumerate(texts):
         clean = re.sub(_WS, " ", t).strip(" ").lower()

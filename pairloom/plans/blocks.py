@@ -48,8 +48,16 @@ def block_pairs(queries: DataFrame, cands: DataFrame, kernel, out_schema: str, *
     ``q`` and ``c`` hold ``id`` (sorted ascending), ``vec`` and ``aux_*``
     columns; the kernel returns rows of ``out_schema``.
     """
+    from .indexing import is_expensive
+    from ..session import cut_lineage
     q = _prep(queries, q_id, q_vec, q_aux_id, q_aux_vec)
     c = _prep(cands, c_id, c_vec, None, None)
+    # an input that is costly to recompute (aggregated centroids, joined
+    # fixtures) is written once; the counts and the scoring then read it
+    if is_expensive(q):
+        q = cut_lineage(q, "block-q")
+    if is_expensive(c):
+        c = cut_lineage(c, "block-c")
     nq, nc = q.count(), c.count()
     nbq = max(1, math.ceil(nq / block_rows))
     nbc = max(1, math.ceil(nc / block_rows))
@@ -100,6 +108,35 @@ def topk_kernel(k: int, scale: float = 1.0):
 TOPK_SCHEMA = "q_id long, c_id long, score double"
 
 
+def topk_lse_kernel(k: int, scale: float = 1.0):
+    """Top-k of each query in the block plus the block's (max, sum exp) normaliser parts.
+
+    One scoring pass for ranked, softmax-normalised results; ``cb`` tags the
+    block so the normaliser parts can be merged once per block.
+    """
+    def kern(q, c, empty):
+        if empty:
+            return pd.DataFrame({k_: pd.Series([], dtype=t) for k_, t in
+                                 [("q_id", "int64"), ("cb", "int64"), ("c_id", "int64"), ("score", "float64"),
+                                  ("m", "float64"), ("s", "float64")]})
+        s = (as_matrix(q.vec) @ as_matrix(c.vec).T) * scale
+        kk = min(k, s.shape[1])
+        order = np.argsort(-s, axis=1, kind="stable")[:, :kk]
+        rows = np.repeat(np.arange(s.shape[0]), kk)
+        cols = order.reshape(-1)
+        m = s.max(axis=1)
+        tot = np.exp(s - m[:, None]).sum(axis=1)
+        block = int(c.id.values.min())  # any id of the block names it
+        return pd.DataFrame({"q_id": q.id.values[rows].astype("int64"),
+                             "cb": np.full(len(rows), block, dtype="int64"),
+                             "c_id": c.id.values[cols].astype("int64"),
+                             "score": s[rows, cols], "m": m[rows], "s": tot[rows]})
+    return kern
+
+
+TOPK_LSE_SCHEMA = "q_id long, cb long, c_id long, score double, m double, s double"
+
+
 def summary_kernel(scale: float = 1.0):
     """Per query: best candidate (score desc, id asc), block max and sum of exp(s - max)."""
     def kern(q, c, empty):

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from ..functions import vectors as V
 from ..operators import pooling as PL
 from ..operators import udf as U
+from ..operators.udf import numpy_hashed_encoder
 from ..session import load, scratch_path
 from ..streaming import arriving as ST
 from . import fixtures as fx
@@ -66,7 +67,8 @@ def q_embed_corpus(spark, d):
 
 
 def _numpy_encoder_factory():
-    return U.numpy_hashed_encoder
+    # refers to the function itself: shipped code must not pull whole modules along
+    return numpy_hashed_encoder
 
 
 @register("embed_corpus_udf", f"WITH {SQL_HASHED} SELECT doc_id, embedding FROM hashed")

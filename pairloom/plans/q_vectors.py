@@ -329,11 +329,9 @@ def flagship(spark, d):
     """Zero-shot report: label centroids as classes, scaled cosine, softmax, top-5 per vector."""
     emb = load(spark, d, "embeddings")
     classes = fx.f_classes(spark, d)
-    top = S.top_k(emb, classes, 5, q_id="vec_id", q_vec="embedding", c_id="label", c_vec="vector", scale=SCALE)
-    summ = S.similarity(emb, classes, q_id="vec_id", q_vec="embedding", c_id="label", c_vec="vector", scale=SCALE)
-    return (top.join(summ.select("q_id", "lse"), "q_id")
-               .select(F.col("q_id").alias("vec_id"), "rank", F.col("c_id").alias("label"),
-                       R(F.exp(F.col("score") - F.col("lse"))).alias("prob")))
+    top = S.top_k_softmax(emb, classes, 5, q_id="vec_id", q_vec="embedding", c_id="label", c_vec="vector",
+                          scale=SCALE)
+    return top.select(F.col("q_id").alias("vec_id"), "rank", F.col("c_id").alias("label"), R("prob").alias("prob"))
 
 
 @register("zero_shot_top5", f"""
