@@ -72,18 +72,23 @@ def top_k_softmax(queries: DataFrame, cands: DataFrame, k: int, *, q_id: str, q_
                   c_vec: str, scale: float = 1.0, normalize: bool = True,
                   block_rows: int = B.DEFAULT_BLOCK_ROWS) -> DataFrame:
     """W1 + W2 in one scoring pass: the k best candidates with their softmax probability
-    over *all* candidates (``q_id, rank, c_id, score, prob``)."""
+    over *all* candidates (``q_id, rank, c_id, score, prob``).
+
+    The block parts are merged in a single grouped aggregation (k rows and one
+    normaliser part per candidate block and query), so the kernel runs once.
+    """
     q = _side(queries, q_id, q_vec, normalize)
     c = _side(cands, c_id, c_vec, normalize)
     parts = B.block_pairs(q, c, B.topk_lse_kernel(k, scale), B.TOPK_LSE_SCHEMA, block_rows=block_rows)
-    norm = merge_summaries(parts.select("q_id", "cb", "m", "s").dropDuplicates(["q_id", "cb"])
-                                .withColumn("best_id", F.lit(0).cast("long"))
-                                .withColumn("best_score", F.col("m")))
-    w = Window.partitionBy("q_id").orderBy(F.desc("score"), F.asc("c_id"))
-    top = (parts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-                .select("q_id", F.col("rank").cast("long").alias("rank"), "c_id", "score"))
-    return (top.join(norm.select("q_id", "lse"), "q_id")
-               .select("q_id", "rank", "c_id", "score", F.exp(F.col("score") - F.col("lse")).alias("prob")))
+    g = parts.groupBy("q_id").agg(
+        F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("ns"), "c_id", "score"))), 1, k)
+         .alias("top"),
+        F.collect_set(F.struct("cb", "m", "s")).alias("bl"))
+    gm = F.array_max(F.transform("bl", lambda b: b["m"]))
+    lse = gm + F.log(F.aggregate("bl", F.lit(0.0).cast("double"), lambda acc, b: acc + b["s"] * F.exp(b["m"] - gm)))
+    ex = g.select("q_id", lse.alias("lse"), F.posexplode("top").alias("pos", "t"))
+    return ex.select("q_id", (F.col("pos") + 1).cast("long").alias("rank"), F.col("t.c_id").alias("c_id"),
+                     F.col("t.score").alias("score"), F.exp(F.col("t.score") - F.col("lse")).alias("prob"))
 
 
 def _dense_kernel(scale: float):
@@ -194,20 +199,26 @@ def recall_at_k(ranks: DataFrame, ks=(1, 5, 10)) -> DataFrame:
 
 def retrieval_report(pairs: DataFrame, *, id_col: str, a_vec: str, b_vec: str, a_name: str = "text",
                      b_name: str = "image", ks=(1, 5, 10)) -> DataFrame:
-    """recall@k in both directions plus their mean as (name, value) rows."""
+    """recall@k in both directions plus their mean as (name, value) rows.
+
+    One lineage: the two rank tables are unioned and aggregated once per
+    direction; the mean is a window over those two rows.
+    """
     a = pairs.select(F.col(id_col).alias("id"), F.col(a_vec).alias("v"))
     b = pairs.select(F.col(id_col).alias("id"), F.col(b_vec).alias("v"))
-    out = []
+    ranks = None
     for qname, q, cname, c in [(a_name, a, b_name, b), (b_name, b, a_name, a)]:
         r = truth_rank(q.withColumn("t", F.col("id")), c, q_id="id", q_vec="v", truth_id="t",
-                       c_id="id", c_vec="v")
-        rec = recall_at_k(r, ks)
-        out.append(rec.select(F.explode(F.array(*[
-            F.struct(F.lit(f"{qname}_to_{cname}_r{k}").alias("name"), F.col(f"r{k}").alias("value"))
-            for k in ks])).alias("m")).select("m.*"))
-    both = out[0].unionByName(out[1])
-    mean = both.agg(F.lit("mean_recall").alias("name"), F.avg("value").alias("value"))
-    return both.unionByName(mean)
+                       c_id="id", c_vec="v").withColumn("d", F.lit(f"{qname}_to_{cname}"))
+        ranks = r if ranks is None else ranks.unionByName(r)
+    per = ranks.groupBy("d").agg(*[F.avg((F.col("rank") <= k).cast("double")).alias(f"r{k}") for k in ks])
+    per = per.withColumn("mean", F.avg(sum(F.col(f"r{k}") for k in ks) / len(ks)).over(Window.partitionBy()))
+    first = F.col("d") == F.lit(f"{a_name}_to_{b_name}")
+    entries = [F.struct(F.concat(F.col("d"), F.lit(f"_r{k}")).alias("name"), F.col(f"r{k}").alias("value"))
+               for k in ks]
+    entries.append(F.when(first, F.struct(F.lit("mean_recall").alias("name"), F.col("mean").alias("value"))))
+    return (per.select(F.explode(F.array(*entries)).alias("m")).filter(F.col("m").isNotNull())
+               .select("m.name", "m.value"))
 
 
 def zero_shot_accuracy(vecs: DataFrame, classes: DataFrame, *, id_col: str, vec_col: str, label_col: str,

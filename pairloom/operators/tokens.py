@@ -38,7 +38,8 @@ def vocabulary(occ: DataFrame, n_special: int = 3) -> DataFrame:
 
 def lookup_ids(occ: DataFrame, vocab: DataFrame, id_col: str, unk_id: int | None = None) -> DataFrame:
     """J6 piece -> id, gathered per row in position order: (id_col, ids)."""
-    v, _ = broadcast_if_small(vocab.select("token", F.col("id").alias("_tid")), max_rows=5_000_000)
+    # a vocabulary row is ~48 bytes: broadcast up to ~1M entries, else a shuffle join
+    v, _ = broadcast_if_small(vocab.select("token", F.col("id").alias("_tid")), max_rows=1_000_000, row_bytes=48)
     how = "left" if unk_id is not None else "inner"
     j = occ.join(v, "token", how)
     tid = F.coalesce(F.col("_tid"), F.lit(unk_id)) if unk_id is not None else F.col("_tid")
@@ -48,7 +49,7 @@ def lookup_ids(occ: DataFrame, vocab: DataFrame, id_col: str, unk_id: int | None
 
 def lookup_pieces(ids_df: DataFrame, vocab: DataFrame, id_col: str, ids_col: str = "ids") -> DataFrame:
     """J6 id -> piece, in position order: (id_col, pieces)."""
-    v, _ = broadcast_if_small(vocab.select(F.col("id").alias("_tid"), "token"), max_rows=5_000_000)
+    v, _ = broadcast_if_small(vocab.select(F.col("id").alias("_tid"), "token"), max_rows=1_000_000, row_bytes=48)
     ex = ids_df.select(id_col, F.posexplode(ids_col).alias("pos", "_tid"))
     return (ex.join(v, "_tid").groupBy(id_col)
               .agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("_p"))
@@ -151,7 +152,7 @@ def encode(docs: DataFrame, id_col: str, text_col: str, merges) -> DataFrame:
     # back by broadcast when their checked size allows, else by a shuffle join
     # whose hot tokens AQE splits
     enc = cut_lineage(bpe_encode(occ, merges).select("token", "piece_ids"), "bpe")
-    enc, _ = broadcast_if_small(enc, max_rows=2_000_000)
+    enc, _ = broadcast_if_small(enc, max_rows=1_000_000, row_bytes=96)
     j = occ.join(enc, "token")
     return (j.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("pos", "piece_ids"))).alias("_p"))
              .select(id_col, F.flatten(F.transform("_p", lambda s: s["piece_ids"])).alias("ids")))
