@@ -44,23 +44,48 @@ def resolve_columns(df: DataFrame, image_col: str | None = None, caption_col: st
     return img, cap
 
 
+LIMIT_DIRECT = 100_000
+
+
 def take_n(df: DataFrame, n: int | None, order_by: Sequence) -> DataFrame:
-    """The first min(len, n) rows in an explicit order (a top-n, not a global sort)."""
+    """The first min(len, n) rows in an explicit (total) order.
+
+    A small n is a top-n (each partition keeps n rows, one task merges them);
+    a large n numbers the rows with ``row_index`` instead, so no task receives
+    n x partitions rows.
+    """
     if n is None:
         return df
-    return df.orderBy(*order_by).limit(n)
+    if n <= LIMIT_DIRECT:
+        return df.orderBy(*order_by).limit(n)
+    return row_index(df, order_by, name="_pl_rn").filter(F.col("_pl_rn") <= n).drop("_pl_rn")
 
 
 def exact_split(df: DataFrame, id_col: str, test_size: int, seed: int,
                 split_col: str = "split") -> DataFrame:
-    """P5: exactly ``test_size`` validation rows (smallest md5(id:seed)), the rest train.
-
-    The cut is a distributed top-n; its ids (``test_size`` rows, a parameter)
-    are joined back - broadcast when the checked count allows.
+    """P5: exactly ``test_size`` validation rows (smallest md5(id:seed), then id), the rest train.
+
+    md5 is uniform, so its leading 15 hex digits give a threshold that lets
+    about ``test_size`` rows through. If at least ``test_size`` rows pass, the
+    smallest ones all passed; the exact cut is then a top-n over those few
+    candidates only (not over every partition's top-n). The threshold widens
+    until enough rows pass. The chosen ids are joined back (broadcast when
+    their checked count allows).
     """
     key = seeded_key(id_col, seed)
-    val = df.select(F.col(id_col), key.alias("_k")).orderBy("_k", id_col).limit(test_size)
-    val_ids, _ = broadcast_if_small(val.select(id_col).withColumn("_val", F.lit(True)), max_rows=2_000_000)
+    keyed = df.select(F.col(id_col), key.alias("_k"),
+                      F.conv(F.substring(key, 1, 15), 16, 10).cast("decimal(20,0)").alias("_u"))
+    n = df.count()
+    full = 16 ** 15
+    frac = min(1.0, (test_size + 10 * test_size ** 0.5 + 100) / max(n, 1))
+    while True:
+        limit = int(full * frac) if frac < 1.0 else full
+        cand = keyed.filter(F.col("_u") < F.lit(limit).cast("decimal(20,0)"))
+        if frac >= 1.0 or cand.count() >= test_size:
+            break
+        frac = min(1.0, frac * 2)
+    val = cand.orderBy("_k", id_col).limit(test_size).select(id_col)
+    val_ids, _ = broadcast_if_small(val.withColumn("_val", F.lit(True)), max_rows=2_000_000)
     out = df.join(val_ids, id_col, "left")
     return out.withColumn(split_col, F.when(F.col("_val"), F.lit("validation")).otherwise(F.lit("train"))).drop("_val")
 

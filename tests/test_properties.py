@@ -167,3 +167,18 @@ def test_require_splits(spark):
     assert PR.require_splits(df, "split", ["train"]).count() == 1
     with pytest.raises(ValueError, match="requires a test dataset"):
         PR.require_splits(df, "split", ["train", "test"])
+
+
+def test_take_n_large_path_matches_top_n(spark, small_dir, monkeypatch):
+    docs = load(spark, small_dir, "documents").select("doc_id", "lang")
+    want = [r.doc_id for r in PR.take_n(docs, 37, ["doc_id"]).collect()]
+    monkeypatch.setattr(PR, "LIMIT_DIRECT", 10)
+    got = sorted(r.doc_id for r in PR.take_n(docs, 37, ["doc_id"]).collect())
+    assert got == sorted(want) and len(got) == 37
+
+
+def test_exact_split_widens_threshold(spark, small_dir):
+    docs = load(spark, small_dir, "documents").select("doc_id")
+    for size in (1, 150, docs.count()):
+        out = PR.exact_split(docs, "doc_id", size, seed=7).filter(F.col("split") == "validation").count()
+        assert out == size
