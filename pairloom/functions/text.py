@@ -18,6 +18,13 @@ from pyspark.sql.types import StringType
 PRETOKEN_PATTERN = (r"<\|startoftext\|>|<\|endoftext\|>|'s|'t|'re|'ve|'m|'ll|'d|"
                     r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
+# The same alternatives with letter and digit runs tried first. At any position
+# the first character decides which alternatives can match at all (specials
+# and the catch-all start with '<', contractions with an apostrophe), so the
+# tokens are identical; the common case just fails fewer alternatives.
+PRETOKEN_ORDERED = (r"[\p{L}]+|[\p{N}]|<\|startoftext\|>|<\|endoftext\|>|'s|'t|'re|'ve|'m|'ll|'d|"
+                    r"[^\s\p{L}\p{N}]+")
+
 # Python's \s is Unicode-aware; Java's and RE2's are ASCII. This class is
 # what Python calls whitespace (ASCII space/controls, U+001C-U+001F, U+0085
 # and the Unicode separators).
@@ -39,7 +46,7 @@ def whitespace_clean(text) -> Column:
 
 def pretokenize(text) -> Column:
     """Lower-case, then contractions, letter runs, single digits, other runs."""
-    return F.regexp_extract_all(F.lower(_c(text)), F.lit(PRETOKEN_PATTERN), 0)
+    return F.regexp_extract_all(F.lower(_c(text)), F.lit(PRETOKEN_ORDERED), 0)
 
 
 def clean_for_tokens(text) -> Column:

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..plans import blocks as B
-from ..plans.indexing import row_index
 from ..plans.joins import broadcast_if_small
 
 
