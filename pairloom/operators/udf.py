@@ -66,11 +66,13 @@ def hashed_embedding(df: DataFrame, id_col: str, text_col: str, dim: int = DEFAU
     token -> md5 -> (bucket, sign); a partial aggregation per (row, bucket)
     then one dense vector of width ``dim`` per row.
     """
-    occ = token_occurrences(df, id_col, text_col)
-    h = F.md5("token")
+    # md5 once per occurrence, in its own projection; bucket and sign read it
+    occ = token_occurrences(df, id_col, text_col).select(id_col, F.md5("token").alias("h"))
+    h = F.col("h")
     bucket = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(dim))
     sign = F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") < 8, F.lit(1.0)).otherwise(F.lit(-1.0))
-    sparse = occ.groupBy(id_col, bucket.alias("b")).agg(F.sum(sign).alias("v"))
+    sparse = (occ.select(id_col, bucket.alias("b"), sign.alias("s"))
+                 .groupBy(id_col, "b").agg(F.sum("s").alias("v")))
     dense = (sparse.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("b", "v"))).alias("m"))
                    .select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)).cast("array<long>"),
                                                lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("vec")))

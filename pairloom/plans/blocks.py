@@ -48,16 +48,10 @@ def block_pairs(queries: DataFrame, cands: DataFrame, kernel, out_schema: str, *
     ``q`` and ``c`` hold ``id`` (sorted ascending), ``vec`` and ``aux_*``
     columns; the kernel returns rows of ``out_schema``.
     """
-    from .indexing import is_expensive
-    from ..session import cut_lineage
     q = _prep(queries, q_id, q_vec, q_aux_id, q_aux_vec)
     c = _prep(cands, c_id, c_vec, None, None)
-    # an input that is costly to recompute (aggregated centroids, joined
-    # fixtures) is written once; the counts and the scoring then read it
-    if is_expensive(q):
-        q = cut_lineage(q, "block-q")
-    if is_expensive(c):
-        c = cut_lineage(c, "block-c")
+    # each side is read twice (its count, then the scoring): recomputing is
+    # cheaper than writing it out
     nq, nc = q.count(), c.count()
     nbq = max(1, math.ceil(nq / block_rows))
     nbc = max(1, math.ceil(nc / block_rows))
