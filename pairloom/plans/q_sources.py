@@ -29,7 +29,7 @@ def q_read_pairs(spark, d):
 @register("read_splits", f"""WITH {fx.SQL_PAIRS},
 s AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY md5(id::VARCHAR || ':42'), id) <= 100
                      THEN 'validation' ELSE 'train' END AS split FROM f_pairs)
-SELECT split, count(*) AS n, sum(length(source_text) + length(target_text)) AS chars FROM s GROUP BY split""")
+SELECT split, count(*) AS n, sum(length(source_text) + length(target_text))::BIGINT AS chars FROM s GROUP BY split""")
 def q_read_splits(spark, d):
     base = scratch_path(spark, "splits")
     sp = PR.exact_split(fx.f_pairs(spark, d), "id", 100, 42)
