@@ -67,27 +67,18 @@ def bucket_of(key: Column, bounds: list, key_type) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(iters)), init, step)["lo"]
 
 
-def row_index(df: DataFrame, order_by: Sequence, partition_by: Sequence[str] = (),
-              name: str = "rn", num_buckets: int | None = None, start: int = 1,
-              cut_lineage: bool | None = None) -> DataFrame:
-    """Add ``name``: row number within ``partition_by`` following ``order_by``.
+def assign_buckets(df: DataFrame, order_by: Sequence, partition_by: Sequence[str], nb: int,
+                   name: str = "_pl_b") -> DataFrame:
+    """Add ``name``: the range bucket of the (group, order) key, cut points from a sample.
 
-    ``cut_lineage`` (default: when the input plan is expensive) writes the
-    input once as a table in the shared checkpoint folder first.
+    About ``rows / nb`` rows fall in each bucket whatever the group sizes,
+    because the order keys are part of the bucketed key.
     """
-    spark = df.sparkSession
-    if cut_lineage is None:
-        cut_lineage = is_expensive(df)
-    if cut_lineage:
-        from ..session import cut_lineage as _cut
-        df = _cut(df, "row-index")
-    nb = num_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = list(partition_by)
     keys = [_col(g) for g in groups] + [_col(o) for o in order_by]
     kstruct = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
     keyed = df.withColumn("_pl_key", kstruct)
     key_type = keyed.schema["_pl_key"].dataType
-
     bounds: list = []
     if nb > 1:
         n = keyed.count()
@@ -99,12 +90,30 @@ def row_index(df: DataFrame, order_by: Sequence, partition_by: Sequence[str] = (
         if s > 0:
             seen = []
             for i in range(1, nb):
-                b = tuple(sample[min(s - 1, (i * s) // nb)]["_pl_key"])
-                if not seen or b != seen[-1]:
-                    seen.append(b)
+                cut = tuple(sample[min(s - 1, (i * s) // nb)]["_pl_key"])
+                if not seen or cut != seen[-1]:
+                    seen.append(cut)
             bounds = seen
+    return keyed.withColumn(name, bucket_of(F.col("_pl_key"), bounds, key_type).cast("int")).drop("_pl_key")
 
-    b = keyed.withColumn("_pl_b", bucket_of(F.col("_pl_key"), bounds, key_type).cast("int")).drop("_pl_key")
+
+def row_index(df: DataFrame, order_by: Sequence, partition_by: Sequence[str] = (),
+              name: str = "rn", num_buckets: int | None = None, start: int = 1,
+              cut_lineage: bool | None = None) -> DataFrame:
+    """Add ``name``: row number within ``partition_by`` following ``order_by``.
+
+    ``cut_lineage`` (default: when the input plan is expensive) writes the
+    input once as a table in the shared checkpoint folder first.
+    """
+    spark = df.sparkSession
+    if cut_lineage is None:
+        cut_lineage = is_expensive(df)
+    if cut_lineage:
+        from ..session import cut_lineage as _cut
+        df = _cut(df, "row-index")
+    nb = num_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = list(partition_by)
+    b = assign_buckets(df, order_by, groups, nb)
     local = b.withColumn("_pl_r", F.row_number().over(
         Window.partitionBy(*groups, "_pl_b").orderBy(*[_col(o) for o in order_by])))
     stats = b.groupBy(*groups, "_pl_b").agg(F.count(F.lit(1)).alias("_pl_n"))

@@ -182,3 +182,14 @@ def test_exact_split_widens_threshold(spark, small_dir):
     for size in (1, 150, docs.count()):
         out = PR.exact_split(docs, "doc_id", size, seed=7).filter(F.col("split") == "validation").count()
         assert out == size
+
+
+def test_hot_group_is_split_across_buckets(spark):
+    # one group holds 60 % of the rows: its numbering must not run in one window partition
+    rows = [(i, "hot" if i % 5 < 3 else f"g{i % 7}", i % 97) for i in range(20000)]
+    df = spark.createDataFrame(rows, "id long, g string, v long")
+    from pairloom.plans.indexing import assign_buckets
+    sizes = [r["count"] for r in assign_buckets(df, ["v", "id"], ["g"], 16).groupBy("g", "_pl_b").count().collect()]
+    assert max(sizes) <= 2 * len(rows) / 16
+    hot = df.filter(F.col("g") == "hot").count()
+    assert hot > len(rows) / 3 and max(sizes) < hot / 4
