@@ -16,8 +16,8 @@ R = V.num_round
 SCALE = 100.0  # logit scale used in the zero-shot guide
 
 # Image channel mean and std of the reference preprocessing.
-CLIP_MEAN = [0.48145466, 0.4578275, 0.40821073]
-CLIP_STD = [0.26862954, 0.26130258, 0.27577711]
+IMAGE_MEAN = [0.48145466, 0.4578275, 0.40821073]
+IMAGE_STD = [0.26862954, 0.26130258, 0.27577711]
 # Fixed value: default log logit scale of the reference configuration.
 LOG_SCALE_DEFAULT = 2.6592
 
@@ -315,14 +315,14 @@ def q_masked_fill(spark, d):
 
 @register("standardize_channels", f"""
 SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x, i:
-         round(((x + 1.0) * 127.5 / 255.0 - [{", ".join(map(str, CLIP_MEAN))}][((i - 1) % 3) + 1])
-               / [{", ".join(map(str, CLIP_STD))}][((i - 1) % 3) + 1], 4) + 0.0) AS pixels
+         round(((x + 1.0) * 127.5 / 255.0 - [{", ".join(map(str, IMAGE_MEAN))}][((i - 1) % 3) + 1])
+               / [{", ".join(map(str, IMAGE_STD))}][((i - 1) % 3) + 1], 4) + 0.0) AS pixels
 FROM embeddings
 """)
 def q_standardize_channels(spark, d):
     emb = load(spark, d, "embeddings")
     px = F.transform(V.as_double("embedding"), lambda x: (x + 1.0) * 127.5)
-    return emb.select("vec_id", V.vec_round(V.standardize_channels(px, CLIP_MEAN, CLIP_STD)).alias("pixels"))
+    return emb.select("vec_id", V.vec_round(V.standardize_channels(px, IMAGE_MEAN, IMAGE_STD)).alias("pixels"))
 
 
 def flagship(spark, d):
