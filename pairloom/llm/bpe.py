@@ -67,6 +67,13 @@ class BpeTable:
         for rank, to in by_rank.items():
             self.made[rank] = to
 
+    @classmethod
+    def of(cls, state: dict) -> BpeTable:
+        """From ``vars(table)``: a broadcast holds plain values, so tasks need no import to read it."""
+        table = cls.__new__(cls)
+        table.__dict__.update(state)
+        return table
+
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Merge rank of each pair, or the largest integer."""
         key = left << 32 | right
@@ -205,7 +212,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: bool = True, dec
     those tokens. Null and empty texts have no ids and decode to the empty text. Repeated rows are encoded alike,
     an empty table gives an empty table, other columns pass through (one named ``bpe`` is replaced).
     """
-    shared = docs.sparkSession.sparkContext.broadcast(BpeTable(path))
+    shared = docs.sparkSession.sparkContext.broadcast(vars(BpeTable(path)))
     kinds = {"n_tokens": pa.int64()}
     kinds |= {"ids": pa.list_(pa.int32())} if ids else {}
     kinds |= {"decoded": pa.string()} if decoded else {}
@@ -213,7 +220,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: bool = True, dec
     names = {pa.int64(): "long", pa.string(): "string", pa.list_(pa.int32()): "array<int>"}
 
     def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        coder = Coder(shared.value)
+        coder = Coder(BpeTable.of(shared.value))
         for texts in batches:
             parts = []
             for at in range(0, len(texts), 256):
@@ -235,10 +242,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: bool = True, dec
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add ``out``: the library's decoding of the array ``ids``; a null array gives the empty text."""
-    shared = docs.sparkSession.sparkContext.broadcast(BpeTable(path))
+    shared = docs.sparkSession.sparkContext.broadcast(vars(BpeTable(path)))
 
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        coder = Coder(shared.value)
+        coder = Coder(BpeTable.of(shared.value))
         for x in batches:
             yield pa.array([coder.decode(np.array(i or [], np.int64)) for i in x.to_pylist()], pa.string())
 

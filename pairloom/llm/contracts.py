@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, near_dup, pii, quality
-from .common import table
+from . import bpe, fingerprint, language, mixing, near_dup, pii, quality, token_counts, toxicity, urls
+from .common import held_out, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -20,10 +20,17 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
     """Place of the public vocabulary file that the queries use; the operators take any path."""
     import public_tokenizers
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
+
+
+@register("op1_url_filters")
+def op1_url_filters(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    return urls.judge_urls(pages, labels).select("page_id", "host", "path", "rule", "verdict", "mined_rule", "confidence")
 
 
 @register("op2_bpe")
@@ -32,6 +39,22 @@ def op2_bpe(spark, sf_dir):
     return bpe.encode(docs, vocabulary(), ids=False, digests=True).select("doc_id", "bpe.n_tokens", "bpe.ids_sha256", "bpe.decoded_sha256")
 
 
+@register("op3_toxicity")
+def op3_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out("doc_id", 5, 0))
+    scored = toxicity.score(docs, toxicity.train(docs, labels), spans=False)
+    return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), F.col("toxicity.score").alias("score"),
+                         (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"))
+
+
+@register("op4_token_counts")
+def op4_token_counts(spark, sf_dir):
+    automaton = token_counts.Automaton(*token_counts.byte_level_pieces(vocabulary("byte_bpe_50k.json")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, automaton).select("doc_id", "tokens.n_words", "tokens.n_tokens")
+
+
 @register("op5_pii")
 def op5_pii(spark, sf_dir):
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -48,6 +71,21 @@ def op6_mixing(spark, sf_dir):
     return mixing.mix(docs, F.col("words"), key=[F.col("doc_id"), F.col("hash")]).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@register("op7_fingerprint")
+def op7_fingerprint(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fingerprint.edited_neighbours(docs).drop("edited")
+
+
+@register("op8_language")
+def op8_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs.where(~held_out("doc_id", 4, 2)))
+    found = language.detect(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), F.col("language.lang").alias("lang_pred"),
+                        F.col("language.score").alias("score"), F.col("language.ambiguous").alias("ambiguous"))
+
+
 @register("op9_quality")
 def op9_quality(spark, sf_dir):
     judged = quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), clean=False)

@@ -97,7 +97,7 @@ def mix(docs: DataFrame, size: Column, source: str = "source", key: list[Column]
 def mixed_rows(docs: DataFrame, text: str = "text", source: str = "source", **how) -> DataFrame:
     """The mix itself, with the columns of ``docs``: each document as often as it is taken, the one at a cut with its first words only."""
     rows = mix(docs, word_count(F.col(text)), source, prefix="_llm_out_", **how)
-    first = F.regexp_extract(F.col(text), F.concat(F.lit(f"^(?:{SPACE_CLASS}*+{WORD_CLASS}++){{"), F.col("_llm_out_rest").cast("string"), F.lit("}+")), 0)
+    first = F.call_function("regexp_extract", F.col(text), F.concat(F.lit(f"^(?:{SPACE_CLASS}*+{WORD_CLASS}++){{"), F.col("_llm_out_rest").cast("string"), F.lit("}+")), F.lit(0))
     partial = (F.col("_llm_out_rest") > 0) & (F.col("_llm_out_rest") < F.col("_llm_out_size"))
     whole = F.col("_llm_out_epochs") + F.when(F.col("_llm_out_rest") > 0, 1).otherwise(0)
     copies = rows.withColumn("_llm_copy", F.explode(F.when(whole > 0, F.sequence(F.lit(1), whole.cast("int"))).otherwise(F.array().cast("array<int>"))))
