@@ -21,7 +21,7 @@ from .common import mix64
 
 WINDOW = 7
 LENGTH = 64
-MIN_BLOCK = 3
+MIN_BLOCK = 2
 #: Signatures without a common run of so many characters are taken as unrelated.
 COMMON_RUN = 4
 _CHARS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
@@ -64,7 +64,7 @@ def _signatures(flat: np.ndarray, roll: np.ndarray, starts: np.ndarray, sizes: n
 
 
 def fingerprints(texts: list[bytes]) -> list[str]:
-    """The fingerprint of each text; equal texts have equal ones, the empty text has ``3::``."""
+    """The fingerprint of each text; equal texts have equal ones, the empty text has ``2::``."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     pad = b"\0" * (WINDOW - 1)
     flat = np.frombuffer(b"".join(pad + t for t in texts), np.uint8)
