@@ -1,12 +1,14 @@
 """Text functions as Column expressions.
 
 Everything here is a JVM-side expression. The one Python piece of the
-cleaning step (X1, HTML unescape) is a vectorised pandas UDF.
+cleaning step (X1, HTML unescape) is a vectorised pandas UDF over the few texts that need it.
 """
 
 from __future__ import annotations
 
 import html
+import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,20 +20,13 @@ from pyspark.sql.types import StringType
 PRETOKEN_PATTERN = (r"<\|startoftext\|>|<\|endoftext\|>|'s|'t|'re|'ve|'m|'ll|'d|"
                     r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
-# The same alternatives with letter and digit runs tried first. At any position
-# the first character decides which alternatives can match at all (specials
-# and the catch-all start with '<', contractions with an apostrophe), so the
-# tokens are identical; the common case just fails fewer alternatives.
-PRETOKEN_ORDERED = (r"[\p{L}]+|[\p{N}]|<\|startoftext\|>|<\|endoftext\|>|'s|'t|'re|'ve|'m|'ll|'d|"
-                    r"[^\s\p{L}\p{N}]+")
-
 # Python's \s is Unicode-aware; Java's and RE2's are ASCII. This class is
 # what Python calls whitespace (ASCII space/controls, U+001C-U+001F, U+0085
 # and the Unicode separators).
 WHITESPACE_CLASS = r"[\t\n\x0B\f\r \x1C-\x1F\x85\p{Z}]"
 
-# Start and end ids of the fixed-length tokenizer, and the
-# default context length.
+# Start and end ids of the published vocabulary, and the default context length.
+# For other vocabularies pass the ids that ``operators.tokens.special_ids`` derives.
 SOT_ID, EOT_ID, CONTEXT_LENGTH = 49406, 49407, 77
 
 
@@ -46,7 +41,7 @@ def whitespace_clean(text) -> Column:
 
 def pretokenize(text) -> Column:
     """Lower-case, then contractions, letter runs, single digits, other runs."""
-    return F.regexp_extract_all(F.lower(_c(text)), F.lit(PRETOKEN_ORDERED), 0)
+    return F.regexp_extract_all(F.lower(_c(text)), F.lit(PRETOKEN_PATTERN), 0)
 
 
 def clean_for_tokens(text) -> Column:
@@ -54,23 +49,48 @@ def clean_for_tokens(text) -> Column:
     return F.lower(whitespace_clean(text))
 
 
-def _fix_mojibake(s: str) -> str:
-    """UTF-8 read as latin-1 (e.g. 'Ã©' for 'é'): undo when the round trip decodes."""
-    try:
-        fixed = s.encode("latin-1").decode("utf-8")
-    except (UnicodeEncodeError, UnicodeDecodeError):
-        return s
-    return fixed
+def tokens(text) -> Column:
+    """The tokens of a text, the one way into every token job; none for null and blank texts."""
+    return F.coalesce(pretokenize(clean_for_tokens(basic_clean(text))), F.array().cast("array<string>"))
+
+
+def strip(text) -> Column:
+    """White space off both ends (the class Python strips)."""
+    return F.regexp_replace(_c(text), f"^{WHITESPACE_CLASS}++|(?<!{WHITESPACE_CLASS}){WHITESPACE_CLASS}++$", "")
+
+
+# UTF-8 byte sequences read as latin-1 characters, e.g. 'Ã©' for 'é'.
+MOJIBAKE = (r"[\u00C2-\u00DF][\u0080-\u00BF]|[\u00E0-\u00EF][\u0080-\u00BF]{2}"
+            r"|[\u00F0-\u00F4][\u0080-\u00BF]{3}")
+
+
+def unescaper() -> Callable[[str], str]:
+    """X1 as a Python function of one text."""
+    runs = re.compile(MOJIBAKE)
 
+    def undo(m: re.Match) -> str:
+        try:
+            return m[0].encode("latin-1").decode("utf-8")
+        except UnicodeDecodeError:
+            return m[0]
 
-@F.pandas_udf(StringType())
-def basic_clean(s: pd.Series) -> pd.Series:
-    """Repair double-encoded UTF-8, HTML-unescape twice, strip."""
-    def one(x):
-        if x is None:
-            return None
-        return html.unescape(html.unescape(_fix_mojibake(x))).strip()
-    return s.map(one)
+    return lambda x: html.unescape(html.unescape(runs.sub(undo, x))).strip()
+
+
+def _clean_marked(s: pd.Series) -> pd.Series:
+    one = unescaper()
+    return s.map(lambda x: None if x is None else one(x))
+
+
+def basic_clean(text) -> Column:
+    """Repair double-encoded UTF-8 sequence by sequence, HTML-unescape twice, strip.
+
+    Only texts that hold an entity or a double-encoded sequence go to Python (the standard
+    library knows all entity names); the others are stripped in the JVM.
+    """
+    c = _c(text)
+    marked = F.when(c.rlike("&[#A-Za-z]|" + MOJIBAKE), c)
+    return F.coalesce(F.pandas_udf(_clean_marked, StringType())(marked), strip(c))
 
 
 def _code_point(b: Column) -> Column:

@@ -61,15 +61,19 @@ def round_robin_shards(df: DataFrame, batch: int, world: int, order_by: Sequence
     return p.withColumn(name, F.pmod(F.floor(F.col("_pl_pos") / batch), F.lit(world)).cast("long")).drop("_pl_pos")
 
 
-NATURAL_PAD = 20
-
-
 def natural_key(col) -> Column:
-    """O1: case-insensitive key with digit runs compared as numbers (``src2 < src10``)."""
+    """O1: case-insensitive key with digit runs compared as numbers (``src2 < src10``), of any length.
+
+    A run becomes its length without leading zeros (fixed width) and then its digits: longer runs are larger numbers.
+    """
     c = F.col(col) if isinstance(col, str) else col
-    toks = F.regexp_extract_all(F.lower(c), F.lit(r"(\d+|\D+)"), 1)
-    return F.array_join(F.transform(toks, lambda t: F.when(t.rlike(r"^\d"), F.lpad(t, NATURAL_PAD, "0"))
-                                    .otherwise(t)), "")
+    toks = F.regexp_extract_all(F.lower(c), F.lit(r"([0-9]+|[^0-9]+)"), 1)
+
+    def key(t):
+        digits = F.ltrim(t, F.lit("0"))
+        return F.when(t.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(t)
+
+    return F.array_join(F.transform(toks, key), "")
 
 
 def natural_sort(df: DataFrame, col: str, tie: str | None = None, name: str = "rank") -> DataFrame:

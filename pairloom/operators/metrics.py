@@ -65,15 +65,16 @@ def eval_report(df: DataFrame, x: str, y: str, prefix: str = "eval", digits: int
 def align_pairs(student: DataFrame, teacher: DataFrame, id_col: str, check: bool = True) -> DataFrame:
     """Row i of the student table with row i of the teacher table, by id.
 
-    With ``check`` the two sides must have the same ids (counted and
-    anti-joined), as the reference asserts equal lengths.
+    With ``check`` every id must stand exactly once on either side: one pass counts both sides per id, and an
+    id that is missing, repeated or null is an error.
     """
-    out = student.join(teacher, id_col, "inner")
     if check:
-        ns, nt, no = student.count(), teacher.count(), out.count()
-        if not (ns == nt == no):
-            raise ValueError(f"align_pairs: sides differ (student {ns}, teacher {nt}, matched {no})")
-    return out
+        side = lambda df, s, t: df.select(F.col(id_col).alias("id"), F.lit(s).alias("s"), F.lit(t).alias("t"))
+        counts = side(student, 1, 0).unionByName(side(teacher, 0, 1)).groupBy("id").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
+        odd = counts.filter((F.col("s") != 1) | (F.col("t") != 1) | F.col("id").isNull()).first()
+        if odd is not None:
+            raise ValueError(f"align_pairs: id {odd['id']} stands {odd['s']} times on the student side, {odd['t']} times on the teacher side")
+    return student.join(teacher, id_col, "inner")
 
 
 def eval_loss(df: DataFrame, batch_col: str, loss_col: str) -> DataFrame:
@@ -103,10 +104,9 @@ def interval_loss(log: DataFrame, step_col: str, loss_col: str, every: int) -> D
     p = p.withColumn("after", F.coalesce(F.sum("lnm").over(w), F.lit(0.0)))
     per = p.groupBy("interval").agg(F.sum(F.col("x") * F.exp("after")).alias("S"),
                                     F.count(F.lit(1)).alias("n_steps"))
-    rows = per.select("interval", "n_steps", (F.col("S") / F.col("n_steps")).alias("loss"))
-    total = per.agg(F.lit(-1).cast("long").alias("interval"), F.sum("n_steps").alias("n_steps"),
-                    (F.sum("S") / F.sum("n_steps")).alias("loss"))
-    return rows.unionByName(total)
+    # rollup: each interval and, in the same pass, all of them together
+    both = per.rollup("interval").agg(F.sum("S").alias("S"), F.sum("n_steps").alias("n_steps"))
+    return both.select(F.coalesce("interval", F.lit(-1).cast("long")).alias("interval"), "n_steps", (F.col("S") / F.col("n_steps")).alias("loss"))
 
 
 def sample_counts(df: DataFrame, split_col: str, max_samples: int) -> DataFrame:
@@ -117,18 +117,23 @@ def sample_counts(df: DataFrame, split_col: str, max_samples: int) -> DataFrame:
 
 
 def density_histogram(df: DataFrame, col: str, bins: int = 200) -> DataFrame:
-    """Equal-width histogram with area 1; the maximum goes in the last bin.
+    """Equal-width histogram with area 1, all ``bins`` rows; the maximum goes in the last bin.
 
+    Null, NaN and infinite values do not count. Without any value there is no range and no row.
     The range is two scalars computed first (one small aggregate action).
     """
-    r = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi"), F.count(col).alias("n")).first()
-    lo, hi, n = float(r["lo"]), float(r["hi"]), int(r["n"])
+    x = F.col(col).cast("double")
+    some = df.select(x.alias("x")).filter(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    r = some.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("x").alias("n")).first()
+    n = int(r["n"])
+    lo, hi = (float(r["lo"]), float(r["hi"])) if n else (0.0, 1.0)
     width = (hi - lo) / bins if hi > lo else 1.0
-    b = F.least(F.floor((F.col(col) - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("long")
-    return (df.filter(F.col(col).isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-              .select("bin", (F.lit(lo) + F.col("bin") * F.lit(width)).alias("lo"),
-                      (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("hi"),
-                      "count", (F.col("count") / F.lit(n * width)).alias("density")))
+    b = F.least(F.floor((F.col("x") - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("long")
+    counts = some.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    every = df.sparkSession.range(bins if n else 0).withColumnRenamed("id", "bin")
+    return (every.join(counts, "bin", "left").withColumn("count", F.coalesce("count", F.lit(0).cast("long")))
+                 .select("bin", (F.lit(lo) + F.col("bin") * F.lit(width)).alias("lo"), (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("hi"),
+                         "count", (F.col("count") / F.lit(max(n, 1) * width)).alias("density")))
 
 
 def best_step(df: DataFrame, group_col: str, step_col: str, value_col: str,

@@ -7,8 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.indexing import row_index
-from ..plans.joins import broadcast_if_small
+from ..plans.indexing import _col, row_index
 from .batching import seeded_key
 
 
@@ -40,7 +39,7 @@ def resolve_columns(df: DataFrame, image_col: str | None = None, caption_col: st
     cap = caption_col or (default[1] if default else cols[1])
     for name, kind in [(img, "image"), (cap, "caption")]:
         if name not in cols:
-            raise ValueError(f"--{kind}_column value '{name}' needs to be one of: {', '.join(cols)}")
+            raise ValueError(f"no column {name!r} to take the {kind} from; the table has: {', '.join(cols)}")
     return img, cap
 
 
@@ -52,10 +51,11 @@ def take_n(df: DataFrame, n: int | None, order_by: Sequence) -> DataFrame:
 
     A small n is a top-n (each partition keeps n rows, one task merges them);
     a large n numbers the rows with ``row_index`` instead, so no task receives
-    n x partitions rows.
+    n x partitions rows. Keys sort ascending at every n; a key with a direction is an error.
     """
     if n is None:
         return df
+    order_by = [_col(o) for o in order_by]
     if n <= LIMIT_DIRECT:
         return df.orderBy(*order_by).limit(n)
     return row_index(df, order_by, name="_pl_rn").filter(F.col("_pl_rn") <= n).drop("_pl_rn")
@@ -69,8 +69,8 @@ def exact_split(df: DataFrame, id_col: str, test_size: int, seed: int,
     about ``test_size`` rows through. If at least ``test_size`` rows pass, the
     smallest ones all passed; the exact cut is then a top-n over those few
     candidates only (not over every partition's top-n). The threshold widens
-    until enough rows pass. The chosen ids are joined back (broadcast when
-    their checked count allows).
+    until enough rows pass. Only the key of the last validation row comes to the driver; every row is
+    then labelled by comparing its own key, without a join.
     """
     key = seeded_key(id_col, seed)
     keyed = df.select(F.col(id_col), key.alias("_k"),
@@ -84,24 +84,42 @@ def exact_split(df: DataFrame, id_col: str, test_size: int, seed: int,
         if frac >= 1.0 or cand.count() >= test_size:
             break
         frac = min(1.0, frac * 2)
-    val = cand.orderBy("_k", id_col).limit(test_size).select(id_col)
-    val_ids, _ = broadcast_if_small(val.withColumn("_val", F.lit(True)), max_rows=2_000_000)
-    out = df.join(val_ids, id_col, "left")
-    return out.withColumn(split_col, F.when(F.col("_val"), F.lit("validation")).otherwise(F.lit("train"))).drop("_val")
+    if test_size >= n:
+        chosen = F.lit(test_size > 0)
+    elif test_size <= LIMIT_DIRECT:
+        last = cand.orderBy("_k", id_col).limit(test_size).agg(F.max(F.struct("_k", id_col)).alias("m")).first()["m"]
+        chosen = F.lit(False) if last is None else _upto(key, F.col(id_col), last)
+    else:
+        last = row_index(cand.select("_k", id_col), ["_k", id_col], name="_rn").filter(F.col("_rn") == test_size).first()
+        chosen = _upto(key, F.col(id_col), last)
+    return df.withColumn(split_col, F.when(chosen, F.lit("validation")).otherwise(F.lit("train")))
+
+
+def _upto(key: Column, ids: Column, last) -> Column:
+    """(key, id) is not after the (key, id) of the row ``last``."""
+    return (key < F.lit(last[0])) | ((key == F.lit(last[0])) & (ids <= F.lit(last[1])))
 
 
 def unpivot_captions(df: DataFrame, id_col: str, langs: Sequence[str], target_lang: str = "en") -> DataFrame:
     """One row per (item, language) with a caption: input = that language, target = English.
 
-    Includes the English-to-English row, as the reference does.
+    Includes the English-to-English row, as the reference does. Only a missing caption of the row's own
+    language drops the row; a missing target stays null.
     """
     entries = F.array(*[F.struct(F.lit(l).alias("lang"), F.col(l).alias("text")) for l in langs])
     ex = df.select(F.col(id_col), F.col(target_lang).alias("_t"), F.explode(entries).alias("e"))
-    return (ex.filter(F.col("e.text").isNotNull() & F.col("_t").isNotNull())
+    return (ex.filter(F.col("e.text").isNotNull())
               .select(id_col, F.col("e.lang").alias("lang"), F.col("e.text").alias("source_text"),
                       F.col("_t").alias("target_text")))
 
 
+def unpivot_caption_maps(df: DataFrame, id_col: str, maps_col: str, target_lang: str = "en") -> DataFrame:
+    """P7 on ``array<map<lang, caption>>``: a row per map and language with a caption (``item`` numbers the maps from 0)."""
+    items = df.select(F.col(id_col), F.posexplode(maps_col).alias("item", "_m"))
+    ex = items.select(id_col, "item", F.try_element_at("_m", F.lit(target_lang)).alias("_t"), F.explode("_m").alias("lang", "text"))
+    return ex.filter(F.col("text").isNotNull()).select(id_col, "item", "lang", F.col("text").alias("source_text"), F.col("_t").alias("target_text"))
+
+
 def stack_captions(df: DataFrame, id_col: str, lang_cols: Sequence[str]) -> DataFrame:
     """Captions of several language columns, language-major order (``ord`` 0-based)."""
     entries = F.array(*[F.struct(F.lit(i).alias("li"), F.lit(l).alias("lang"), F.col(l).alias("caption"))
@@ -123,7 +141,7 @@ def require_splits(df: DataFrame, split_col: str, names: Sequence[str]) -> DataF
     present = {r[split_col] for r in counts.select(split_col).collect()}  # one row per split
     missing = [n for n in names if n not in present]
     if missing:
-        raise ValueError(f"requires a {missing[0]} dataset")
+        raise ValueError(f"no rows for the split {missing[0]!r}")
     return counts.filter(F.col(split_col).isin(list(names)))
 
 
@@ -145,17 +163,22 @@ def ordered_union_distinct(a, b) -> Column:
 
 def concat_parts(parts: Sequence[DataFrame], id_col: str, pad: Mapping[str, int] | None = None,
                  pad_value: int = -100) -> DataFrame:
-    """U4: per-batch outputs as one table; rows repeated by padding appear once.
+    """U4: per-batch outputs as one table; a row repeated by padding appears once, as in its earliest part.
 
-    Array columns in ``pad`` are right-padded with ``pad_value`` to that width.
+    Array columns in ``pad`` are right-padded with ``pad_value`` to that width, or to the widest row if that is wider,
+    so the result is rectangular.
     """
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    out = out.dropDuplicates([id_col])
-    for c, width in (pad or {}).items():
-        out = out.withColumn(c, F.concat(F.col(c), F.array_repeat(F.lit(pad_value).cast("long"),
-                                                                  F.greatest(F.lit(width) - F.size(c), F.lit(0)))))
+    cols = [c for c in parts[0].columns if c != id_col]
+    out = None
+    for i, p in enumerate(parts):
+        p = p.withColumn("_part", F.lit(i))
+        out = p if out is None else out.unionByName(p)
+    out = out.groupBy(id_col).agg(F.min_by(F.struct(*cols), "_part").alias("_r")).select(id_col, *[F.col("_r")[c].alias(c) for c in cols])
+    pad = pad or {}
+    widest = out.agg(*[F.max(F.size(c)).alias(c) for c in pad]).first() if pad else {}
+    for c, width in pad.items():
+        full = max(width, widest[c] or 0)
+        out = out.withColumn(c, F.concat(F.col(c), F.array_repeat(F.lit(pad_value).cast("long"), F.lit(full) - F.size(c))))
     return out
 
 

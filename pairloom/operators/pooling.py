@@ -9,9 +9,10 @@ the vector dimension) is assembled in one place.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,28 +20,69 @@ from ..functions import vectors as V
 from ..plans.indexing import row_index
 
 
-def _per_dim(df: DataFrame, seq: str, vec: str, extra: list[str]) -> DataFrame:
-    return df.select(seq, *extra, F.posexplode(V.as_double(vec)).alias("dim", "x"))
+def _partial(rows: DataFrame, seq: str, vec: str, weight: str, combine: str) -> DataFrame:
+    """(seq, part, n): per task one vector per sequence, summed or taken the maximum of in numpy.
 
-
-def _assemble(per: DataFrame, seq: str, val: str) -> DataFrame:
-    return (per.groupBy(seq)
-               .agg(F.sort_array(F.collect_list(F.struct("dim", val))).alias("_dv"))
-               .select(seq, F.transform("_dv", lambda s: s[val]).alias("pooled")))
+    The map-side half of an aggregation over vectors: what reaches the shuffle is a vector per task and
+    sequence, not a row per element. Sequences held at once are bounded; a full table is passed on early.
+    """
+    kind = rows.schema[seq].dataType.simpleString()
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+
+        def parts() -> pd.DataFrame:
+            out = pd.DataFrame({seq: list(held), "part": [v.tolist() for v, _ in held.values()], "n": [float(n) for _, n in held.values()]})
+            held.clear()
+            return out
+
+        for pdf in it:
+            pdf = pdf[pdf[vec].notna()]
+            if not len(pdf):
+                continue
+            matrix = np.stack(pdf[vec].to_numpy()).astype(np.float64)
+            w = pdf[weight].to_numpy(np.float64)
+            codes, keys = pd.factorize(pdf[seq], use_na_sentinel=False)
+            order = np.argsort(codes, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(codes[order]) != 0])
+            sums = np.add.reduceat((matrix * w[:, None])[order], starts) if combine == "sum" else np.maximum.reduceat(matrix[order], starts)
+            counts = np.add.reduceat(w[order], starts)
+            for key, v, n in zip(keys[codes[order][starts]], sums, counts, strict=True):
+                if key in held:
+                    old, m = held[key]
+                    v, n = (old + v if combine == "sum" else np.maximum(old, v)), m + n
+                held[key] = (v, n)
+            if len(held) > 4096:
+                yield parts()
+        if held:
+            yield parts()
+
+    slim = rows.select(F.col(seq), V.as_double(vec).alias(vec), F.col(weight).cast("double").alias(weight))
+    return slim.mapInPandas(run, f"{seq} {kind}, part array<double>, n double")
+
+
+def _merge(parts: DataFrame, seq: str, combine: str) -> DataFrame:
+    """Parts of a sequence into one, again in two steps, so that no group holds more than its tasks' parts of a salt."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        matrix = np.stack(pdf["part"].to_numpy())
+        v = matrix.sum(axis=0) if combine == "sum" else matrix.max(axis=0)
+        return pd.DataFrame({seq: [pdf[seq].iloc[0]], "part": [v.tolist()], "n": [pdf["n"].sum()]})
+
+    kind = f"{seq} {parts.schema[seq].dataType.simpleString()}, part array<double>, n double"
+    salted = parts.withColumn("salt", F.pmod(F.xxhash64("part"), F.lit(16)))
+    return salted.groupBy(seq, "salt").applyInPandas(run, kind).groupBy(seq).applyInPandas(run, kind)
 
 
 def pool_mean(df: DataFrame, seq: str, vec: str, mask: str) -> DataFrame:
-    """sum(vec * mask) / sum(mask) per dimension."""
-    e = _per_dim(df, seq, vec, [mask])
-    per = e.groupBy(seq, "dim").agg((F.sum(F.col("x") * F.col(mask)) / F.sum(mask)).alias("v"))
-    return _assemble(per, seq, "v")
+    """sum(vec * mask) / sum(mask) per dimension; null for a sequence without valid positions."""
+    sums = _merge(_partial(df, seq, vec, mask, "sum"), seq, "sum")
+    return sums.select(seq, F.when(F.col("n") != 0, F.transform("part", lambda x: x / F.col("n"))).alias("pooled"))
 
 
 def pool_max(df: DataFrame, seq: str, vec: str, mask: str) -> DataFrame:
     """Max over valid (mask = 1) positions per dimension."""
-    e = _per_dim(df.filter(F.col(mask) == 1), seq, vec, [])
-    per = e.groupBy(seq, "dim").agg(F.max("x").alias("v"))
-    return _assemble(per, seq, "v")
+    best = _merge(_partial(df.filter(F.col(mask) == 1), seq, vec, mask, "max"), seq, "max")
+    return best.select(seq, F.col("part").alias("pooled"))
 
 
 def pool_first(df: DataFrame, seq: str, vec: str, pos: str, cls_position: int = 0) -> DataFrame:
@@ -72,37 +114,16 @@ def position_ids(df: DataFrame, seq: str, pos: str, token: str, pad_id: int = 1,
 
 
 def position_ids_array(ids, pad_id: int = 1):
-    """W3 on an ids array column (one sequence per row): HOF running count."""
+    """W3 on an ids array column (one sequence per row), one pass over the array."""
     c = F.col(ids) if isinstance(ids, str) else ids
-    mask = F.transform(c, lambda x: F.when(x != pad_id, 1).otherwise(0))
-    return F.transform(mask, lambda m, i: F.when(
-        m == 1, F.aggregate(F.slice(mask, 1, i + 1), F.lit(0), lambda a, x: a + x) + pad_id)
-        .otherwise(F.lit(pad_id)))
-
-
-# ---- F5: named poolers ---------------------------------------------------
-
-_POOLERS: dict[str, Callable[..., DataFrame]] = {}
-
-
-def camel_to_snake(name: str) -> str:
-    """X19 on the driver side (names of poolers): MeanPooler -> mean_pooler."""
-    return re.sub(r"(?<!^)(?=[A-Z])", "_", name).lower()
-
-
-def register_pooler(name: str, fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    _POOLERS[camel_to_snake(name)] = fn
-    return fn
+    start = F.struct(F.lit(pad_id).cast("long").alias("n"), F.array().cast("array<long>").alias("out"))
 
+    def step(acc, x):
+        n = acc["n"] + F.when(x != pad_id, 1).otherwise(0)
+        return F.struct(n.alias("n"), F.array_append(acc["out"], F.when(x != pad_id, n).otherwise(F.lit(pad_id).cast("long"))).alias("out"))
 
-def get_pooler(name: str) -> Callable[..., DataFrame]:
-    key = camel_to_snake(name)
-    if key not in _POOLERS:
-        raise KeyError(f"unknown pooler {name!r}; known: {sorted(_POOLERS)}")
-    return _POOLERS[key]
+    return F.aggregate(c, start, step, lambda acc: acc["out"])
 
 
-register_pooler("MeanPooler", pool_mean)
-register_pooler("MaxPooler", pool_max)
-register_pooler("ClsPooler", pool_first)
-register_pooler("EosPooler", pool_eos)
+#: Poolers by name, all over long-form rows (sequence, position, vector). Add to it to register another.
+POOLERS: dict[str, Callable[..., DataFrame]] = {"mean": pool_mean, "max": pool_max, "first": pool_first, "eos": pool_eos}

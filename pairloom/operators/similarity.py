@@ -1,15 +1,15 @@
 """Similarity, retrieval and loss operators over vector tables.
 
-All-pairs work goes through ``plans.blocks.block_pairs``: a block pair is
-scored in numpy inside one task and only per-query reductions leave it. The
-merge of per-block partial results is a grouped aggregation whose groups hold
-one row per candidate block (top-k: k rows per block).
+All-pairs work goes through ``plans.blocks.block_pairs``: a block of scores is computed in numpy
+inside one task and only per-row reductions leave it. Against a small candidate side the queries are
+not moved at all; against a large one the per-block results are merged per query.
+
+A vector without direction (null, or zero where vectors are normalised) has no scores: such a query keeps
+its row with null results and counts as a miss, such a candidate is never ranked.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,117 +18,125 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..plans import blocks as B
 from ..plans.joins import broadcast_if_small
+from ..session import cut_lineage
+
+
+def _vec(col: str, normalize: bool) -> Column:
+    return V.l2_normalize(col) if normalize else V.as_double(col)
 
 
 def _side(df: DataFrame, id_col: str, vec_col: str, normalize: bool) -> DataFrame:
-    v = V.l2_normalize(vec_col) if normalize else V.as_double(vec_col)
-    return df.select(F.col(id_col).cast("long").alias("id"), v.alias("vec"))
+    return df.select(F.col(id_col).cast("long").alias("id"), _vec(vec_col, normalize).alias("vec"))
+
+
+def _without_vector(side: DataFrame, schema: str) -> DataFrame:
+    """Queries that cannot be scored: their id and nulls for the other fields of ``schema``."""
+    names = [f.split() for f in schema.split(", ")]
+    nulls = [F.lit(None).cast(kind).alias(name) for name, kind in names if name != "q_id"]
+    return side.filter(F.col("vec").isNull()).select(F.col("id").alias("q_id"), *nulls)
+
+
+def _lse(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Merge (best_id, m, s) parts into one row per key: best_id, best_score, lse."""
+    gm = F.max("m").over(Window.partitionBy(*keys))
+    return (parts.withColumn("gm", gm).groupBy(*keys)
+                 .agg(F.max_by("best_id", F.struct(F.col("m"), -F.col("best_id"))).alias("best_id"), F.first("gm").alias("best_score"),
+                      F.log(F.sum(F.col("s") * F.exp(F.col("m") - F.col("gm")))).alias("_l"))
+                 .select(*keys, "best_id", "best_score", (F.col("best_score") + F.col("_l")).alias("lse")))
 
 
 def similarity(queries: DataFrame, cands: DataFrame, *, q_id: str, q_vec: str, c_id: str, c_vec: str,
-               scale: float = 1.0, normalize: bool = True,
-               block_rows: int = B.DEFAULT_BLOCK_ROWS) -> DataFrame:
+               scale: float = 1.0, normalize: bool = True, block_rows: int | None = None) -> DataFrame:
     """The scaled similarity matrix, summarised per query row.
 
     Returns ``q_id, best_id, best_score, lse``: the arg-max candidate (first
     id on ties), its score and the log-sum-exp of the row (softmax
-    normaliser). Call with the sides swapped for the transpose.
+    normaliser). ``similarity_both`` gives both directions in one pass.
     """
-    q = _side(queries, q_id, q_vec, normalize)
-    c = _side(cands, c_id, c_vec, normalize)
-    parts = B.block_pairs(q, c, B.summary_kernel(scale), B.SUMMARY_SCHEMA, block_rows=block_rows)
-    return merge_summaries(parts)
+    q, c = _side(queries, q_id, q_vec, normalize), _side(cands, c_id, c_vec, normalize)
+    parts, whole = B.block_pairs(q, c, B.summary_kernel(scale), B.SUMMARY_SCHEMA, block_rows=block_rows)
+    if whole:
+        out = parts.select("q_id", "best_id", F.col("m").alias("best_score"), (F.col("m") + F.log("s")).alias("lse"))
+    else:
+        out = _lse(parts, ["q_id"])
+    return out.unionByName(_without_vector(q, "q_id long, best_id long, best_score double, lse double"))
 
 
-def merge_summaries(parts: DataFrame) -> DataFrame:
-    """Combine per-block (best, max, sum exp) parts into one row per query."""
-    w = Window.partitionBy("q_id")
-    p = parts.withColumn("gm", F.max("m").over(w))
-    return (p.groupBy("q_id")
-             .agg(F.max_by(F.struct("best_id", "best_score"),
-                           F.struct(F.col("best_score"), -F.col("best_id"))).alias("b"),
-                  F.first("gm").alias("gm"),
-                  F.sum(F.col("s") * F.exp(F.col("m") - F.col("gm"))).alias("tot"))
-             .select("q_id", F.col("b.best_id").alias("best_id"), F.col("b.best_score").alias("best_score"),
-                     (F.col("gm") + F.log(F.col("tot"))).alias("lse")))
+def similarity_both(pairs: DataFrame, *, id_col: str, a_vec: str, b_vec: str, scale: float = 1.0,
+                    normalize: bool = True, block_rows: int | None = None) -> DataFrame:
+    """J2 in both directions from one scoring pass: ``side`` 0 = a against all b, 1 = b against all a."""
+    a, b = _side(pairs, id_col, a_vec, normalize), _side(pairs, id_col, b_vec, normalize)
+    parts, _ = B.block_pairs(a, b, B.summary_kernel(scale, both=True), B.SUMMARY_SCHEMA, block_rows=block_rows)
+    out = _lse(parts, ["side", "q_id"])
+    lost = [_without_vector(s, "q_id long, best_id long, best_score double, lse double").withColumn("side", F.lit(i)) for i, s in enumerate((a, b))]
+    return out.unionByName(lost[0]).unionByName(lost[1])
 
 
 def top_k(queries: DataFrame, cands: DataFrame, k: int, *, q_id: str, q_vec: str, c_id: str, c_vec: str,
-          scale: float = 1.0, normalize: bool = True,
-          block_rows: int = B.DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """The ``k`` best candidates per query, ``rank`` 1..k (score desc, id asc)."""
-    q = _side(queries, q_id, q_vec, normalize)
-    c = _side(cands, c_id, c_vec, normalize)
-    parts = B.block_pairs(q, c, B.topk_kernel(k, scale), B.TOPK_SCHEMA, block_rows=block_rows)
-    # each query holds k rows per candidate block: a bounded window
-    w = Window.partitionBy("q_id").orderBy(F.desc("score"), F.asc("c_id"))
-    return (parts.withColumn("rank", F.row_number().over(w))
-                 .filter(F.col("rank") <= k)
-                 .select("q_id", F.col("rank").cast("long").alias("rank"), "c_id", "score"))
+          scale: float = 1.0, normalize: bool = True, block_rows: int | None = None) -> DataFrame:
+    """The ``k`` best candidates per query, ``rank`` 1..k (score desc, id asc).
+
+    A query without a vector has one row of nulls.
+    """
+    q, c = _side(queries, q_id, q_vec, normalize), _side(cands, c_id, c_vec, normalize)
+    parts, whole = B.block_pairs(q, c, B.topk_kernel(k, scale), B.TOPK_SCHEMA, block_rows=block_rows)
+    if not whole:
+        # Spark keeps k rows of a query in each task before this shuffle, so a query's group is k x tasks
+        w = Window.partitionBy("q_id").orderBy(F.desc("score"), F.asc("c_id"))
+        parts = parts.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+    return parts.select("q_id", "rank", "c_id", "score").unionByName(_without_vector(q, B.TOPK_SCHEMA))
 
 
 def top_k_softmax(queries: DataFrame, cands: DataFrame, k: int, *, q_id: str, q_vec: str, c_id: str,
-                  c_vec: str, scale: float = 1.0, normalize: bool = True,
-                  block_rows: int = B.DEFAULT_BLOCK_ROWS) -> DataFrame:
+                  c_vec: str, scale: float = 1.0, normalize: bool = True, block_rows: int | None = None) -> DataFrame:
     """W1 + W2 in one scoring pass: the k best candidates with their softmax probability
-    over *all* candidates (``q_id, rank, c_id, score, prob``).
-
-    The block parts are merged in a single grouped aggregation (k rows and one
-    normaliser part per candidate block and query), so the kernel runs once.
+    over *all* candidates (``q_id, rank, c_id, score, prob``). A query without a vector has one row of nulls.
     """
-    q = _side(queries, q_id, q_vec, normalize)
-    c = _side(cands, c_id, c_vec, normalize)
-    parts = B.block_pairs(q, c, B.topk_lse_kernel(k, scale), B.TOPK_LSE_SCHEMA, block_rows=block_rows)
-    g = parts.groupBy("q_id").agg(
-        F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("ns"), "c_id", "score"))), 1, k)
-         .alias("top"),
-        F.collect_set(F.struct("cb", "m", "s")).alias("bl"))
-    gm = F.array_max(F.transform("bl", lambda b: b["m"]))
-    lse = gm + F.log(F.aggregate("bl", F.lit(0.0).cast("double"), lambda acc, b: acc + b["s"] * F.exp(b["m"] - gm)))
-    ex = g.select("q_id", lse.alias("lse"), F.posexplode("top").alias("pos", "t"))
-    return ex.select("q_id", (F.col("pos") + 1).cast("long").alias("rank"), F.col("t.c_id").alias("c_id"),
-                     F.col("t.score").alias("score"), F.exp(F.col("t.score") - F.col("lse")).alias("prob"))
+    q, c = _side(queries, q_id, q_vec, normalize), _side(cands, c_id, c_vec, normalize)
+    parts, whole = B.block_pairs(q, c, B.topk_lse_kernel(k, scale), B.TOPK_LSE_SCHEMA, block_rows=block_rows)
+    parts = parts if whole else cut_lineage(parts, "top-k-parts")
+    norm = parts.filter(F.col("rank") == 1).select("q_id", F.col("c_id").alias("best_id"), "m", "s")
+    if whole:
+        # one part per query, its normaliser on its first row: carried to the query's other k - 1 rows
+        w = Window.partitionBy("q_id")
+        top = parts.withColumn("lse", F.max(F.when(F.col("rank") == 1, F.col("m") + F.log("s"))).over(w))
+    else:
+        w = Window.partitionBy("q_id").orderBy(F.desc("score"), F.asc("c_id"))
+        top = parts.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+        top = top.join(_lse(norm, ["q_id"]).select("q_id", "lse"), "q_id")
+    out = top.select("q_id", "rank", "c_id", "score", F.exp(F.col("score") - F.col("lse")).alias("prob"))
+    return out.unionByName(_without_vector(q, "q_id long, rank long, c_id long, score double, prob double"))
 
 
 def _dense_kernel(scale: float):
-    def kern(q, c, empty):
-        if empty:
-            return pd.DataFrame({"q_id": pd.Series([], dtype="int64"), "c_ids": [], "scores": []})
-        s = (B.as_matrix(q.vec) @ B.as_matrix(c.vec).T) * scale
-        ids = c.id.values.astype("int64").tolist()
-        return pd.DataFrame({"q_id": q.id.values.astype("int64"),
-                             "c_ids": [ids] * len(q),
-                             "scores": [row.tolist() for row in s]})
+    def kern(q: B.Side, c: B.Side) -> pd.DataFrame:
+        s = (q.vecs @ c.vecs.T) * scale
+        ids = c.ids.tolist()
+        return pd.DataFrame({"q_id": q.ids, "c_ids": [ids] * len(q), "scores": list(s)})
     return kern
 
 
 def dense_scores(queries: DataFrame, cands: DataFrame, *, q_id: str, q_vec: str, c_id: str, c_vec: str,
-                 scale: float = 1.0, normalize: bool = True, max_cands: int = 65_536,
-                 block_rows: int = B.DEFAULT_BLOCK_ROWS) -> DataFrame:
+                 scale: float = 1.0, normalize: bool = True, block_rows: int | None = None) -> DataFrame:
     """Per query, the score against every candidate as one array in candidate-id order.
 
-    Only for a candidate side of checked, bounded size (classes, the rows of a
-    projection matrix): the output width equals the candidate count.
+    The output row is as wide as the candidate side (classes, a vocabulary, the rows of a projection
+    matrix); a side too large to ship is scored in blocks whose pieces are put together per query.
     """
-    c = _side(cands, c_id, c_vec, normalize)
-    n = c.count()
-    if n > max_cands:
-        raise ValueError(f"dense_scores: {n} candidates exceed the checked bound {max_cands}")
-    q = _side(queries, q_id, q_vec, normalize)
-    parts = B.block_pairs(q, c, _dense_kernel(scale), "q_id long, c_ids array<long>, scores array<double>",
-                          block_rows=block_rows)
-    flat = parts.select("q_id", F.arrays_zip(F.col("c_ids").alias("c"), F.col("scores").alias("s")).alias("z"))
-    return (flat.groupBy("q_id")
-                .agg(F.sort_array(F.flatten(F.collect_list("z"))).alias("z"))
-                .select("q_id", F.transform("z", lambda e: e["c"]).alias("c_ids"),
-                        F.transform("z", lambda e: e["s"]).alias("scores")))
+    c, q = _side(cands, c_id, c_vec, normalize), _side(queries, q_id, q_vec, normalize)
+    parts, whole = B.block_pairs(q, c, _dense_kernel(scale), "q_id long, c_ids array<long>, scores array<double>", block_rows=block_rows)
+    if not whole:
+        flat = parts.select("q_id", F.arrays_zip(F.col("c_ids").alias("c"), F.col("scores").alias("s")).alias("z"))
+        parts = (flat.groupBy("q_id").agg(F.sort_array(F.flatten(F.collect_list("z"))).alias("z"))
+                     .select("q_id", F.transform("z", lambda e: e["c"]).alias("c_ids"), F.transform("z", lambda e: e["s"]).alias("scores")))
+    return parts.unionByName(_without_vector(q, "q_id long, c_ids array<long>, scores array<double>"))
 
 
 def softmax(queries: DataFrame, cands: DataFrame, *, q_id: str, q_vec: str, c_id: str, c_vec: str,
-            scale: float = 100.0, normalize: bool = True, max_cands: int = 65_536) -> DataFrame:
-    """Per query, probabilities over the (bounded) candidate set, candidate-id order."""
+            scale: float = 100.0, normalize: bool = True, block_rows: int | None = None) -> DataFrame:
+    """Per query, probabilities over the candidate set, candidate-id order."""
     d = dense_scores(queries, cands, q_id=q_id, q_vec=q_vec, c_id=c_id, c_vec=c_vec,
-                     scale=scale, normalize=normalize, max_cands=max_cands)
+                     scale=scale, normalize=normalize, block_rows=block_rows)
     return d.select("q_id", "c_ids", softmax_array("scores").alias("probs"))
 
 
@@ -141,22 +149,14 @@ def softmax_array(scores) -> Column:
     return F.transform(e, lambda x: x / tot)
 
 
-def softmax_over(score: str, partition: list[str]) -> Column:
-    """W2 in long form: softmax of ``score`` within ``partition`` (bounded groups)."""
-    w = Window.partitionBy(*partition)
-    e = F.exp(F.col(score) - F.max(score).over(w))
-    return e / F.sum(e).over(w)
-
-
 def project(df: DataFrame, matrix: DataFrame, *, id_col: str, vec_col: str, row_col: str, row_vec: str,
-            bias: list[float] | None = None, max_rows: int = 65_536) -> DataFrame:
+            bias: list[float] | None = None, block_rows: int | None = None) -> DataFrame:
     """``out[j] = sum_i vec[i] * matrix[j][i] (+ bias[j])`` for every vector.
 
-    ``matrix`` holds one output dimension per row (``row_col`` gives the
-    output position). Its size is checked; the work is a block matmul.
+    ``matrix`` holds one output dimension per row (``row_col`` gives the output position).
     """
     d = dense_scores(df, matrix, q_id=id_col, q_vec=vec_col, c_id=row_col, c_vec=row_vec,
-                     scale=1.0, normalize=False, max_cands=max_rows)
+                     scale=1.0, normalize=False, block_rows=block_rows)
     out = d.select(F.col("q_id").alias(id_col), F.col("scores").alias("projected"))
     if bias is not None:
         b = F.array(*[F.lit(float(x)) for x in bias])
@@ -164,6 +164,13 @@ def project(df: DataFrame, matrix: DataFrame, *, id_col: str, vec_col: str, row_
     return out
 
 
+def apply_map(df: DataFrame, weights: DataFrame, *, id_col: str, vec_col: str) -> DataFrame:
+    """A solved map (i, j, w) applied through X15: ``out[j] = sum_i vec[i] * w[i, j]``."""
+    columns = (weights.groupBy("j").agg(F.sort_array(F.collect_list(F.struct("i", "w"))).alias("iw"))
+                      .select("j", F.transform("iw", lambda e: e["w"]).alias("row")))
+    return project(df, columns, id_col=id_col, vec_col=vec_col, row_col="j", row_vec="row")
+
+
 def nearest_entry(vecs: DataFrame, vocab: DataFrame, *, q_id: str, q_vec: str, c_id: str, c_vec: str) -> DataFrame:
     """The vocabulary row with the largest inner product (first id on ties)."""
     s = similarity(vecs, vocab, q_id=q_id, q_vec=q_vec, c_id=c_id, c_vec=c_vec, scale=1.0, normalize=False)
@@ -171,28 +178,49 @@ def nearest_entry(vecs: DataFrame, vocab: DataFrame, *, q_id: str, q_vec: str, c
 
 
 def truth_rank(queries: DataFrame, cands: DataFrame, *, q_id: str, q_vec: str, truth_id: str,
-               c_id: str, c_vec: str, normalize: bool = True,
-               block_rows: int = B.DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """Rank of each query's true candidate: 1 + candidates scored above it.
+               c_id: str, c_vec: str, normalize: bool = True, block_rows: int | None = None) -> DataFrame:
+    """Rank of each query's true candidate: 1 + candidates scored above it; null without truth or vector.
 
     Counting replaces sorting, so no per-query candidate list is built.
     """
-    cvec = (V.l2_normalize(c_vec) if normalize else V.as_double(c_vec))
-    cands_n = cands.select(F.col(c_id).cast("long").alias("cid"), cvec.alias("cvec"))
-    qv = (V.l2_normalize(q_vec) if normalize else V.as_double(q_vec))
-    q = queries.select(F.col(q_id).cast("long").alias("qid"), qv.alias("qvec"),
-                       F.col(truth_id).cast("long").alias("tid"))
+    c = _side(cands, c_id, c_vec, normalize)
+    q = queries.select(F.col(q_id).cast("long").alias("qid"), _vec(q_vec, normalize).alias("qvec"), F.col(truth_id).cast("long").alias("tid"))
     # the true candidate's vector travels with its query (equi-join on id)
-    q = q.join(cands_n.withColumnRenamed("cid", "tid").withColumnRenamed("cvec", "tvec"), "tid", "left")
-    parts = B.block_pairs(q, cands_n, B.better_count_kernel(1.0), B.BETTER_SCHEMA,
-                          q_id="qid", q_vec="qvec", c_id="cid", c_vec="cvec",
-                          q_aux_id="tid", q_aux_vec="tvec", block_rows=block_rows)
-    return parts.groupBy("q_id").agg((F.sum("n_better") + 1).cast("long").alias("rank"))
+    q = q.join(c.select(F.col("id").alias("tid"), F.col("vec").alias("tvec")), "tid", "left")
+    parts, _ = B.block_pairs(q, c, B.better_count_kernel(1.0), B.BETTER_SCHEMA, q_id="qid", q_vec="qvec",
+                             q_aux=("tid", "tvec"), block_rows=block_rows)
+    ranks = parts.groupBy("q_id").agg((F.sum("n_better") + 1).cast("long").alias("rank"))
+    lost = q.filter(F.col("qvec").isNull() | F.col("tvec").isNull()).select(F.col("qid").alias("q_id"), F.lit(None).cast("long").alias("rank"))
+    return ranks.unionByName(lost)
+
+
+def pair_ranks(pairs: DataFrame, *, id_col: str, a_vec: str, b_vec: str, normalize: bool = True,
+               block_rows: int | None = None) -> DataFrame:
+    """Ranks of matched pairs in both directions from one scoring pass: side, q_id, rank (null without both vectors)."""
+    p = pairs.select(F.col(id_col).cast("long").alias("id"), _vec(a_vec, normalize).alias("a"), _vec(b_vec, normalize).alias("b"))
+    full = p.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
+    # A side without its match still competes with the others' truths: it is scored against, not ranked.
+    half = F.coalesce("b", F.transform("a", lambda x: F.lit(0.0)))
+    other = F.coalesce("a", F.transform("b", lambda x: F.lit(0.0)))
+    q = p.filter(F.col("a").isNotNull()).select("id", "a", half.alias("t"))
+    c = p.filter(F.col("b").isNotNull()).select("id", "b", other.alias("t"))
+    parts, _ = B.block_pairs(q, c, B.better_count_kernel(1.0, both=True), B.BETTER_SCHEMA, q_vec="a", c_vec="b",
+                             q_aux=("id", "t"), c_aux=("id", "t"), block_rows=block_rows)
+    ranks = parts.groupBy("side", "q_id").agg((F.sum("n_better") + 1).cast("long").alias("rank"))
+    ranks = ranks.join(full.select(F.col("id").alias("q_id")), "q_id", "left_semi")
+    sides = F.explode(F.array(F.lit(0), F.lit(1)))
+    lost = p.filter(F.col("a").isNull() | F.col("b").isNull()).select(sides.alias("side"), F.col("id").alias("q_id"), F.lit(None).cast("long").alias("rank"))
+    return ranks.unionByName(lost)
+
+
+def _hit(k: int) -> Column:
+    """1 where the rank is at most k; a missing rank is a miss."""
+    return F.coalesce(F.col("rank") <= k, F.lit(False)).cast("double")
 
 
 def recall_at_k(ranks: DataFrame, ks=(1, 5, 10)) -> DataFrame:
     """A15 from a rank table: one row per k with the share of ranks <= k."""
-    aggs = [F.avg((F.col("rank") <= k).cast("double")).alias(f"r{k}") for k in ks]
+    aggs = [F.avg(_hit(k)).alias(f"r{k}") for k in ks]
     return ranks.agg(*aggs)
 
 
@@ -200,17 +228,11 @@ def retrieval_report(pairs: DataFrame, *, id_col: str, a_vec: str, b_vec: str, a
                      b_name: str = "image", ks=(1, 5, 10)) -> DataFrame:
     """recall@k in both directions plus their mean as (name, value) rows.
 
-    One lineage: the two rank tables are unioned and aggregated once per
-    direction; the mean is a window over those two rows.
+    One scoring pass gives both directions; the mean is a window over those two rows.
     """
-    a = pairs.select(F.col(id_col).alias("id"), F.col(a_vec).alias("v"))
-    b = pairs.select(F.col(id_col).alias("id"), F.col(b_vec).alias("v"))
-    ranks = None
-    for qname, q, cname, c in [(a_name, a, b_name, b), (b_name, b, a_name, a)]:
-        r = truth_rank(q.withColumn("t", F.col("id")), c, q_id="id", q_vec="v", truth_id="t",
-                       c_id="id", c_vec="v").withColumn("d", F.lit(f"{qname}_to_{cname}"))
-        ranks = r if ranks is None else ranks.unionByName(r)
-    per = ranks.groupBy("d").agg(*[F.avg((F.col("rank") <= k).cast("double")).alias(f"r{k}") for k in ks])
+    ranks = pair_ranks(pairs, id_col=id_col, a_vec=a_vec, b_vec=b_vec)
+    names = F.when(F.col("side") == 0, F.lit(f"{a_name}_to_{b_name}")).otherwise(F.lit(f"{b_name}_to_{a_name}"))
+    per = ranks.groupBy(names.alias("d")).agg(*[F.avg(_hit(k)).alias(f"r{k}") for k in ks])
     per = per.withColumn("mean", F.avg(sum(F.col(f"r{k}") for k in ks) / len(ks)).over(Window.partitionBy()))
     first = F.col("d") == F.lit(f"{a_name}_to_{b_name}")
     entries = [F.struct(F.concat(F.col("d"), F.lit(f"_r{k}")).alias("name"), F.col(f"r{k}").alias("value"))
@@ -222,12 +244,10 @@ def retrieval_report(pairs: DataFrame, *, id_col: str, a_vec: str, b_vec: str, a
 
 def zero_shot_accuracy(vecs: DataFrame, classes: DataFrame, *, id_col: str, vec_col: str, label_col: str,
                        class_col: str, class_vec: str, ks=(1, 5)) -> DataFrame:
-    """Share of vectors whose label is among the top-k classes."""
-    kmax = max(ks)
-    cls, _ = broadcast_if_small(classes, max_rows=1_000_000)
-    t = top_k(vecs, cls, kmax, q_id=id_col, q_vec=vec_col, c_id=class_col, c_vec=class_vec)
+    """Share of vectors whose label is among the top-k classes; a vector without direction is a miss."""
+    t = top_k(vecs, classes, max(ks), q_id=id_col, q_vec=vec_col, c_id=class_col, c_vec=class_vec)
     lab = vecs.select(F.col(id_col).cast("long").alias("q_id"), F.col(label_col).cast("long").alias("lab"))
-    hit = t.join(lab, "q_id").withColumn("hit", F.col("c_id") == F.col("lab"))
+    hit = t.join(lab, "q_id").withColumn("hit", F.coalesce(F.col("c_id") == F.col("lab"), F.lit(False)))
     per = hit.groupBy("q_id").agg(*[F.max(F.when(F.col("rank") <= k, F.col("hit")).otherwise(False))
                                    .cast("double").alias(f"top{k}") for k in ks])
     return per.agg(*[F.avg(f"top{k}").alias(f"top{k}") for k in ks])
@@ -249,33 +269,40 @@ def contrastive_loss(queries: DataFrame, cands: DataFrame, *, q_id: str, q_vec:
 def contrastive_loss_sym(pairs: DataFrame, *, id_col: str, a_vec: str, b_vec: str,
                          scale: float = 100.0) -> DataFrame:
     """Mean of both directions."""
-    a = pairs.select(F.col(id_col).alias("id"), F.col(a_vec).alias("v"))
-    b = pairs.select(F.col(id_col).alias("id"), F.col(b_vec).alias("v"))
-    l1 = contrastive_loss(a, b, q_id="id", q_vec="v", c_id="id", c_vec="v", scale=scale)
-    l2 = contrastive_loss(b, a, q_id="id", q_vec="v", c_id="id", c_vec="v", scale=scale)
-    both = l1.withColumn("d", F.lit(1)).unionByName(l2.withColumn("d", F.lit(2)))
-    return both.agg(F.avg("loss").alias("loss"),
-                    F.max(F.when(F.col("d") == 1, F.col("loss"))).alias("loss_a_to_b"),
-                    F.max(F.when(F.col("d") == 2, F.col("loss"))).alias("loss_b_to_a"))
-
-
-def _batch_kernel(scale: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
-        a = B.as_matrix(pdf.a)
-        b = B.as_matrix(pdf.b)
+    both = similarity_both(pairs, id_col=id_col, a_vec=a_vec, b_vec=b_vec, scale=scale)
+    diag = pairs.select(F.col(id_col).cast("long").alias("q_id"), (V.cosine(a_vec, b_vec) * F.lit(scale)).alias("diag"))
+    row = both.join(diag, "q_id").withColumn("l", F.col("lse") - F.col("diag"))
+    sides = row.agg(*[F.avg(F.when(F.col("side") == i, F.col("l"))).alias(n) for i, n in enumerate(("loss_a_to_b", "loss_b_to_a"))])
+    return sides.select(((F.col("loss_a_to_b") + F.col("loss_b_to_a")) / 2).alias("loss"), "loss_a_to_b", "loss_b_to_a")
+
+
+def _batch_rows(scale: float):
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = B.as_matrix(pdf.a), B.as_matrix(pdf.b)
         s = (a @ b.T) * scale
         m = s.max(axis=1)
-        lse = m + np.log(np.exp(s - m[:, None]).sum(axis=1))
         diag = np.diag(s).copy()
-        better = ((s > diag[:, None]) | ((s == diag[:, None]) &
-                  (np.arange(len(pdf))[None, :] < np.arange(len(pdf))[:, None])))
+        at = np.arange(len(pdf))
+        better = (s > diag[:, None]) | ((s == diag[:, None]) & (at[None, :] < at[:, None]))
         np.fill_diagonal(better, False)
-        return pd.DataFrame({"batch_id": pdf.batch_id.values.astype("int64"),
-                             "id": pdf.id.values.astype("int64"),
-                             "lse": lse, "diag": diag,
-                             "rank": better.sum(axis=1).astype("int64") + 1,
-                             "size": np.full(len(pdf), len(pdf), dtype="int64")})
+        return pd.DataFrame({"batch_id": pdf.batch_id, "id": pdf.id, "lse": m + np.log(np.exp(s - m[:, None]).sum(axis=1)),
+                             "diag": diag, "rank": better.sum(axis=1) + 1, "size": len(pdf)})
+
+    def run(it):
+        """Batches lie one after another in a partition; an Arrow batch holds many, its last may go on in the next."""
+        held = None
+        for pdf in it:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            open_batch = pdf.batch_id == pdf.batch_id.iloc[-1]
+            held = pdf[open_batch]
+            done = [one(g) for _, g in pdf[~open_batch].groupby("batch_id", sort=False)]
+            if done:
+                yield pd.concat(done, ignore_index=True)
+        if held is not None:
+            yield one(held)
+
     return run
 
 
@@ -284,14 +311,16 @@ def in_batch_pairs(df: DataFrame, *, batch_col: str, id_col: str, a_vec: str, b_
     """Every row against every row of its batch (a group of bounded size).
 
     Returns per row: the row's log-sum-exp over the batch, its matched score
-    (diag) and the rank of the match inside the batch.
+    (diag), the rank of the match inside the batch and the batch's size. Rows without both vectors
+    stand outside their batch, with nulls. Many batches share one Arrow call.
     """
-    av = V.l2_normalize(a_vec) if normalize else V.as_double(a_vec)
-    bv = V.l2_normalize(b_vec) if normalize else V.as_double(b_vec)
     x = df.select(F.col(batch_col).cast("long").alias("batch_id"), F.col(id_col).cast("long").alias("id"),
-                  av.alias("a"), bv.alias("b"))
-    return x.groupBy("batch_id").applyInPandas(
-        _batch_kernel(scale), "batch_id long, id long, lse double, diag double, rank long, size long")
+                  _vec(a_vec, normalize).alias("a"), _vec(b_vec, normalize).alias("b"))
+    full = F.col("a").isNotNull() & F.col("b").isNotNull()
+    schema = "batch_id long, id long, lse double, diag double, rank long, size long"
+    rows = x.filter(full).repartition("batch_id").sortWithinPartitions("batch_id", "id").mapInPandas(_batch_rows(scale), schema)
+    lost = x.filter(~full).select("batch_id", "id", *[F.lit(None).cast(k).alias(n) for n, k in (f.split() for f in schema.split(", ")[2:])])
+    return rows.unionByName(lost)
 
 
 def masked_cross_entropy(logits_src: DataFrame, classes: DataFrame, *, id_col: str, vec_col: str,
@@ -300,8 +329,9 @@ def masked_cross_entropy(logits_src: DataFrame, classes: DataFrame, *, id_col: s
     keep = logits_src.filter(F.col(label_col) != ignore)
     s = similarity(keep, classes, q_id=id_col, q_vec=vec_col, c_id=class_col, c_vec=class_vec,
                    scale=1.0, normalize=False)
-    cls, _ = broadcast_if_small(classes.select(F.col(class_col).cast("long").alias("lab"),
-                                               V.as_double(class_vec).alias("cv")), max_rows=1_000_000)
+    cls = classes.select(F.col(class_col).cast("long").alias("lab"), V.as_double(class_vec).alias("cv"))
+    width = cls.agg(F.max(F.size("cv"))).first()[0] or 1
+    cls, _ = broadcast_if_small(cls, row_bytes=8 * width + 16, max_bytes=B.BROADCAST_BYTES)
     tgt = (keep.select(F.col(id_col).cast("long").alias("q_id"), F.col(label_col).cast("long").alias("lab"),
                        V.as_double(vec_col).alias("v"))
                .join(cls, "lab").select("q_id", V.dot("v", "cv").alias("logit")))
@@ -339,17 +369,13 @@ def gram_sums(df: DataFrame, x_col: str, y_col: str) -> DataFrame:
     return parts.groupBy("kind", "i", "j").agg(F.sum("v").alias("v"))
 
 
-def fit_linear_map(df: DataFrame, x_col: str, y_col: str, ridge: float = 0.0) -> np.ndarray:
-    """Least-squares W with X W ~ Y. Only the d x d sums reach the driver."""
+def fit_linear_map(df: DataFrame, x_col: str, y_col: str, ridge: float = 0.0) -> DataFrame:
+    """Least-squares W with X W ~ Y as a table (i, j, w). Only the d x d sums reach the driver."""
     rows = gram_sums(df, x_col, y_col).collect()
-    d = 1 + max(r.i for r in rows)
-    e = 1 + max(r.j for r in rows if r.kind == "xty")
-    xtx = np.zeros((d, d))
-    xty = np.zeros((d, e))
+    d, e = (1 + max((r[k] for r in rows if r.kind == "xty"), default=-1) for k in ("i", "j"))
+    xtx, xty = np.zeros((d, d)), np.zeros((d, e))
     for r in rows:
         (xtx if r.kind == "xtx" else xty)[r.i, r.j] = r.v
-    return np.linalg.solve(xtx + ridge * np.eye(d), xty)
-
-
-def block_count(n: int, block_rows: int = B.DEFAULT_BLOCK_ROWS) -> int:
-    return max(1, math.ceil(n / block_rows))
+    w = np.linalg.solve(xtx + ridge * np.eye(d), xty)
+    table = pd.DataFrame({"i": np.repeat(np.arange(d), e), "j": np.tile(np.arange(e), d), "w": w.ravel()})
+    return df.sparkSession.createDataFrame(table, "i long, j long, w double")

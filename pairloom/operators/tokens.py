@@ -1,32 +1,40 @@
-"""Corpus token jobs: occurrences, vocabularies, pair counts, BPE, encode/decode, padding
+"""Corpus token jobs: tokens, vocabularies, pair counts, BPE, encode/decode, padding
 (X5-X8, X10, J6).
 
-BPE is the one step that needs Python. It runs once per *distinct*
-pre-token (a ``groupBy`` first), in ``mapInPandas`` with the merge table
-shipped to the tasks, and the result is joined back to the occurrences: the
-cluster form of the reference's per-token memo. The merge table is a model
-parameter of bounded, checked size.
+Tokens stay an array in the row of their text, and ids are put in their place there: the table
+(vocabulary or merges) goes to the tasks, so token occurrences are never shuffled and every
+text keeps its row, also one without tokens. Only counting (vocabulary, pairs) shuffles, after
+a map-side sum. A vocabulary beyond the checked size is joined instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans.indexing import row_index
-from ..plans.joins import broadcast_if_small
 from ..session import cut_lineage
 
-MAX_MERGES = 1_000_000
+#: Bytes of merge-table text that are shipped to the tasks; a larger one is no merge table.
+MAX_MERGE_BYTES = 256 * 1024 * 1024
+#: Vocabulary entries that are shipped to the tasks (16 bytes each); beyond, lookups are joins.
+MAX_ENTRIES = 2_000_000
+
+
+def tokenize(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, tokens): X1-X3 tokens of every text; blank and null texts have an empty array."""
+    return docs.select(F.col(id_col), T.tokens(text_col).alias("tokens"))
 
 
 def token_occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, pos, token): X3 tokens of the cleaned, lower-cased text, 0-based positions."""
-    return docs.select(F.col(id_col), F.posexplode(T.pretokenize(T.clean_for_tokens(text_col))).alias("pos", "token"))
+    """(id, pos, token): one row per token, 0-based positions; for counting."""
+    return tokenize(docs, id_col, text_col).select(F.col(id_col), F.posexplode("tokens").alias("pos", "token"))
 
 
 def vocabulary(occ: DataFrame, n_special: int = 3) -> DataFrame:
@@ -36,24 +44,82 @@ def vocabulary(occ: DataFrame, n_special: int = 3) -> DataFrame:
     return ranked.select("token", "count", (F.col("_r") + n_special).cast("long").alias("id"))
 
 
-def lookup_ids(occ: DataFrame, vocab: DataFrame, id_col: str, unk_id: int | None = None) -> DataFrame:
-    """J6 piece -> id, gathered per row in position order: (id_col, ids)."""
-    # a vocabulary row is ~48 bytes: broadcast up to ~1M entries, else a shuffle join
-    v, _ = broadcast_if_small(vocab.select("token", F.col("id").alias("_tid")), max_rows=1_000_000, row_bytes=48)
-    how = "left" if unk_id is not None else "inner"
-    j = occ.join(v, "token", how)
-    tid = F.coalesce(F.col("_tid"), F.lit(unk_id)) if unk_id is not None else F.col("_tid")
-    return (j.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("pos", tid.alias("t")))).alias("_p"))
-             .select(id_col, F.transform("_p", lambda s: s["t"]).alias("ids")))
+def special_ids(n_pieces: int, n_reserved: int = 0) -> tuple[int, int]:
+    """Start and end ids that follow a vocabulary of ``n_pieces`` ids after ``n_reserved`` reserved ones."""
+    return n_reserved + n_pieces, n_reserved + n_pieces + 1
+
 
+def _list_of(values: np.ndarray, lists: pa.ListArray) -> pa.ListArray:
+    """``values`` in the shape of ``lists``."""
+    offsets = lists.offsets.to_numpy()
+    return pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pa.array(values))
 
-def lookup_pieces(ids_df: DataFrame, vocab: DataFrame, id_col: str, ids_col: str = "ids") -> DataFrame:
-    """J6 id -> piece, in position order: (id_col, pieces)."""
-    v, _ = broadcast_if_small(vocab.select(F.col("id").alias("_tid"), "token"), max_rows=1_000_000, row_bytes=48)
-    ex = ids_df.select(id_col, F.posexplode(ids_col).alias("pos", "_tid"))
-    return (ex.join(v, "_tid").groupBy(id_col)
-              .agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("_p"))
-              .select(id_col, F.transform("_p", lambda s: s["token"]).alias("pieces")))
+
+def lookup_ids(rows: DataFrame, vocab: DataFrame, id_col: str, tokens: str = "tokens",
+               unk_id: int | None = None, max_entries: int = MAX_ENTRIES) -> DataFrame:
+    """J6 piece -> id, in place: (id_col, ids), one row per input row, empty arrays included.
+
+    A token without an entry gets ``unk_id``; without ``unk_id`` it is an error. Entries are found
+    by binary search in the sorted 64-bit hashes of the vocabulary (checked to be distinct).
+    """
+    entries = cut_lineage(vocab.select("token", F.col("id").cast("long").alias("tid"), F.xxhash64("token").alias("h")), "vocabulary")
+    missing = F.lit(unk_id).cast("long") if unk_id is not None else F.raise_error(F.lit("a token has no entry in the vocabulary")).cast("long")
+    if entries.count() <= max_entries:
+        table = entries.select("h", "tid").orderBy("h").toArrow()
+        hashes, ids = (table[c].to_numpy() for c in ("h", "tid"))
+        if not (hashes[1:] == hashes[:-1]).any():
+            shared = rows.sparkSession.sparkContext.broadcast((hashes, ids))
+
+            def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+                keys, values = shared.value
+                for lists in batches:
+                    x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                    if not len(keys):
+                        yield _list_of(np.full(len(x), -1), lists)
+                        continue
+                    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+                    yield _list_of(np.where(keys[at] == x, values[at], -1), lists)
+
+            hashed = F.transform(F.coalesce(F.col(tokens), F.array().cast("array<string>")), lambda t: F.xxhash64(t))
+            found = rows.select(F.col(id_col), F.arrow_udf(find, "array<long>")(hashed).alias("ids"))
+            return found.select(id_col, F.transform("ids", lambda i: F.when(i >= 0, i).otherwise(missing)).alias("ids"))
+    # Too many entries to ship: join on the token (AQE splits hot ones) and gather by row number.
+    keyed = cut_lineage(rows.select(F.col(id_col), F.col(tokens).alias("_t"), F.monotonically_increasing_id().alias("_row")), "tokens")
+    occ = keyed.select("_row", F.posexplode("_t").alias("pos", "token"))
+    got = occ.join(entries.select("token", "tid"), "token", "left").withColumn("tid", F.coalesce("tid", missing))
+    ids = (got.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("pos", "tid"))).alias("_p"))
+              .select("_row", F.transform("_p", lambda s: s["tid"]).alias("ids")))
+    return keyed.join(ids, "_row", "left").select(id_col, F.coalesce("ids", F.array().cast("array<long>")).alias("ids"))
+
+
+def lookup_pieces(ids_df: DataFrame, vocab: DataFrame, id_col: str, ids_col: str = "ids",
+                  unk: str | None = None, max_entries: int = MAX_ENTRIES) -> DataFrame:
+    """J6 id -> piece, in place: (id_col, pieces); an id without an entry gives ``unk``, or is an error without it."""
+    entries = cut_lineage(vocab.select("token", F.col("id").cast("long").alias("tid")), "vocabulary")
+    missing = F.lit(unk) if unk is not None else F.raise_error(F.lit("an id has no entry in the vocabulary")).cast("string")
+    none = F.array().cast("array<string>")
+    if entries.count() <= max_entries:
+        table = entries.orderBy("tid").toArrow()
+        shared = ids_df.sparkSession.sparkContext.broadcast((table["tid"].to_numpy(), table["token"].combine_chunks()))
+
+        def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            keys, pieces = shared.value
+            for lists in batches:
+                x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                at = np.minimum(np.searchsorted(keys, x), max(len(keys) - 1, 0))
+                known = keys[at] == x if len(keys) else np.zeros(len(x), bool)
+                offsets = lists.offsets.to_numpy()
+                yield pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pieces.take(pa.array(at, mask=~known)))
+
+        wanted = F.coalesce(F.col(ids_col).cast("array<long>"), F.array().cast("array<long>"))
+        found = ids_df.select(F.col(id_col), F.arrow_udf(find, "array<string>")(wanted).alias("pieces"))
+        return found.select(id_col, F.transform("pieces", lambda p: F.coalesce(p, missing)).alias("pieces"))
+    keyed = cut_lineage(ids_df.select(F.col(id_col), F.col(ids_col).alias("_t"), F.monotonically_increasing_id().alias("_row")), "ids")
+    ex = keyed.select("_row", F.posexplode("_t").alias("pos", "tid"))
+    got = ex.join(entries, "tid", "left").withColumn("token", F.coalesce("token", missing))
+    pieces = (got.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("_p"))
+                 .select("_row", F.transform("_p", lambda s: s["token"]).alias("pieces")))
+    return keyed.join(pieces, "_row", "left").select(id_col, F.coalesce("pieces", none).alias("pieces"))
 
 
 def distinct_words(occ: DataFrame) -> DataFrame:
@@ -119,12 +185,12 @@ def vocab_pieces(merges: list[tuple[str, str]]) -> list[str]:
 
 
 def merge_list(merges) -> list[tuple[str, str]]:
-    """The merge table as an ordered list (bounded: a model parameter, size checked)."""
+    """The merge table as an ordered list (a model parameter, its bytes checked)."""
     if isinstance(merges, list):
         return merges
-    n = merges.count()
-    if n > MAX_MERGES:
-        raise ValueError(f"{n} merges exceed the checked bound {MAX_MERGES}")
+    size = merges.agg(F.sum(F.octet_length("left") + F.octet_length("right"))).first()[0] or 0
+    if size > MAX_MERGE_BYTES:
+        raise ValueError(f"merges of {size} bytes exceed the checked bound {MAX_MERGE_BYTES}")
     rows = merges.select("rank", "left", "right").collect()
     return [(r.left, r.right) for r in sorted(rows, key=lambda r: r["rank"])]
 
@@ -146,16 +212,38 @@ def bpe_encode(occ: DataFrame, merges) -> DataFrame:
 
 
 def encode(docs: DataFrame, id_col: str, text_col: str, merges) -> DataFrame:
-    """Text -> subword ids: clean, lower, pre-tokenise, byte symbols, BPE, ids."""
-    occ = token_occurrences(docs.select(id_col, T.basic_clean(F.col(text_col)).alias(text_col)), id_col, text_col)
-    # the per-token encodings are computed once and stored (the memo); joined
-    # back by broadcast when their checked size allows, else by a shuffle join
-    # whose hot tokens AQE splits
-    enc = cut_lineage(bpe_encode(occ, merges).select("token", "piece_ids"), "bpe")
-    enc, _ = broadcast_if_small(enc, max_rows=1_000_000, row_bytes=96)
-    j = occ.join(enc, "token")
-    return (j.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("pos", "piece_ids"))).alias("_p"))
-             .select(id_col, F.flatten(F.transform("_p", lambda s: s["piece_ids"])).alias("ids")))
+    """Text -> subword ids, a row for every text: clean, lower, pre-tokenise, byte symbols, BPE, ids.
+
+    The merges go to the tasks; each worker encodes a distinct token of its texts once.
+    """
+    mlist = merge_list(merges)
+    shared = docs.sparkSession.sparkContext.broadcast(mlist)
+    symbol_of = dict(T.byte_table())
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        ranks = {p: i for i, p in enumerate(shared.value)}
+        ids = {p: i for i, p in enumerate(vocab_pieces(shared.value))}
+        known: dict[str, list[int]] = {}
+        for lists in batches:
+            flat = lists.flatten().dictionary_encode()
+            words = flat.dictionary.to_pylist()
+            if len(known) + len(words) > 500_000:  # bounds memory; a forgotten word is encoded again
+                known.clear()
+            for w in words:
+                if w not in known:
+                    known[w] = [ids[p] for p in bpe_word("".join(symbol_of[b] for b in w.encode("utf-8")), ranks)]
+            codes = flat.indices.to_numpy(zero_copy_only=False)
+            parts = [known[w] for w in words]
+            sizes = np.array(list(map(len, parts)), np.int64)
+            table = np.array([i for p in parts for i in p], np.int64)
+            each = sizes[codes] if len(words) else np.zeros(0, np.int64)
+            ends = np.cumsum(each)
+            starts = (np.cumsum(sizes) - sizes)[codes] if len(words) else each
+            values = table[np.repeat(starts - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)] if len(words) else table
+            offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            yield pa.ListArray.from_arrays(pa.array(np.r_[0, ends][offsets], pa.int32()), pa.array(values))
+
+    return tokenize(docs, id_col, text_col).select(id_col, F.arrow_udf(run, "array<long>")(F.col("tokens")).alias("ids"))
 
 
 def decode_column(merges):
@@ -171,10 +259,8 @@ def decode_column(merges):
             if row is None:
                 out.append(None)
                 continue
-            s = "".join(pieces[i] for i in row)
-            raw = bytes(back[c] for c in s)
-            text = raw.decode("utf-8", errors="replace").replace("</w>", " ")
-            out.append(text)
+            raw = bytes(back[c] for i in row for c in pieces[i])
+            out.append(raw.decode("utf-8", errors="replace").replace("</w>", " "))
         return pd.Series(out)
 
     return dec

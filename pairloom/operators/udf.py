@@ -1,7 +1,7 @@
 """User functions over column batches and corpus embedding.
 
-The default encoder (hashed, signed token counts, L2-normalised) is pure
-DataFrame code; a user encoder runs in ``mapInPandas``, loaded once per
+The default encoder (hashed, signed token counts, L2-normalised) adds up codes that the JVM
+makes; a user encoder runs in ``mapInPandas``, loaded once per
 Python worker and fed Arrow batches.
 """
 
@@ -9,27 +9,42 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+import sys
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions import text as TX
-from ..functions import vectors as V
-from .tokens import token_occurrences
 
 DEFAULT_DIM = 64
 
 
 def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str,
-                batch_size: int = 1000, drop_last: bool = False) -> DataFrame:
+                batch_size: int = 1000, remove_columns: Sequence[str] | None = None) -> DataFrame:
     """``fn`` on batches of ``batch_size`` rows; it may change row count and columns.
 
     Batches are formed inside each partition (Arrow batches re-chunked), so
-    ``fn`` must not rely on which rows share a batch.
+    ``fn`` must not rely on which rows share a batch. With ``remove_columns``, ``fn`` sees all columns
+    and the result keeps the input's columns other than those removed, next to what ``fn``
+    returns (which wins on equal names); then ``fn`` must return a row per input row.
     """
+    made = StructType.fromDDL(schema)
+    kept = [] if remove_columns is None else [f for f in df.schema.fields if f.name not in remove_columns and f.name not in made.names]
+    names = [f.name for f in kept]
+
+    def apply(batch: pd.DataFrame) -> pd.DataFrame:
+        out = fn(batch)
+        if not names:
+            return out
+        if len(out) != len(batch):
+            raise ValueError(f"{len(out)} rows from a batch of {len(batch)}: remove all columns to change the number of rows")
+        return pd.concat([batch[names].reset_index(drop=True), out.reset_index(drop=True)], axis=1)
+
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         buf: list[pd.DataFrame] = []
         n = 0
@@ -38,13 +53,13 @@ def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schem
             n += len(pdf)
             while n >= batch_size:
                 allrows = pd.concat(buf, ignore_index=True)
-                yield fn(allrows.iloc[:batch_size].reset_index(drop=True))
+                yield apply(allrows.iloc[:batch_size].reset_index(drop=True))
                 rest = allrows.iloc[batch_size:].reset_index(drop=True)
                 buf, n = [rest], len(rest)
-        if n and not drop_last:
-            yield fn(pd.concat(buf, ignore_index=True))
+        if n:
+            yield apply(pd.concat(buf, ignore_index=True))
 
-    return df.mapInPandas(run, schema)
+    return df.mapInPandas(run, StructType(kept + made.fields))
 
 
 def filter_batches(df: DataFrame, fn: Callable[[pd.Series], pd.Series], col: str) -> DataFrame:
@@ -60,23 +75,29 @@ def lazy_transform(df: DataFrame, col: str, fn: Callable[[pd.Series], pd.Series]
     return df.withColumn(name, udf(F.col(col)))
 
 
-def hashed_embedding(df: DataFrame, id_col: str, text_col: str, dim: int = DEFAULT_DIM) -> DataFrame:
-    """F6 default encoder: signed hashed token counts, L2-normalised (JVM-side).
+def hashed_embedding(df: DataFrame, id_col: str, text_col: str, dim: int = DEFAULT_DIM, keep: Sequence[str] = ()) -> DataFrame:
+    """F6 default encoder: signed hashed token counts, L2-normalised; null for a text without direction.
 
-    token -> md5 -> (bucket, sign); a partial aggregation per (row, bucket)
-    then one dense vector of width ``dim`` per row.
+    token -> md5 -> (bucket, sign) in the JVM; the tasks add up the codes of each row in
+    its place, so nothing is shuffled and every text keeps its row.
     """
-    # md5 once per occurrence, in its own projection; bucket and sign read it
-    occ = token_occurrences(df, id_col, text_col).select(id_col, F.md5("token").alias("h"))
-    h = F.col("h")
-    bucket = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(dim))
-    sign = F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") < 8, F.lit(1.0)).otherwise(F.lit(-1.0))
-    sparse = (occ.select(id_col, bucket.alias("b"), sign.alias("s"))
-                 .groupBy(id_col, "b").agg(F.sum("s").alias("v")))
-    dense = (sparse.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("b", "v"))).alias("m"))
-                   .select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)).cast("array<long>"),
-                                               lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("vec")))
-    return dense.select(id_col, V.l2_normalize("vec").alias("embedding"))
+    def code(h):
+        bucket = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
+        return bucket * 2 + F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") < 8, 1).otherwise(0)
+
+    def add_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            codes = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            sizes = np.diff(lists.offsets.to_numpy())
+            rows = np.repeat(np.arange(len(lists)), sizes)
+            sums = np.bincount(rows * dim + codes // 2, codes % 2 * 2.0 - 1.0, len(lists) * dim).reshape(len(lists), dim)
+            norms = np.sqrt((sums * sums).sum(axis=1))
+            units = sums / np.where(norms > 0, norms, 1.0)[:, None]
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1) * dim, pa.int32()), pa.array(units.ravel()), mask=pa.array(norms == 0))
+
+    tokens = df.select(id_col, *keep, F.transform(TX.tokens(text_col), lambda t: F.md5(t)).alias("h"))
+    codes = tokens.select(id_col, *keep, F.transform("h", code).alias("codes"))
+    return codes.select(id_col, *keep, F.arrow_udf(add_up, "array<double>")(F.col("codes")).alias("embedding"))
 
 
 _PRETOKEN = None
@@ -90,11 +111,12 @@ def numpy_hashed_encoder(texts: list[str], dim: int = DEFAULT_DIM) -> np.ndarray
     global _PRETOKEN
     if _PRETOKEN is None:
         import regex
-        _PRETOKEN = regex.compile(_PATTERN)
+        _PRETOKEN = regex.compile(_PATTERN), TX.unescaper()
+    pattern, clean_text = _PRETOKEN
     out = np.zeros((len(texts), dim))
     for r, t in enumerate(texts):
-        clean = re.sub(_WS, " ", t).strip(" ").lower()
-        for tok in _PRETOKEN.findall(clean):
+        clean = re.sub(_WS, " ", clean_text(t or "")).strip(" ").lower()
+        for tok in pattern.findall(clean):
             h = hashlib.md5(tok.encode("utf-8")).hexdigest()
             out[r, int(h[:8], 16) % dim] += 1.0 if int(h[8], 16) < 8 else -1.0
     norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
@@ -102,33 +124,40 @@ def numpy_hashed_encoder(texts: list[str], dim: int = DEFAULT_DIM) -> np.ndarray
         return np.where(norms > 0, out / norms, np.nan)
 
 
-_ENCODERS: dict[int, Callable] = {}
+def _worker_encoder(name: str, factory: Callable[[], Callable]) -> Callable:
+    """The encoder of that name in this Python worker, built on first use.
+
+    Shipped functions carry copies of their module's globals, so the cache hangs on ``sys``, which
+    every task of a worker shares.
+    """
+    cache = vars(sys).setdefault("_pairloom_encoders", {})
+    if name not in cache:
+        cache[name] = factory()
+    return cache[name]
 
 
 def embed_corpus(df: DataFrame, id_col: str, text_col: str,
                  encoder_factory: Callable[[], Callable[[list[str]], np.ndarray]] | None = None,
-                 dim: int = DEFAULT_DIM) -> DataFrame:
-    """a vector for every text of a corpus.
+                 dim: int = DEFAULT_DIM, encoder_name: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """a vector for every text of a corpus, null where the text gives none, next to the columns ``keep``.
 
-    Without an encoder the hashed encoder runs as DataFrame code. With
-    ``encoder_factory`` the encoder is built once per Python worker and
-    applied to Arrow batches; each task writes its own part of the output.
+    Without an encoder the hashed encoder runs. With ``encoder_factory`` the encoder is built once
+    per Python worker, kept there under ``encoder_name`` (another name for another
+    encoder), and applied to Arrow batches; null texts reach it as empty ones. Each task writes its own part.
     """
     if encoder_factory is None:
-        return hashed_embedding(df, id_col, text_col, dim)
-    key = id(encoder_factory)
+        return hashed_embedding(df, id_col, text_col, dim, keep)
+    if encoder_name is None:
+        raise ValueError("encoder_name: name the encoder, so that workers can keep it apart from others")
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = _ENCODERS.get(key)
-        if enc is None:
-            enc = _ENCODERS[key] = encoder_factory()
+        enc = _worker_encoder(encoder_name, encoder_factory)
         for pdf in it:
-            vecs = enc(pdf[text_col].tolist())
-            yield pd.DataFrame({id_col: pdf[id_col].values,
-                                "embedding": [None if np.isnan(v).any() else v.tolist() for v in vecs]})
+            vecs = enc([t or "" for t in pdf[text_col].tolist()])
+            yield pdf[[id_col, *keep]].assign(embedding=[None if np.isnan(v).any() else v.tolist() for v in vecs])
 
-    id_type = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInPandas(run, f"{id_col} {id_type}, embedding array<double>")
+    passed = df.select(id_col, *keep)
+    return df.select(id_col, *keep, text_col).mapInPandas(run, StructType([*passed.schema.fields, StructField("embedding", ArrayType(DoubleType()))]))
 
 
 def _path_exists(spark: SparkSession, path: str) -> bool:
@@ -138,13 +167,13 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p)) and bool(fs.exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")))
 
 
-def materialize(df: DataFrame, root: str, key: str, overwrite_cache: bool = False) -> DataFrame:
+def materialize(make: Callable[[], DataFrame], spark: SparkSession, root: str, key: str, overwrite_cache: bool = False) -> DataFrame:
     """reuse a computed dataset stored under a fingerprint key unless ``overwrite_cache``.
 
+    ``make`` builds the dataset and is called only when nothing is stored: a hit runs no job.
     The written table also cuts the lineage (a recomputation starts from it).
     """
-    spark = df.sparkSession
     path = f"{root.rstrip('/')}/{key}"
     if overwrite_cache or not _path_exists(spark, path):
-        df.write.mode("overwrite").parquet(path)
+        make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -1,178 +1,206 @@
-"""Blocked all-pairs scoring without materialising pairs.
-
-Queries and candidates are cut into hash blocks of about ``block_rows`` rows.
-Each (query block, candidate block) pair becomes one ``applyInPandas`` group
-holding at most ``2 x block_rows`` rows; numpy computes the block of scores
-in memory and emits only per-query reductions (top-k, log-sum-exp parts,
-counts). So no task sees more than two blocks, and the shuffle carries
-vectors, never the N x M score matrix. This is the replicated block layout of
-distributed matrix multiplication: the query block is sent to every
-candidate block and vice versa.
-
-With a candidate side below one block (classes, a vocabulary) there is one
-candidate block, so the replication is the same as a broadcast.
+"""All-pairs scoring without materialising pairs.
+
+**Small candidate side** (classes, a vocabulary; its bytes are measured first): the candidates go to every
+task as one matrix and the queries stay where they are (``mapInPandas``, no exchange).
+
+**Large candidate side**: queries and candidates are cut into hash blocks of up to ``BLOCK_BYTES``, and
+each (query block, candidate block) pair is one ``applyInPandas`` group. A vector of one side is sent to
+every block of the other, so tall blocks keep the shuffle small: N x M / block rows.
+
+Either way numpy scores a bounded number of cells at a time and emits only reductions: top-k, log-sum-exp
+parts, counts. Kernels may reduce rows and columns of one score matrix in the same pass.
+Rows without a vector (null, e.g. a normalised zero vector) take no part; operators add them back.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-UNION_SCHEMA = ("qb int, cb int, side int, id long, vec array<double>, "
-                "aux_id long, aux_vec array<double>")
-
-DEFAULT_BLOCK_ROWS = 2048
+#: Bytes of candidate vectors that are sent to every task.
+BROADCAST_BYTES = 64 * 1024 * 1024
+#: Bytes of vectors in one block, and the most rows of it.
+BLOCK_BYTES, BLOCK_ROWS = 32 * 1024 * 1024, 16_384
+#: Score cells computed at once (8 bytes each).
+CELLS = 8 * 1024 * 1024
 TIE_EPS = 1e-12
 
 
-def _prep(df: DataFrame, id_col: str, vec_col: str, aux_id: str | None,
-          aux_vec: str | None) -> DataFrame:
-    return df.select(
-        F.col(id_col).cast("long").alias("id"),
-        F.col(vec_col).cast("array<double>").alias("vec"),
-        (F.col(aux_id).cast("long") if aux_id else F.lit(None).cast("long")).alias("aux_id"),
-        (F.col(aux_vec).cast("array<double>") if aux_vec else F.lit(None).cast("array<double>")).alias("aux_vec"),
-    )
+@dataclass
+class Side:
+    """Rows of one side, ids ascending: ids, vectors, and per row a true match (id, vector) if given."""
+
+    ids: np.ndarray
+    vecs: np.ndarray
+    aux_ids: np.ndarray | None = None
+    aux_vecs: np.ndarray | None = None
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def part(self, at: int, n: int) -> Side:
+        cut = slice(at, at + n)
+        return Side(self.ids[cut], self.vecs[cut], *(None if x is None else x[cut] for x in (self.aux_ids, self.aux_vecs)))
+
+
+def _prep(df: DataFrame, id_col: str, vec_col: str, aux_id: str | None, aux_vec: str | None) -> DataFrame:
+    cols = [F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")]
+    if aux_id:
+        cols += [F.col(aux_id).cast("long").alias("aux_id"), F.col(aux_vec).cast("array<double>").alias("aux_vec")]
+    out = df.select(*cols).filter(F.col("vec").isNotNull())
+    return out.filter(F.col("aux_vec").isNotNull()) if aux_id else out
+
+
+def as_matrix(series) -> np.ndarray:
+    if len(series) == 0:
+        return np.zeros((0, 0))
+    return np.stack([np.asarray(v, dtype=np.float64) for v in series])
+
+
+def _side(pdf: pd.DataFrame, aux: bool) -> Side:
+    pdf = pdf.sort_values("id", kind="stable")
+    return Side(pdf["id"].to_numpy(np.int64), as_matrix(pdf["vec"].to_numpy()),
+                pdf["aux_id"].to_numpy(np.int64) if aux else None, as_matrix(pdf["aux_vec"].to_numpy()) if aux else None)
+
+
+def _scored(kernel, q: Side, c: Side):
+    step = max(1, CELLS // max(1, len(c)))
+    for at in range(0, len(q), step):
+        yield kernel(q.part(at, step), c)
 
 
 def block_pairs(queries: DataFrame, cands: DataFrame, kernel, out_schema: str, *,
                 q_id: str = "id", q_vec: str = "vec", c_id: str = "id", c_vec: str = "vec",
-                q_aux_id: str | None = None, q_aux_vec: str | None = None,
-                block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """Run ``kernel(q: pandas, c: pandas) -> pandas`` on every block pair.
+                q_aux: tuple[str, str] | None = None, c_aux: tuple[str, str] | None = None,
+                block_rows: int | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """Run ``kernel(q: Side, c: Side) -> pandas`` over all pairs of blocks: (rows of ``out_schema``, whole).
 
-    ``q`` and ``c`` hold ``id`` (sorted ascending), ``vec`` and ``aux_*``
-    columns; the kernel returns rows of ``out_schema``.
+    ``whole``: every query met all candidates in one call, so its row results need no merge.
+    ``block_rows`` forces the blocked way with blocks of that size.
     """
-    q = _prep(queries, q_id, q_vec, q_aux_id, q_aux_vec)
-    c = _prep(cands, c_id, c_vec, None, None)
-    # each side is read twice (its count, then the scoring): recomputing is
-    # cheaper than writing it out
-    nq, nc = q.count(), c.count()
-    nbq = max(1, math.ceil(nq / block_rows))
-    nbc = max(1, math.ceil(nc / block_rows))
+    q = _prep(queries, q_id, q_vec, *(q_aux or (None, None)))
+    c = _prep(cands, c_id, c_vec, *(c_aux or (None, None)))
+    nc, width = c.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    row_bytes = 8 * max(1, width or 1) * (2 if c_aux else 1)
+    if block_rows is None and nc * row_bytes <= broadcast_bytes:
+        shared = q.sparkSession.sparkContext.broadcast(_side(c.toPandas(), bool(c_aux)))
+
+        def over_queries(it):
+            for pdf in it:
+                if len(pdf) and len(shared.value):
+                    yield from _scored(kernel, _side(pdf, bool(q_aux)), shared.value)
+
+        return q.mapInPandas(over_queries, out_schema), True
+
+    rows = block_rows or max(256, min(BLOCK_ROWS, BLOCK_BYTES // row_bytes))
+    nbq, nbc = max(1, math.ceil(q.count() / rows)), max(1, math.ceil(nc / rows))
+    aux = bool(q_aux or c_aux)
+    none = [F.lit(None).cast("long").alias("aux_id"), F.lit(None).cast("array<double>").alias("aux_vec")]
+    extra = lambda has: ["aux_id", "aux_vec"] if has else none if aux else []
     qs = q.select(F.pmod(F.xxhash64("id"), F.lit(nbq)).cast("int").alias("qb"),
-                  F.explode(F.sequence(F.lit(0), F.lit(nbc - 1))).alias("cb"),
-                  F.lit(0).alias("side"), "id", "vec", "aux_id", "aux_vec")
+                  F.explode(F.sequence(F.lit(0), F.lit(nbc - 1))).alias("cb"), F.lit(0).alias("side"), "id", "vec", *extra(bool(q_aux)))
     cs = c.select(F.explode(F.sequence(F.lit(0), F.lit(nbq - 1))).alias("qb"),
-                  F.pmod(F.xxhash64("id"), F.lit(nbc)).cast("int").alias("cb"),
-                  F.lit(1).alias("side"), "id", "vec", "aux_id", "aux_vec")
+                  F.pmod(F.xxhash64("id"), F.lit(nbc)).cast("int").alias("cb"), F.lit(1).alias("side"), "id", "vec", *extra(bool(c_aux)))
+    names = [f.split()[0] for f in out_schema.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        qp = pdf[pdf.side == 0].sort_values("id", kind="stable").reset_index(drop=True)
-        cp = pdf[pdf.side == 1].sort_values("id", kind="stable").reset_index(drop=True)
-        if len(qp) == 0 or len(cp) == 0:
-            return kernel(qp.iloc[0:0], cp.iloc[0:0], empty=True)
-        return kernel(qp, cp, empty=False)
+        sides = [pdf[pdf.side == i] for i in (0, 1)]
+        if not all(map(len, sides)):
+            return pd.DataFrame({n: [] for n in names})
+        return pd.concat(_scored(kernel, _side(sides[0], bool(q_aux)), _side(sides[1], bool(c_aux))), ignore_index=True)
 
-    return qs.unionByName(cs).groupBy("qb", "cb").applyInPandas(run, out_schema)
+    return qs.unionByName(cs).groupBy("qb", "cb").applyInPandas(run, out_schema), False
 
 
-def as_matrix(series: pd.Series) -> np.ndarray:
-    if len(series) == 0:
-        return np.zeros((0, 0))
-    return np.stack([np.asarray(v, dtype=np.float64) for v in series.values])
+# ---- kernels -------------------------------------------------------------
 
+def _best(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the ``k`` best cells of each row; ties to the smaller column (ids ascend)."""
+    k = min(k, s.shape[1])
+    if k < s.shape[1]:
+        # all cells at least as good as the k-th best, then a stable sort of those alone
+        least = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+        rows, cols = np.nonzero(s >= least[:, None])
+    else:
+        rows, cols = (x.ravel() for x in np.indices(s.shape))
+    order = np.lexsort((cols, -s[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    starts = np.flatnonzero(np.r_[True, np.diff(rows) != 0])
+    rank = np.arange(len(rows)) - np.repeat(starts, np.diff(np.r_[starts, len(rows)]))
+    return rows[rank < k], cols[rank < k]
 
-# ---- kernels -------------------------------------------------------------
 
 def topk_kernel(k: int, scale: float = 1.0):
-    """Best ``k`` candidates of each query inside the block: score desc, id asc."""
-    def kern(q, c, empty):
-        if empty:
-            return pd.DataFrame({"q_id": pd.Series([], dtype="int64"),
-                                 "c_id": pd.Series([], dtype="int64"),
-                                 "score": pd.Series([], dtype="float64")})
-        s = (as_matrix(q.vec) @ as_matrix(c.vec).T) * scale
-        kk = min(k, s.shape[1])
-        # candidates are sorted by id, so a stable sort keeps ids ascending on ties
-        order = np.argsort(-s, axis=1, kind="stable")[:, :kk]
-        rows = np.repeat(np.arange(s.shape[0]), kk)
-        cols = order.reshape(-1)
-        return pd.DataFrame({"q_id": q.id.values[rows].astype("int64"),
-                             "c_id": c.id.values[cols].astype("int64"),
-                             "score": s[rows, cols]})
+    """Best ``k`` candidates of each query: rank from 1, score desc, id asc."""
+    def kern(q: Side, c: Side) -> pd.DataFrame:
+        s = (q.vecs @ c.vecs.T) * scale
+        rows, cols = _best(s, k)
+        return pd.DataFrame({"q_id": q.ids[rows], "rank": np.arange(len(rows)) % min(k, s.shape[1]) + 1,
+                             "c_id": c.ids[cols], "score": s[rows, cols]})
     return kern
 
 
-TOPK_SCHEMA = "q_id long, c_id long, score double"
+TOPK_SCHEMA = "q_id long, rank long, c_id long, score double"
 
 
 def topk_lse_kernel(k: int, scale: float = 1.0):
-    """Top-k of each query in the block plus the block's (max, sum exp) normaliser parts.
-
-    One scoring pass for ranked, softmax-normalised results; ``cb`` tags the
-    block so the normaliser parts can be merged once per block.
-    """
-    def kern(q, c, empty):
-        if empty:
-            return pd.DataFrame({k_: pd.Series([], dtype=t) for k_, t in
-                                 [("q_id", "int64"), ("cb", "int64"), ("c_id", "int64"), ("score", "float64"),
-                                  ("m", "float64"), ("s", "float64")]})
-        s = (as_matrix(q.vec) @ as_matrix(c.vec).T) * scale
-        kk = min(k, s.shape[1])
-        order = np.argsort(-s, axis=1, kind="stable")[:, :kk]
-        rows = np.repeat(np.arange(s.shape[0]), kk)
-        cols = order.reshape(-1)
+    """Top-k of each query with the (max, sum exp) normaliser parts of its row, on its first row only."""
+    def kern(q: Side, c: Side) -> pd.DataFrame:
+        s = (q.vecs @ c.vecs.T) * scale
+        rows, cols = _best(s, k)
+        rank = np.arange(len(rows)) % min(k, s.shape[1]) + 1
         m = s.max(axis=1)
         tot = np.exp(s - m[:, None]).sum(axis=1)
-        block = int(c.id.values.min())  # any id of the block names it
-        return pd.DataFrame({"q_id": q.id.values[rows].astype("int64"),
-                             "cb": np.full(len(rows), block, dtype="int64"),
-                             "c_id": c.id.values[cols].astype("int64"),
-                             "score": s[rows, cols], "m": m[rows], "s": tot[rows]})
+        return pd.DataFrame({"q_id": q.ids[rows], "rank": rank, "c_id": c.ids[cols], "score": s[rows, cols],
+                             "m": np.where(rank == 1, m[rows], np.nan), "s": np.where(rank == 1, tot[rows], np.nan)})
     return kern
 
 
-TOPK_LSE_SCHEMA = "q_id long, cb long, c_id long, score double, m double, s double"
+TOPK_LSE_SCHEMA = "q_id long, rank long, c_id long, score double, m double, s double"
 
 
-def summary_kernel(scale: float = 1.0):
-    """Per query: best candidate (score desc, id asc), block max and sum of exp(s - max)."""
-    def kern(q, c, empty):
-        if empty:
-            return pd.DataFrame({k: pd.Series([], dtype=t) for k, t in
-                                 [("q_id", "int64"), ("best_id", "int64"), ("best_score", "float64"),
-                                  ("m", "float64"), ("s", "float64")]})
-        s = (as_matrix(q.vec) @ as_matrix(c.vec).T) * scale
-        best = np.argmax(s, axis=1)  # first maximum = smallest id among ties
-        m = s[np.arange(s.shape[0]), best]
-        tot = np.exp(s - m[:, None]).sum(axis=1)
-        return pd.DataFrame({"q_id": q.id.values.astype("int64"),
-                             "best_id": c.id.values[best].astype("int64"),
-                             "best_score": m, "m": m, "s": tot})
+def _summary(s: np.ndarray, ids: np.ndarray, others: np.ndarray, side: int) -> pd.DataFrame:
+    best = np.argmax(s, axis=1)  # first maximum = smallest id among ties
+    m = s[np.arange(len(s)), best]
+    return pd.DataFrame({"side": side, "q_id": ids, "best_id": others[best], "m": m, "s": np.exp(s - m[:, None]).sum(axis=1)})
+
+
+def summary_kernel(scale: float = 1.0, both: bool = False):
+    """Per query: best candidate (score desc, id asc), max and sum of exp(s - max); ``both``: per candidate as well (side 1)."""
+    def kern(q: Side, c: Side) -> pd.DataFrame:
+        s = (q.vecs @ c.vecs.T) * scale
+        out = _summary(s, q.ids, c.ids, 0)
+        return pd.concat([out, _summary(np.ascontiguousarray(s.T), c.ids, q.ids, 1)], ignore_index=True) if both else out
     return kern
 
 
-SUMMARY_SCHEMA = "q_id long, best_id long, best_score double, m double, s double"
+SUMMARY_SCHEMA = "side int, q_id long, best_id long, m double, s double"
 
 
-def better_count_kernel(scale: float = 1.0):
-    """Per query: candidates ranked above its truth (aux_id, aux_vec).
+def _better(s: np.ndarray, ids: np.ndarray, truth: np.ndarray, true_ids: np.ndarray, others: np.ndarray, side: int) -> pd.DataFrame:
+    # the truth score and the matrix product sum in different orders, so equal vectors may differ
+    # in the last bits: a gap below TIE_EPS ties
+    t = truth[:, None]
+    tie = np.abs(s - t) <= TIE_EPS * np.maximum(1.0, np.abs(t))
+    better = (((s > t) & ~tie) | (tie & (others[None, :] < true_ids[:, None]))) & (others[None, :] != true_ids[:, None])
+    return pd.DataFrame({"side": side, "q_id": ids, "n_better": better.sum(axis=1).astype("int64")})
 
-    Above = higher score, or equal score and smaller id. The truth itself is
-    never counted.
-    """
-    def kern(q, c, empty):
-        if empty:
-            return pd.DataFrame({"q_id": pd.Series([], dtype="int64"),
-                                 "n_better": pd.Series([], dtype="int64")})
-        qm = as_matrix(q.vec)
-        s = (qm @ as_matrix(c.vec).T) * scale
-        t = ((qm * as_matrix(q.aux_vec)).sum(axis=1) * scale)[:, None]
-        # the truth score and the matrix product sum in different orders, so
-        # equal vectors may differ in the last bits: a gap below TIE_EPS ties
-        tie = np.abs(s - t) <= TIE_EPS * np.maximum(1.0, np.abs(t))
-        tid = q.aux_id.values.astype("int64")[:, None]
-        cid = c.id.values.astype("int64")[None, :]
-        better = (((s > t) & ~tie) | (tie & (cid < tid))) & (cid != tid)
-        return pd.DataFrame({"q_id": q.id.values.astype("int64"),
-                             "n_better": better.sum(axis=1).astype("int64")})
+
+def better_count_kernel(scale: float = 1.0, both: bool = False):
+    """Per query: candidates ranked above its truth (higher score, or equal score and smaller id); ``both``: per candidate as well."""
+    def kern(q: Side, c: Side) -> pd.DataFrame:
+        s = (q.vecs @ c.vecs.T) * scale
+        out = _better(s, q.ids, (q.vecs * q.aux_vecs).sum(axis=1) * scale, q.aux_ids, c.ids, 0)
+        if not both:
+            return out
+        other = _better(np.ascontiguousarray(s.T), c.ids, (c.vecs * c.aux_vecs).sum(axis=1) * scale, c.aux_ids, q.ids, 1)
+        return pd.concat([out, other], ignore_index=True)
     return kern
 
 
-BETTER_SCHEMA = "q_id long, n_better long"
+BETTER_SCHEMA = "side int, q_id long, n_better long"

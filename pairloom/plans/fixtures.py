@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators.pooling import pool_mean
 from ..session import load
 from .indexing import row_index
 from .joins import broadcast_if_small
@@ -67,12 +68,9 @@ f_captions AS (
 
 
 def mean_vectors(df: DataFrame, key: str, vec: str) -> DataFrame:
-    """Per key: element-wise mean of the vectors (partial aggregation, skew-safe)."""
-    ex = df.select(key, F.posexplode(V.as_double(vec)).alias("pos", "x"))
-    per = ex.groupBy(key, "pos").agg(F.avg("x").alias("x"))
-    return (per.groupBy(key)
-               .agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("px"))
-               .select(key, F.transform("px", lambda s: s["x"]).alias("mean")))
+    """Per key: element-wise mean of the vectors (per-task sums, then their sum)."""
+    rows = df.select(key, vec, F.lit(1.0).alias("_one"))
+    return pool_mean(rows, key, vec, "_one").withColumnRenamed("pooled", "mean")
 
 
 def f_classes(spark: SparkSession, d: str) -> DataFrame:
@@ -93,7 +91,9 @@ SQL_CLASSES = """f_classes AS (
 
 def f_teacher(spark: SparkSession, d: str) -> DataFrame:
     emb = load(spark, d, "embeddings")
-    classes, _ = broadcast_if_small(f_classes(spark, d), max_rows=100_000)
+    classes = f_classes(spark, d)
+    width = emb.select(F.size("embedding")).first()  # bytes of a class vector, for the size check
+    classes, _ = broadcast_if_small(classes, row_bytes=8 * (width[0] if width else 1) + 16, max_bytes=64 * 1024 * 1024)
     return (emb.join(classes, "label")
                .select("vec_id", F.col("embedding").alias("student"), F.col("vector").alias("teacher"), "label"))
 

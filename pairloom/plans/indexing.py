@@ -23,27 +23,39 @@ ascending; for a descending numeric key pass its negation.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE_PER_BUCKET = 64
+#: Rows of one bucket, about, and the most buckets: the cut points are literals of the plan.
+ROWS_PER_BUCKET, MAX_BUCKETS = 10_000, 4_096
 
 # Plan nodes that make an input expensive to recompute (shuffles, joins,
 # generators, Python). Such an input is written once as a table so the count,
 # the sample and the numbering all read the same stored rows.
-_EXPENSIVE = ("Exchange", "Generate", "EvalPython", "MapInPandas", "FlatMapGroupsInPandas", "Window",
-              "HashAggregate", "SortAggregate", "Join")
+_EXPENSIVE = ("Generate", "EvalPython", "MapInPandas", "MapInArrow", "FlatMapGroupsIn", "Window", "Aggregate", "Join")
 
 
 def is_expensive(df: DataFrame) -> bool:
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    return any(tok in plan for tok in _EXPENSIVE)
+    """Whether a node of the physical plan (its operators, not words in its text) is costly to recompute."""
+    def nodes(plan):
+        yield plan.nodeName()
+        children = plan.children()
+        for i in range(children.size()):
+            yield from nodes(children.apply(i))
+
+    plan = df._jdf.queryExecution().sparkPlan()  # before adaptive execution wraps it
+    return any(mark in name for name in nodes(plan) for mark in _EXPENSIVE)
 
 
 def _col(x) -> Column:
-    return F.col(x) if isinstance(x, str) else x
+    c = F.col(x) if isinstance(x, str) else x
+    if re.search(r" (ASC|DESC) NULLS (FIRST|LAST)'>$", repr(c)):
+        raise ValueError("order keys sort ascending and take no direction; negate a number to sort it descending")
+    return c
 
 
 def bucket_of(key: Column, bounds: list, key_type) -> Column:
@@ -68,11 +80,11 @@ def bucket_of(key: Column, bounds: list, key_type) -> Column:
 
 
 def assign_buckets(df: DataFrame, order_by: Sequence, partition_by: Sequence[str], nb: int,
-                   name: str = "_pl_b") -> DataFrame:
+                   name: str = "_pl_b", rows: int | None = None) -> DataFrame:
     """Add ``name``: the range bucket of the (group, order) key, cut points from a sample.
 
     About ``rows / nb`` rows fall in each bucket whatever the group sizes,
-    because the order keys are part of the bucketed key.
+    because the order keys are part of the bucketed key. ``rows`` spares the count.
     """
     groups = list(partition_by)
     keys = [_col(g) for g in groups] + [_col(o) for o in order_by]
@@ -81,7 +93,7 @@ def assign_buckets(df: DataFrame, order_by: Sequence, partition_by: Sequence[str
     key_type = keyed.schema["_pl_key"].dataType
     bounds: list = []
     if nb > 1:
-        n = keyed.count()
+        n = keyed.count() if rows is None else rows
         every = max(1, n // (SAMPLE_PER_BUCKET * nb))
         sample = (keyed.select("_pl_key")
                        .where(F.pmod(F.xxhash64("_pl_key"), F.lit(every)) == 0)
@@ -111,9 +123,13 @@ def row_index(df: DataFrame, order_by: Sequence, partition_by: Sequence[str] = (
     if cut_lineage:
         from ..session import cut_lineage as _cut
         df = _cut(df, "row-index")
-    nb = num_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = list(partition_by)
-    b = assign_buckets(df, order_by, groups, nb)
+    n = df.count()
+    nb = num_buckets or max(1, min(math.ceil(n / ROWS_PER_BUCKET), MAX_BUCKETS))
+    if nb == 1:
+        w = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(*[_col(o) for o in order_by])
+        return df.withColumn(name, (F.row_number().over(w) + F.lit(start - 1)).cast("long"))
+    b = assign_buckets(df, order_by, groups, nb, rows=n)
     local = b.withColumn("_pl_r", F.row_number().over(
         Window.partitionBy(*groups, "_pl_b").orderBy(*[_col(o) for o in order_by])))
     stats = b.groupBy(*groups, "_pl_b").agg(F.count(F.lit(1)).alias("_pl_n"))

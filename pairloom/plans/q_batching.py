@@ -46,8 +46,8 @@ def q_round_robin_shards(spark, d):
     return BT.round_robin_shards(_docs(spark, d), 16, 8, ["doc_id"]).select("doc_id", "rank")
 
 
-_NAT_SQL = ("array_to_string(list_transform(regexp_extract_all(lower(source), '(\\d+|\\D+)'), "
-            "lambda t: CASE WHEN regexp_matches(t, '^\\d') THEN lpad(t, 20, '0') ELSE t END), '')")
+_NAT_SQL = ("array_to_string(list_transform(regexp_extract_all(lower(source), '([0-9]+|[^0-9]+)'), lambda t: "
+            "CASE WHEN regexp_matches(t, '^[0-9]') THEN lpad(length(ltrim(t, '0'))::VARCHAR, 10, '0') || ltrim(t, '0') ELSE t END), '')")
 
 
 @register("natural_sort", f"""

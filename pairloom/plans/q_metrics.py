@@ -105,13 +105,15 @@ def q_sample_counts(spark, d):
 @register("density_histogram", """
 WITH r AS (SELECT min(value) AS lo, max(value) AS hi, count(value) AS n, (max(value) - min(value)) / 200 AS w FROM events),
 b AS (SELECT least(floor((e.value - r.lo) / r.w), 199)::BIGINT AS bin FROM events e, r WHERE e.value IS NOT NULL)
-SELECT bin, count(*) AS count, round(count(*) / (r.n * r.w), 4) + 0.0 AS density
-FROM b, r GROUP BY bin, r.lo, r.w, r.n
+SELECT i.bin, count(b.bin) AS count, round(count(b.bin) / (r.n * r.w), 4) + 0.0 AS density,
+       floor(r.lo + (i.bin + 0.5) * r.w) AS middle
+FROM (SELECT unnest(generate_series(0, 199))::BIGINT AS bin) i LEFT JOIN b ON b.bin = i.bin, r GROUP BY i.bin, r.lo, r.w, r.n
 """)
 def q_density_histogram(spark, d):
     h = M.density_histogram(load(spark, d, "events"), "value", 200)
-    # bin edges sit on decimal ties that the two engines round differently; bin ids identify them
-    return h.select("bin", "count", R("density").alias("density"))
+    # edges sit on decimal ties that the two engines round differently: the whole part of a bin's middle places it
+    middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("double")
+    return h.select("bin", "count", R("density").alias("density"), middle.alias("middle"))
 
 
 @register("best_step", """

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as TX
 from ..functions import vectors as V
 from ..operators import batching as BT
 from ..operators import pairs as PR
 from ..operators import udf as U
 from ..session import load
 from . import fixtures as fx
-from .q_text import SQL_FTOKENS, SQL_TOK, f_tokens
+from .q_text import SQL_FTOKENS, SQL_TOK, f_tokens, tokens_sql
 from .registry import register
 
 SQL_HASHED = SQL_TOK + """,
@@ -22,11 +23,11 @@ grid AS (SELECT d.doc_id, r.i FROM (SELECT DISTINCT doc_id FROM sp) d
          CROSS JOIN (SELECT unnest(generate_series(0, 63)) AS i) r),
 dn AS (SELECT grid.doc_id, list(coalesce(sp.v, 0.0) ORDER BY grid.i) AS vec
        FROM grid LEFT JOIN sp ON sp.doc_id = grid.doc_id AND sp.b = grid.i GROUP BY grid.doc_id),
-hashed AS (SELECT doc_id,
+hashed AS (SELECT documents.doc_id,
                   CASE WHEN list_sum(list_transform(vec, lambda y: y * y)) > 0 THEN
                        list_transform(vec, lambda x: round(x / sqrt(list_sum(list_transform(vec, lambda y: y * y))), 4) + 0.0)
                   END AS embedding
-           FROM dn)"""
+           FROM documents LEFT JOIN dn USING (doc_id))"""
 
 
 @register("select_pair", f"WITH {fx.SQL_PAIRS} SELECT id, target_text AS student_text, source_text AS teacher_text FROM f_pairs")
@@ -61,7 +62,7 @@ def q_exact_split(spark, d):
 
 
 _UNPIVOT_SQL = " UNION ALL ".join(
-    f"SELECT id, '{l}' AS lang, {l} AS source_text, en AS target_text FROM f_captions WHERE {l} IS NOT NULL AND en IS NOT NULL"
+    f"SELECT id, '{l}' AS lang, {l} AS source_text, en AS target_text FROM f_captions WHERE {l} IS NOT NULL"
     for l in fx.CAPTION_LANGS)
 
 
@@ -70,6 +71,18 @@ def q_unpivot_captions(spark, d):
     return PR.unpivot_captions(fx.f_captions(spark, d), "id", fx.CAPTION_LANGS)
 
 
+@register("unpivot_caption_maps", f"""WITH {fx.SQL_CAPTIONS}, u AS ({_UNPIVOT_SQL})
+SELECT id, CASE WHEN lang IN ('en', 'fr') THEN 0 ELSE 1 END AS item, lang, source_text,
+       CASE WHEN lang IN ('en', 'fr') THEN target_text END AS target_text FROM u""")
+def q_unpivot_caption_maps(spark, d):
+    """Two maps an item: one with English and French, one with German and Spanish, hence without a target."""
+    def as_map(langs):
+        pairs = F.filter(F.array(*[F.struct(F.lit(l).alias("k"), F.col(l).alias("v")) for l in langs]), lambda e: e["v"].isNotNull())
+        return F.map_from_entries(pairs)
+    maps = fx.f_captions(spark, d).select("id", F.array(as_map(["en", "fr"]), as_map(["de", "es"])).alias("maps"))
+    return PR.unpivot_caption_maps(maps, "id", "maps")
+
+
 _STACK_SQL = " UNION ALL ".join(
     f"SELECT id, {i} AS li, '{l}' AS lang, {l} AS caption FROM f_captions WHERE {l} IS NOT NULL"
     for i, l in enumerate(fx.CAPTION_LANGS))
@@ -98,12 +111,21 @@ def q_bilingual_double(spark, d):
     return PR.bilingual_double(fx.f_pairs(spark, d))
 
 
-@register("ordered_union_distinct", f"""WITH {SQL_FTOKENS},
-c AS (SELECT doc_id, list_concat(ids[1:20], ids[10:29]) AS l FROM f_tokens)
-SELECT doc_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS merged FROM c""")
+@register("ordered_union_distinct", f"""WITH {fx.SQL_PAIRS},
+c AS (SELECT id, list_concat({tokens_sql("source_text")}, {tokens_sql("target_text")}) AS l FROM f_pairs),
+x AS (SELECT id, unnest(generate_series(1, len(l))) AS i, unnest(l) AS t FROM c),
+f AS (SELECT id, t, min(i) AS i FROM x GROUP BY id, t)
+SELECT id, list(t ORDER BY i) AS merged FROM f GROUP BY id""")
 def q_ordered_union_distinct(spark, d):
-    t = f_tokens(spark, d)
-    return t.select("doc_id", PR.ordered_union_distinct(F.slice("ids", 1, 20), F.slice("ids", 10, 20)).alias("merged"))
+    p = fx.f_pairs(spark, d).select("id", TX.tokens("source_text").alias("a"), TX.tokens("target_text").alias("b"))
+    return p.select("id", PR.ordered_union_distinct("a", "b").alias("merged"))
+
+
+@register("concat_parts_padded", f"""WITH {SQL_FTOKENS}, t AS (SELECT doc_id, ids[1:90] AS ids FROM f_tokens)
+SELECT doc_id, list_concat(ids, list_resize([]::BIGINT[], greatest(80, (SELECT max(len(ids)) FROM t)) - len(ids), -100)) AS ids FROM t""")
+def q_concat_parts_padded(spark, d):
+    t = f_tokens(spark, d).select("doc_id", F.slice("ids", 1, 90).alias("ids"))
+    return PR.concat_parts([t, t.filter(F.col("doc_id") < 8)], "doc_id", pad={"ids": 80})
 
 
 @register("concat_parts", "SELECT vec_id, label FROM embeddings")
@@ -115,10 +137,10 @@ def q_concat_parts(spark, d):
     return PR.concat_parts([emb, padding], "vec_id").select("vec_id", "label")
 
 
-@register("attach_vectors", f"""WITH {SQL_HASHED.replace("FROM documents))", "FROM documents WHERE lang = 'en'))")}
+@register("attach_vectors", f"""WITH {SQL_HASHED}
 SELECT d.doc_id, d.lang, h.embedding FROM documents d LEFT JOIN hashed h USING (doc_id)""")
 def q_attach_vectors(spark, d):
     docs = load(spark, d, "documents")
-    vecs = U.embed_corpus(docs.filter(F.col("lang") == "en"), "doc_id", "text")
+    vecs = U.embed_corpus(docs, "doc_id", "text")
     vecs = vecs.select("doc_id", V.vec_round("embedding").alias("embedding"))
     return PR.attach_vectors(docs.select("doc_id", "lang"), vecs, "doc_id")

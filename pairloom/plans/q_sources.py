@@ -36,7 +36,7 @@ def q_read_splits(spark, d):
     sp.filter(F.col("split") == "train").drop("split").write.mode("overwrite").json(f"{base}/train.json")
     (sp.filter(F.col("split") == "validation").drop("split").write.mode("overwrite")
        .option("header", "true").option("escape", '"').csv(f"{base}/validation.csv"))
-    df = RD.read_splits(spark, {"train": f"{base}/train.json", "validation": f"{base}/validation.csv"})
+    df = RD.read_splits(spark, {"train": f"{base}/train.json", "validation": f"{base}/validation.csv"}, multi_line=True)
     return df.groupBy("split").agg(F.count(F.lit(1)).alias("n"),
                                    F.sum(F.length("source_text") + F.length("target_text")).alias("chars"))
 

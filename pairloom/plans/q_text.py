@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import batching as BT
+from ..operators import pooling as PL
 from ..operators import tokens as TK
-from ..session import load
+from ..session import cut_lineage, load, scratch_path
+from ..sources import readers as RD
 from . import fixtures as fx
 from .registry import register
 
 N_MERGES = 200
 MAX_LEN = 75  # fixed value: max tokens in the reference scripts
-VOCAB_SIZE = 30000  # random-replacement range of the MLM mask
-MASK_ID = VOCAB_SIZE + fx.N_SPECIAL  # first id after the vocabulary
 SEED = 42
 
 _WS_SQL = r"[\t\n\x0B\f\r \x1C-\x1F\x85\p{Z}]+"
@@ -26,6 +26,10 @@ def _clean_sql(col: str) -> str:
     return f"lower(trim(regexp_replace({col}, '{_WS_SQL}', ' ', 'g')))"
 
 
+def tokens_sql(col: str) -> str:
+    return f"regexp_extract_all({_clean_sql(col)}, '{_PAT_SQL}')"
+
+
 SQL_TOK = f"""tok AS (
   SELECT doc_id, unnest(generate_series(0, len(t) - 1)) AS pos, unnest(t) AS token
   FROM (SELECT doc_id, regexp_extract_all({_clean_sql('text')}, '{_PAT_SQL}') AS t FROM documents))"""
@@ -34,8 +38,10 @@ SQL_VOCAB = SQL_TOK + """,
 vocab AS (SELECT token, count(*) AS count, (row_number() OVER (ORDER BY count(*) DESC, token) + 2)::BIGINT AS id
           FROM tok GROUP BY token)"""
 
+# Every document has a row, one without tokens an empty list.
 SQL_FTOKENS = SQL_VOCAB + """,
-f_tokens AS (SELECT doc_id, list(id ORDER BY pos) AS ids FROM tok JOIN vocab USING (token) GROUP BY doc_id)"""
+f_tokens AS (SELECT doc_id, coalesce(i.ids, []::BIGINT[]) AS ids FROM documents LEFT JOIN
+             (SELECT doc_id, list(id ORDER BY pos) AS ids FROM tok JOIN vocab USING (token) GROUP BY doc_id) i USING (doc_id))"""
 
 _B = "('0x' || substr(hex(encode(token)), 2 * i - 1, 2))::INTEGER"
 _CP = (f"CASE WHEN ({_B} BETWEEN 33 AND 126) OR ({_B} BETWEEN 161 AND 172) OR ({_B} BETWEEN 174 AND 255) "
@@ -54,9 +60,13 @@ def _occ(spark, d):
     return TK.token_occurrences(load(spark, d, "documents"), "doc_id", "text")
 
 
-def f_tokens(spark, d):
-    occ = _occ(spark, d)
-    return TK.lookup_ids(occ, TK.vocabulary(occ, fx.N_SPECIAL), "doc_id")
+def f_vocabulary(spark, d):
+    return cut_lineage(TK.vocabulary(_occ(spark, d), fx.N_SPECIAL), "vocabulary")
+
+
+def f_tokens(spark, d, vocab=None):
+    rows = TK.tokenize(load(spark, d, "documents"), "doc_id", "text")
+    return TK.lookup_ids(rows, vocab or f_vocabulary(spark, d), "doc_id")
 
 
 def f_merges(spark, d):
@@ -73,7 +83,16 @@ def q_pretokenize(spark, d):
     return load(spark, d, "documents").select("doc_id", T.pretokenize(T.clean_for_tokens("text")).alias("tokens"))
 
 
-@register("basic_clean")
+def _unescape_sql(x: str) -> str:
+    """The entities that the given pages hold; ``&amp;`` last, so that one pass does not undo two levels."""
+    for entity, char in (("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
+        x = f"replace({x}, '{entity}', '{char}')"
+    return x
+
+
+@register("basic_clean", rf"""
+SELECT page_id, regexp_replace({_unescape_sql(_unescape_sql("html"))}, '^[\t\n\x0B\f\r \x1C-\x1F\x85\p{{Z}}]+|[\t\n\x0B\f\r \x1C-\x1F\x85\p{{Z}}]+$', '', 'g') AS cleaned
+FROM pages""")
 def q_basic_clean(spark, d):
     return load(spark, d, "pages").select("page_id", T.basic_clean(F.col("html")).alias("cleaned"))
 
@@ -138,23 +157,60 @@ def q_bpe_encode(spark, d):
     return TK.bpe_encode(_occ(spark, d), f_merges(spark, d)).select("token", "pieces", "piece_ids")
 
 
-# X1 (HTML unescape, mojibake repair) has no SQL form; on the given documents it
-# changes no text (checked at every scale), so the oracles below start from the
-# pre-tokens directly.
-@register("encode", SQL_BPE + """
-SELECT doc_id, flatten(list(piece_ids ORDER BY pos)) AS ids FROM tok JOIN bpe_tok USING (token) GROUP BY doc_id""")
+# The given documents hold no entity and no double-encoded sequence (tests/test_oracle.py checks
+# it), so X1 only strips and the oracles start from the pre-tokens.
+SQL_ENCODED = SQL_BPE + """,
+encoded AS (SELECT doc_id, coalesce(e.ids, []::BIGINT[]) AS ids FROM documents LEFT JOIN
+            (SELECT doc_id, flatten(list(piece_ids ORDER BY pos)) AS ids FROM tok JOIN bpe_tok USING (token) GROUP BY doc_id) e
+            USING (doc_id))"""
+
+
+@register("encode", SQL_ENCODED + " SELECT doc_id, ids FROM encoded")
 def q_encode(spark, d):
     return TK.encode(load(spark, d, "documents"), "doc_id", "text", f_merges(spark, d))
 
 
 @register("decode", f"""WITH {SQL_TOK}
-SELECT doc_id, string_agg(token || ' ', '' ORDER BY pos) AS text FROM tok GROUP BY doc_id""")
+SELECT doc_id, coalesce(t.text, '') AS text FROM documents LEFT JOIN
+  (SELECT doc_id, string_agg(token || ' ', '' ORDER BY pos) AS text FROM tok GROUP BY doc_id) t USING (doc_id)""".replace(
+    "SELECT doc_id, coalesce", "SELECT documents.doc_id, coalesce"))
 def q_decode(spark, d):
     merges = TK.merge_list(f_merges(spark, d))
     enc = TK.encode(load(spark, d, "documents"), "doc_id", "text", merges)
     return enc.select("doc_id", TK.decode_column(merges)(F.col("ids")).alias("text"))
 
 
+@register("read_merges", f"""WITH {SQL_PAIRS}
+SELECT (row_number() OVER (ORDER BY count DESC, l, r) - 1)::BIGINT AS rank, l AS "left", r AS "right"
+FROM pairs ORDER BY count DESC, l, r LIMIT {N_MERGES}""")
+def q_read_merges(spark, d):
+    """The learned merges written as a published file would be (header, one pair a line, gzip) and read back."""
+    path = scratch_path(spark, "merges")
+    merges = f_merges(spark, d)
+    lines = merges.select("rank", F.concat_ws(" ", "left", "right").alias("value"))
+    header = spark.range(1).select(F.lit(-1).cast("long").alias("rank"), F.lit("version and vocabulary name").alias("value"))
+    header.unionByName(lines).coalesce(1).sortWithinPartitions("rank").select("value").write.option("compression", "gzip").text(path)
+    return RD.read_merges(spark, f"{path}/part-*.txt.gz")
+
+
+SOT, EOT = TK.special_ids(512 + N_MERGES)
+
+
+def _fixed_sql(source: str, sot, eot) -> str:
+    n = T.CONTEXT_LENGTH
+    return f"""f AS (SELECT doc_id, list_concat([{sot}::BIGINT], ids, [{eot}::BIGINT]) AS f FROM {source})
+SELECT doc_id, CASE WHEN len(f) > {n} THEN list_concat(f[1:{n - 1}], [{eot}::BIGINT])
+                    ELSE list_concat(f, list_resize([]::BIGINT[], {n} - len(f), 0)) END AS ids
+FROM f"""
+
+
+@register("tokenize_text", SQL_ENCODED + ", " + _fixed_sql("encoded", SOT, EOT))
+def q_tokenize_text(spark, d):
+    """X9 on its own tokenizer: text, X1, BPE ids, the vocabulary's start and end, padding."""
+    enc = TK.encode(load(spark, d, "documents"), "doc_id", "text", f_merges(spark, d))
+    return enc.select("doc_id", T.tokenize_fixed("ids", truncate=True, sot=SOT, eot=EOT).alias("ids"))
+
+
 @register("vocabulary", f"WITH {SQL_VOCAB} SELECT token, count, id FROM vocab")
 def q_vocabulary(spark, d):
     return TK.vocabulary(_occ(spark, d), fx.N_SPECIAL)
@@ -166,20 +222,19 @@ def q_lookup_ids(spark, d):
 
 
 @register("lookup_pieces", f"""WITH {SQL_TOK}
-SELECT doc_id, list(token ORDER BY pos) AS pieces FROM tok GROUP BY doc_id""")
+SELECT documents.doc_id, coalesce(t.pieces, []::VARCHAR[]) AS pieces FROM documents LEFT JOIN
+  (SELECT doc_id, list(token ORDER BY pos) AS pieces FROM tok GROUP BY doc_id) t USING (doc_id)""")
 def q_lookup_pieces(spark, d):
-    occ = _occ(spark, d)
-    vocab = TK.vocabulary(occ, fx.N_SPECIAL)
-    return TK.lookup_pieces(TK.lookup_ids(occ, vocab, "doc_id"), vocab, "doc_id")
+    vocab = f_vocabulary(spark, d)
+    return TK.lookup_pieces(f_tokens(spark, d, vocab), vocab, "doc_id")
 
 
-@register("tokenize_fixed", f"""WITH {SQL_FTOKENS},
-f AS (SELECT doc_id, list_concat([{T.SOT_ID}::BIGINT], ids, [{T.EOT_ID}::BIGINT]) AS f FROM f_tokens)
-SELECT doc_id, CASE WHEN len(f) > {T.CONTEXT_LENGTH} THEN list_concat(f[1:{T.CONTEXT_LENGTH - 1}], [{T.EOT_ID}::BIGINT])
-                    ELSE list_concat(f, list_resize([]::BIGINT[], {T.CONTEXT_LENGTH} - len(f), 0)) END AS ids
-FROM f""")
+@register("tokenize_fixed", f"""WITH {SQL_FTOKENS}, n AS (SELECT count(*) + {fx.N_SPECIAL} AS n FROM vocab),
+{_fixed_sql("f_tokens, n", "n", "n + 1").replace("SELECT doc_id, list_concat([n", "SELECT doc_id, n, list_concat([n").replace("[n + 1::BIGINT]", "[(n + 1)::BIGINT]")}""")
 def q_tokenize_fixed(spark, d):
-    return f_tokens(spark, d).select("doc_id", T.tokenize_fixed("ids", truncate=True).alias("ids"))
+    vocab = f_vocabulary(spark, d)
+    sot, eot = TK.special_ids(vocab.count(), fx.N_SPECIAL)
+    return f_tokens(spark, d, vocab).select("doc_id", T.tokenize_fixed("ids", truncate=True, sot=sot, eot=eot).alias("ids"))
 
 
 _SQL_BATCH8 = f"""b AS (SELECT doc_id, ids[1:{MAX_LEN}] AS ids, ((row_number() OVER (ORDER BY doc_id) - 1) // 8)::BIGINT AS batch_id
@@ -221,18 +276,20 @@ _CHOSEN = f"(x >= {fx.N_SPECIAL} AND {_draw_sql('c')} / 4294967296.0 < 0.15)"
 
 
 @register("mlm_mask", f"""WITH {SQL_FTOKENS},
-t AS (SELECT doc_id, ids[1:{MAX_LEN}] AS ids FROM f_tokens)
+t AS (SELECT doc_id, ids[1:{MAX_LEN}] AS ids, (SELECT count(*) FROM vocab) AS n FROM f_tokens)
 SELECT doc_id,
   list_transform(ids, lambda x, i: CASE WHEN {_CHOSEN} THEN
-      CASE WHEN {_draw_sql('m')} / 4294967296.0 < 0.8 THEN {MASK_ID}
-           WHEN {_draw_sql('m')} / 4294967296.0 < 0.9 THEN {_draw_sql('r')} % {VOCAB_SIZE} + {fx.N_SPECIAL}
+      CASE WHEN {_draw_sql('m')} / 4294967296.0 < 0.8 THEN n + {fx.N_SPECIAL}
+           WHEN {_draw_sql('m')} / 4294967296.0 < 0.9 THEN {_draw_sql('r')} % n + {fx.N_SPECIAL}
            ELSE x END
     ELSE x END) AS mlm_input_ids,
   list_transform(ids, lambda x, i: CASE WHEN {_CHOSEN} THEN x ELSE -100 END) AS mlm_labels
 FROM t""")
 def q_mlm_mask(spark, d):
-    t = f_tokens(spark, d).select("doc_id", T.truncate_ids("ids", MAX_LEN).alias("ids"))
-    new_ids, labels = T.mlm_mask("ids", "doc_id", SEED, MASK_ID, VOCAB_SIZE, fx.N_SPECIAL)
+    vocab = f_vocabulary(spark, d)
+    size = vocab.count()  # the mask is the first id after the vocabulary, replacements are any of its ids
+    t = f_tokens(spark, d, vocab).select("doc_id", T.truncate_ids("ids", MAX_LEN).alias("ids"))
+    new_ids, labels = T.mlm_mask("ids", "doc_id", SEED, size + fx.N_SPECIAL, size, fx.N_SPECIAL)
     return t.select("doc_id", new_ids.alias("mlm_input_ids"), labels.alias("mlm_labels"))
 
 
@@ -250,6 +307,15 @@ def q_collate(spark, d):
                       F.transform("ids", lambda a: T.attention_mask(a, fx.PAD_ID)).alias("mask"))
 
 
+@register("position_ids_array", f"""WITH {SQL_FTOKENS}, {_SQL_BATCH8},
+p AS (SELECT doc_id, list_concat(ids, list_resize([]::BIGINT[], max(len(ids)) OVER (PARTITION BY batch_id) - len(ids), 1)) AS ids
+      FROM b)
+SELECT doc_id, list_transform(ids, lambda x, i: (CASE WHEN x <> 1 THEN 1 + len(list_filter(ids[1:i], lambda y: y <> 1)) ELSE 1 END)::BIGINT) AS position_ids
+FROM p""")
+def q_position_ids_array(spark, d):
+    return _x10(spark, d, "longest").select("doc_id", PL.position_ids_array("ids", fx.PAD_ID).alias("position_ids"))
+
+
 @register("camel_to_snake", r"""
 SELECT name, lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\1_\2', 'g')) AS snake
 FROM (SELECT DISTINCT upper(substr(event_type, 1, 1)) || substr(event_type, 2) || 'Pooler' AS name FROM events)

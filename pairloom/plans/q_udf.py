@@ -55,7 +55,7 @@ def q_lazy_transform(spark, d):
 
 @register("register_pooler", _pool_sql("SELECT seq_id, dim, sum(x * mask) / sum(mask) AS v FROM e GROUP BY seq_id, dim"))
 def q_register_pooler(spark, d):
-    pooler = PL.get_pooler("MeanPooler")
+    pooler = PL.POOLERS["mean"]
     p = pooler(fx.f_seq(spark, d), "seq_id", "vec", "mask")
     return p.select("seq_id", V.vec_round("pooled").alias("pooled"))
 
@@ -73,7 +73,8 @@ def _numpy_encoder_factory():
 
 @register("embed_corpus_udf", f"WITH {SQL_HASHED} SELECT doc_id, embedding FROM hashed")
 def q_embed_corpus_udf(spark, d):
-    e = U.embed_corpus(load(spark, d, "documents"), "doc_id", "text", encoder_factory=_numpy_encoder_factory)
+    e = U.embed_corpus(load(spark, d, "documents"), "doc_id", "text", encoder_factory=_numpy_encoder_factory,
+                       encoder_name="numpy-hashed")
     return e.select("doc_id", V.vec_round("embedding").alias("embedding"))
 
 
@@ -81,9 +82,20 @@ def q_embed_corpus_udf(spark, d):
 def q_materialize(spark, d):
     root = scratch_path(spark, "cache")
     key = "teacher_75_documents_all"
-    first = U.materialize(f_tokens(spark, d), root, key)
-    first.count()
-    return U.materialize(f_tokens(spark, d), root, key)  # second call reads the stored table
+    U.materialize(lambda: f_tokens(spark, d), spark, root, key)
+    return U.materialize(lambda: f_tokens(spark, d), spark, root, key)  # a hit: only reads the stored table
+
+
+def _n_lines(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"n_lines": pdf["text"].map(lambda t: len(t.split("\n"))).astype("int64")})
+
+
+@register("map_remove_columns", """
+SELECT doc_id, lang, len(string_split(text, chr(10)))::BIGINT AS n_lines FROM documents
+""")
+def q_map_remove_columns(spark, d):
+    docs = load(spark, d, "documents").select("doc_id", "text", "lang", "n_chars")
+    return U.map_batches(docs, _n_lines, "n_lines long", batch_size=100, remove_columns=["text", "n_chars"])
 
 
 _DOC_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),

@@ -10,6 +10,7 @@ from ..operators import batching as BT
 from ..operators import similarity as S
 from ..session import load
 from . import fixtures as fx
+from .indexing import row_index
 from .registry import register
 
 R = V.num_round
@@ -31,14 +32,6 @@ def _sim_sql(direction_pairs: list[tuple[str, str, str]], scale: float) -> str:
     return "s AS (" + " UNION ALL ".join(parts) + ")"
 
 
-def _imgtext_both(spark, d, fn, **kw):
-    p = fx.f_imgtext(spark, d)
-    a = fn(p, p, q_id="pair_id", q_vec="image_vec", c_id="pair_id", c_vec="text_vec", **kw)
-    b = fn(p, p, q_id="pair_id", q_vec="text_vec", c_id="pair_id", c_vec="image_vec", **kw)
-    return (a.withColumn("direction", F.lit("image_to_text"))
-             .unionByName(b.withColumn("direction", F.lit("text_to_image"))))
-
-
 @register("similarity", f"""
 WITH {fx.SQL_IMGTEXT},
 {_sim_sql([("image_to_text", "image_vec", "text_vec"), ("text_to_image", "text_vec", "image_vec")], SCALE)},
@@ -50,8 +43,9 @@ FROM s JOIN m USING (direction, id)
 GROUP BY s.direction, s.id, m.mx
 """)
 def q_similarity(spark, d):
-    out = _imgtext_both(spark, d, S.similarity, scale=SCALE)
-    return out.select("direction", F.col("q_id").alias("id"), "best_id",
+    out = S.similarity_both(fx.f_imgtext(spark, d), id_col="pair_id", a_vec="image_vec", b_vec="text_vec", scale=SCALE)
+    direction = F.when(F.col("side") == 0, "image_to_text").otherwise("text_to_image")
+    return out.select(direction.alias("direction"), F.col("q_id").alias("id"), "best_id",
                       R("best_score").alias("best_score"), R("lse").alias("lse"))
 
 
@@ -222,7 +216,8 @@ SELECT round(avg(l), 4) + 0.0 AS loss, count(*) AS n_tokens FROM per
 """)
 def q_masked_cross_entropy(spark, d):
     seq = fx.f_seq(spark, d)
-    toks = seq.select((F.col("seq_id") * 1_000_000 + F.col("pos")).alias("tok_id"), "vec",
+    seq = row_index(seq, ["seq_id", "pos"], name="tok_id")  # a key of its own: no limit on positions
+    toks = seq.select("tok_id", "vec",
                       F.when(F.col("mask") == 1, F.col("seq_id")).otherwise(F.lit(-100)).alias("lab"))
     out = S.masked_cross_entropy(toks, fx.f_classes(spark, d), id_col="tok_id", vec_col="vec", label_col="lab",
                                  class_col="label", class_vec="vector")
@@ -256,6 +251,33 @@ def q_fit_linear_map(spark, d):
     return g.select("kind", "i", "j", R("v").alias("v"))
 
 
+def _map_vectors(spark, d):
+    """x = embedding, y = first four values of the embedding, one rotated into the other: an exact linear map."""
+    emb = load(spark, d, "embeddings").select("vec_id", V.as_double("embedding").alias("x"))
+    return emb.withColumn("y", F.array(F.col("x")[1] * 2.0, F.col("x")[0] - F.col("x")[2], F.col("x")[3], F.lit(0.5) * F.col("x")[0]))
+
+
+@register("solve_linear_map", """
+WITH d AS (SELECT unnest(generate_series(0, len(embedding) - 1)) AS i FROM (SELECT embedding FROM embeddings LIMIT 1))
+SELECT i::BIGINT AS i, j::BIGINT AS j,
+       CASE WHEN i = 1 AND j = 0 THEN 2.0 WHEN i = 0 AND j = 1 THEN 1.0 WHEN i = 2 AND j = 1 THEN -1.0
+            WHEN i = 3 AND j = 2 THEN 1.0 WHEN i = 0 AND j = 3 THEN 0.5 ELSE 0.0 END::DOUBLE AS w
+FROM d, (SELECT unnest(generate_series(0, 3)) AS j)
+""")
+def q_solve_linear_map(spark, d):
+    return S.fit_linear_map(_map_vectors(spark, d), "x", "y").select("i", "j", R("w").alias("w"))
+
+
+@register("apply_linear_map", """
+SELECT vec_id, list_transform([e[2] * 2.0, e[1] - e[3], e[4], 0.5 * e[1]], lambda x: round(x, 4) + 0.0) AS projected
+FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
+""")
+def q_apply_linear_map(spark, d):
+    v = _map_vectors(spark, d)
+    out = S.apply_map(v, S.fit_linear_map(v, "x", "y"), id_col="vec_id", vec_col="x")
+    return out.select("vec_id", V.vec_round("projected").alias("projected"))
+
+
 # ---- row functions -------------------------------------------------------
 
 @register("l2_normalize", f"""

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,17 +26,20 @@ def read_pairs(spark: SparkSession, paths_glob: str, schema: T.StructType = PAIR
 
 
 def read_splits(spark: SparkSession, paths: Mapping[str, str], schema: T.StructType = PAIR_SCHEMA,
-                split_col: str = "split") -> DataFrame:
-    """One file (or folder) per split, format from the extension, as one table with a split column."""
+                split_col: str = "split", multi_line: bool = False) -> DataFrame:
+    """One file (or folder) per split, format from the extension, as one table with a split column.
+
+    ``multi_line`` allows line ends inside CSV values; such a file cannot be split among tasks.
+    """
     out = None
     for split, path in paths.items():
         ext = os.path.basename(path.rstrip("/")).rsplit(".", 1)[-1].lower()
         fmt = _FORMATS.get(ext)
         if fmt is None:
-            raise ValueError(f"{split} file should be a csv or a json file, got {path}")
+            raise ValueError(f"cannot tell the format of {path} (split {split!r}) from its extension {ext!r}")
         reader = spark.read.schema(schema)
         if fmt == "csv":
-            reader = reader.option("header", "true").option("multiLine", "true").option("escape", '"')
+            reader = reader.option("header", "true").option("multiLine", multi_line).option("escape", '"')
         df = reader.format(fmt).load(path).withColumn(split_col, F.lit(split))
         out = df if out is None else out.unionByName(df)
     if out is None:
@@ -56,14 +60,29 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_no, line) for text files; every line is kept, numbered from 1.
 
-    Each file is read whole (a file is one text) and split on newlines; a
-    final newline ends the last line and does not start a new one.
+    Files are split among tasks as usual. Each split numbers its own lines; the lines of the splits
+    before it are added (one row per split). A final newline ends the last line and starts no new one.
     """
-    raw = (spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-                .select(F.col("_metadata.file_path").alias("path"), F.col("value")))
-    body = F.when(F.col("value").endswith("\n"), F.expr("substring(value, 1, length(value) - 1)")).otherwise(F.col("value"))
-    return (raw.select("path", F.posexplode(F.split(body, "\n", -1)).alias("p", "line"))
-               .select("path", (F.col("p") + 1).cast("long").alias("line_no"), "line"))
+    raw = (spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
+                .select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple, int] = {}  # one entry per split of this task
+        for batch in batches:
+            keys = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
+            at = []
+            for k in keys:
+                seen[k] = seen.get(k, 0) + 1
+                at.append(seen[k])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(at, pa.int64()), batch.column(0)],
+                                             names=["path", "block", "at", "line"])
+
+    lines = raw.mapInArrow(number, "path string, block long, at long, line string")
+    w = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = (raw.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"))
+                 .select(F.col("path").alias("_p"), F.col("block").alias("_b"), F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before")))
+    return (lines.join(before, (F.col("path") == F.col("_p")) & (F.col("block") == F.col("_b")))
+                 .select("path", (F.col("before") + F.col("at")).alias("line_no"), "line"))
 
 
 def line_at(lines: DataFrame, i: int) -> DataFrame:
@@ -71,6 +90,18 @@ def line_at(lines: DataFrame, i: int) -> DataFrame:
     return lines.filter(F.col("line_no") == i)
 
 
+def read_merges(spark: SparkSession, path: str) -> DataFrame:
+    """A published merges file (plain or gzip) as (rank, left, right).
+
+    The first line is a header; each further line holds two symbols apart by a space, and its order is
+    the rank. A merges file is one model parameter of bounded size, so it is read as one text.
+    """
+    text = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", r"\n$", ""), "\n").alias("lines"))
+    lines = text.select(F.posexplode(F.slice("lines", 2, 2_147_483_647)).alias("rank", "line"))
+    sides = F.split("line", " ")
+    return lines.where(F.size(sides) == 2).select(F.col("rank").cast("long").alias("rank"), sides[0].alias("left"), sides[1].alias("right"))
+
+
 def read_media(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """Files as (path, length, content) bytes; decoding is left to the caller."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
@@ -79,28 +110,31 @@ def read_media(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     return reader.load(path).select("path", "length", "content")
 
 
-# Leading bytes of the image formats the probe accepts.
+# Leading bytes (hexadecimal) of image formats; a dot stands for any digit.
 IMAGE_MAGIC = {
     "png": "89504E470D0A1A0A",
     "jpeg": "FFD8FF",
     "gif": "474946383",
     "bmp": "424D",
+    "webp": "52494646........57454250",
+    "tiff_le": "49492A00",
+    "tiff_be": "4D4D002A",
+    "ico": "00000100",
+    "jpeg2000": "0000000C6A502020",
+    "avif": "........6674797061766966",
+    "pnm": "503[1-6](09|0A|0D|20)",
 }
 
 
-def image_header_ok(content_col: str = "content"):
-    """P6 probe: the bytes start with a known image header (what an image open checks first)."""
-    h = F.hex(F.substring(F.col(content_col), 1, 8))
-    cond = None
-    for magic in IMAGE_MAGIC.values():
-        c = h.startswith(magic)
-        cond = c if cond is None else (cond | c)
-    return cond
+def image_header_ok(content_col: str = "content", formats: Sequence[str] | None = None) -> Column:
+    """P6 probe: the bytes start like an image of one of ``formats`` (default: all in ``IMAGE_MAGIC``)."""
+    magic = "|".join(IMAGE_MAGIC[f] for f in (formats or IMAGE_MAGIC))
+    return F.hex(F.substring(F.col(content_col), 1, 12)).rlike(f"^(?:{magic})")
 
 
-def drop_unreadable(df: DataFrame, content_col: str = "content") -> DataFrame:
+def drop_unreadable(df: DataFrame, content_col: str = "content", formats: Sequence[str] | None = None) -> DataFrame:
     """Keep rows whose payload opens (header probe), native filter before any decode."""
-    return df.filter(image_header_ok(content_col))
+    return df.filter(image_header_ok(content_col, formats))
 
 
 def drop_unparsable_json(df: DataFrame, col: str) -> DataFrame:

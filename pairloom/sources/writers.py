@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,30 +37,39 @@ def write_embeddings(df: DataFrame, path: str, id_col: str, vec_col: str, file_c
 
 
 def write_rows_with_vectors(rows: DataFrame, vecs: DataFrame, path: str, id_col: str, mode: str = "overwrite") -> None:
-    """Original rows plus their vector columns as JSON lines."""
-    rows.join(vecs, id_col, "inner").write.mode(mode).json(path)
+    """Original rows plus their vector columns as JSON lines; a row without a vector keeps its place, without the vector."""
+    rows.join(vecs, id_col, "left").write.mode(mode).json(path)
 
 
 def write_metrics(metrics: DataFrame, path: str, run: str, split: str, fmt: str = "json") -> None:
-    """Append (run, split, name, value) rows; names prefixed by the split unless already."""
+    """(run, split, name, value) rows; names prefixed by the split unless already.
+
+    A run's split has a folder of its own below ``path``, so a retried run replaces its rows instead of
+    repeating them; readers of ``path`` get run and split back as columns.
+    """
     name = F.when(F.col("name").startswith(f"{split}_"), F.col("name")).otherwise(
         F.concat(F.lit(f"{split}_"), F.col("name")))
-    out = metrics.select(F.lit(run).alias("run"), F.lit(split).alias("split"), name.alias("name"), "value")
-    out.write.mode("append").format(fmt).save(path)
+    folder = "/".join(f"{k}={quote(v, safe='')}" for k, v in (("run", run), ("split", split)))
+    metrics.select(name.alias("name"), "value").write.mode("overwrite").format(fmt).save(f"{path.rstrip('/')}/{folder}")
 
 
-def write_text(df: DataFrame, col: str, path: str, mode: str = "overwrite") -> None:
-    """One stripped value per line."""
-    df.select(F.trim(F.col(col)).alias("value")).write.mode(mode).text(path)
+def write_text(df: DataFrame, col: str, path: str, mode: str = "overwrite", line_end: str | None = None) -> None:
+    """One stripped value per line.
+
+    A line end inside a value would make two lines of it: it becomes ``line_end``, or is an error without one.
+    """
+    value = TX.strip(F.col(col))
+    inner = value.rlike(r"[\r\n]")
+    fixed = F.regexp_replace(value, r"\r\n|[\r\n]", line_end) if line_end is not None else F.raise_error(F.lit("a value holds a line end")).cast("string")
+    df.select(F.when(inner, fixed).otherwise(value).alias("value")).write.mode(mode).text(path)
 
 
-def _fs_uri(path: str) -> str:
-    """A URI pyarrow accepts: Hadoop-style 'file:/x' and bare paths become 'file:///x'."""
-    if path.startswith("file:") and not path.startswith("file://"):
-        return "file://" + path[len("file:"):]
-    if "://" not in path:
-        return "file://" + path
-    return path
+def _fs_uri(df: DataFrame, path: str) -> str:
+    """``path`` as Spark's default file system resolves it, as a URI that pyarrow accepts on every executor."""
+    spark = df.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = str(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString())
+    return "file://" + uri[len("file:"):] if uri.startswith("file:") and not uri.startswith("file://") else uri
 
 
 def write_files(df: DataFrame, out_dir: str, name_col: str, content_col: str) -> DataFrame:
@@ -68,11 +78,11 @@ def write_files(df: DataFrame, out_dir: str, name_col: str, content_col: str) ->
     Returns (name, path, bytes) for the files written. Used to lay down
     file-per-item inputs such as images.
     """
-    base = out_dir.rstrip("/")
+    base = _fs_uri(df, out_dir.rstrip("/"))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs as pafs
-        filesystem, root = pafs.FileSystem.from_uri(_fs_uri(base))
+        filesystem, root = pafs.FileSystem.from_uri(base)
         filesystem.create_dir(root, recursive=True)
         for pdf in it:
             paths, sizes = [], []

@@ -11,23 +11,32 @@ scheduled run is a catch-up run.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text as TX
 from ..operators.udf import embed_corpus
 
 
 def embed_new_files(spark: SparkSession, in_glob: str, out_dir: str, checkpoint: str,
                     schema: T.StructType, id_col: str, text_col: str,
-                    max_files_per_trigger: int | None = None) -> None:
+                    max_files_per_trigger: int | None = None, encoder_factory: Callable | None = None,
+                    encoder_name: str | None = None) -> None:
+    """Embed the files below ``in_glob`` that earlier runs have not, with the default or a user's encoder.
+
+    Output: ``out_dir/batch=<trigger>/name=<input file without extension>``, one folder per input file.
+    """
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.json(in_glob)
+    stream = reader.json(in_glob).select(id_col, text_col, TX.file_stem(F.col("_metadata.file_path")).alias("name"))
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        emb = embed_corpus(batch.select(id_col, text_col), id_col, text_col)
-        emb.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch={batch_id}")
+        emb = embed_corpus(batch, id_col, text_col, encoder_factory, encoder_name=encoder_name, keep=["name"])
+        emb.write.mode("overwrite").partitionBy("name").parquet(f"{out_dir.rstrip('/')}/batch={batch_id}")
 
     q = (stream.writeStream.foreachBatch(per_batch)
                .option("checkpointLocation", checkpoint)

@@ -141,6 +141,9 @@ def test_basic_clean(spark):
     assert got == ["a < b", "plain text", "café"]
     again = [r.c for r in df.select(T.basic_clean(T.basic_clean(F.col("s"))).alias("c")).collect()]
     assert again == got
+    # one character beyond latin-1 does not stop the repair elsewhere; null stays null
+    more = spark.createDataFrame([("\u2003日本 cafÃ© &copy;\x85",), (None,), ("é ñ»",)], "s string")
+    assert [r.c for r in more.select(T.basic_clean("s").alias("c")).collect()] == ["日本 café ©", None, "é ñ»"]
 
 
 def test_tokenize_fixed_truncates_or_fails(spark):
@@ -158,14 +161,14 @@ def test_resolve_columns_errors(spark):
     df = spark.createDataFrame([(1, "a", "b")], "id long, img string, cap string")
     assert PR.resolve_columns(df) == ("id", "img")
     assert PR.resolve_columns(df, "img", "cap") == ("img", "cap")
-    with pytest.raises(ValueError, match="one of: id, img, cap"):
+    with pytest.raises(ValueError, match="the table has: id, img, cap"):
         PR.resolve_columns(df, "nope", "cap")
 
 
 def test_require_splits(spark):
     df = spark.createDataFrame([("train",), ("validation",)], "split string")
     assert PR.require_splits(df, "split", ["train"]).count() == 1
-    with pytest.raises(ValueError, match="requires a test dataset"):
+    with pytest.raises(ValueError, match="no rows for the split 'test'"):
         PR.require_splits(df, "split", ["train", "test"])
 
 
