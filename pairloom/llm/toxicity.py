@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from .common import Memo
 FEATURES = 1 << 18
 #: Bounds of the training sample: so many labelled documents of each class, the smallest by hash of their id.
 SAMPLE = {1: 2000, 0: 4000}
-EPOCHS = 80
+EPOCHS, SCREEN = 300, 60
 _BREAK = re.compile(r"(?<=[.!?])\s+|\n+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -45,7 +46,8 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
 
 
 def tokens(sentence: str) -> list[str]:
-    return _WORD.findall(sentence.lower())
+    """The distinct words of a sentence: a word repeated a hundred times offends once."""
+    return list(dict.fromkeys(_WORD.findall(sentence.lower())))
 
 
 class Model:
@@ -68,46 +70,64 @@ def noisy_or(logits: list[float]) -> float:
     return float(-np.expm1(-np.logaddexp(0.0, np.array(logits)).sum())) if logits else 0.0
 
 
-def fit(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, rate: float = 0.3, l2: float = 1e-5) -> Model:
-    """Adagrad over the whole sample; with one class only, a constant model."""
+def fit(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, rate: float = 1.0, l1: float = 0.5, min_uses: int = 3) -> Model:
+    """Proximal Adagrad over the whole sample; with one class only, a constant model.
+
+    Invented and rare words abound, so the penalty is L1 (few features keep a weight), and a feature needs ``min_uses``
+    (document, word) uses. After ``SCREEN`` rounds the features without a weight are left out.
+    """
     if len(set(labels)) < 2:
         return Model(20.0 if labels and labels[0] else -20.0, np.zeros(FEATURES))
     words: dict[str, int] = {}
-    flat, starts, doc_starts = [], [], []
-    kept = []
+    feat, ends = array("i"), array("q", [0])
+    flat, starts, doc_starts, kept = array("i"), array("q"), array("q"), array("i")
+    uses = array("i")
     for text, y in zip(texts, labels, strict=True):
         spans = sentences(text)
         if not spans:
             continue
         doc_starts.append(len(starts))
         kept.append(y)
+        seen: set[int] = set()
         for a, b in spans:
             starts.append(len(flat))
-            flat += [words.setdefault(w, len(words)) for w in tokens(text[a:b])]
+            for w in tokens(text[a:b]):
+                if w not in words:
+                    words[w] = len(words)
+                    feat.extend(features(w))
+                    ends.append(len(feat))
+                    uses.append(0)
+                flat.append(words[w])
+                seen.add(words[w])
+        for i in seen:
+            uses[i] += 1
     if len(set(kept)) < 2:
         return Model(-20.0, np.zeros(FEATURES))
-    rows = [features(w) for w in words]
-    feat = np.fromiter((f for r in rows for f in r), np.int64)
-    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    first = np.r_[0, np.cumsum([len(r) for r in rows])[:-1]]
-    flat, starts, doc_starts, y = np.array(flat), np.array(starts), np.array(doc_starts), np.array(kept)
-    sent_of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(flat)]))
-    doc_of = np.repeat(np.arange(len(y)), np.diff(np.r_[doc_starts, len(starts)]))
-    w, bias = np.zeros(FEATURES), -4.0
-    sum_w, sum_b = np.full(FEATURES, 1e-8), 1e-8
-    for _ in range(epochs):
-        word = np.add.reduceat(w[feat], first)
+    flat, feat, uses = (np.frombuffer(x, np.int32) for x in (flat, feat, uses))
+    starts, doc_starts, ends, y = *(np.frombuffer(x, np.int64) for x in (starts, doc_starts, ends)), np.frombuffer(kept, np.int32)
+    of = np.repeat(np.arange(len(words), dtype=np.int32), np.diff(ends))
+    used = np.bincount(feat, uses[of], FEATURES)[feat] >= min_uses
+    feat, of = feat[used], of[used]
+    sent_of = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.r_[starts, len(flat)]))
+    doc_of = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(np.r_[doc_starts, len(starts)]))
+    w, bias, sum_w, sum_b = np.zeros(FEATURES), -4.0, np.ones(FEATURES), 1.0
+    for epoch in range(epochs):
+        if epoch == SCREEN:
+            live = w[feat] != 0
+            feat, of = feat[live], of[live]
+        word = np.bincount(of, w[feat], len(words))
         z = bias + np.add.reduceat(word[flat], starts)
         total = np.add.reduceat(np.logaddexp(0, z), doc_starts)
         p = -np.expm1(-total)
         # d loss / d z: sigmoid(z) for clean documents, -(1 - P) / P * sigmoid(z) for offending ones
         pull = np.where(y == 1, -np.minimum((1 - p) / np.maximum(p, 1e-9), 1e3), 1.0)
         g = pull[doc_of] / (1 + np.exp(-np.clip(z, -50, 50)))
-        by_word = np.bincount(flat, g[sent_of], len(word))
-        grad = np.bincount(feat, by_word[of], FEATURES) + l2 * len(y) * w
+        grad = np.bincount(feat, np.bincount(flat, g[sent_of], len(words))[of], FEATURES)
         sum_w += grad * grad
         sum_b += g.sum() ** 2
-        w -= rate * grad / np.sqrt(sum_w)
+        step = rate / np.sqrt(sum_w)
+        w -= step * grad
+        w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
         bias -= rate * g.sum() / np.sqrt(sum_b)
     return Model(float(bias), w)
 
