@@ -21,8 +21,8 @@ from .common import Memo, hash64
 
 FEATURES = 1 << 16
 #: Bound of the training sample: so many documents of each language, the smallest by hash of their id.
-PER_LANGUAGE = 800
-EPOCHS = 60
+PER_LANGUAGE = 500
+EPOCHS = 40
 AMBIGUOUS = 0.2
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -80,9 +80,9 @@ def fit(texts: list[str], langs: list[str], epochs: int = EPOCHS, rate: float =
     rows, cols, values = [], [], []
     for i, (t, _) in enumerate(pairs):
         found, counts = np.unique(np.array(grams(t), np.int64), return_counts=True)
-        rows.append(np.full(len(found), i))
-        cols.append(found)
-        values.append(counts / counts.sum())
+        rows.append(np.full(len(found), i, np.int32))
+        cols.append(found.astype(np.int32))
+        values.append((counts / counts.sum()).astype(np.float32))
     rows, cols, values = np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
     starts = np.searchsorted(rows, np.arange(len(pairs)))
     target = code[[names.index(y) for _, y in pairs]]
