@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, language, mixing, near_dup, pii, quality, token_counts, toxicity, urls
+from . import bpe, fingerprint, language, mixing, near_dup, oracles, pii, quality, token_counts, toxicity, urls
 from .common import held_out, table
 
 QUERIES: dict = {}
@@ -26,7 +26,7 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-@register("op1_url_filters")
+@register("op1_url_filters", oracles.URLS)
 def op1_url_filters(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
@@ -65,10 +65,10 @@ def op5_pii(spark, sf_dir):
         F.sha2(line(F.col("base")), 256).alias("base_sha256"), line(F.col("pii")).alias("spans"))
 
 
-@register("op6_mixing")
+@register("op6_mixing", oracles.MIXING)
 def op6_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"), F.xxhash64("text").alias("hash"))
-    return mixing.mix(docs, F.col("words"), key=[F.col("doc_id"), F.col("hash")]).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(docs, F.col("words"), name=F.col("doc_id").cast("string")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 @register("op7_fingerprint")
@@ -86,14 +86,14 @@ def op8_language(spark, sf_dir):
                         F.col("language.score").alias("score"), F.col("language.ambiguous").alias("ambiguous"))
 
 
-@register("op9_quality")
+@register("op9_quality", oracles.QUALITY)
 def op9_quality(spark, sf_dir):
     judged = quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), clean=False)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_lines", "n_left_words"]
     return judged.select("doc_id", *[F.col(f"quality.{n}") for n in names])
 
 
-@register("op10_near_dup")
+@register("op10_near_dup", oracles.NEAR_DUP)
 def op10_near_dup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dup.near_duplicates(docs, shingle=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")

@@ -53,21 +53,27 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
     return rows.withColumn("target", F.when(free, share).otherwise(limit.cast("double")))
 
 
-def mix(docs: DataFrame, size: Column, source: str = "source", key: list[Column] | None = None, weights=WEIGHTS,
+def random_key(name: Column, seed: int = SEED) -> Column:
+    """60 hash-random bits of a row's name: the first 15 digits of md5(seed:name)."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), name)), 1, 15), 16, 10).cast("long")
+
+
+def mix(docs: DataFrame, size: Column, source: str = "source", name: Column | None = None, weights=WEIGHTS,
         max_epochs: int = MAX_EPOCHS, seed: int = SEED, prefix: str = "") -> DataFrame:
     """Add ``{prefix}size, {prefix}source_size, {prefix}target, {prefix}epochs, {prefix}rest, {prefix}taken`` to every row.
 
     A row is taken whole ``epochs`` times and then its first ``rest`` words once (0: not; its size: whole);
-    ``taken`` = epochs * size + rest. ``key`` lists the columns that, hashed with ``seed``, order the rows
-    of a source (default: all columns); rows equal in all of them are interchangeable. Texts without words have size 0
-    and take nothing. A null source is a source. An empty table gives an empty table.
+    ``taken`` = epochs * size + rest. ``name`` (a string; default: all columns as JSON) is hashed with ``seed`` to order the
+    rows of a source; rows of one name are ordered by a hash of all columns, and equal rows are interchangeable. Texts without
+    words have size 0 and take nothing. A null source is a source. An empty table gives an empty table.
     """
-    key = key or [F.col(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
-    # Two hashes: the first orders, the second parts ties, so that reruns agree whatever the partitioning.
-    made = docs.withColumns({"_llm_size": size, "_llm_key": F.xxhash64(F.lit(seed), *key), "_llm_tie": F.xxhash64(F.lit(seed + 1), *key)})
+    plain = [F.col(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    name = F.to_json(F.struct(*plain)) if name is None else name
+    # The second hash parts ties, so that reruns agree whatever the partitioning.
+    made = docs.withColumns({"_llm_size": size, "_llm_key": random_key(F.coalesce(name, F.lit("")), seed), "_llm_tie": F.xxhash64(F.lit(seed), *plain)})
     source_of = F.col(source).cast("string")
     # 65536 equal slices of the key range, joined into as many buckets as the largest source needs.
-    slice_of = F.shiftright("_llm_key", 48).cast("int") + 32768
+    slice_of = F.shiftright("_llm_key", 44).cast("int")
     fine = stored(made.groupBy(source_of.alias("source"), slice_of.alias("slice")).agg(
         F.sum("_llm_size").alias("words"), F.count(F.lit(1)).alias("n")), "slice-sums")
     largest = fine.groupBy("source").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0

@@ -7,6 +7,8 @@ rarest token it has. Explicit (host, path) rules come first.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,13 +70,13 @@ def mine_rules(urls: DataFrame, tokens: str = "tokens", bad: str = "bad", min_sh
     if n_bad < min_count:
         return spark.range(0).selectExpr("array('') antecedent", "0D confidence", "0D support", "'' anchor")
     seen = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    share = max(min_share, min_count / n)
-    frequent = stored(seen.where(F.col("n") >= share * n), "url-tokens")
+    least = max(math.ceil(min_share * n), min_count)
+    frequent = stored(seen.where(F.col("n") >= least), "url-tokens")
     # At most (tokens of a URL) / 0.9 tokens come to the driver.
     common = [r.token for r in frequent.where(F.col("n") >= 0.9 * n).select("token").collect()]
     items = rows.withColumn("tokens", F.array_except("tokens", F.array(*map(F.lit, common)).cast("array<string>")))
     items = items.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BLOCK))).otherwise(F.col("tokens")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=min_confidence).fit(items)
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, minConfidence=min_confidence).fit(items)
     rules = (model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCK)))
              .select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support"))
     rarest = (rules.select("antecedent", F.explode("antecedent").alias("token")).join(frequent, "token")

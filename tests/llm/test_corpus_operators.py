@@ -73,7 +73,7 @@ def test_mined_rules_equal_brute_force(spark):
             part = frozenset(t for j, t in enumerate(useful) if bits >> j & 1)
             total[part] += 1
             hits[part] += b
-    rules = {p for p, h in hits.items() if h >= np.ceil(max(0.002, 10 / n) * n) and h / total[p] >= 0.6}
+    rules = {p for p, h in hits.items() if h >= max(np.ceil(0.002 * n), 10) and h / total[p] >= 0.6}
     assert any("host=casino" in p for p in rules)
     for r in got:
         assert r.verdict == ("block" if any(p <= tokens[r.url] for p in rules) else "allow"), r
