@@ -1,6 +1,6 @@
 """Language identification (8) by error-correcting output codes.
 
-Every language gets a codeword of bits; for each bit a binary classifier over character n-grams tells the languages with 1 from
+Every language gets a codeword of bits; for each bit a binary classifier over n-grams of the text's letters tells the languages with 1 from
 those with 0. A text's bits are compared with all codewords, each bit weighted by how sure and how good its classifier is;
 the codeword with the least loss wins, and a close second flags the text as ambiguous.
 """
@@ -8,8 +8,6 @@ the codeword with the least loss wins, and a close second flags the text as ambi
 from __future__ import annotations
 
 import itertools
-import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,25 +15,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, hash64
+from .common import hash64
 
-FEATURES = 1 << 16
+FEATURES = 1 << 16  # grams() keeps 16 bits
 #: Bound of the training sample: so many documents of each language, the smallest by hash of their id.
-PER_LANGUAGE = 500
-EPOCHS = 40
+PER_LANGUAGE = 300
+EPOCHS = 30
 AMBIGUOUS = 0.2
 UNKNOWN = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
-_GRAMS = (1, 2, 3, 4)
+_SIZES = (1, 2, 3, 4, 5)
+#: Bytes whose n-grams are held at once; longer texts are taken in overlapping pieces.
+PIECE = 1 << 18
+#: ASCII characters other than letters become spaces; bytes of other characters stay.
+_LETTERS_ONLY = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
-def grams(chunk: str) -> list[int]:
-    """Hashed character 1- to 4-grams of the words in a chunk, with word ends marked."""
-    out = []
-    for word in _LETTERS.findall(chunk.lower()):
-        marked = f"^{word}$"
-        out += [zlib.crc32(marked[i:i + n].encode("utf-8", "surrogatepass")) % FEATURES for n in _GRAMS for i in range(len(marked) - n + 1)]
-    return out
+def has_letter(text: str | None) -> bool:
+    return any(map(str.isalpha, text or ""))
+
+
+def grams(text: str) -> Iterator[np.ndarray]:
+    """Hashed 1- to 5-grams of the text's lower-case letters (UTF-8 bytes, words apart by one space), piece by piece."""
+    raw = b" " + b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS_ONLY).split()) + b" "
+    for at in range(0, len(raw), PIECE):
+        flat = np.frombuffer(raw[at: at + PIECE + _SIZES[-1] - 1], np.uint8).astype(np.uint32)
+        own = min(PIECE, len(raw) - at)
+        h, out = np.zeros(len(flat), np.uint32), []
+        for n in _SIZES:
+            # h[i]: the n bytes from i on
+            h = h[: len(flat) - n + 1] * np.uint32(0x01000193) + flat[n - 1:] + np.uint32(n)
+            mixed = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+            out.append((mixed[:own] >> np.uint32(16)).astype(np.int32))
+        yield np.concatenate(out)
 
 
 def codewords(n: int) -> np.ndarray:
@@ -72,14 +83,16 @@ class Model:
 
 def fit(texts: list[str], langs: list[str], epochs: int = EPOCHS, rate: float = 0.5) -> Model | None:
     """Adagrad on each bit over the mean n-gram weights; None without a usable text."""
-    pairs = [(t, y) for t, y in zip(texts, langs, strict=True) if t and _LETTERS.search(t)]
+    pairs = [(t, y) for t, y in zip(texts, langs, strict=True) if has_letter(t)]
     if not pairs:
         return None
     names = sorted({y for _, y in pairs})
     code = codewords(len(names))
     rows, cols, values = [], [], []
     for i, (t, _) in enumerate(pairs):
-        found, counts = np.unique(np.array(grams(t), np.int64), return_counts=True)
+        counts = sum(np.bincount(g, minlength=FEATURES) for g in grams(t))
+        found = np.flatnonzero(counts)
+        counts = counts[found]
         rows.append(np.full(len(found), i, np.int32))
         cols.append(found.astype(np.int32))
         values.append((counts / counts.sum()).astype(np.float32))
@@ -127,17 +140,13 @@ def detect(docs: DataFrame, model: Model | None, text: str = "text", out: str =
     def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value and Model(*shared.value)
 
-        def vector(chunk: bytes) -> tuple[int, np.ndarray | None]:
-            g = grams(chunk.decode("utf-8", "surrogatepass"))
-            return len(g), m.weights[g].sum(axis=0, dtype=np.float64) if g else None
-        known = Memo(vector, limit=100_000)
-
         def one(t: str | None) -> tuple[str, float, bool]:
-            parts = [known[c] for c in t.encode("utf-8", "surrogatepass").split()] if t and m else []
-            parts = [p for p in parts if p[0]]
-            if not parts:
+            if m is None or not has_letter(t):
                 return UNKNOWN, 0.0, False
-            return m.judge(m.bias + np.add.reduce([v for _, v in parts]) / sum(n for n, _ in parts))
+            total, n = 0.0, 0
+            for g in grams(t):
+                total, n = total + np.ones(len(g), np.float32) @ np.take(m.weights, g, axis=0), n + len(g)
+            return m.judge(m.bias + total / n)
 
         for texts in batches:
             rows = [one(t) for at in range(0, len(texts), 256) for t in texts.slice(at, 256).to_pylist()]

@@ -128,14 +128,20 @@ def test_language_held_out(spark, small_dir, odd_docs):
     assert language.detect(odd_docs.where("false"), model).count() == 0
 
 
+def test_grams_of_pieces_are_those_of_the_whole(monkeypatch):
+    text = "Der Bär, 12 naïve cafés; 日本語! " * 40
+    whole = np.sort(np.concatenate(list(language.grams(text))))
+    monkeypatch.setattr(language, "PIECE", 97)
+    assert (np.sort(np.concatenate(list(language.grams(text)))) == whole).all()
+
+
 def test_many_languages():
     rng = random.Random(9)
     stems = {f"l{k:02d}": ["".join(rng.choices("abcdefghijklmnop", k=4)) for _ in range(12)] for k in range(12)}
     made = lambda k: " ".join(rng.choice(stems[k]) for _ in range(30))
     model = language.fit([made(k) for k in stems for _ in range(8)], [k for k in stems for _ in range(8)])
     def guess(t):
-        g = language.grams(t)
-        return model.judge(model.bias + model.weights[g].mean(axis=0))[0]
+        return model.judge(model.bias + model.weights[np.concatenate(list(language.grams(t)))].mean(axis=0))[0]
     assert sum(guess(made(k)) == k for k in stems for _ in range(5)) >= 57
 
 
