@@ -60,10 +60,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or local
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/pairloom-scratch"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder for written tables."""
-    base = ensure_checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/pairloom-scratch/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def release_scratch(spark: SparkSession) -> bool:
+    """Remove all tables that this application wrote for itself; True if there were any.
+
+    Results are read lazily from them, so call it when a job's results are written. (The checkpoint
+    folder has a name of its own for each application: nobody else's tables lie in it.)
+    """
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    return bool(root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True))
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -305,3 +305,13 @@ def test_no_machine_local_folder_on_a_cluster(monkeypatch):
         fake = SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master=master), conf=conf)
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             ensure_checkpoint_dir(fake)
+
+
+def test_scratch_is_released(spark):
+    import os
+
+    from pairloom.session import cut_lineage, release_scratch, scratch_path
+    root = os.path.dirname(scratch_path(spark, "x").removeprefix("file:"))
+    assert cut_lineage(spark.range(5), "scratch-test").count() == 5 and os.listdir(root)
+    release_scratch(spark)
+    assert not os.path.exists(root)
