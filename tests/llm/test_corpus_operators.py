@@ -278,3 +278,18 @@ def test_pipeline_stages(spark, small_dir, tmp_path):
     assert len(coded) == len(mixed) and all(r.n_tokens == len(r.ids) for r in coded)
     ran = corpus_pipeline.run(spark, small_dir).collect()
     assert Counter((r.doc_id, tuple(r.ids)) for r in ran) == Counter((r.doc_id, tuple(r.ids)) for r in coded)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_and_empty_tables(spark, odd_docs, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    out = stage(spark, odd_docs, "")
+    rows = out.collect()
+    if name != "bpe":
+        assert out.columns == odd_docs.columns
+    kept = Counter(r.doc_id for r in rows)
+    if name == "quality rules":
+        assert kept == Counter(r.doc_id for r in odd_docs.collect() if not brute.quality(r.text)[5])
+    elif name in ("personal data", "bpe"):
+        assert kept == Counter(r.doc_id for r in odd_docs.collect())
+    assert stage(spark, odd_docs.where("false"), "").count() == 0
