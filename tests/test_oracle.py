@@ -39,3 +39,12 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     rows = df.collect()
     assert rows and set(df.columns) == {"vec_id", "rank", "label", "prob"}
+
+
+def test_cleaning_only_strips_the_given_documents(spark, small_dir):
+    """The token oracles start from the raw text: X1 must change no given document beyond its ends."""
+    from pyspark.sql import functions as F
+
+    from pairloom.functions import text as T
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    assert docs.where(T.basic_clean(F.col("text")) != T.strip(F.col("text"))).isEmpty()
