@@ -126,8 +126,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     """Fit on the bounded sample; rows with null language or text do not count."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     ids = rows.select("doc", "lang", F.xxhash64(F.lit(8), "doc").alias("h"))
-    # Spark keeps at most so many rows of a language in each task before the shuffle: a hot language meets no single task.
-    pick = ids.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc"))).where(F.col("r") <= per_language).select("doc").distinct()
+    # Within salts first, then over at most salts * per_language rows: a hot language meets no single task.
+    for part in (["lang", F.pmod("h", F.lit(64))], ["lang"]):
+        ids = ids.withColumn("r", F.row_number().over(Window.partitionBy(*part).orderBy("h", "doc"))).where(F.col("r") <= per_language)
+    pick = ids.select("doc").distinct()
     sample = rows.join(F.broadcast(pick), "doc", "left_semi").collect()
     sample.sort(key=lambda r: (str(r.doc), r.text))
     return fit([r.text for r in sample], [r.lang for r in sample])
