@@ -18,22 +18,19 @@ def write_prepared(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_embeddings(df: DataFrame, path: str, id_col: str, vec_col: str, file_col: str | None = None,
-                     mode: str = "overwrite") -> None:
+                     mode: str = "overwrite", files_per_name: int = 8) -> None:
     """(id, embedding) only, one output folder per input file.
 
-    The output name is the input file name without its last 5 characters
-    (the reference strips '.json'); every task writes its own part files,
-    nothing is gathered to one place.
+    The output name is the input file name without its last 5 characters (the length of
+    '.json'). A name's rows are dealt to ``files_per_name`` tasks, so there are neither tasks x names
+    small files nor one task for a hot name.
     """
-    cols = [F.col(id_col), F.col(vec_col)]
-    w = df
-    if file_col:
-        w = df.withColumn("name", TX.cut_chars(TX.file_name(file_col), 5))
-        cols.append(F.col("name"))
-    out = w.select(*cols).write.mode(mode)
-    if file_col:
-        out = out.partitionBy("name")
-    out.parquet(path)
+    if not file_col:
+        df.select(id_col, vec_col).write.mode(mode).parquet(path)
+        return
+    named = df.select(id_col, vec_col, TX.cut_chars(TX.file_name(file_col), 5).alias("name"))
+    dealt = named.repartition("name", F.pmod(F.xxhash64(id_col), F.lit(files_per_name)))
+    dealt.write.mode(mode).partitionBy("name").parquet(path)
 
 
 def write_rows_with_vectors(rows: DataFrame, vecs: DataFrame, path: str, id_col: str, mode: str = "overwrite") -> None:
