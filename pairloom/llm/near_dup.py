@@ -2,15 +2,16 @@
 
 1. Every text becomes its set of word shingles (64-bit hashes of whole shingles) and a 128-bit digest
    of that set. Rows with one digest are one class; all later work is on classes.
-2. Banded MinHash signatures put classes into buckets. No bucket is paired with itself: in a round
-   only a few hubs of a bucket (the smallest by hash) meet the other classes of that bucket.
+2. Banded MinHash signatures put classes into buckets. In each bucket one hub (the smallest class by
+   hash) meets the others: pairs grow with the members, not with their square.
 3. A pair's signatures are compared batch by batch. Under a uniform prior the posterior probability of
    similarity >= t after m of n equal values is P(Binomial(n + 1, t) <= m); a pair below ``miss`` is pruned.
 4. Survivors are verified on their full sets. First each class only with its most similar hub, then,
    if that has not connected them, with the others. Confirmed links merge components.
-5. Buckets whose classes are all connected are done. The rest go on with 8 times as many hubs, until
-   every class of an unfinished bucket has been a hub: then every pair of its unconnected classes
-   has been compared, and no link is lost.
+5. Buckets whose classes are then all connected are done. In the others every pair of classes that are not
+   connected yet still has to be compared, or links would be lost. Such a bucket is cut into blocks; a task
+   holds two blocks, compares their signatures in numpy and verifies survivors as long as they are
+   unconnected. Only confirmed links leave the task, at most one per class: no pairs are emitted.
 """
 
 from __future__ import annotations
@@ -20,18 +21,22 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.joins import broadcast_if_small
 from .common import Memo, hash64, mix64, slices, stored
 from .graph import components
 
-BANDS, ROWS = 20, 6
+#: For a similarity of 0.8: a pair at the threshold shares no band with probability (1 - 0.8 ** 5) ** 24 = 7e-5.
+BANDS, ROWS = 24, 5
 BATCH = 24
 #: Chosen probability that a pair at the threshold is pruned unverified.
 MISS = 1e-6
-HUB_GROWTH = 8
-_SALTS = 64
+#: Members of a block, and bytes of their texts, about: a task holds two blocks.
+BLOCK_ROWS, BLOCK_BYTES = 1024, 8 << 20
+#: Bytes of bucket keys or class digests that may be broadcast; beyond, rows are shuffled to them.
+BROADCAST_BYTES = 32 << 20
 
 _MASK = (1 << 64) - 1
 _odd = lambda k: (hash64(b"pairloom-%d" % k) | 1) & _MASK
@@ -115,14 +120,6 @@ def _sets(docs: DataFrame, id_col: str, text: str, size: int, bands: int, rows:
         emit, f"id {kind}, text_hash long, n long, digest binary, sig binary, keys array<long>, body string")
 
 
-def _hubs(members: DataFrame, count: int) -> DataFrame:
-    """The ``count`` classes of each bucket that are smallest by hash: first within salts, then over at most salts * count."""
-    order = [F.col("h"), F.col("digest")]
-    salted = members.withColumn("salt", F.pmod(F.col("h"), F.lit(_SALTS)))
-    near = salted.withColumn("r", F.row_number().over(Window.partitionBy("key", "salt").orderBy(*order))).where(F.col("r") <= count)
-    return near.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where(F.col("r") <= count).drop("salt")
-
-
 def _pruned(pairs: DataFrame, sigs: DataFrame, threshold: float, n_hashes: int, miss: float) -> DataFrame:
     """Pairs (a, b) that survive the sequential comparison, with the share of equal values."""
     steps = least_matches(threshold, n_hashes, BATCH, miss)
@@ -170,14 +167,121 @@ def _confirmed(pairs: DataFrame, bodies: DataFrame, size: int, percent: int) ->
     return both.mapInArrow(verify, "a binary, b binary")
 
 
+def _unconnected(rows: DataFrame, size: int, percent: int, n_hashes: int, miss: float) -> DataFrame:
+    """Links (a, b) between classes of different roots that meet in a (key, bi, bj) block pair, confirmed on full sets.
+
+    A pair that shares several buckets is compared in the one of its first shared band only.
+    """
+    steps = least_matches(percent / 100, n_hashes, BATCH, miss)
+
+    def survivors(left: dict, right: dict, same: bool):
+        """(i, j) of the pairs that survive the comparison, most equal values first."""
+        out = []
+        step = max(1, (8 << 20) // (BATCH * max(1, len(right["n"]))))
+        for at in range(0, len(left["n"]), step):
+            cut = slice(at, at + step)
+            n, m = left["n"][cut, None], right["n"][None, :]
+            fits = (left["root"][cut, None] != right["root"][None, :]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            if same:
+                fits &= np.arange(at, at + len(n))[:, None] < np.arange(len(right["n"]))[None, :]
+            equal = (left["sig"][cut, None, :BATCH] == right["sig"][None, :, :BATCH]).sum(axis=2)
+            i, j = np.nonzero(fits & (equal >= steps[0][1]))
+            equal, i = equal[i, j], i + at
+            for n_seen, least in steps[1:]:
+                equal = equal + (left["sig"][i, n_seen - BATCH: n_seen] == right["sig"][j, n_seen - BATCH: n_seen]).sum(axis=1)
+                keep = equal >= least
+                i, j, equal = i[keep], j[keep], equal[keep]
+            band = left["band"]
+            first = ~(left["keys"][i, :band] == right["keys"][j, :band]).any(axis=1)
+            out.append((i[first], j[first], equal[first]))
+        i, j, equal = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.argsort(-equal, kind="stable")
+        return zip(i[order].tolist(), j[order].tolist(), strict=True)
+
+    def linked(group: list[dict], memo: dict) -> list[tuple[bytes, bytes]]:
+        key, bi, bj = group[0]["key"], group[0]["bi"], group[0]["bj"]
+
+        def side(block: int) -> dict:
+            rows = [r for r in group if r["block"] == block]
+            keys = np.array([r["keys"] for r in rows], np.int64).reshape(len(rows), -1)
+            return {"n": np.array([r["n"] for r in rows]), "root": np.array([codes[r["root"]] for r in rows]), "keys": keys, "rows": rows,
+                    "band": int(np.flatnonzero(keys[0] == key)[0]) if rows else 0,
+                    "sig": np.frombuffer(b"".join(r["sig"] for r in rows), np.uint32).reshape(-1, n_hashes)}
+
+        codes: dict[bytes, int] = {}
+        for r in group:
+            codes.setdefault(r["root"], len(codes))
+        left = side(bi)
+        right = left if bi == bj else side(bj)
+        if not left["rows"] or not right["rows"]:
+            return []
+        parent = list(range(len(codes)))
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        sets = Memo(lambda body: shingle_set(body.encode().split(), size, memo), limit=2 * BLOCK_ROWS)
+        out = []
+        for i, j in survivors(left, right, bi == bj):
+            x, y = left["rows"][i], right["rows"][j]
+            u, v = find(codes[x["root"]]), find(codes[y["root"]])
+            if u == v:
+                continue
+            p, q = sets[x["body"]], sets[y["body"]]
+            common = len(np.intersect1d(p, q, assume_unique=True))
+            if 100 * common >= percent * (len(p) + len(q) - common):
+                parent[u] = v
+                out.append((x["digest"], y["digest"]))
+        return out
+
+    def compare(batches):
+        """Groups lie one after another; the last of an Arrow batch may go on in the next."""
+        memo = Memo(hash64)
+        group: list[dict] = []
+
+        def flush(links: list) -> pa.RecordBatch:
+            a, b = zip(*links, strict=True) if links else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+        for batch in batches:
+            for part in slices(batch):
+                links: list = []
+                for r in part.to_pylist():
+                    if group and any(r[k] != group[0][k] for k in ("key", "bi", "bj")):
+                        links += linked(group, memo)
+                        group = []
+                    group.append(r)
+                yield flush(links)
+        if group:
+            yield flush(linked(group, memo))
+
+    return rows.mapInArrow(compare, "a binary, b binary")
+
+
+def _block_pairs(members: DataFrame) -> DataFrame:
+    """Each member (key, digest, h, blocks) once for every pair of blocks (bi <= bj) that its own block is part of."""
+    block = F.pmod(F.col("h"), F.col("blocks")).cast("int")
+    pairs = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return pairs.withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")}).drop("other", "blocks", "h")
+
+
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     """``roots`` (digest, root) after the links (a, b): components of the links between roots, carried to every class."""
+    if links.isEmpty():
+        return roots
     r = lambda x: roots.select(F.col("digest").alias(x), F.col("root").alias(f"root_{x}"))
     merged = components(links.join(r("a"), "a").join(r("b"), "b").select("root_a", "root_b").distinct(), "root_a", "root_b")
     new = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
     return stored(new.select("digest", F.coalesce("to", "root").alias("root")), "roots")
 
 
+def _shipped(rows: DataFrame, row_bytes: int) -> tuple[DataFrame, int]:
+    return broadcast_if_small(rows, max_rows=BROADCAST_BYTES, row_bytes=row_bytes, max_bytes=BROADCAST_BYTES)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5,
                     percent: int = 80, bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
     """One row per input row: ``id_col``, text_hash, n_shingles, digest, root, component_id, kept.
@@ -191,44 +295,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     sets = stored(_sets(docs, id_col, text, shingle, bands, rows), "shingle-sets")
     known = sets.where(F.col("id").isNotNull() & F.col("digest").isNotNull())
     classes = stored(known.groupBy("digest").agg(F.min("id").alias("id")), "classes")
+    # A key is shared when two sets have it; 64 bits of the digest tell that, combined before the shuffle.
+    keyed = known.select("digest", "n", F.explode("keys").alias("key"))
+    ends = keyed.withColumn("h", F.xxhash64("digest")).groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y"))
+    shared, _ = _shipped(stored(ends.where(F.col("x") != F.col("y")).select("key"), "shared-keys"), 16)
+    member = stored(keyed.join(shared, "key").select("key", "digest", "n").distinct(), "bucket-members")
+    sizes = member.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+    buckets = stored(member.join(sizes, "key").withColumn("h", F.xxhash64("digest")), "buckets")
+    roots = stored(buckets.select("digest").distinct().select("digest", F.col("digest").alias("root")), "roots")
+    # Few classes share a bucket: while they are few enough to ship, signatures and texts of the others do not move.
     # Keyed by digest and id, the copies of a hot class spread out; only the first of each class stays.
-    first = known.select("digest", "id", "n", "sig", "keys").join(classes, ["digest", "id"], "left_semi").dropDuplicates(["digest", "id"])
-    first = stored(first, "class-signatures")
-    member = first.select("digest", F.explode("keys").alias("key"))
-    shared = member.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1).select("key", "m")
-    buckets = stored(member.join(shared, "key").select("key", "m", "digest", F.xxhash64("digest").alias("h")), "buckets")
-    candidates = buckets.select("digest").distinct()
-    roots = stored(candidates.select("digest", F.col("digest").alias("root")), "roots")
-    sigs = stored(first.select("digest", "n", "sig").join(candidates, "digest", "left_semi"), "candidate-signatures")
-    near = known.select("digest", "id", "body").join(classes.join(candidates, "digest", "left_semi"), ["digest", "id"], "left_semi")
-    bodies = stored(near.dropDuplicates(["digest", "id"]).select("digest", "body"), "candidate-texts")
-
-    hubs, largest = 1, buckets.agg(F.max("m")).first()[0] or 0
-    open_buckets = buckets
-    while largest > 1:
-        lead = _hubs(open_buckets, hubs).select("key", F.col("digest").alias("b"), F.col("h").alias("hb"))
-        named = open_buckets.join(roots, "digest")
-        lead = lead.join(roots.select(F.col("digest").alias("b"), F.col("root").alias("rb")), "b")
-        # A class before the hub in hash order has been a hub itself: that pair is met from its side.
-        pairs = (named.join(lead, "key").where((F.struct(F.col("h").alias("x"), F.col("digest").alias("y")) > F.struct(F.col("hb").alias("x"), F.col("b").alias("y"))) & (F.col("root") != F.col("rb")))
-                 .select(F.col("digest").alias("a"), "b").distinct())
-        alive = stored(_pruned(pairs, sigs, percent / 100, bands * rows, miss), "survivors")
-        best = alive.groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b"))
-        links = stored(_confirmed(best, bodies, shingle, percent), "links")
-        if not links.isEmpty():
-            roots = _merged(roots, links)
-        r = lambda x: roots.select(F.col("digest").alias(x), F.col("root").alias(f"r{x}"))  # noqa: B023, E731
-        rest = alive.join(best, ["a", "b"], "left_anti").join(r("a"), "a").join(r("b"), "b").where(F.col("ra") != F.col("rb")).select("a", "b")
-        links = stored(_confirmed(rest, bodies, shingle, percent), "links")
-        if not links.isEmpty():
-            roots = _merged(roots, links)
-        if hubs >= largest:
-            break
-        left = open_buckets.join(roots, "digest").groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"))
-        left = left.where(F.col("x") != F.col("y")).select("key")
-        open_buckets = stored(open_buckets.where(F.col("m") > hubs).join(left, "key", "left_semi"), "open-buckets")
-        largest = open_buckets.agg(F.max("m")).first()[0] or 0
-        hubs *= HUB_GROWTH
+    candidates, _ = _shipped(roots.select("digest"), 32)
+    chosen, _ = _shipped(stored(classes.join(candidates, "digest", "left_semi"), "candidate-classes"), 48)
+    one = known.join(chosen, ["digest", "id"], "left_semi").dropDuplicates(["digest", "id"])
+    full_rows = stored(one.select("digest", "n", "sig", "keys", "body"), "candidates")
+    sigs, bodies = full_rows.select("digest", "n", "sig", "keys"), full_rows.select("digest", "body")
+
+    # Every class of a bucket with the bucket's hub.
+    hub = buckets.groupBy("key").agg(F.min(F.struct("h", "digest")).alias("hub")).select("key", F.col("hub.digest").alias("b"))
+    pairs = buckets.join(hub, "key").where(F.col("digest") != F.col("b")).select(F.col("digest").alias("a"), "b").distinct()
+    alive = stored(_pruned(pairs, sigs, percent / 100, bands * rows, miss), "survivors")
+    best = alive.groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b"))
+    roots = _merged(roots, stored(_confirmed(best, bodies, shingle, percent), "links"))
+    r = lambda x: roots.select(F.col("digest").alias(x), F.col("root").alias(f"r{x}"))
+    rest = alive.join(best, ["a", "b"], "left_anti").join(r("a"), "a").join(r("b"), "b").where(F.col("ra") != F.col("rb")).select("a", "b")
+    roots = _merged(roots, stored(_confirmed(rest, bodies, shingle, percent), "links"))
+
+    # Buckets of two are done; in larger ones whose classes are not all connected, every unconnected pair.
+    named = stored(buckets.where(F.col("m") > 2).join(roots, "digest"), "rooted-buckets")
+    size = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum(F.col("n") * 16) / BLOCK_BYTES)).cast("int")
+    left = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), size.alias("blocks")).where(F.col("x") != F.col("y"))
+    open_rows = _block_pairs(named.join(left.select("key", "blocks"), "key").drop("m", "n"))
+    full = (open_rows.join(full_rows, "digest").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "digest"))
+    roots = _merged(roots, stored(_unconnected(full, shingle, percent, bands * rows, miss), "links"))
 
     named = classes.join(roots, "digest", "left").select("digest", "id", F.coalesce("root", "digest").alias("root"))
     smallest = named.groupBy("root").agg(F.min("id").alias("component_id"))
@@ -247,7 +346,8 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     marks = stored(near_duplicates(docs, id_col, text, **how), "near-duplicates")
     marks = marks.select(F.col(id_col).alias("_llm_id"), F.col("text_hash").alias("_llm_hash"), F.col("root").alias("_llm_root"), F.col("kept").alias("_llm_kept"))
     same = [F.col(id_col) == F.col("_llm_id"), F.xxhash64(text) == F.col("_llm_hash")]
-    kept = docs.join(marks.where(~F.col("_llm_kept")).distinct(), same, "left_anti")
+    dropped, _ = _shipped(marks.where(~F.col("_llm_kept")).select("_llm_id", "_llm_hash").distinct(), 32)
+    kept = docs.join(dropped, same, "left_anti")
     named = marks.where(F.col("_llm_kept") & F.col("_llm_root").isNotNull() & F.col("_llm_id").isNotNull())
     again = named.groupBy("_llm_root").agg(F.count(F.lit(1)).alias("_llm_n")).where(F.col("_llm_n") > 1).select("_llm_root")
     again = stored(named.join(again, "_llm_root", "left_semi").drop("_llm_kept").distinct(), "repeated-rows")
