@@ -159,7 +159,7 @@ class Coder:
     def learn(self, chunks: set[bytes]) -> None:
         """Encode the chunks not yet known, their words together."""
         new = [c for c in chunks if c not in self.known]
-        if len(self.known) + len(new) > 400_000:
+        if len(self.known) + len(new) > 200_000:
             self.known.clear()
             new = list(chunks)
         cut = [(c, self.pre_tokens(c.decode("utf-8", "surrogatepass"))) for c in new]
@@ -234,7 +234,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: bool = True, dec
                         row += [hashlib.sha256(raw).hexdigest(), hashlib.sha256(text_back.encode()).hexdigest()]
                     rows.append(tuple(row))
                 parts.append(_struct(kinds, rows))
-            yield pa.concat_arrays(parts) if parts else _struct(kinds, [])
+            whole = pa.concat_arrays(parts) if parts else _struct(kinds, [])
+            del parts
+            pa.default_memory_pool().release_unused()
+            yield whole
 
     kind = ", ".join(f"{k} {names[t]}" for k, t in kinds.items())
     return docs.withColumn("bpe", F.arrow_udf(coded, kind)(F.col(text)))

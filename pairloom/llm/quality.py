@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, hash64, slices, stored, words_of
+from .common import SLICE, SPACES, hash64, slices, stored, words_of
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -123,15 +123,23 @@ def quality(docs: DataFrame, text: str = "text", host: str = "source", max_docs:
         n_left = len(words_of(left)) if removed else stats[0]
         return (*stats, failed, removed, n_left, not failed and n_left >= MIN_WORDS, *([left] * clean))
 
+    names = [x.split()[0] for x in kind.split(", ")]
+    types = [pa.int64()] * 5 + [pa.bool_(), pa.int64(), pa.int64(), pa.bool_()] + [pa.string()] * clean
+
+    def part(rows: list[tuple]) -> pa.Array:
+        cols = zip(*rows, strict=True) if rows else [()] * len(names)
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+
     @F.arrow_udf(kind)
     def judged(texts: pa.Array, lines: pa.Array) -> pa.Array:
-        out: list[tuple] = []
-        for at in range(0, len(texts), 256):
-            for t, x in zip(texts.slice(at, 256).to_pylist(), lines.slice(at, 256).to_pylist(), strict=True):
-                out.append(judge(t, x))
-        names = [x.split()[0] for x in kind.split(", ")]
-        types = [pa.int64()] * 5 + [pa.bool_(), pa.int64(), pa.int64(), pa.bool_()] + [pa.string()] * clean
-        cols = list(zip(*out, strict=True)) if out else [()] * len(names)
-        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+        # Piece by piece, so that a batch of long texts is never held as Python objects.
+        out = [part([])]
+        for at in range(0, len(texts), SLICE):
+            pieces = zip(texts.slice(at, SLICE).to_pylist(), lines.slice(at, SLICE).to_pylist(), strict=True)
+            out.append(part([judge(t, x) for t, x in pieces]))
+        whole = pa.concat_arrays(out)
+        del out
+        pa.default_memory_pool().release_unused()
+        return whole
 
     return joined.withColumn("quality", judged(F.col(text), F.col("_llm_lines"))).drop("_llm_host", "_llm_lines")
