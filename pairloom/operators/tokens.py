@@ -37,9 +37,26 @@ def token_occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return tokenize(docs, id_col, text_col).select(F.col(id_col), F.posexplode("tokens").alias("pos", "token"))
 
 
-def vocabulary(occ: DataFrame, n_special: int = 3) -> DataFrame:
-    """(token, count, id): ids by (count desc, token), after ``n_special`` reserved ids."""
-    counts = occ.groupBy("token").agg(F.count(F.lit(1)).alias("count"))
+def token_counts(rows: DataFrame) -> DataFrame:
+    """(token, count) of occurrences (a ``token`` column) or of token arrays (``tokens``).
+
+    Arrays are counted batch by batch in Arrow, so a task passes on its distinct tokens, not its occurrences.
+    """
+    if "tokens" not in rows.columns:
+        return rows.groupBy("token").agg(F.count(F.lit(1)).alias("count"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = batch.column(0).flatten().value_counts()
+            yield pa.RecordBatch.from_arrays([seen.field("values"), seen.field("counts")], names=["token", "n"])
+
+    parts = rows.select("tokens").mapInArrow(run, "token string, n long")
+    return parts.groupBy("token").agg(F.sum("n").alias("count"))
+
+
+def vocabulary(rows: DataFrame, n_special: int = 3) -> DataFrame:
+    """(token, count, id): ids by (count desc, token), after ``n_special`` reserved ids; see ``token_counts`` for ``rows``."""
+    counts = token_counts(rows)
     ranked = row_index(counts, [-F.col("count"), F.col("token")], name="_r", start=0)
     return ranked.select("token", "count", (F.col("_r") + n_special).cast("long").alias("id"))
 
@@ -122,17 +139,16 @@ def lookup_pieces(ids_df: DataFrame, vocab: DataFrame, id_col: str, ids_col: str
     return keyed.join(pieces, "_row", "left").select(id_col, F.coalesce("pieces", none).alias("pieces"))
 
 
-def distinct_words(occ: DataFrame) -> DataFrame:
+def distinct_words(rows: DataFrame) -> DataFrame:
     """Distinct pre-tokens with their counts and byte-symbol form."""
-    return (occ.groupBy("token").agg(F.count(F.lit(1)).alias("count"))
-               .withColumn("sym", T.byte_symbols("token")))
+    return token_counts(rows).withColumn("sym", T.byte_symbols("token"))
 
 
-def pair_counts(occ: DataFrame) -> DataFrame:
+def pair_counts(rows: DataFrame) -> DataFrame:
     """Neighbouring symbol pairs (set per word) weighted by word frequency."""
-    # one-byte words have no pairs; the filter is cheap so it may run before the grouping
-    multi = occ.filter(F.octet_length("token") > 1)
-    w = distinct_words(multi).select("count", T.word_symbols("sym").alias("s"))
+    # one-byte words have no pairs
+    multi = token_counts(rows).filter(F.octet_length("token") > 1)
+    w = multi.withColumn("sym", T.byte_symbols("token")).select("count", T.word_symbols("sym").alias("s"))
     n = F.size("s")
     pairs = F.array_distinct(F.arrays_zip(F.slice("s", 1, n - 1).alias("left"),
                                           F.slice("s", 2, n - 1).alias("right")))
@@ -141,12 +157,12 @@ def pair_counts(occ: DataFrame) -> DataFrame:
              .agg(F.sum("count").alias("count")))
 
 
-def learn_merges(occ: DataFrame, n: int) -> DataFrame:
+def learn_merges(rows: DataFrame, n: int) -> DataFrame:
     """F-merges: the ``n`` most frequent pairs by (count desc, left, right), rank 0..n-1.
 
     A top-n (per-partition top-n, then merge): the limit is the feature.
     """
-    top = pair_counts(occ).orderBy(F.desc("count"), "left", "right").limit(n)
+    top = pair_counts(rows).orderBy(F.desc("count"), "left", "right").limit(n)
     # at most n rows (a parameter): a window over them is bounded
     w = Window.orderBy(F.desc("count"), "left", "right")
     return top.select((F.row_number().over(w) - 1).cast("long").alias("rank"), "left", "right")
@@ -195,7 +211,7 @@ def merge_list(merges) -> list[tuple[str, str]]:
     return [(r.left, r.right) for r in sorted(rows, key=lambda r: r["rank"])]
 
 
-def bpe_encode(occ: DataFrame, merges) -> DataFrame:
+def bpe_encode(rows: DataFrame, merges) -> DataFrame:
     """(token, pieces, piece_ids) for every distinct pre-token."""
     mlist = merge_list(merges)
     ranks = {p: i for i, p in enumerate(mlist)}
@@ -207,7 +223,7 @@ def bpe_encode(occ: DataFrame, merges) -> DataFrame:
             yield pd.DataFrame({"token": pdf["token"], "pieces": pieces,
                                 "piece_ids": [[ids[p] for p in ps] for ps in pieces]})
 
-    words = distinct_words(occ).select("token", "sym")
+    words = distinct_words(rows).select("token", "sym")
     return words.mapInPandas(run, "token string, pieces array<string>, piece_ids array<long>")
 
 

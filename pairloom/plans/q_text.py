@@ -56,12 +56,12 @@ pr AS (SELECT DISTINCT token, count, c[i] AS l, c[i + 1] || CASE WHEN i + 1 = le
 pairs AS (SELECT l, r, sum(count)::BIGINT AS count FROM pr GROUP BY l, r)"""
 
 
-def _occ(spark, d):
-    return TK.token_occurrences(load(spark, d, "documents"), "doc_id", "text")
+def _tokens(spark, d):
+    return TK.tokenize(load(spark, d, "documents"), "doc_id", "text")
 
 
 def f_vocabulary(spark, d):
-    return cut_lineage(TK.vocabulary(_occ(spark, d), fx.N_SPECIAL), "vocabulary")
+    return cut_lineage(TK.vocabulary(_tokens(spark, d), fx.N_SPECIAL), "vocabulary")
 
 
 def f_tokens(spark, d, vocab=None):
@@ -70,7 +70,7 @@ def f_tokens(spark, d, vocab=None):
 
 
 def f_merges(spark, d):
-    return TK.learn_merges(_occ(spark, d), N_MERGES)
+    return TK.learn_merges(_tokens(spark, d), N_MERGES)
 
 
 @register("whitespace_clean", f"SELECT doc_id, trim(regexp_replace(text, '{_WS_SQL}', ' ', 'g')) AS cleaned FROM documents")
@@ -99,12 +99,12 @@ def q_basic_clean(spark, d):
 
 @register("byte_symbols", f"{'WITH ' + SQL_TOK} SELECT DISTINCT token, {_SYM} AS sym FROM tok")
 def q_byte_symbols(spark, d):
-    return _occ(spark, d).select("token").distinct().select("token", T.byte_symbols("token").alias("sym"))
+    return TK.token_counts(_tokens(spark, d)).select("token", T.byte_symbols("token").alias("sym"))
 
 
 @register("adjacent_pairs", f"WITH {SQL_PAIRS} SELECT l AS \"left\", r AS \"right\", count FROM pairs")
 def q_adjacent_pairs(spark, d):
-    return TK.pair_counts(_occ(spark, d))
+    return TK.pair_counts(_tokens(spark, d))
 
 
 @register("learn_merges", f"""WITH {SQL_PAIRS}
@@ -154,7 +154,7 @@ bpe_tok AS (SELECT token, list(piece ORDER BY i) AS pieces, list(id::BIGINT ORDE
 
 @register("bpe_encode", SQL_BPE + " SELECT token, pieces, piece_ids FROM bpe_tok")
 def q_bpe_encode(spark, d):
-    return TK.bpe_encode(_occ(spark, d), f_merges(spark, d)).select("token", "pieces", "piece_ids")
+    return TK.bpe_encode(_tokens(spark, d), f_merges(spark, d)).select("token", "pieces", "piece_ids")
 
 
 # The given documents hold no entity and no double-encoded sequence (tests/test_oracle.py checks
@@ -213,7 +213,7 @@ def q_tokenize_text(spark, d):
 
 @register("vocabulary", f"WITH {SQL_VOCAB} SELECT token, count, id FROM vocab")
 def q_vocabulary(spark, d):
-    return TK.vocabulary(_occ(spark, d), fx.N_SPECIAL)
+    return TK.vocabulary(_tokens(spark, d), fx.N_SPECIAL)
 
 
 @register("lookup_ids", f"WITH {SQL_FTOKENS} SELECT doc_id, ids FROM f_tokens")
