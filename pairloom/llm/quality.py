@@ -1,10 +1,9 @@
 """Quality rules (9): word and line statistics, and lines that recur across the documents of a host.
 
-A line is boilerplate when it stands in many distinct documents of one host. Copies of one document
-must not count as many documents, or every group of copies would be stripped bare before
-de-duplication sees it. So the documents of a line are told apart by what surrounds the line: its normalised
-neighbour lines. Exact copies give one surrounding, near copies a few, boilerplate
-a new one nearly every time. A document that the removal leaves with too few words is rejected.
+A line is boilerplate when it stands in many distinct documents of one host, however often it recurs in each.
+Copies of one document must not count as many documents, or every group of copies would be stripped bare before
+de-duplication sees it. So documents are told apart by a digest of their whole text, and exact copies count once.
+A document that the removal leaves with too few words is rejected.
 """
 
 from __future__ import annotations
@@ -40,11 +39,9 @@ def line_key(line: str) -> int | None:
     return _signed(hash64(_DIGITS.sub("0", b" ".join(words).decode("utf-8", "replace").lower()).encode()))
 
 
-def line_contexts(text: str | None) -> set[tuple[int, int]]:
-    """(line key, hash of the keys of the lines before and after) of each line that has words."""
-    keys = [k for k in map(line_key, (text or "").split("\n")) if k is not None]
-    around = [0, *keys, 0]
-    return {(k, _signed(hash64(b"%d,%d" % (around[i], around[i + 2])))) for i, k in enumerate(keys)}
+def line_keys(text: str | None) -> set[int]:
+    """The keys of the lines that have words, each once."""
+    return {k for k in map(line_key, (text or "").split("\n")) if k is not None}
 
 
 def text_stats(text: str | None) -> tuple[int, int, int, int, int]:
@@ -77,15 +74,15 @@ def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", ma
         for batch in batches:
             for part in slices(batch):
                 out: list[tuple] = []
-                for h, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    out += [(h, k, c) for k, c in line_contexts(t)]
-                hosts, keys, around = zip(*out, strict=True) if out else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(around, pa.int64())],
-                                                 names=["_llm_host", "_llm_key", "_llm_around"])
-
-    lines = (docs.select(F.col(host).cast("string").alias("_llm_host"), F.col(text).alias("_llm_text"))
-             .mapInArrow(emit, "_llm_host string, _llm_key long, _llm_around long"))
-    # Distinct surroundings first: a hot line spreads over its surroundings, then only counts meet.
+                for h, t, d in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                    out += [(h, k, d) for k in line_keys(t)]
+                hosts, keys, docs_of = zip(*out, strict=True) if out else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(docs_of, pa.int64())],
+                                                 names=["_llm_host", "_llm_key", "_llm_doc"])
+
+    lines = (docs.select(F.col(host).cast("string").alias("_llm_host"), F.col(text).alias("_llm_text"), F.xxhash64(text).alias("_llm_doc"))
+             .mapInArrow(emit, "_llm_host string, _llm_key long, _llm_doc long"))
+    # Distinct documents first: a hot line spreads over its documents, then only counts meet.
     counts = lines.distinct().groupBy("_llm_host", "_llm_key").agg(F.count(F.lit(1)).alias("_llm_docs"))
     sizes = docs.groupBy(F.col(host).cast("string").alias("_llm_of")).agg(F.count(F.lit(1)).alias("_llm_size"))
     return (counts.where(F.col("_llm_docs") > max_docs)

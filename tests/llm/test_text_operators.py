@@ -142,6 +142,19 @@ def test_boilerplate_goes_and_copies_stay(spark):
     assert all(got[400 + i].kept and got[400 + i].n_removed_lines == 0 for i in range(15))
 
 
+def test_boilerplate_blocks_go_and_a_refrain_stays(spark):
+    words = lambda seed, n: " ".join("".join(random.Random(f"{seed}-{j}").choices("abcdefgh", k=9)) for j in range(n))
+    header, footer = "site name and logo\nhome news sport weather", "terms of this site\nall rights are reserved here\nimprint and contact"
+    docs = [(i, f"{header}\n{words(i, 30)}\n{footer}", "h") for i in range(60)]
+    docs += [(100 + i, f"{header}\n{words(1000 + i, 5)}\n{footer}", "h") for i in range(30)]  # little but the block
+    song = "\n".join(f"{words(('song', i), 6)}\nand so we sing again" for i in range(30))
+    docs += [(200, song, "h")]
+    got = {r.doc_id: r.quality for r in quality.quality(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
+    assert all(got[i].kept and got[i].n_removed_lines == 5 and got[i].clean_text == words(i, 30) for i in range(60))
+    assert not any(got[100 + i].kept for i in range(30))
+    assert got[200].n_removed_lines == 0 and got[200].clean_text == song
+
+
 def test_fingerprints():
     rng = random.Random(2)
     text = " ".join(f"w{rng.randrange(5000)}" for _ in range(600)).encode()
