@@ -50,7 +50,7 @@ def op3_toxicity(spark, sf_dir):
 
 @register("op4_token_counts")
 def op4_token_counts(spark, sf_dir):
-    automaton = token_counts.Automaton(*token_counts.byte_level_pieces(vocabulary("byte_bpe_50k.json")))
+    automaton = token_counts.byte_level_automaton(vocabulary("byte_bpe_50k.json"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, automaton).select("doc_id", "tokens.n_words", "tokens.n_tokens")
 

@@ -20,13 +20,19 @@ from .common import Memo, words_of
 
 
 class Automaton:
-    """``initial`` pieces begin a word, ``continuation`` pieces go on; both are bytes."""
+    """``initial`` pieces begin a word, ``continuation`` pieces go on; both are bytes.
 
-    def __init__(self, initial: Iterable[bytes], continuation: Iterable[bytes]):
+    With ``lone_mark`` the mark before a word is a piece itself: where no initial piece fits, it is one token and the
+    whole word is cut into continuation pieces.
+    """
+
+    def __init__(self, initial: Iterable[bytes], continuation: Iterable[bytes], lone_mark: bool = False):
         self.edges: list[dict[int, int]] = [{}, {}]  # nodes 0 and 1: the roots of the two kinds
         ends = {self._add(0, p) for p in initial if p} | {self._add(1, p) for p in continuation if p}
         self.fail = [-1] * len(self.edges)
         self.pops = [0] * len(self.edges)
+        if lone_mark:
+            self.fail[0], self.pops[0] = 1, 1
         queue = deque([(0, -1, 0), (1, -1, 0)])
         while queue:
             node, parent, byte = queue.popleft()
@@ -76,16 +82,28 @@ class Automaton:
         return n
 
 
-def byte_level_pieces(path: str, space: str = "Ġ") -> tuple[list[bytes], list[bytes]]:
-    """Pieces of a byte-level vocabulary file: those that start with the space mark begin words, all others go on."""
+def _vocabulary(path: str) -> dict[str, int]:
     with open(path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
+        return json.load(f)["model"]["vocab"]
+
+
+def byte_level_pieces(path: str, space: str = "Ġ") -> tuple[list[bytes], list[bytes]]:
+    """Pieces of a byte-level vocabulary file: those that start with the space mark begin words, all others go on.
+
+    The mark alone holds no byte of a word and is in neither list; ``byte_level_automaton`` takes it in.
+    """
+    vocab = _vocabulary(path)
     back = {c: b for b, c in enumerate(byte_chars())}
     made = lambda p: bytes(back[c] for c in p)
     plain = [p for p in vocab if all(c in back for c in p)]
     return [made(p[1:]) for p in plain if p.startswith(space) and len(p) > 1], [made(p) for p in plain if not p.startswith(space)]
 
 
+def byte_level_automaton(path: str, space: str = "Ġ") -> Automaton:
+    """Automaton over the whole vocabulary of a byte-level file, the lone space mark included where the file has it."""
+    return Automaton(*byte_level_pieces(path, space), lone_mark=space in _vocabulary(path))
+
+
 def count_tokens(docs: DataFrame, automaton: Automaton, text: str = "text", out: str = "tokens") -> DataFrame:
     """Add the struct ``out`` (n_words, n_tokens) to every row.
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pairloom.llm import bpe, fingerprint, pii, quality, token_counts
+from pairloom.llm import bpe, contracts, fingerprint, pii, quality, token_counts
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -91,6 +91,43 @@ def test_token_counts_of_texts(odd_docs):
             assert r.n_tokens == sum(greedy(w, initial, continuation) for w in ws)
 
 
+def marked_greedy(word, vocab):
+    """Tokens of the space mark and the word, longest piece of the whole vocabulary first."""
+    chars = bpe.byte_chars()
+    marked, n, at = "".join(chars[b] for b in b" " + word), 0, 0
+    while at < len(marked):
+        at = next(e for e in range(len(marked), at, -1) if marked[at:e] in vocab)
+        n += 1
+    return n
+
+
+def test_token_counts_of_all_scripts(spark, tmp_path):
+    vocab = token_counts._vocabulary(contracts.vocabulary("byte_bpe_50k.json"))
+    texts = ["работает страна только привет Язык", "中国人民共和国成立 国中人民共和国成立 不 人 日本語", "한국어 안녕하세요", "հայերեն", "สวัสดีครับ ภาษาไทย",
+             "🎉 🎉🎉x \x7f\U000e0001 é ñandú ا עברית हिन्दी", "plain words, 1234 and (signs)", "", None]
+    rng = random.Random(6)
+    texts += [" ".join("".join(chr(rng.choice([rng.randrange(33, 0xD800), rng.randrange(0xE000, 0x20000)])) for _ in range(rng.randint(1, 9))) for _ in range(50))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in contracts.QUERIES["op4_token_counts"](spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        ws = [w.encode() for w in brute.words(t)]
+        assert (got[i].n_words, got[i].n_tokens) == (len(ws), sum(marked_greedy(w, vocab) for w in ws)), t
+
+
+def test_automaton_with_a_lone_mark():
+    rng = random.Random(7)
+    for _ in range(60):
+        word = lambda n: bytes(rng.choice(b"ab") for _ in range(rng.randint(1, n)))
+        initial, continuation = ({word(5) for _ in range(rng.randint(1, 4))} for _ in range(2))
+        continuation |= {b"a", b"b"}
+        chars = bpe.byte_chars()
+        vocab = {"".join(chars[b] for b in p) for p in [b" ", *(b" " + p for p in initial), *continuation]}
+        a = token_counts.Automaton(initial, continuation, lone_mark=True)
+        for _ in range(60):
+            w = word(14)
+            assert a.count(w) == marked_greedy(w, vocab), (initial, continuation, w)
+
+
 def test_pii_base_spans(odd_docs, spark):
     more = ["1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7", "4" * 16, "+1 23 45 67 89 0 1 2 3 4 5 6 7 8", "+1((((((", "x@y@z.de, é@é.fr 日本 q.r+s@t-u.v.w-.", "1.2.3", "01.002.0003.255",
             "1.1.1.99999999999999999999", "a@b.c" * 50, "4111111111111111 " * 300, ".@a.b", "+12345678+12345678"]
