@@ -20,12 +20,17 @@ from .common import SLICE, SPACES, hash64, slices, stored, words_of
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
-#: A line is boilerplate in a host beyond this many documents and this share of the host's documents.
+#: A line is boilerplate in a host beyond this many documents, whatever the host's size.
 MAX_LINE_DOCS = 20
+#: Only the SQL of op9 reads this: it still asks for a share of the host's documents as well.
 MAX_LINE_SHARE = 0.05
 SYMBOLS = "#*$%&|<>"
-#: Bytes of per-host line lists that may be broadcast; more are joined by host.
+#: Bytes of boilerplate line keys that every worker may hold; more are joined to the lines of the documents.
 BROADCAST_BYTES = 32 << 20
+#: Bytes of a key in a set.
+KEY_BYTES = 64
+#: Places where a hot line meets its key in that join.
+SALTS = 16
 
 _DIGITS = re.compile(r"[0-9]+")
 _signed = lambda x: x - (1 << 64) if x >> 63 else x
@@ -62,13 +67,8 @@ def text_stats(text: str | None) -> tuple[int, int, int, int, int]:
             len(with_words) - len(set(with_words)), repeat)
 
 
-def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", max_docs: int = MAX_LINE_DOCS,
-                   max_share: float = MAX_LINE_SHARE) -> DataFrame:
-    """One row per host (null is a host): ``_llm_lines``, the keys of its boilerplate lines.
-
-    A document with n lines has at most n of them, so a host's list has at most
-    (mean lines of a document) / ``max_share`` entries, however many documents it has.
-    """
+def document_lines(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
+    """Host, line key and hash of the text, once for each distinct line of a row."""
 
     def emit(batches):
         for batch in batches:
@@ -80,19 +80,31 @@ def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", ma
                 yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(docs_of, pa.int64())],
                                                  names=["_llm_host", "_llm_key", "_llm_doc"])
 
-    lines = (docs.select(F.col(host).cast("string").alias("_llm_host"), F.col(text).alias("_llm_text"), F.xxhash64(text).alias("_llm_doc"))
-             .mapInArrow(emit, "_llm_host string, _llm_key long, _llm_doc long"))
+    return (docs.select(F.col(host).cast("string").alias("_llm_host"), F.col(text).alias("_llm_text"), F.xxhash64(text).alias("_llm_doc"))
+            .mapInArrow(emit, "_llm_host string, _llm_key long, _llm_doc long"))
+
+
+def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", max_docs: int = MAX_LINE_DOCS) -> DataFrame:
+    """The boilerplate lines: host (null is a host) and line key, one row each."""
     # Distinct documents first: a hot line spreads over its documents, then only counts meet.
-    counts = lines.distinct().groupBy("_llm_host", "_llm_key").agg(F.count(F.lit(1)).alias("_llm_docs"))
-    sizes = docs.groupBy(F.col(host).cast("string").alias("_llm_of")).agg(F.count(F.lit(1)).alias("_llm_size"))
-    return (counts.where(F.col("_llm_docs") > max_docs)
-            .join(sizes, F.col("_llm_host").eqNullSafe(F.col("_llm_of")))
-            .where(F.col("_llm_docs") > F.col("_llm_size") * max_share)
-            .groupBy("_llm_host").agg(F.collect_list("_llm_key").alias("_llm_lines")))
+    counts = document_lines(docs, text, host).distinct().groupBy("_llm_host", "_llm_key").agg(F.count(F.lit(1)).alias("_llm_docs"))
+    return counts.where(F.col("_llm_docs") > max_docs).drop("_llm_docs")
+
+
+def _lines_of_documents(docs: DataFrame, frequent: DataFrame, text: str, host: str) -> DataFrame:
+    """``_llm_lines`` of each distinct text of a host that has boilerplate lines: their keys, at most its own lines.
+
+    A hot line meets its key in ``SALTS`` places, as the hash of the text decides.
+    """
+    lines = document_lines(docs, text, host).distinct().withColumn("_llm_salt", F.pmod("_llm_doc", F.lit(SALTS)))
+    keys = frequent.select(F.col("_llm_host").alias("_llm_of"), F.col("_llm_key").alias("_llm_line"),
+                           F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_llm_place"))
+    same = (F.col("_llm_host").eqNullSafe(F.col("_llm_of")) & (F.col("_llm_key") == F.col("_llm_line"))
+            & (F.col("_llm_salt") == F.col("_llm_place")))
+    return lines.join(keys, same).groupBy("_llm_host", "_llm_doc").agg(F.collect_list("_llm_key").alias("_llm_lines"))
 
 
-def quality(docs: DataFrame, text: str = "text", host: str = "source", max_docs: int = MAX_LINE_DOCS,
-            max_share: float = MAX_LINE_SHARE, clean: bool = True) -> DataFrame:
+def quality(docs: DataFrame, text: str = "text", host: str = "source", max_docs: int = MAX_LINE_DOCS, clean: bool = True) -> DataFrame:
     """Add the struct ``quality`` to every row.
 
     Fields: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed_lines,
@@ -100,11 +112,19 @@ def quality(docs: DataFrame, text: str = "text", host: str = "source", max_docs:
     Null and empty texts have zeros and fail. An empty table gives an empty table; repeated rows are
     judged alike; other columns pass through, but a column named ``quality`` is replaced.
     """
-    lists = stored(frequent_lines(docs, text, host, max_docs, max_share), "frequent-lines")
-    size = lists.agg(F.sum(F.size("_llm_lines") * 8 + 64)).first()[0] or 0
-    if size <= BROADCAST_BYTES:
-        lists = F.broadcast(lists)
-    joined = docs.drop("quality").join(lists, F.col(host).cast("string").eqNullSafe(F.col("_llm_host")), "left")
+    docs = docs.drop("quality")
+    frequent = stored(frequent_lines(docs, text, host, max_docs), "frequent-lines")
+    shared = None
+    if frequent.count() * KEY_BYTES <= BROADCAST_BYTES:
+        by_host: dict[str | None, set[int]] = {}
+        for h, k in zip(*(c.to_pylist() for c in frequent.select("_llm_host", "_llm_key").toArrow().columns), strict=True):
+            by_host.setdefault(h, set()).add(k)
+        shared = docs.sparkSession.sparkContext.broadcast(by_host)
+        joined = docs.withColumn("_llm_lines", F.col(host).cast("string"))  # the host leads a task to its lines
+    else:
+        lists = _lines_of_documents(docs, frequent, text, host)
+        same = F.col(host).cast("string").eqNullSafe(F.col("_llm_host")) & (F.xxhash64(text) == F.col("_llm_doc"))
+        joined = docs.join(lists, same, "left").drop("_llm_host", "_llm_doc")
     kind = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
             "n_removed_lines long, n_left_words long, kept boolean" + ", clean_text string" * clean)
 
@@ -112,8 +132,8 @@ def quality(docs: DataFrame, text: str = "text", host: str = "source", max_docs:
         stats = text_stats(text)
         failed = stats[0] < MIN_WORDS or 100 * stats[4] > MAX_REPEAT_PERCENT * stats[0]
         left, removed = text, 0
-        if text and lines is not None and len(lines):
-            frequent = set(lines)
+        if text and lines:
+            frequent = set(lines) if shared is None else lines
             rows = text.split("\n")
             rest = [x for x in rows if line_key(x) not in frequent]
             removed, left = len(rows) - len(rest), "\n".join(rest)
@@ -130,13 +150,14 @@ def quality(docs: DataFrame, text: str = "text", host: str = "source", max_docs:
     @F.arrow_udf(kind)
     def judged(texts: pa.Array, lines: pa.Array) -> pa.Array:
         # Piece by piece, so that a batch of long texts is never held as Python objects.
+        held = None if shared is None else shared.value
         out = [part([])]
         for at in range(0, len(texts), SLICE):
             pieces = zip(texts.slice(at, SLICE).to_pylist(), lines.slice(at, SLICE).to_pylist(), strict=True)
-            out.append(part([judge(t, x) for t, x in pieces]))
+            out.append(part([judge(t, x if held is None else held.get(x)) for t, x in pieces]))
         whole = pa.concat_arrays(out)
         del out
         pa.default_memory_pool().release_unused()
         return whole
 
-    return joined.withColumn("quality", judged(F.col(text), F.col("_llm_lines"))).drop("_llm_host", "_llm_lines")
+    return joined.withColumn("quality", judged(F.col(text), F.col("_llm_lines"))).drop("_llm_lines")

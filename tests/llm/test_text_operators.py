@@ -192,6 +192,20 @@ def test_boilerplate_blocks_go_and_a_refrain_stays(spark):
     assert got[200].n_removed_lines == 0 and got[200].clean_text == song
 
 
+@pytest.mark.parametrize("limit", [quality.BROADCAST_BYTES, -1])
+def test_boilerplate_of_a_large_host(spark, monkeypatch, limit):
+    monkeypatch.setattr(quality, "BROADCAST_BYTES", limit)
+    words = lambda seed, n: " ".join("".join(random.Random(f"{seed}-{j}").choices("abcdefgh", k=9)) for j in range(n))
+    docs = [(i, words(i, 12) + "\nfooter of few pages" * (i < 25) + "\nfooter of twenty" * (i < 20), host) for i in range(1200) for host in ("h", None)]
+    docs += [(2000, "", "h"), (2001, None, "h"), (2002, None, None), (2003, words(0, 12), "other")] + [(2004, words(1, 12) + "\nfooter of few pages\nfooter of twenty", "h")] * 40
+    rows = quality.quality(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        marked = r.doc_id < 25 or r.doc_id == 2004
+        assert r.quality.n_removed_lines == marked, r
+        assert r.quality.clean_text == (r.text.replace("\nfooter of few pages", "") if marked else r.text)
+
+
 def test_fingerprints():
     rng = random.Random(2)
     text = " ".join(f"w{rng.randrange(5000)}" for _ in range(600)).encode()
