@@ -149,6 +149,22 @@ def test_pii_added_spans_and_redaction(spark):
                      6: "<EMAIL> and <IP>, <PHONE>.", 7: None, 8: "nothing"}
 
 
+def test_iban_ends_with_its_number(spark):
+    bare = ["DE89370400440532013000", "GB29NWBK60161331926819", "NO9386011117947", "FR1420041010050500013M02606", "BE68539007547034", "CH9300762011623852957",
+            "MT84MALT011000012345MTLCAST001S", "ES9121000418450200051332"]
+    ibans = bare + [" ".join(x[i:i + 4] for i in range(0, len(x), 4)) for x in bare]
+    behind = ["", " Bitte zahlen", " BIC COBADEFF", " BIC: COBADEFFXXX", " 2024-01-01", " 5", " A", ".", "\nUND", " DE", f" {bare[0]}", f" {ibans[8]} OK"]
+    texts = [f"{before}{x}{b}" for before in ("", "Konto AB12 ", "IBAN: ") for x in ibans for b in behind]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    wanted = [[x] + [y for y in (bare[0], ibans[8]) if b.startswith(" " + y)] for _ in range(3) for x in ibans for b in behind]
+    for r in pii.find_pii(docs).collect():
+        assert [s.value for s in r.pii if s.kind == "iban"] == wanted[r.i], r.text
+    for r in pii.redact(docs).collect():
+        assert r.text.count("<IBAN>") == len(wanted[r.i]) and not any(x in r.text for x in ibans), texts[r.i]
+    wrong = ["DE89370400440532013000X", "XDE89370400440532013000", "DE8937040044053201300", "DE88370400440532013000 Bitte", "GB29NWBK60161331926818"]
+    assert all(not r.pii for r in pii.find_pii(spark.createDataFrame([(t,) for t in wrong], "text string")).collect())
+
+
 def test_pii_stays_in_sql(odd_docs):
     plan = pii.redact(pii.find_pii(odd_docs))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
