@@ -74,5 +74,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_counted(rows: DataFrame, keys: DataFrame, on: list[str], count: str, total: int, spread: Column, how: str = "inner") -> DataFrame:
+    """Join ``rows`` with ``keys``, which hold each key once with its number of rows in the column ``count``.
+
+    A key with more than a thousandth of the ``total`` rows (1 000 at least) meets its rows in several places, as
+    ``spread`` (an integer of the row) decides. There are 1 000 such keys at most, so they are broadcast.
+    """
+    least = max(1_000, total // 1_000)
+    places = F.ceil(F.col(count) / F.lit(least)).cast("int")
+    hot = keys.where(F.col(count) > least).select(*on, places.alias("_llm_places"))
+    place = F.when(F.col("_llm_places").isNotNull(), F.pmod(spread, F.col("_llm_places")).cast("int")).otherwise(F.lit(0))
+    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("_llm_place", place).drop("_llm_places")
+    copies = keys.withColumn("_llm_place", F.explode(F.sequence(F.lit(0), F.greatest(places - 1, F.lit(0))))).drop(count)
+    return dealt.join(copies, [*on, "_llm_place"], how).drop("_llm_place")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, language, mixing, near_dup, oracles, pii, quality, token_counts, toxicity, urls
+from . import bpe, fingerprint, language, mixing, near_dup, oracles, pii, quality, substrings, token_counts, toxicity, urls, whitening
 from .common import held_out, table
 
 QUERIES: dict = {}
@@ -100,6 +100,20 @@ def op10_near_dup(spark, sf_dir):
     return near_dup.near_duplicates(docs, shingle=3, percent=85, bands=20, rows=6).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+@register("op11_whitening")
+def op11_whitening(spark, sf_dir):
+    white = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    each = white.select("vec_id", "whitening", F.posexplode(F.arrays_zip("whitening.values", "whitening.explained")).alias("at", "of"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "whitening.n", "whitening.deviation", F.col("of.values").alias("whitened"),
+                       F.col("of.explained").alias("explained"), "whitening.identity_error")
+
+
+@register("op12_substring_dedup", oracles.SUBSTRINGS)
+def op12_substring_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.remove_repeats(docs).select("doc_id", "repeats.n_words", "repeats.n_removed", F.sha2("repeats.kept_text", 256).alias("kept_sha256"))
+
+
 @register("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, urls
+from . import mixing, quality, substrings, urls
 from .common import WORD_CLASS
 
 _WORDS = f"'{WORD_CLASS}+'"
@@ -48,6 +48,18 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesc
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least_of l ON l.a = d.doc_id
 """
 
+SUBSTRINGS = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS ws FROM documents),
+w AS (SELECT rid, doc_id, i, md5(array_to_string(ws[i:i + {substrings.WINDOW - 1}], ' ')) AS h
+      FROM (SELECT *, unnest(generate_series(1, len(ws) - {substrings.WINDOW - 1})) AS i FROM d)),
+first_of AS (SELECT h, min(doc_id) AS least FROM w GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT rid, unnest(generate_series(i, i + {substrings.WINDOW - 1})) AS j FROM w JOIN first_of USING (h) WHERE doc_id > least),
+words AS (SELECT rid, generate_subscripts(ws, 1) AS j, unnest(ws) AS word FROM d),
+kept AS (SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS t FROM words ANTI JOIN gone USING (rid, j) GROUP BY rid)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, (len(d.ws) - coalesce(kept.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+"""
+
 MIXING = rf"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_WORDS}))::BIGINT AS size,
                   ('0x' || substr(md5('{mixing.SEED}:' || doc_id::VARCHAR), 1, 15))::BIGINT AS key FROM documents),
