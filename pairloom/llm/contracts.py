@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, language, mixing, near_dup, oracles, pii, quality, substrings, token_counts, toxicity, urls, whitening
-from .common import held_out, table
+from . import alignment, bpe, fingerprint, language, mixing, near_dup, oracles, pii, quality, substrings, token_counts, toxicity, urls, whitening
+from .common import held_out, stored, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -114,6 +114,14 @@ def op12_substring_dedup(spark, sf_dir):
     return substrings.remove_repeats(docs).select("doc_id", "repeats.n_words", "repeats.n_removed", F.sha2("repeats.kept_text", 256).alias("kept_sha256"))
 
 
+@register("op13_alignment")
+def op13_alignment(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    aligned = stored(alignment.align(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")).drop("text"), "aligned")
+    scored = alignment.score_links(aligned, alignment.pair_counts(aligned))
+    return scored.select("doc_id", "alignment.n_a", "alignment.n_b", "alignment.n_groups", "n_links", "n_best", "count_sum", "alignment.groups_sha256")
+
+
 @register("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline

@@ -269,9 +269,10 @@ def _cut(texts: list, copied: list, starts: list, window: int) -> pa.Array:
         if copy and n >= window:
             words = []
         elif at:
+            at = np.unique(at)  # repeated rows list their windows more than once
             change = np.zeros(n + 1, np.int64)
-            change[np.array(at)] += 1
-            np.subtract.at(change, np.array(at) + window, 1)
+            change[at] += 1
+            change[at + window] -= 1
             words = [words[i] for i in np.flatnonzero(np.cumsum(change[:n]) == 0).tolist()]
         sizes.append(n)
         removed.append(n - len(words))
