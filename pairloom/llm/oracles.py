@@ -10,14 +10,10 @@ _WORDS = f"'{WORD_CLASS}+'"
 QUALITY = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT rid, doc_id, source, t, regexp_extract_all(t, {_WORDS}) AS ws FROM d),
-cut AS (SELECT rid, source, generate_subscripts(parts, 1) AS pos, unnest(parts) AS line FROM (SELECT *, string_split(t, chr(10)) AS parts FROM d)),
-lines AS (SELECT rid, source, pos, line, len(ws) AS n, lower(regexp_replace(array_to_string(ws, ' '), '[0-9]+', '0', 'g')) AS norm
+cut AS (SELECT rid, source, md5(t) AS doc, unnest(string_split(t, chr(10))) AS line FROM d),
+lines AS (SELECT rid, source, doc, line, len(ws) AS n, lower(regexp_replace(array_to_string(ws, ' '), '[0-9]+', '0', 'g')) AS norm
           FROM (SELECT *, regexp_extract_all(line, {_WORDS}) AS ws FROM cut) WHERE len(ws) > 0),
-around AS (SELECT *, coalesce(lag(norm) OVER o, '') AS before, coalesce(lead(norm) OVER o, '') AS after FROM lines WINDOW o AS (PARTITION BY rid ORDER BY pos)),
-counts AS (SELECT source, norm, count(*) AS n FROM (SELECT DISTINCT source, norm, before, after FROM around) GROUP BY source, norm),
-sizes AS (SELECT source, count(*) AS n FROM d GROUP BY source),
-frequent AS (SELECT c.source, c.norm FROM counts c JOIN sizes s ON c.source IS NOT DISTINCT FROM s.source
-             WHERE c.n > {quality.MAX_LINE_DOCS} AND c.n > s.n * {quality.MAX_LINE_SHARE}),
+frequent AS (SELECT source, norm FROM lines GROUP BY source, norm HAVING count(DISTINCT doc) > {quality.MAX_LINE_DOCS}),
 removed AS (SELECT l.rid, count(*) AS n_lines, sum(l.n) AS n_words
             FROM lines l JOIN frequent f ON l.norm = f.norm AND l.source IS NOT DISTINCT FROM f.source GROUP BY l.rid),
 dups AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY rid),
@@ -104,11 +100,11 @@ marks AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN qual
 lab AS (SELECT row_number() OVER () AS rid, t.tokens, marks.bad FROM t JOIN marks ON t.page_id = marks.doc_id WHERE marks.bad IS NOT NULL),
 n AS (SELECT count(*) AS n, greatest(ceil({urls.MIN_SHARE} * count(*)), {urls.MIN_COUNT}) AS least FROM lab),
 often AS (SELECT token, count(*) AS c FROM (SELECT unnest(tokens) AS token FROM lab) GROUP BY token),
-useful AS (SELECT list(token) AS ts FROM often, n WHERE c >= n.least AND c < 0.9 * n.n),
+useful AS (SELECT coalesce(list(token), []) AS ts FROM often WHERE c >= {urls.MIN_COUNT}),
 x AS (SELECT rid, bad, list_filter(tokens, lambda t: list_contains(useful.ts, t)) AS ts FROM lab, useful),
 subs AS (SELECT bad, list_filter(ts, lambda t, i: (b >> (i - 1)::INTEGER) & 1 = 1) AS part FROM (SELECT bad, ts, unnest(generate_series(1, (1 << len(ts)::INTEGER) - 1)) AS b FROM x WHERE len(ts) > 0)),
 rules AS (SELECT part, sum(bad)::DOUBLE / count(*) AS confidence, sum(bad) / n.n::DOUBLE AS support FROM subs, n GROUP BY part, n.n, n.least
-          HAVING sum(bad) >= n.least AND sum(bad)::DOUBLE / count(*) >= {urls.MIN_CONFIDENCE}),
+          HAVING sum(bad) >= CASE WHEN len(part) = 1 THEN {urls.MIN_COUNT} ELSE n.least END AND sum(bad)::DOUBLE / count(*) >= {urls.MIN_CONFIDENCE}),
 kept AS (SELECT * FROM rules r WHERE NOT EXISTS (SELECT 1 FROM rules q WHERE len(q.part) < len(r.part) AND list_has_all(r.part, q.part) AND q.confidence >= r.confidence)),
 hit AS (SELECT u.url, max({{'c': k.confidence, 's': k.support, 'r': array_to_string(k.part, ' ')}}) AS m
         FROM (SELECT DISTINCT url, tokens FROM t WHERE explicit IS NULL AND url IS NOT NULL) u JOIN kept k ON list_has_all(u.tokens, k.part) GROUP BY u.url)

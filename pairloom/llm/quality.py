@@ -22,8 +22,6 @@ MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 #: A line is boilerplate in a host beyond this many documents, whatever the host's size.
 MAX_LINE_DOCS = 20
-#: Only the SQL of op9 reads this: it still asks for a share of the host's documents as well.
-MAX_LINE_SHARE = 0.05
 SYMBOLS = "#*$%&|<>"
 #: Bytes of boilerplate line keys that every worker may hold; more are joined to the lines of the documents.
 BROADCAST_BYTES = 32 << 20

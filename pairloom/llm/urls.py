@@ -1,7 +1,7 @@
 """URL filters (1) in DataFrame functions only: FP-growth mines URL token combinations that go with bad labels.
 
 Rules ``{tokens} -> block`` are kept above a support and a confidence and dropped when part of their
-tokens does as well. The rules stand in an inverted index under their rarest token: a URL meets only the rules whose
+tokens does as well. Single tokens are counted, so for them the support is a number of rows at every size. The rules stand in an inverted index under their rarest token: a URL meets only the rules whose
 rarest token it has. Explicit (host, path) rules come first.
 """
 
@@ -17,9 +17,9 @@ from .common import stored
 
 #: (verdict, host and path) of the explicit rules.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: Share of the labelled URLs, and number of them, that a rule must hold for. The share bounds what FP-growth
-#: sends to the driver: at most (tokens of a URL) / share frequent tokens.
-MIN_SHARE, MIN_COUNT = 0.002, 10
+#: Bad labelled URLs that a rule must hold for; a combination of tokens must also hold for a share of all labelled URLs. The
+#: share bounds what FP-growth sends to the driver: at most (tokens of a URL) / share frequent tokens.
+MIN_COUNT, MIN_SHARE = 10, 0.0001
 MIN_CONFIDENCE = 0.6
 BLOCK = "label=block"
 #: Rules that may be broadcast; more are joined by token.
@@ -62,23 +62,23 @@ def mine_rules(urls: DataFrame, tokens: str = "tokens", bad: str = "bad", min_sh
                min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(antecedent, confidence, support, anchor) from labelled rows; ``bad`` is boolean, null labels are left out.
 
-    ``anchor`` is the antecedent's rarest token. Tokens that stand in nine of ten rows tell nothing and are not mined.
+    ``anchor`` is the antecedent's rarest token. All tokens are mined, also those of nearly all rows. A token alone
+    needs ``min_count`` bad rows, a combination also ``min_share`` of the rows.
     """
     spark = urls.sparkSession
     rows = stored(urls.where(F.col(bad).isNotNull()).select(F.col(tokens).alias("tokens"), F.col(bad).alias("bad")), "labelled-urls")
     n, n_bad = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("bad"), 1))).first()
     if n_bad < min_count:
         return spark.range(0).selectExpr("array('') antecedent", "0D confidence", "0D support", "'' anchor")
-    seen = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    seen = rows.select("bad", F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("bad"), 1)).alias("n_bad"))
+    frequent = stored(seen.where(F.col("n") >= min_count), "url-tokens")
+    alone = (frequent.select(F.array("token").alias("antecedent"), (F.col("n_bad") / F.col("n")).alias("confidence"), (F.col("n_bad") / F.lit(n)).alias("support"), "n_bad")
+             .where((F.col("n_bad") >= min_count) & (F.col("confidence") >= min_confidence)).drop("n_bad"))
     least = max(math.ceil(min_share * n), min_count)
-    frequent = stored(seen.where(F.col("n") >= least), "url-tokens")
-    # At most (tokens of a URL) / 0.9 tokens come to the driver.
-    common = [r.token for r in frequent.where(F.col("n") >= 0.9 * n).select("token").collect()]
-    items = rows.withColumn("tokens", F.array_except("tokens", F.array(*map(F.lit, common)).cast("array<string>")))
-    items = items.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BLOCK))).otherwise(F.col("tokens")).alias("items"))
+    items = rows.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BLOCK))).otherwise(F.col("tokens")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, minConfidence=min_confidence).fit(items)
-    rules = (model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCK)))
-             .select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support"))
+    rules = (model.associationRules.where((F.col("consequent") == F.array(F.lit(BLOCK))) & (F.size("antecedent") > 1))
+             .select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support").unionByName(alone))
     rarest = (rules.select("antecedent", F.explode("antecedent").alias("token")).join(frequent, "token")
               .groupBy("antecedent").agg(F.min_by("token", F.struct("n", "token")).alias("anchor")))
     rules = stored(rules.join(rarest, "antecedent"), "url-rules")
