@@ -74,6 +74,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of text that a training sample brings to the driver at most.
+SAMPLE_BYTES = 64 << 20
+
+
+def one_text_each(rows: DataFrame, key: list[str], more: list[str]) -> DataFrame:
+    """Of the rows of a key the one whose ``text`` has the lowest hash (null: none); partial minima meet, no group is held."""
+    of = F.struct(F.xxhash64("text").alias("th"), "text", *more)
+    return rows.where(F.col("text").isNotNull()).groupBy(*key).agg(F.min(of).alias("_llm_m")).select(*key, "_llm_m.text", *[f"_llm_m.{c}" for c in more])
+
+
+def fit_sample(rows: DataFrame, label: str, fit, limit: int | None = None):
+    """``fit(texts, labels)`` on rows (doc, text, ``label``, _llm_h) in the order of ``_llm_h``, while their bytes stay within the limit.
+
+    The sizes come first, so that the driver never holds more text than that.
+    """
+    rows = stored(rows, "training-sample")
+    sizes = sorted(tuple(r) for r in rows.select("_llm_h", F.col("doc").cast("string"), F.octet_length("text")).collect())
+    held, last = 0, None
+    for h, _, n in sizes:
+        held += n
+        if held > (SAMPLE_BYTES if limit is None else limit):
+            break
+        last = h
+    sample = rows.where(F.lit(False) if last is None else F.col("_llm_h") <= last).collect()
+    sample.sort(key=lambda r: (r["_llm_h"], str(r["doc"]), r["text"]))
+    return fit([r["text"] for r in sample], [r[label] for r in sample])
+
+
 def join_counted(rows: DataFrame, keys: DataFrame, on: list[str], count: str, total: int, spread: Column, how: str = "inner") -> DataFrame:
     """Join ``rows`` with ``keys``, which hold each key once with its number of rows in the column ``count``.
 

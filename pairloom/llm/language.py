@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash64
+from .common import fit_sample, hash64, one_text_each
 
 FEATURES = 1 << 16  # grams() keeps 16 bits
 #: Bound of the training sample: so many documents of each language, the smallest by hash of their id.
@@ -123,20 +123,27 @@ def fit(texts: list[str], langs: list[str], epochs: int = EPOCHS, rate: float =
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
-    """Fit on the bounded sample; rows with null language or text do not count."""
+    """Fit on the bounded sample; rows with null language or text do not count.
+
+    Of several rows of one id and language the text of lowest hash counts. A language gives ``per_language`` documents, in the order
+    of a hash of id and text, and all together not more than ``SAMPLE_BYTES`` of text. None without any.
+    """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    ids = rows.select("doc", "lang", F.xxhash64(F.lit(8), "doc").alias("h"))
+    keys = rows.select("doc", "lang", F.xxhash64("text").alias("th"))
+    ids = keys.groupBy("doc", "lang").agg(F.min("th").alias("th")).withColumn("_llm_h", F.xxhash64(F.lit(8), "doc", "th"))
     # Within salts first, then over at most salts * per_language rows: a hot language meets no single task.
-    for part in (["lang", F.pmod("h", F.lit(64))], ["lang"]):
-        ids = ids.withColumn("r", F.row_number().over(Window.partitionBy(*part).orderBy("h", "doc"))).where(F.col("r") <= per_language)
-    pick = ids.select("doc").distinct()
-    sample = rows.join(F.broadcast(pick), "doc", "left_semi").collect()
-    sample.sort(key=lambda r: (str(r.doc), r.text))
-    return fit([r.text for r in sample], [r.lang for r in sample])
+    for part in (["lang", F.pmod("_llm_h", F.lit(64))], ["lang"]):
+        ids = ids.withColumn("r", F.row_number().over(Window.partitionBy(*part).orderBy("_llm_h", "doc"))).where(F.col("r") <= per_language)
+    pick = F.broadcast(ids.select(F.col("doc").alias("_llm_d"), F.col("lang").alias("_llm_l"), "th", "_llm_h"))
+    same = F.col("doc").eqNullSafe(F.col("_llm_d")) & (F.col("lang") == F.col("_llm_l")) & (F.xxhash64("text") == F.col("th"))
+    return fit_sample(one_text_each(rows.join(pick, same), ["doc", "lang"], ["_llm_h"]), "lang", fit)
 
 
 def detect(docs: DataFrame, model: Model | None, text: str = "text", out: str = "language") -> DataFrame:
-    """Add the struct ``out`` (lang, score, ambiguous) to every row; ``und`` with score 0 for null and texts without a letter, or without a model."""
+    """Add the struct ``out`` (lang, score, ambiguous) to every row; ``und`` with score 0 for null and texts without a letter, or without a model.
+
+    Repeated rows get equal results, an empty table gives an empty table, other columns pass through (one named ``out`` is replaced).
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model and (model.languages, model.weights, model.bias, model.trust))
 
     def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

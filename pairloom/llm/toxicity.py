@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo
+from .common import Memo, fit_sample, one_text_each
 
 FEATURES = 1 << 18
 #: Bounds of the training sample: so many labelled documents of each class, the smallest by hash of their id.
@@ -30,8 +30,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 def features(word: str) -> list[int]:
     """Hashed features of a lower-case word."""
     marked = f"^{word}$"
-    grams = {marked, *(marked[:n] for n in range(4, 8)), *(word[i:i + 4] for i in range(len(word) - 3))}
-    return [zlib.crc32(g.encode()) % FEATURES for g in sorted(grams)]
+    grams = dict.fromkeys([marked, marked[:4], marked[:5], marked[:6], marked[:7], *[word[i:i + 4] for i in range(len(word) - 3)]])
+    return [zlib.crc32(g.encode()) % FEATURES for g in grams]
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:
@@ -57,8 +57,8 @@ class Model:
         self.bias, self.weights = bias, weights
 
     def scorer(self):
-        known = Memo(lambda w: float(self.weights[features(w)].sum()))
-        bias = self.bias
+        table, bias = self.weights.tolist(), self.bias
+        known = Memo(lambda w: sum([table[i] for i in features(w)]), 500_000)
 
         def logits(text: str | None) -> list[tuple[int, int, float]]:
             return [(a, b, bias + sum(map(known.__getitem__, tokens(text[a:b])))) for a, b in sentences(text)]
@@ -134,7 +134,11 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, rate:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic",
           sample: dict[int, int] | None = None) -> Model:
-    """Fit on the bounded sample; several labels of one document count as their largest, null ids, texts and labels not at all."""
+    """Fit on the bounded sample; several labels of one document count as their largest, null ids, texts and labels not at all.
+
+    Of several rows of one id the text of lowest hash counts. Documents come in the order of a hash of their ids, as many as
+    ``sample`` names for each label, and not beyond ``SAMPLE_BYTES`` of text. Empty tables give a model that scores 0.
+    """
     sample = sample or SAMPLE
     marks = (labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id_col).alias("_llm_id"))
              .agg(F.max(F.col(label).cast("int")).alias("_llm_y")).withColumn("_llm_h", F.xxhash64(F.lit(7), "_llm_id")))
@@ -142,16 +146,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     for y, n in sample.items():
         part = marks.where(F.col("_llm_y") == y).orderBy("_llm_h", "_llm_id").limit(n)
         pick = part if pick is None else pick.unionByName(part)
-    rows = (docs.select(F.col(id_col).alias("doc"), F.col(text).alias("text")).join(F.broadcast(pick), F.col("doc") == F.col("_llm_id"))
-            .select("text", F.col("_llm_y").alias("y"), "doc").collect())
-    rows.sort(key=lambda r: (r.doc, r.text or ""))
-    return fit([r.text for r in rows], [r.y for r in rows])
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text).alias("text")).join(F.broadcast(pick), F.col("doc") == F.col("_llm_id"))
+    return fit_sample(one_text_each(rows, ["doc"], ["_llm_y", "_llm_h"]), "_llm_y", fit)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicity", spans: bool = True) -> DataFrame:
     """Add the struct ``out`` to every row: score (0 to 1) and, if ``spans``, the offending sentences (start, end, score), score >= 0.5.
 
-    Texts that are null, empty or without letters score 0. Repeated rows score alike; other columns pass through.
+    Texts that are null, empty or without letters score 0. Repeated rows score alike, an empty table gives an empty table,
+    other columns pass through (one named ``out`` is replaced).
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))
     offence = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
