@@ -59,22 +59,45 @@ def strip(text) -> Column:
     return F.regexp_replace(_c(text), f"^{WHITESPACE_CLASS}++|(?<!{WHITESPACE_CLASS}){WHITESPACE_CLASS}++$", "")
 
 
-# UTF-8 byte sequences read as latin-1 characters, e.g. 'Ã©' for 'é'.
-MOJIBAKE = (r"[\u00C2-\u00DF][\u0080-\u00BF]|[\u00E0-\u00EF][\u0080-\u00BF]{2}"
-            r"|[\u00F0-\u00F4][\u0080-\u00BF]{3}")
+# UTF-8 byte sequences read as latin-1 or windows-1252 characters, e.g. 'Ã©' for 'é', 'â€™' for an apostrophe.
+# Lead bytes are the same letters in both; a byte that follows is a latin-1 character or one of windows-1252's own.
+_OWN_1252 = "".join(bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0xA0))
+_FOLLOWS = rf"[\u0080-\u00BF{_OWN_1252}]"
+MOJIBAKE = rf"[\u00C2-\u00DF]{_FOLLOWS}|[\u00E0-\u00EF]{_FOLLOWS}{{2}}|[\u00F0-\u00F4]{_FOLLOWS}{{3}}"
+#: Leads of Latin letters, punctuation and emoji. Behind other letters a printable character may well be itself ("CAFÉ…", "«É»").
+_PLAIN_LEADS = "ÂÃâãïð"
 
 
-def unescaper() -> Callable[[str], str]:
-    """X1 as a Python function of one text."""
-    runs = re.compile(MOJIBAKE)
+def repair(text: str) -> str:
+    """Undo UTF-8 read as latin-1 or windows-1252, level by level until nothing changes.
 
-    def undo(m: re.Match) -> str:
+    A sequence is replaced if its bytes decode and it has one of the plain leads, holds a control character, or stands
+    beside another sequence that decodes.
+    """
+    byte_of = {ord(c): c.encode("cp1252")[0] for c in _OWN_1252}
+    runs, one = re.compile(f"(?:{MOJIBAKE})+"), re.compile(MOJIBAKE)
+
+    def decoded(seq: str) -> str | None:
         try:
-            return m[0].encode("latin-1").decode("utf-8")
+            return bytes(byte_of.get(ord(c), ord(c)) for c in seq).decode("utf-8")
         except UnicodeDecodeError:
-            return m[0]
+            return None
+
+    def undo(run: re.Match) -> str:
+        parts = one.findall(run[0])
+        new = [decoded(x) for x in parts]
+        several = sum(x is not None for x in new) > 1
+        sure = lambda x: several or x[0] in _PLAIN_LEADS or any("\x80" <= c <= "\x9f" for c in x)
+        return "".join(y if y is not None and sure(x) else x for x, y in zip(parts, new, strict=True))
 
-    return lambda x: html.unescape(html.unescape(runs.sub(undo, x))).strip()
+    while (better := runs.sub(undo, text)) != text:
+        text = better
+    return text
+
+
+def unescaper() -> Callable[[str], str]:
+    """X1 as a Python function of one text."""
+    return lambda x: html.unescape(html.unescape(repair(x))).strip()
 
 
 def _clean_marked(s: pd.Series) -> pd.Series:
@@ -83,7 +106,7 @@ def _clean_marked(s: pd.Series) -> pd.Series:
 
 
 def basic_clean(text) -> Column:
-    """Repair double-encoded UTF-8 sequence by sequence, HTML-unescape twice, strip.
+    """Repair UTF-8 that was read as latin-1 or windows-1252 (any number of times), HTML-unescape twice, strip.
 
     Only texts that hold an entity or a double-encoded sequence go to Python (the standard
     library knows all entity names); the others are stripped in the JVM.

@@ -178,7 +178,8 @@ def concat_parts(parts: Sequence[DataFrame], id_col: str, pad: Mapping[str, int]
     widest = out.agg(*[F.max(F.size(c)).alias(c) for c in pad]).first() if pad else {}
     for c, width in pad.items():
         full = max(width, widest[c] or 0)
-        out = out.withColumn(c, F.concat(F.col(c), F.array_repeat(F.lit(pad_value).cast("long"), F.lit(full) - F.size(c))))
+        fill = F.lit(pad_value).cast(out.schema[c].dataType.elementType)
+        out = out.withColumn(c, F.concat(F.col(c), F.array_repeat(fill, F.lit(full) - F.size(c))))
     return out
 
 

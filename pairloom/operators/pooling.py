@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,15 +116,24 @@ def position_ids(df: DataFrame, seq: str, pos: str, token: str, pad_id: int = 1,
 
 
 def position_ids_array(ids, pad_id: int = 1):
-    """W3 on an ids array column (one sequence per row), one pass over the array."""
-    c = F.col(ids) if isinstance(ids, str) else ids
-    start = F.struct(F.lit(pad_id).cast("long").alias("n"), F.array().cast("array<long>").alias("out"))
+    """W3 on an ids array column (one sequence per row): a running count over the flat values, restarted at each row.
+
+    A null id counts as padding; a null array stays null.
+    """
 
-    def step(acc, x):
-        n = acc["n"] + F.when(x != pad_id, 1).otherwise(0)
-        return F.struct(n.alias("n"), F.array_append(acc["out"], F.when(x != pad_id, n).otherwise(F.lit(pad_id).cast("long"))).alias("out"))
+    def run(lists: pa.Array) -> pa.Array:
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        real = pc.fill_null(lists.flatten(), pad_id).to_numpy() != pad_id
+        seen = np.r_[0, np.cumsum(real)]
+        starts = offsets - offsets[0]
+        each = np.diff(starts)
+        out = np.where(real, pad_id + seen[1:] - np.repeat(seen[starts[:-1]], each), pad_id)
+        return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(out.astype(np.int64)))
 
-    return F.aggregate(c, start, step, lambda acc: acc["out"])
+    c = F.col(ids) if isinstance(ids, str) else ids
+    # an empty array in the place of null keeps the offsets of the flat values right
+    made = F.arrow_udf(run, "array<long>")(F.coalesce(c, F.array()).cast("array<long>"))
+    return F.when(c.isNotNull(), made)
 
 
 #: Poolers by name, all over long-form rows (sequence, position, vector). Add to it to register another.

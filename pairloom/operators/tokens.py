@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,15 +158,169 @@ def pair_counts(rows: DataFrame) -> DataFrame:
              .agg(F.sum("count").alias("count")))
 
 
+#: Packed words of one state row, merges applied anew to a stored state before it is written again, pairs seen at once.
+BLOCK_WORDS, RESTATE, TOP_PAIRS = 4_096, 16, 1_024
+_CODE = 22  # bits of a symbol's code in a packed (word, left, right)
+
+
+def _packed_words(rows: DataFrame) -> DataFrame:
+    """Blocks of distinct words: codes of their symbols, where each word ends, how often it occurs."""
+    code = {b: i for i, (b, _) in enumerate(T.byte_table())}
+    of_byte = np.array([code[b] for b in range(256)], "<i4")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK_WORDS):
+                batch = whole.slice(at, BLOCK_WORDS)
+                words = [w.encode("utf-8") for w in batch.column("token").to_pylist()]
+                ends = np.cumsum(list(map(len, words)))
+                codes = of_byte[np.frombuffer(b"".join(words), np.uint8)]
+                codes[ends - 1] += 256  # the last symbol carries the end of the word
+                counts = batch.column("count").to_numpy().astype("<i8")
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (codes, ends.astype("<i8"), counts)], names=["codes", "ends", "counts"])
+
+    words = token_counts(rows).where(F.octet_length("token") > 0)
+    return words.select("token", "count").mapInArrow(run, "codes binary, ends binary, counts binary")
+
+
+def merge_codes(codes: np.ndarray, word: np.ndarray, merges: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols and their words after merging the pairs (left, right, new), no two of which can overlap."""
+    keys = np.array([a << 32 | b for a, b, _ in merges], np.int64)
+    order = np.argsort(keys)
+    keys, made = keys[order], np.array([c for _, _, c in merges], codes.dtype)[order]
+    pair = codes[:-1].astype(np.int64) << 32 | codes[1:]
+    at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+    hit = np.flatnonzero((keys[at] == pair) & (word[:-1] == word[1:]))
+    # Neighbouring hits are one pair of equal symbols, as in "aaaa": every other one merges, from the left.
+    first = np.diff(hit, prepend=-2) != 1
+    hit = hit[(np.arange(len(hit)) - np.flatnonzero(first)[np.cumsum(first) - 1]) % 2 == 0] if len(hit) else hit
+    codes = codes.copy()
+    codes[hit] = made[at[hit]]
+    keep = np.ones(len(codes), bool)
+    keep[hit + 1] = False
+    return codes[keep], word[keep]
+
+
+def _pairs_in(codes: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Packed (word, left, right), once for each pair of a word."""
+    inside = np.flatnonzero(word[:-1] == word[1:])
+    return np.unique(word[inside] << 2 * _CODE | codes[inside].astype(np.int64) << _CODE | codes[inside + 1])
+
+
+def next_merges(top: list[tuple[str, str, int]], seen: set[str], whole: bool, most: int) -> list[tuple[str, str]]:
+    """The next merges, from the most frequent pairs (left, right, count) in order: those that a learner of one merge a round takes.
+
+    A pair joins the round if no chosen merge changes its count or makes a pair that comes before it. A new pair
+    (x, lr) is no more frequent than (x, l), and (lr, y) no more than (r, y); such a pair stands behind the candidate,
+    or it would have ended the round. It ends on a tie as well, and behind a merge that makes a known symbol or doubles one.
+    ``whole``: no further pairs exist behind ``top``.
+    """
+    lefts: set[str] = set()
+    rights: set[str] = set()
+    out: list[tuple[str, str]] = []
+    for left, right, n in top:
+        if out:
+            tied = [x for x in top if x[2] == n]
+            if left in rights or right in lefts or any(b in lefts or a in rights for a, b, _ in tied) or (not whole and tied[-1] == top[-1]):
+                break
+        out.append((left, right))
+        lefts.add(left)
+        rights.add(right)
+        if len(out) == most or left == right or left + right in seen:
+            break
+        seen = seen | {left + right}
+    return out
+
+
 def learn_merges(rows: DataFrame, n: int) -> DataFrame:
-    """F-merges: the ``n`` most frequent pairs by (count desc, left, right), rank 0..n-1.
+    """F-merges: (rank, left, right), ``n`` merges at most, each the most frequent pair (ties: left, right) after those before it.
 
-    A top-n (per-partition top-n, then merge): the limit is the feature.
+    A pair counts once in a word, weighted by the word's frequency. Distinct words lie packed in a stored table. A round
+    takes all merges that do not touch each other (``next_merges``), and one pass finds the words that
+    hold their pairs; only those words give changes of pair counts, which are added to the counts before. The driver
+    holds the merges and the most frequent pairs of a round. Fewer than ``n`` merges come where no pair is left.
     """
-    top = pair_counts(rows).orderBy(F.desc("count"), "left", "right").limit(n)
-    # at most n rows (a parameter): a window over them is bounded
-    w = Window.orderBy(F.desc("count"), "left", "right")
-    return top.select((F.row_number().over(w) - 1).cast("long").alias("rank"), "left", "right")
+    spark = rows.sparkSession
+    state = cut_lineage(_packed_words(rows), "words")
+    names = [s for _, s in T.byte_table()]
+    names += [s + "</w>" for s in names]
+    code = {s: i for i, s in enumerate(names)}
+    merges: list[tuple[str, str]] = []
+    pending: list[list[tuple[int, int, int]]] = []  # rounds since the state was written
+
+    def unpack(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        codes, ends, counts = (np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in (("codes", "<i4"), ("ends", "<i8"), ("counts", "<i8")))
+        return codes, np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0)), counts
+
+    def changes(before: list, now: list):
+        """Changes of the pair counts by the merges ``now`` on top of ``before``; without ``now`` the counts themselves."""
+        table = np.array(names, object)
+        chosen = np.array([a << 32 | b for a, b, _ in now], np.int64)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys, sums = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    codes, word, counts = unpack(batch, i)
+                    for done in before:
+                        codes, word = merge_codes(codes, word, done)
+                    parts = []
+                    if now:
+                        held = np.isin(codes[:-1].astype(np.int64) << 32 | codes[1:], chosen) & (word[:-1] == word[1:])
+                        some = np.isin(word, word[:-1][held])  # only words that hold a chosen pair
+                        codes, word = codes[some], word[some]
+                        parts.append((_pairs_in(codes, word), -1))
+                        codes, word = merge_codes(codes, word, now)
+                    parts.append((_pairs_in(codes, word), 1))
+                    for p, sign in parts:
+                        keys.append(p & (1 << 2 * _CODE) - 1)
+                        sums.append(sign * counts[p >> 2 * _CODE])
+                if len(keys) > 64:
+                    keys, sums = ([x] for x in _summed(keys, sums))
+            pairs, total = _summed(keys, sums)
+            left, right = (pa.array(table[x], pa.string()) for x in (pairs >> _CODE, pairs & (1 << _CODE) - 1))
+            yield pa.RecordBatch.from_arrays([left, right, pa.array(total)], names=["left", "right", "n"])
+
+        return state.mapInArrow(run, "left string, right string, n long")
+
+    def restated(before: list):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    codes, word, counts = unpack(batch, i)
+                    for done in before:
+                        codes, word = merge_codes(codes, word, done)
+                    ends = np.searchsorted(word, np.arange(len(counts)), "right")
+                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (codes, ends.astype("<i8"), counts)], names=["codes", "ends", "counts"])
+
+        return state.mapInArrow(run, "codes binary, ends binary, counts binary")
+
+    counts = cut_lineage(changes([], []).groupBy("left", "right").agg(F.sum("n").alias("n")), "pair-counts")
+    while len(merges) < n:
+        top = [(r["left"], r["right"], r["n"]) for r in counts.where(F.col("n") > 0).orderBy(F.desc("n"), "left", "right").limit(TOP_PAIRS).collect()]
+        chosen = next_merges(top, set(code), len(top) < TOP_PAIRS, n - len(merges))
+        if not chosen:
+            break
+        merges += chosen
+        for left, right in chosen:
+            if left + right not in code:
+                code[left + right] = len(names)
+                names.append(left + right)
+        if len(merges) == n:
+            break
+        now = [(code[a], code[b], code[a + b]) for a, b in chosen]
+        counts = cut_lineage(counts.unionByName(changes(list(pending), now)).groupBy("left", "right").agg(F.sum("n").alias("n")), "pair-counts")
+        pending.append(now)
+        if len(pending) == RESTATE:
+            state, pending = cut_lineage(restated(list(pending)), "words"), []
+    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges)], "rank long, left string, right string")
+
+
+def _summed(keys: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    pairs, place = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.zeros(len(pairs), np.int64)
+    np.add.at(total, place, np.concatenate(sums))
+    return pairs[total != 0], total[total != 0]
 
 
 def bpe_word(sym: str, ranks: dict[tuple[str, str], int]) -> list[str]:
@@ -263,33 +418,35 @@ def encode(docs: DataFrame, id_col: str, text_col: str, merges) -> DataFrame:
 
 
 def decode_column(merges):
-    """A pandas UDF turning an ids array into text ('</w>' -> space, bad bytes replaced)."""
-    mlist = merge_list(merges)
-    pieces = vocab_pieces(mlist)
+    """A function turning an ids array into text ('</w>' -> space, bad bytes replaced).
+
+    The bytes of all pieces are taken from one table and joined per row; a null array stays null.
+    """
     back = {s: b for b, s in T.byte_table()}
+    table = [bytes(back[c] for c in piece) for piece in vocab_pieces(merge_list(merges))]
+
+    def run(lists: pa.Array) -> pa.Array:
+        pieces = pa.array(table, pa.binary()).take(lists.flatten())
+        offsets = lists.offsets.to_numpy()
+        rows = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pieces), b"")
+        return pa.array([x.decode("utf-8", errors="replace").replace("</w>", " ") for x in rows.to_pylist()], pa.string())
 
-    @F.pandas_udf("string")
-    def dec(ids: pd.Series) -> pd.Series:
-        out = []
-        for row in ids:
-            if row is None:
-                out.append(None)
-                continue
-            raw = bytes(back[c] for i in row for c in pieces[i])
-            out.append(raw.decode("utf-8", errors="replace").replace("</w>", " "))
-        return pd.Series(out)
+    def dec(ids):
+        return F.when(ids.isNotNull(), F.arrow_udf(run, "string")(F.coalesce(ids, F.array()).cast("array<long>")))
 
     return dec
 
 
-def tokenize_pad(df: DataFrame, ids_col: str, max_len: int, padding: str = "none", pad_id: int = 1,
+def tokenize_pad(df: DataFrame, ids_col: str, max_len: int | None, padding: str = "none", pad_id: int = 1,
                  batch_col: str | None = None, multiple: int | None = None) -> DataFrame:
-    """Truncate to ``max_len``; padding 'none', 'max_length' or 'longest' (in the batch).
+    """Truncate to ``max_len`` (None: whole rows); padding 'none', 'max_length' or 'longest' (in the batch).
 
     'longest' uses a window over the batch, a group bounded by the batch size.
     """
-    out = df.withColumn(ids_col, T.truncate_ids(ids_col, max_len))
+    out = df if max_len is None else df.withColumn(ids_col, T.truncate_ids(ids_col, max_len))
     if padding == "max_length":
+        if max_len is None:
+            raise ValueError("padding='max_length' needs a length")
         return out.withColumn(ids_col, T.pad_to(ids_col, T.round_up(F.lit(max_len), multiple), pad_id))
     if padding == "longest":
         if batch_col is None:

@@ -6,7 +6,7 @@ scale. ``row_index`` gives the same numbers in three bounded steps:
 
 1. **Buckets.** A hash-selected sample of the composite key
    (group keys + order keys) is sorted by Spark and cut into ``B`` ranges. The
-   cut points become literals of the plan, so every later evaluation - a
+   cut points go to the tasks as they are, so every later evaluation - a
    retried task, a lost executor - assigns the same bucket. (Spark's own range
    partitioner re-samples with a seed tied to the RDD id, so two reads of "the
    same" range partitioning can disagree.) A hot group spreads over many
@@ -24,13 +24,16 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SAMPLE_PER_BUCKET = 64
-#: Rows of one bucket, about, and the most buckets: the cut points are literals of the plan.
+#: Rows of one bucket, about, and the most buckets: every task holds the cut points.
 ROWS_PER_BUCKET, MAX_BUCKETS = 10_000, 4_096
 
 # Plan nodes that make an input expensive to recompute (shuffles, joins,
@@ -58,10 +61,41 @@ def _col(x) -> Column:
     return c
 
 
+#: Key types whose values sort in Python as in Spark (null first and NaN last are seen to).
+_PLAIN = ("tinyint", "smallint", "int", "bigint", "string", "boolean", "date", "binary", "float", "double", "decimal")
+
+
+def _ranked(value):
+    """``value`` in an order with null first and NaN last."""
+    if value is None:
+        return (0,)
+    return (2,) if value != value else (1, value)
+
+
+def search(cuts: list[tuple], columns: list[pa.Array]) -> np.ndarray:
+    """Number of cut points <= each key; ``columns`` hold the parts of the keys, ``cuts`` are sorted."""
+    if len(columns) == 1 and pa.types.is_integer(columns[0].type) and not columns[0].null_count and cuts[0][0] is not None:
+        return np.searchsorted(np.array([c[0] for c in cuts], np.int64), columns[0].to_numpy().astype(np.int64), "right")
+    odd = any(c.null_count or pa.types.is_floating(c.type) for c in columns) or any(v is None for c in cuts for v in c)
+    lists = [c.to_pylist() for c in columns]
+    if odd:
+        lists = [list(map(_ranked, x)) for x in lists]
+        cuts = [tuple(map(_ranked, c)) for c in cuts]
+    return np.fromiter((bisect_right(cuts, k) for k in zip(*lists, strict=True)), np.int64, len(lists[0]))
+
+
 def bucket_of(key: Column, bounds: list, key_type) -> Column:
-    """Number of cut points <= key: a binary search in an array literal."""
+    """Number of cut points <= the struct ``key``, by binary search."""
     if not bounds:
         return F.lit(0)
+    if all(f.dataType.simpleString().split("(")[0] in _PLAIN for f in key_type.fields):
+        shared = SparkSession.active().sparkContext.broadcast([tuple(b) for b in bounds])
+
+        def find(*columns: pa.Array) -> pa.Array:
+            return pa.array(search(shared.value, columns), pa.int32())
+
+        return F.arrow_udf(find, "int")(*[key[f.name] for f in key_type.fields])
+    # Other types (timestamps, nested ones) are compared by Spark, in an array literal.
     arr = F.array(*[F.lit(None).cast(key_type) if b is None else
                     F.struct(*[F.lit(v).cast(f.dataType) for v, f in zip(b, key_type.fields)]).cast(key_type)
                     for b in bounds])

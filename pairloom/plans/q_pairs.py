@@ -11,7 +11,7 @@ from ..operators import pairs as PR
 from ..operators import udf as U
 from ..session import load
 from . import fixtures as fx
-from .q_text import SQL_FTOKENS, SQL_TOK, f_tokens, tokens_sql
+from .q_text import SQL_TOK, tokens_sql
 from .registry import register
 
 SQL_HASHED = SQL_TOK + """,
@@ -121,11 +121,12 @@ def q_ordered_union_distinct(spark, d):
     return p.select("id", PR.ordered_union_distinct("a", "b").alias("merged"))
 
 
-@register("concat_parts_padded", f"""WITH {SQL_FTOKENS}, t AS (SELECT doc_id, ids[1:90] AS ids FROM f_tokens)
-SELECT doc_id, list_concat(ids, list_resize([]::BIGINT[], greatest(80, (SELECT max(len(ids)) FROM t)) - len(ids), -100)) AS ids FROM t""")
+@register("concat_parts_padded", """WITH t AS (SELECT vec_id, list_filter(embedding::DOUBLE[], lambda x: x > 0) AS above FROM embeddings)
+SELECT vec_id, list_concat(above, list_resize([]::DOUBLE[], greatest(16, (SELECT max(len(above)) FROM t)) - len(above), -100)) AS above FROM t""")
 def q_concat_parts_padded(spark, d):
-    t = f_tokens(spark, d).select("doc_id", F.slice("ids", 1, 90).alias("ids"))
-    return PR.concat_parts([t, t.filter(F.col("doc_id") < 8)], "doc_id", pad={"ids": 80})
+    """Rows of many widths: the positive entries of each vector; some rows come again in a second part."""
+    t = load(spark, d, "embeddings").select("vec_id", F.filter(F.col("embedding").cast("array<double>"), lambda x: x > 0).alias("above"))
+    return PR.concat_parts([t, t.filter(F.col("vec_id") < 8)], "vec_id", pad={"above": 16})
 
 
 @register("concat_parts", "SELECT vec_id, label FROM embeddings")

@@ -14,7 +14,8 @@ from ..sources import readers as RD
 from . import fixtures as fx
 from .registry import register
 
-N_MERGES = 200
+N_MERGES = 72  # merges of four levels are among them
+N_READ = 60  # a published file may hold more lines than the tokenizer reads
 MAX_LEN = 75  # fixed value: max tokens in the reference scripts
 SEED = 42
 
@@ -107,9 +108,27 @@ def q_adjacent_pairs(spark, d):
     return TK.pair_counts(_tokens(spark, d))
 
 
-@register("learn_merges", f"""WITH {SQL_PAIRS}
-SELECT (row_number() OVER (ORDER BY count DESC, l, r) - 1)::BIGINT AS rank, l AS "left", r AS "right"
-FROM pairs ORDER BY count DESC, l, r LIMIT {N_MERGES}""")
+# Learning as a recursive query: each step takes the most frequent pair of the words as they stand and merges it
+# in the words that hold it. A row with an empty word keeps each merge.
+SQL_LEARN = f"""{SQL_PAIRS},
+learn(key, k, count, w, l, r) USING KEY (key) AS (
+  SELECT token, 0, count, list_transform(string_split(sym, ''), lambda x, i: CASE WHEN i = length(sym) THEN x || '</w>' ELSE x END), '', '' FROM words
+  UNION ALL SELECT '', 0, 0, []::VARCHAR[], '', ''
+  UNION ALL SELECT * FROM (
+    WITH now AS (SELECT max(k) AS k FROM learn),
+    held AS (SELECT DISTINCT key, count, w[i] AS l, w[i + 1] AS r FROM (SELECT key, count, w, unnest(generate_series(1, len(w) - 1)) AS i FROM recurring.learn WHERE len(w) > 1)),
+    best AS (SELECT l, r FROM held GROUP BY l, r ORDER BY sum(count) DESC, l, r LIMIT 1)
+    SELECT key, now.k + 1, count,
+           list_reduce(w, lambda acc, x: CASE WHEN len(acc) > 0 AND acc[len(acc)] = best.l AND x = best.r
+                                              THEN list_append(acc[1:len(acc) - 1], best.l || best.r) ELSE list_append(acc, x) END, []::VARCHAR[]), '', ''
+    FROM recurring.learn, best, now WHERE list_contains(w, best.l) AND list_contains(w, best.r) AND now.k < {N_MERGES}
+    UNION ALL SELECT ' ' || now.k, now.k + 1, 0, []::VARCHAR[], best.l, best.r FROM best, now WHERE now.k < {N_MERGES})),
+m AS (SELECT (k - 1)::BIGINT AS rank, l, r FROM learn WHERE l <> '')"""
+
+SQL_MERGES = f"WITH RECURSIVE {SQL_LEARN} SELECT rank, l AS \"left\", r AS \"right\" FROM m"
+
+
+@register("learn_merges", SQL_MERGES)
 def q_learn_merges(spark, d):
     return f_merges(spark, d)
 
@@ -119,9 +138,7 @@ _IDX = ("CASE WHEN cp BETWEEN 33 AND 126 THEN cp - 33 WHEN cp BETWEEN 161 AND 17
 
 # BPE as a recursive query: each round finds the best-ranked neighbouring pair
 # of every unfinished word and merges its occurrences left to right.
-SQL_BPE = f"""WITH RECURSIVE {SQL_PAIRS},
-m AS (SELECT (row_number() OVER (ORDER BY count DESC, l, r) - 1)::BIGINT AS rank, l, r
-      FROM pairs ORDER BY count DESC, l, r LIMIT {N_MERGES}),
+SQL_BPE = f"""WITH RECURSIVE {SQL_LEARN},
 keys AS (SELECT list(l || chr(1) || r ORDER BY rank) AS k, list(l ORDER BY rank) AS ls,
                 list(r ORDER BY rank) AS rs FROM m),
 init AS (SELECT token, list_transform(string_split(sym, ''), lambda x, i: CASE WHEN i = len(string_split(sym, '')) THEN x || '</w>' ELSE x END) AS w
@@ -180,9 +197,7 @@ def q_decode(spark, d):
     return enc.select("doc_id", TK.decode_column(merges)(F.col("ids")).alias("text"))
 
 
-@register("read_merges", f"""WITH {SQL_PAIRS}
-SELECT (row_number() OVER (ORDER BY count DESC, l, r) - 1)::BIGINT AS rank, l AS "left", r AS "right"
-FROM pairs ORDER BY count DESC, l, r LIMIT {N_MERGES}""")
+@register("read_merges", SQL_MERGES + f" WHERE rank < {N_READ}")
 def q_read_merges(spark, d):
     """The learned merges written as a published file would be (header, one pair a line, gzip) and read back."""
     path = scratch_path(spark, "merges")
@@ -190,7 +205,7 @@ def q_read_merges(spark, d):
     lines = merges.select("rank", F.concat_ws(" ", "left", "right").alias("value"))
     header = spark.range(1).select(F.lit(-1).cast("long").alias("rank"), F.lit("version and vocabulary name").alias("value"))
     header.unionByName(lines).coalesce(1).sortWithinPartitions("rank").select("value").write.option("compression", "gzip").text(path)
-    return RD.read_merges(spark, f"{path}/part-*.txt.gz")
+    return RD.read_merges(spark, f"{path}/part-*.txt.gz", most=N_READ)
 
 
 SOT, EOT = TK.special_ids(512 + N_MERGES)
@@ -241,9 +256,13 @@ _SQL_BATCH8 = f"""b AS (SELECT doc_id, ids[1:{MAX_LEN}] AS ids, ((row_number() O
       FROM f_tokens)"""
 
 
-def _x10(spark, d, padding, multiple=None):
+# Whole rows: cutting to MAX_LEN is the feature of X10 alone.
+_SQL_WHOLE8 = _SQL_BATCH8.replace(f"ids[1:{MAX_LEN}] AS ids", "ids")
+
+
+def _x10(spark, d, padding, multiple=None, max_len=MAX_LEN):
     b = BT.batch_ids(f_tokens(spark, d), 8, ["doc_id"])
-    return TK.tokenize_pad(b, "ids", MAX_LEN, padding, pad_id=fx.PAD_ID, batch_col="batch_id", multiple=multiple)
+    return TK.tokenize_pad(b, "ids", max_len, padding, pad_id=fx.PAD_ID, batch_col="batch_id", multiple=multiple)
 
 
 @register("tokenize_pad_longest", f"""WITH {SQL_FTOKENS}, {_SQL_BATCH8}
@@ -260,12 +279,12 @@ def q_tokenize_pad_max_length(spark, d):
     return _x10(spark, d, "max_length", multiple=8).select("doc_id", "ids")
 
 
-@register("attention_mask", f"""WITH {SQL_FTOKENS}, {_SQL_BATCH8},
+@register("attention_mask", f"""WITH {SQL_FTOKENS}, {_SQL_WHOLE8},
 p AS (SELECT doc_id, list_concat(ids, list_resize([]::BIGINT[], max(len(ids)) OVER (PARTITION BY batch_id) - len(ids), 1)) AS ids
       FROM b)
 SELECT doc_id, list_transform(ids, lambda x: CASE WHEN x <> 1 THEN 1 ELSE 0 END) AS mask FROM p""")
 def q_attention_mask(spark, d):
-    return _x10(spark, d, "longest").select("doc_id", T.attention_mask("ids", fx.PAD_ID).alias("mask"))
+    return _x10(spark, d, "longest", max_len=None).select("doc_id", T.attention_mask("ids", fx.PAD_ID).alias("mask"))
 
 
 def _draw_sql(k: str) -> str:
@@ -293,7 +312,7 @@ def q_mlm_mask(spark, d):
     return t.select("doc_id", new_ids.alias("mlm_input_ids"), labels.alias("mlm_labels"))
 
 
-@register("collate", f"""WITH {SQL_FTOKENS}, {_SQL_BATCH8},
+@register("collate", f"""WITH {SQL_FTOKENS}, {_SQL_WHOLE8},
 p AS (SELECT batch_id, doc_id,
              list_concat(ids, list_resize([]::BIGINT[], max(len(ids)) OVER (PARTITION BY batch_id) - len(ids), 1)) AS ids
       FROM b)
@@ -301,19 +320,21 @@ SELECT batch_id, list(doc_id ORDER BY doc_id) AS doc_id, list(ids ORDER BY doc_i
        list(list_transform(ids, lambda x: CASE WHEN x <> 1 THEN 1 ELSE 0 END) ORDER BY doc_id) AS mask
 FROM p GROUP BY batch_id""")
 def q_collate(spark, d):
-    b = _x10(spark, d, "none")
+    b = _x10(spark, d, "none", max_len=None)
     out = BT.collate(b, "batch_id", "doc_id", ["ids"], pad={"ids": fx.PAD_ID})
     return out.select("batch_id", "doc_id", "ids",
                       F.transform("ids", lambda a: T.attention_mask(a, fx.PAD_ID)).alias("mask"))
 
 
-@register("position_ids_array", f"""WITH {SQL_FTOKENS}, {_SQL_BATCH8},
+@register("position_ids_array", f"""WITH {SQL_FTOKENS}, {_SQL_WHOLE8},
 p AS (SELECT doc_id, list_concat(ids, list_resize([]::BIGINT[], max(len(ids)) OVER (PARTITION BY batch_id) - len(ids), 1)) AS ids
       FROM b)
-SELECT doc_id, list_transform(ids, lambda x, i: (CASE WHEN x <> 1 THEN 1 + len(list_filter(ids[1:i], lambda y: y <> 1)) ELSE 1 END)::BIGINT) AS position_ids
-FROM p""")
+SELECT documents.doc_id, coalesce(q.position_ids, []::BIGINT[]) AS position_ids FROM documents LEFT JOIN
+  (SELECT doc_id, list(position_id ORDER BY i) AS position_ids
+   FROM (SELECT doc_id, i, (CASE WHEN x <> 1 THEN 1 + sum((x <> 1)::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) ELSE 1 END)::BIGINT AS position_id
+         FROM (SELECT doc_id, generate_subscripts(ids, 1) AS i, unnest(ids) AS x FROM p)) GROUP BY doc_id) q USING (doc_id)""")
 def q_position_ids_array(spark, d):
-    return _x10(spark, d, "longest").select("doc_id", PL.position_ids_array("ids", fx.PAD_ID).alias("position_ids"))
+    return _x10(spark, d, "longest", max_len=None).select("doc_id", PL.position_ids_array("ids", fx.PAD_ID).alias("position_ids"))
 
 
 @register("camel_to_snake", r"""

@@ -90,14 +90,15 @@ def line_at(lines: DataFrame, i: int) -> DataFrame:
     return lines.filter(F.col("line_no") == i)
 
 
-def read_merges(spark: SparkSession, path: str) -> DataFrame:
+def read_merges(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
     """A published merges file (plain or gzip) as (rank, left, right).
 
     The first line is a header; each further line holds two symbols apart by a space, and its order is
-    the rank. A merges file is one model parameter of bounded size, so it is read as one text.
+    the rank. ``most`` lines are read at most: published files hold more merges than their vocabulary uses (the one that
+    goes with the published start and end ids 48 894). A merges file is one model parameter of bounded size, so it is read as one text.
     """
     text = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", r"\n$", ""), "\n").alias("lines"))
-    lines = text.select(F.posexplode(F.slice("lines", 2, 2_147_483_647)).alias("rank", "line"))
+    lines = text.select(F.posexplode(F.slice("lines", 2, 2_147_483_647 if most is None else most)).alias("rank", "line"))
     sides = F.split("line", " ")
     return lines.where(F.size(sides) == 2).select(F.col("rank").cast("long").alias("rank"), sides[0].alias("left"), sides[1].alias("right"))
 
