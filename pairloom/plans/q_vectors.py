@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import batching as BT
 from ..operators import similarity as S
+from ..operators.pruned import top_k_pruned
 from ..session import load
 from . import fixtures as fx
 from .indexing import row_index
@@ -49,18 +50,29 @@ def q_similarity(spark, d):
                       R("best_score").alias("best_score"), R("lse").alias("lse"))
 
 
-@register("top_k", f"""
+SQL_TOP_K = f"""
 WITH {fx.SQL_IMGTEXT},
 {_sim_sql([("text_to_image", "text_vec", "image_vec")], 1.0)},
 r AS (SELECT id, cid, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, cid) AS rank FROM s)
 SELECT id AS q_id, rank::BIGINT AS rank, cid AS c_id, round(score, 4) + 0.0 AS score FROM r WHERE rank <= 5
-""")
+"""
+
+
+@register("top_k", SQL_TOP_K)
 def q_top_k(spark, d):
     p = fx.f_imgtext(spark, d)
     t = S.top_k(p, p, 5, q_id="pair_id", q_vec="text_vec", c_id="pair_id", c_vec="image_vec")
     return t.select("q_id", "rank", "c_id", R("score").alias("score"))
 
 
+@register("top_k_pruned", SQL_TOP_K)
+def q_top_k_pruned(spark, d):
+    """The same rows from the blocks that the bounds do not rule out."""
+    p = fx.f_imgtext(spark, d)
+    t, _ = top_k_pruned(p, p, 5, q_id="pair_id", q_vec="text_vec", c_id="pair_id", c_vec="image_vec")
+    return t.select("q_id", "rank", "c_id", R("score").alias("score"))
+
+
 @register("softmax", f"""
 WITH {fx.SQL_CLASSES},
 s AS (SELECT e.vec_id, c.label, {SCALE} * list_cosine_similarity(e.embedding::DOUBLE[], c.vector) AS score
