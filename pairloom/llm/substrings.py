@@ -25,7 +25,7 @@ WINDOW = 50
 SHORTEST = 12
 #: Texts handled at once, and words whose windows are compared at once (places take 20 bits).
 ROWS, BLOCK = 64, 1 << 19
-#: Bytes of copies' keys and of the candidates' ranges that every worker may hold; more are joined.
+#: Bytes of copies' keys, and of runs of starts, that every worker may hold; more are joined.
 BROADCAST_BYTES = 32 << 20
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
@@ -111,13 +111,14 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _find_anchors(rows: DataFrame, lengths: list[int]) -> DataFrame:
-    """Anchors of the rows (_llm_id, _llm_r, _llm_t2, _llm_text), with the hashes of the windows around them at each level.
+    """Anchors of the rows (_llm_id, _llm_r, _llm_text), with the hashes of the windows around them at each level.
 
-    ``right`` and ``left`` hold, for every level between, the window that starts and the one that ends with the
+    ``right<i>`` and ``left<i>`` belong to the window of level i that starts and the one that ends with the
     anchor (0 where it leaves the text); ``a`` and ``b`` are the first and last start of the judged windows.
     """
-    window, short, between = lengths[-1], lengths[0], lengths[1:-1]
+    window, short, between = lengths[-1], lengths[0], list(enumerate(lengths[1:-1], 1))
     id_type = rows.schema["_llm_id"].dataType.simpleString()
+    around = [f"{side}{i}" for i, _ in between for side in ("right", "left")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(hash64)
@@ -128,23 +129,20 @@ def _find_anchors(rows: DataFrame, lengths: list[int]) -> DataFrame:
                 if not len(row):
                     continue
                 begin, end = (w.ends - w.sizes)[row], w.ends[row]
-                sides = []
-                for way in (0, 1):
-                    hashes = np.zeros((len(row), len(between)), np.uint64)
-                    for i, length in enumerate(between):
-                        start = place if way == 0 else place + short - length
+                hashes = []
+                for _, length in between:
+                    for start in (place, place + short - length):
                         inside = np.flatnonzero((start >= begin) & (start + length <= end))
-                        hashes[inside, i] = w.hashes(start[inside], length)
-                    lists = pa.array(np.arange(len(row) + 1) * len(between), pa.int32())
-                    sides.append(pa.ListArray.from_arrays(lists, _signed(hashes.ravel())))
+                        one = np.zeros(len(row), np.uint64)
+                        one[inside] = w.hashes(start[inside], length)
+                        hashes.append(_signed(one))
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(c).take(take) for c in ("_llm_id", "_llm_r", "_llm_t2")]
-                    + [_signed(w.hashes(place, short))] + sides + [pa.array((x - begin).astype(np.int32)) for x in (place, first, last)],
-                    names=["id", "r", "t2", "h", "right", "left", "place", "a", "b"])
+                    [part.column(c).take(take) for c in ("_llm_id", "_llm_r")] + [_signed(w.hashes(place, short)), *hashes]
+                    + [pa.array((x - begin).astype(np.int32)) for x in (place, first, last)], names=["id", "r", "h", *around, "place", "a", "b"])
 
-    return rows.select("_llm_id", "_llm_r", "_llm_t2", "_llm_text").mapInArrow(
-        run, f"id {id_type}, r long, t2 long, h long, right array<long>, left array<long>, place int, a int, b int")
+    kinds = "".join(f"{x} long, " for x in around)
+    return rows.select("_llm_id", "_llm_r", "_llm_text").mapInArrow(run, f"id {id_type}, r long, h long, {kinds}place int, a int, b int")
 
 
 def _shared(rows: DataFrame, on: list[str]) -> DataFrame:
@@ -152,8 +150,8 @@ def _shared(rows: DataFrame, on: list[str]) -> DataFrame:
 
     A null id counts as the largest.
     """
-    counts = rows.groupBy(*on).agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("id").alias("ids"), F.count(F.lit(1)).alias("n_rows"))
-    return counts.where((F.col("least") != F.col("most")) | ((F.col("ids") > 0) & (F.col("ids") < F.col("n_rows")))).drop("most", "ids")
+    counts = rows.groupBy(*on).agg(F.min("id").alias("least"), F.max("id").alias("most"), F.max(F.col("id").isNull()).alias("odd"), F.count(F.lit(1)).alias("n_rows"))
+    return counts.where((F.col("least") != F.col("most")) | (F.col("odd") & F.col("least").isNotNull())).drop("most", "odd")
 
 
 def _spread() -> Column:
@@ -165,12 +163,12 @@ def _survivors(found: DataFrame, lengths: list[int]) -> DataFrame:
     window, short = lengths[-1], lengths[0]
     total = found.count()
     left = stored(join_counted(found, _shared(found, ["h"]).drop("least"), ["h"], "n_rows", total, _spread()).drop("h"), "anchors")
-    for i, length in enumerate(lengths[1:-1]):
+    for i, length in enumerate(lengths[1:-1], 1):
         total = left.count()
         if total == 0:
             break
         for side in ("right", "left"):
-            of = left.withColumn("h", F.get(side, F.lit(i)))
+            of = left.withColumnRenamed(f"{side}{i}", "h")
             keys = _shared(of, ["h"]).withColumn("met", F.lit(True)).drop("least")
             left = join_counted(of, keys, ["h"], "n_rows", total, _spread(), "left").drop("h")
             # A window of one document alone: the judged windows that hold it go.
@@ -184,7 +182,7 @@ def _survivors(found: DataFrame, lengths: list[int]) -> DataFrame:
 
 
 def _judged_windows(rows: DataFrame, window: int) -> DataFrame:
-    """(id, r, t2, a, h1, h2) of every candidate start ``a`` in the column ``_llm_ranges`` of the rows."""
+    """(id, r, a, h1, h2) of every candidate start ``a`` in the column ``_llm_runs`` of the rows."""
     id_type = rows.schema["_llm_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,32 +190,44 @@ def _judged_windows(rows: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, ROWS):
                 w = Windows(part.column("_llm_text").to_pylist(), memo)
-                row, start = [], []
-                for i, (ranges, begin) in enumerate(zip(part.column("_llm_ranges").to_pylist(), (w.ends - w.sizes).tolist(), strict=True)):
-                    at = np.unique(np.concatenate([np.arange(x["a"], x["b"] + 1) for x in ranges])) + begin
-                    row.append(np.full(len(at), i))
-                    start.append(at)
-                row, start = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (row, start))
+                begin = w.ends - w.sizes
+                runs = [(i, x["a"], x["b"]) for i, xs in enumerate(part.column("_llm_runs").to_pylist()) for x in xs]
+                row = np.repeat([i for i, _, _ in runs], [b - a + 1 for _, a, b in runs]).astype(np.int64)
+                start = np.concatenate([np.zeros(0, np.int64), *(np.arange(a, b + 1) + begin[i] for i, a, b in runs)])
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(c).take(take) for c in ("_llm_id", "_llm_r", "_llm_t2")] + [pa.array((start - (w.ends - w.sizes)[row]).astype(np.int32))]
-                    + [_signed(w.hashes(start, window, way)) for way in (0, 1)], names=["id", "r", "t2", "a", "h1", "h2"])
+                    [part.column(c).take(take) for c in ("_llm_id", "_llm_r")] + [pa.array((start - begin[row]).astype(np.int32))]
+                    + [_signed(w.hashes(start, window, way)) for way in (0, 1)], names=["id", "r", "a", "h1", "h2"])
 
-    return rows.select("_llm_id", "_llm_r", "_llm_t2", "_llm_text", "_llm_ranges").mapInArrow(run, f"id {id_type}, r long, t2 long, a int, h1 long, h2 long")
+    return rows.select("_llm_id", "_llm_r", "_llm_text", "_llm_runs").mapInArrow(run, f"id {id_type}, r long, a int, h1 long, h2 long")
 
 
-def _lists(rows: DataFrame, *columns: str) -> DataFrame:
-    """One row for each text with a list of the columns, at most as long as the text."""
-    what = F.col(columns[0]) if len(columns) == 1 else F.struct(*columns)
-    return rows.groupBy(F.col("r").alias("_llm_r"), F.col("t2").alias("_llm_t2")).agg(F.collect_list(what).alias("_llm_ranges"))
+def _merged(lists: pa.Array) -> pa.Array:
+    """Runs of starts (a to b) that overlap or touch become one, in order."""
+    offsets, flat = lists.offsets.to_numpy().astype(np.int64), lists.flatten()
+    row = np.repeat(np.arange(len(lists)), np.diff(offsets))
+    a, b = (flat.field(k).to_numpy().astype(np.int64) for k in ("a", "b"))
+    order = np.lexsort((a, row))
+    row, a, b = row[order], a[order], b[order]
+    high = np.maximum.accumulate(b + (row << 32)) - (row << 32) if len(b) else b  # furthest end so far in the row
+    new = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (a[1:] > high[:-1] + 1)]) if len(b) else np.zeros(0, np.int64)
+    last = np.r_[new[1:], len(b)][: len(new)] - 1
+    runs = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (a[new], high[last])], names=["a", "b"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[new], np.arange(len(lists) + 1)), pa.int32()), runs)
 
 
-def _with_lists(rows: DataFrame, lists: DataFrame, items: int, width: int, how: str) -> DataFrame:
-    """Join by text, moving no text where the lists (``items`` of ``width`` bytes in all) are few."""
-    lists = stored(lists, "lists")
-    n = lists.count()
-    small = F.broadcast(lists) if n * 64 + items * width <= BROADCAST_BYTES else lists
-    return rows.join(small, ["_llm_r", "_llm_t2"], how)
+def _runs(rows: DataFrame) -> DataFrame:
+    """The runs of starts ``_llm_runs`` of each text, from single ones; a list is at most as long as the text."""
+    lists = rows.groupBy(F.col("id").alias("_llm_i"), F.col("r").alias("_llm_o")).agg(F.collect_list(F.struct("a", "b")).alias("l"))
+    return stored(lists.select("_llm_i", "_llm_o", F.arrow_udf(_merged, "array<struct<a:int,b:int>>")("l").alias("_llm_runs")), "runs")
+
+
+def _with_runs(rows: DataFrame, runs: DataFrame, how: str) -> DataFrame:
+    """Join by text, moving no text where the runs are few."""
+    n, items = runs.agg(F.count(F.lit(1)), F.sum(F.size("_llm_runs"))).first()
+    small = F.broadcast(runs) if n * 64 + (items or 0) * 16 <= BROADCAST_BYTES else runs
+    same = F.col("_llm_id").eqNullSafe(F.col("_llm_i")) & (F.col("_llm_r") == F.col("_llm_o"))
+    return rows.join(small, same, how).drop("_llm_i", "_llm_o")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, shortest: int = SHORTEST) -> DataFrame:
@@ -234,46 +244,43 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     keyed = docs.select("*", F.col(doc_id).alias("_llm_id"), F.col(text).alias("_llm_text"), *text_keys(F.col(text)))
     copies = _shared(keyed.select(F.col("_llm_id").alias("id"), "_llm_t1", "_llm_t2"), ["_llm_t1", "_llm_t2"])
     copies = stored(copies.select("_llm_t1", "_llm_t2", F.col("least").alias("_llm_least"), F.col("n_rows").alias("_llm_n")), "copies")
-    copies_rows = copies.count() * 48
-    if copies_rows <= BROADCAST_BYTES:
+    if copies.count() * 48 <= BROADCAST_BYTES:
         keyed = keyed.join(F.broadcast(copies.drop("_llm_n")), ["_llm_t1", "_llm_t2"], "left")
     else:
         keyed = join_counted(keyed, copies, ["_llm_t1", "_llm_t2"], "_llm_n", docs.count(), F.xxhash64("_llm_id"), "left")
     copy = F.col("_llm_least").isNotNull() & (F.col("_llm_id").isNull() | (F.col("_llm_id") > F.col("_llm_least")))
-    keyed = keyed.withColumn("_llm_copy", copy).withColumn("_llm_r", F.xxhash64("_llm_id", "_llm_t1", "_llm_t2"))
+    keyed = keyed.withColumn("_llm_copy", copy).withColumn("_llm_r", F.xxhash64("_llm_t1", "_llm_t2"))  # tells texts of one id apart
     first = keyed.where(~F.col("_llm_copy"))
     left = _survivors(stored(_find_anchors(first, lengths), "anchors"), lengths)
-    ranges = left.count()
-    candidates = _with_lists(first, _lists(left, "a", "b"), ranges, 16, "inner")
-    windows = stored(_judged_windows(candidates, window), "windows")
-    met = join_counted(windows, _shared(windows, ["h1", "h2"]), ["h1", "h2"], "n_rows", windows.count(), _spread())
-    gone = stored(met.where(F.col("id").isNull() | (F.col("id") > F.col("least"))).select("r", "t2", "a"), "repeated-windows")
-    judged = _with_lists(keyed, _lists(gone, "a"), gone.count(), 4, "left")
+    windows = stored(_judged_windows(_with_runs(first, _runs(left), "inner"), window), "windows")
+    least = windows.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n_rows"))
+    met = join_counted(windows, least.where((F.col("n_rows") > 1) & F.col("least").isNotNull()), ["h1", "h2"], "n_rows", windows.count(), _spread())
+    gone = met.where(F.col("id").isNull() | (F.col("id") > F.col("least"))).select("id", "r", "a", F.col("a").alias("b"))
+    judged = _with_runs(keyed, _runs(gone), "left")
 
     @F.arrow_udf("n_words long, n_removed long, kept_text string")
-    def cut(texts: pa.Array, copied: pa.Array, starts: pa.Array) -> pa.Array:
+    def cut(texts: pa.Array, copied: pa.Array, runs: pa.Array) -> pa.Array:
         out = [_cut([], [], [], window)]
         for at in range(0, len(texts), ROWS):
-            out.append(_cut(*(x.slice(at, ROWS).to_pylist() for x in (texts, copied, starts)), window))
+            out.append(_cut(*(x.slice(at, ROWS).to_pylist() for x in (texts, copied, runs)), window))
         return pa.concat_arrays(out)
 
-    return judged.withColumn("repeats", cut("_llm_text", "_llm_copy", "_llm_ranges")).drop(
-        "_llm_id", "_llm_text", "_llm_t1", "_llm_t2", "_llm_least", "_llm_copy", "_llm_r", "_llm_ranges")
+    return judged.withColumn("repeats", cut("_llm_text", "_llm_copy", "_llm_runs")).drop(
+        "_llm_id", "_llm_text", "_llm_t1", "_llm_t2", "_llm_least", "_llm_copy", "_llm_r", "_llm_runs")
 
 
-def _cut(texts: list, copied: list, starts: list, window: int) -> pa.Array:
+def _cut(texts: list, copied: list, runs: list, window: int) -> pa.Array:
     sizes, removed, kept = [], [], []
-    for t, copy, at in zip(texts, copied, starts, strict=True):
+    for t, copy, at in zip(texts, copied, runs, strict=True):
         words = (t or "").encode("utf-8", "surrogatepass").split()
         n = len(words)
         if copy and n >= window:
             words = []
-        elif at:
-            at = np.unique(at)  # repeated rows list their windows more than once
-            change = np.zeros(n + 1, np.int64)
-            change[at] += 1
-            change[at + window] -= 1
-            words = [words[i] for i in np.flatnonzero(np.cumsum(change[:n]) == 0).tolist()]
+        else:
+            until = n
+            for x in reversed(at or []):
+                words[x["a"]: min(x["b"] + window, until)] = []
+                until = x["a"]
         sizes.append(n)
         removed.append(n - len(words))
         kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
