@@ -64,15 +64,32 @@ def _partial(rows: DataFrame, seq: str, vec: str, weight: str, combine: str) ->
 
 
 def _merge(parts: DataFrame, seq: str, combine: str) -> DataFrame:
-    """Parts of a sequence into one, again in two steps, so that no group holds more than its tasks' parts of a salt."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        matrix = np.stack(pdf["part"].to_numpy())
-        v = matrix.sum(axis=0) if combine == "sum" else matrix.max(axis=0)
-        return pd.DataFrame({seq: [pdf[seq].iloc[0]], "part": [v.tolist()], "n": [pdf["n"].sum()]})
+    """Parts of a sequence into one: sorted by sequence, reduced run by run; the last run of a batch goes on in the next.
+
+    A task holds one batch and one open sequence, however many sequences or parts of one it meets.
+    """
+    reduce = (np.add if combine == "sum" else np.maximum).reduceat
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.concat_batches([held, batch]) if held is not None else batch
+            codes = rows[seq].dictionary_encode("encode").indices.to_numpy()
+            starts = np.flatnonzero(np.r_[True, np.diff(codes) != 0])
+            matrix = rows["part"].flatten().to_numpy().reshape(rows.num_rows, -1)
+            sums = reduce(matrix, starts, axis=0)
+            offsets = pa.array(np.arange(len(starts) + 1, dtype=np.int32) * matrix.shape[1], pa.int32())
+            done = pa.RecordBatch.from_arrays([rows[seq].take(pa.array(starts)), pa.ListArray.from_arrays(offsets, pa.array(sums.ravel())),
+                                               pa.array(np.add.reduceat(rows["n"].to_numpy(), starts))], names=[seq, "part", "n"])
+            yield done.slice(0, len(starts) - 1)
+            held = pa.RecordBatch.from_pylist(done.slice(len(starts) - 1).to_pylist(), schema=batch.schema)
+        if held is not None:
+            yield held
 
     kind = f"{seq} {parts.schema[seq].dataType.simpleString()}, part array<double>, n double"
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("part"), F.lit(16)))
-    return salted.groupBy(seq, "salt").applyInPandas(run, kind).groupBy(seq).applyInPandas(run, kind)
+    return parts.repartition(seq).sortWithinPartitions(seq, "n").mapInArrow(run, kind)
 
 
 def pool_mean(df: DataFrame, seq: str, vec: str, mask: str) -> DataFrame:

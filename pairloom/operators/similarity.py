@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..plans import blocks as B
+from ..plans.indexing import row_index
 from ..plans.joins import broadcast_if_small
 from ..session import cut_lineage
 
@@ -94,13 +95,11 @@ def top_k_softmax(queries: DataFrame, cands: DataFrame, k: int, *, q_id: str, q_
     """
     q, c = _side(queries, q_id, q_vec, normalize), _side(cands, c_id, c_vec, normalize)
     parts, whole = B.block_pairs(q, c, B.topk_lse_kernel(k, scale), B.TOPK_LSE_SCHEMA, block_rows=block_rows)
-    parts = parts if whole else cut_lineage(parts, "top-k-parts")
-    norm = parts.filter(F.col("rank") == 1).select("q_id", F.col("c_id").alias("best_id"), "m", "s")
-    if whole:
-        # one part per query, its normaliser on its first row: carried to the query's other k - 1 rows
-        w = Window.partitionBy("q_id")
-        top = parts.withColumn("lse", F.max(F.when(F.col("rank") == 1, F.col("m") + F.log("s"))).over(w))
+    if whole:  # one part per query: its rows already carry the normaliser
+        top = parts.withColumn("lse", F.col("m") + F.log("s"))
     else:
+        parts = cut_lineage(parts, "top-k-parts")
+        norm = parts.filter(F.col("rank") == 1).select("q_id", F.col("c_id").alias("best_id"), "m", "s")
         w = Window.partitionBy("q_id").orderBy(F.desc("score"), F.asc("c_id"))
         top = parts.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
         top = top.join(_lse(norm, ["q_id"]).select("q_id", "lse"), "q_id")
@@ -276,17 +275,25 @@ def contrastive_loss_sym(pairs: DataFrame, *, id_col: str, a_vec: str, b_vec: st
     return sides.select(((F.col("loss_a_to_b") + F.col("loss_b_to_a")) / 2).alias("loss"), "loss_a_to_b", "loss_b_to_a")
 
 
+def _tile(a: pd.DataFrame, b: pd.DataFrame, scale: float) -> pd.DataFrame:
+    """Rows of one tile of a batch against those of another: log-sum-exp and how many outrank the match (``diag``).
+
+    Rows stand in the order of ``at``; an equal score outranks the match from an earlier place. The match itself is
+    known by its place. A gap below ``TIE_EPS`` ties, since products of other shapes sum in another order.
+    """
+    s = (B.as_matrix(a.a) @ B.as_matrix(b.b).T) * scale
+    m = s.max(axis=1)
+    diag, at, other = a["diag"].to_numpy()[:, None], a["at"].to_numpy()[:, None], b["at"].to_numpy()[None, :]
+    tie = np.abs(s - diag) <= B.TIE_EPS * np.maximum(1.0, np.abs(diag))
+    better = (((s > diag) & ~tie) | (tie & (other < at))) & (other != at)
+    return a[["none", "batch_id", "id", "at", "diag", "size"]].assign(lse=m + np.log(np.exp(s - m[:, None]).sum(axis=1)), better=better.sum(axis=1))
+
+
 def _batch_rows(scale: float):
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = B.as_matrix(pdf.a), B.as_matrix(pdf.b)
-        s = (a @ b.T) * scale
-        m = s.max(axis=1)
-        diag = np.diag(s).copy()
-        at = np.arange(len(pdf))
-        better = (s > diag[:, None]) | ((s == diag[:, None]) & (at[None, :] < at[:, None]))
-        np.fill_diagonal(better, False)
-        return pd.DataFrame({"batch_id": pdf.batch_id, "id": pdf.id, "lse": m + np.log(np.exp(s - m[:, None]).sum(axis=1)),
-                             "diag": diag, "rank": better.sum(axis=1) + 1, "size": len(pdf)})
+        pdf = pdf.assign(at=np.arange(len(pdf)), size=len(pdf))
+        out = _tile(pdf, pdf, scale)
+        return out.assign(rank=out.better + 1)[["none", "batch_id", "id", "lse", "diag", "rank", "size"]]
 
     def run(it):
         """Batches lie one after another in a partition; an Arrow batch holds many, its last may go on in the next."""
@@ -295,9 +302,9 @@ def _batch_rows(scale: float):
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
             if not len(pdf):
                 continue
-            open_batch = pdf.batch_id == pdf.batch_id.iloc[-1]
+            open_batch = (pdf.none == pdf.none.iloc[-1]) & (pdf.batch_id == pdf.batch_id.iloc[-1])
             held = pdf[open_batch]
-            done = [one(g) for _, g in pdf[~open_batch].groupby("batch_id", sort=False)]
+            done = [one(g) for _, g in pdf[~open_batch].groupby(["none", "batch_id"], sort=False)]
             if done:
                 yield pd.concat(done, ignore_index=True)
         if held is not None:
@@ -306,21 +313,57 @@ def _batch_rows(scale: float):
     return run
 
 
+def _tiled_batches(rows: DataFrame, scale: float, tile_rows: int) -> DataFrame:
+    """Batches (with their ``size``) cut into tiles of ``tile_rows``: every pair of tiles is a group of its own.
+
+    A row travels once per tile of its batch, the scores of a pair stay in its task, and a row's parts (one
+    per tile) are merged by their log-sum-exps.
+    """
+    placed = row_index(rows, ["id", "h"], partition_by=["none", "batch_id"], name="at", start=0)
+    tiles = F.ceil(F.col("size") / tile_rows).cast("int")
+    placed = placed.withColumns({"tile": F.floor(F.col("at") / tile_rows).cast("int"), "other": F.explode(F.sequence(F.lit(0), tiles - 1))})
+    left = placed.select("none", "batch_id", F.col("tile").alias("ti"), F.col("other").alias("tj"), "id", "at", "diag", "size", "a", F.lit(None).cast("array<double>").alias("b"))
+    right = placed.select("none", "batch_id", F.col("other").alias("ti"), F.col("tile").alias("tj"), "id", "at", "diag", "size", F.lit(None).cast("array<double>").alias("a"), "b")
+
+    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
+        of_left = pdf.a.notna()
+        return _tile(pdf[of_left], pdf[~of_left], scale)
+
+    parts = (left.unionByName(right).groupBy("none", "batch_id", "ti", "tj")
+             .applyInPandas(pair, "none boolean, batch_id long, id long, at long, diag double, size long, lse double, better long"))
+    merged = parts.groupBy("none", "batch_id", "id", "at", "diag", "size").agg(F.collect_list("lse").alias("ls"), (F.sum("better") + 1).alias("rank"))
+    top = F.array_max("ls")
+    lse = top + F.log(F.aggregate("ls", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.array_max("ls"))))
+    return merged.select("none", "batch_id", "id", lse.alias("lse"), "diag", "rank", "size")
+
+
 def in_batch_pairs(df: DataFrame, *, batch_col: str, id_col: str, a_vec: str, b_vec: str,
-                   scale: float = 100.0, normalize: bool = True) -> DataFrame:
-    """Every row against every row of its batch (a group of bounded size).
+                   scale: float = 100.0, normalize: bool = True, tile_rows: int = 2048) -> DataFrame:
+    """Every row against every row of its batch, whatever the batch's size.
 
     Returns per row: the row's log-sum-exp over the batch, its matched score
     (diag), the rank of the match inside the batch and the batch's size. Rows without both vectors
-    stand outside their batch, with nulls. Many batches share one Arrow call.
+    stand outside their batch, with nulls. Rows without a batch are one batch. Rows that repeat an id are ordered by a hash of their vectors.
+
+    Batches of at most ``tile_rows`` rows share Arrow calls; a larger one is scored in pairs of tiles in many tasks.
     """
     x = df.select(F.col(batch_col).cast("long").alias("batch_id"), F.col(id_col).cast("long").alias("id"),
                   _vec(a_vec, normalize).alias("a"), _vec(b_vec, normalize).alias("b"))
     full = F.col("a").isNotNull() & F.col("b").isNotNull()
     schema = "batch_id long, id long, lse double, diag double, rank long, size long"
-    rows = x.filter(full).repartition("batch_id").sortWithinPartitions("batch_id", "id").mapInPandas(_batch_rows(scale), schema)
+    batch = ["none", "batch_id"]  # whole numbers only: pandas would hold a column with nulls as floats
+    rows = x.filter(full).withColumns({"none": F.col("batch_id").isNull(), "batch_id": F.coalesce("batch_id", F.lit(0)),
+                                       "diag": V.dot("a", "b") * F.lit(scale), "h": F.xxhash64("a", "b")})
+    sizes = rows.groupBy(*batch).agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > tile_rows)
+    large, n_large = broadcast_if_small(cut_lineage(sizes, "large-batches"), row_bytes=24)
+    small = rows.join(large, batch, "left_anti") if n_large else rows
+    small = small.repartition(*batch).sortWithinPartitions(*batch, "id", "h").select(*batch, "id", "a", "b", "diag")
+    out = small.mapInPandas(_batch_rows(scale), f"none boolean, {schema}")
+    if n_large:
+        out = out.unionByName(_tiled_batches(rows.join(large, batch), scale, tile_rows))
+    out = out.withColumn("batch_id", F.when(~F.col("none"), F.col("batch_id"))).drop("none")
     lost = x.filter(~full).select("batch_id", "id", *[F.lit(None).cast(k).alias(n) for n, k in (f.split() for f in schema.split(", ")[2:])])
-    return rows.unionByName(lost)
+    return out.unionByName(lost)
 
 
 def masked_cross_entropy(logits_src: DataFrame, classes: DataFrame, *, id_col: str, vec_col: str,
@@ -339,43 +382,68 @@ def masked_cross_entropy(logits_src: DataFrame, classes: DataFrame, *, id_col: s
                                    F.count(F.lit(1)).alias("n_tokens"))
 
 
-def _gram_kernel(x_col: str, y_col: str):
-    def run(it):
-        xtx = None
-        xty = None
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            x = B.as_matrix(pdf[x_col])
-            y = B.as_matrix(pdf[y_col])
-            xtx = x.T @ x if xtx is None else xtx + x.T @ x
-            xty = x.T @ y if xty is None else xty + x.T @ y
-        if xtx is None:
-            return
-        d, e = xtx.shape[0], xty.shape[1]
-        ii, jj = np.meshgrid(np.arange(d), np.arange(d), indexing="ij")
-        yield pd.DataFrame({"kind": "xtx", "i": ii.ravel().astype("int64"), "j": jj.ravel().astype("int64"),
-                            "v": xtx.ravel()})
-        ii, jj = np.meshgrid(np.arange(d), np.arange(e), indexing="ij")
-        yield pd.DataFrame({"kind": "xty", "i": ii.ravel().astype("int64"), "j": jj.ravel().astype("int64"),
-                            "v": xty.ravel()})
-    return run
+#: Rows a task holds before it reduces them to a triangle again.
+QR_ROWS = 8192
+#: Tasks that reduce the triangles of all tasks, step by step.
+QR_STEPS = (64, 8, 1)
+
+
+def _triangle(it):
+    """Rows (v) to the triangle of their QR decomposition: at most as many rows as columns, with the same products."""
+    held, d = None, 0
+    for pdf in it:
+        if not len(pdf):
+            continue
+        d, rows = int(pdf.d.iloc[0]), B.as_matrix(pdf.v)
+        held = rows if held is None else np.vstack([held, rows])
+        if len(held) >= max(QR_ROWS, 2 * held.shape[1]):
+            held = np.linalg.qr(held, mode="r")
+    if held is not None:
+        yield pd.DataFrame({"d": d, "v": list(np.linalg.qr(held, mode="r"))})
+
+
+def map_triangle(df: DataFrame, x_col: str, y_col: str) -> DataFrame:
+    """A19 (distributed part): rows (d, v) with the same products as the rows [x | y]; ``d`` is the width of x.
+
+    A tall table's QR decomposition: every task reduces its rows to a triangle (one vector a row, no
+    row per element), and the triangles are again rows, reduced by fewer and fewer tasks. Rows without both vectors are left out.
+    """
+    x, y = V.as_double(x_col), V.as_double(y_col)
+    rows = df.select(x.alias("x"), y.alias("y")).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    rows = rows.select(F.size("x").alias("d"), F.concat("x", "y").alias("v"))
+    for tasks in (None, *QR_STEPS):
+        rows = (rows.repartition(tasks) if tasks else rows).mapInPandas(_triangle, "d int, v array<double>")
+    return rows
+
+
+def _products(it):
+    for pdf in it:
+        if not len(pdf):
+            continue
+        d, r = int(pdf.d.iloc[0]), B.as_matrix(pdf.v)
+        for kind, m in (("xtx", r[:, :d].T @ r[:, :d]), ("xty", r[:, :d].T @ r[:, d:])):
+            i, j = np.indices(m.shape).reshape(2, -1)
+            yield pd.DataFrame({"kind": kind, "i": i, "j": j, "v": m.ravel()})
 
 
 def gram_sums(df: DataFrame, x_col: str, y_col: str) -> DataFrame:
-    """A19 (distributed part): X^T X and X^T Y as (kind, i, j, v); partial sums per partition."""
-    x = df.select(V.as_double(x_col).alias("x"), V.as_double(y_col).alias("y"))
-    parts = x.mapInPandas(_gram_kernel("x", "y"), "kind string, i long, j long, v double")
-    return parts.groupBy("kind", "i", "j").agg(F.sum("v").alias("v"))
+    """X^T X and X^T Y as (kind, i, j, v), from the one triangle of all rows."""
+    return map_triangle(df, x_col, y_col).mapInPandas(_products, "kind string, i long, j long, v double")
 
 
 def fit_linear_map(df: DataFrame, x_col: str, y_col: str, ridge: float = 0.0) -> DataFrame:
-    """Least-squares W with X W ~ Y as a table (i, j, w). Only the d x d sums reach the driver."""
-    rows = gram_sums(df, x_col, y_col).collect()
-    d, e = (1 + max((r[k] for r in rows if r.kind == "xty"), default=-1) for k in ("i", "j"))
-    xtx, xty = np.zeros((d, d)), np.zeros((d, e))
-    for r in rows:
-        (xtx if r.kind == "xtx" else xty)[r.i, r.j] = r.v
-    w = np.linalg.solve(xtx + ridge * np.eye(d), xty)
+    """Least-squares W with X W ~ Y as a table (i, j, w); the smallest W where several fit.
+
+    Solved on the triangle, not on X^T X, whose condition is the square of X's. Only the triangle reaches the
+    driver: one vector for each of its columns. An empty table gives an empty map.
+    """
+    rows = map_triangle(df, x_col, y_col).collect()
+    d = rows[0].d if rows else 0
+    r = np.array([row.v for row in rows]) if rows else np.zeros((0, 0))
+    e = r.shape[1] - d
+    x, y = r[:, :d], r[:, d:]
+    if ridge:
+        x, y = np.vstack([x, np.sqrt(ridge) * np.eye(d)]), np.vstack([y, np.zeros((d, e))])
+    w = np.linalg.lstsq(x, y, rcond=None)[0] if rows else np.zeros((0, 0))
     table = pd.DataFrame({"i": np.repeat(np.arange(d), e), "j": np.tile(np.arange(e), d), "w": w.ravel()})
     return df.sparkSession.createDataFrame(table, "i long, j long, w double")

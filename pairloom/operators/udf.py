@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 import sys
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -167,13 +168,34 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p)) and bool(fs.exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")))
 
 
+def _publish(spark: SparkSession, staged: str, path: str, replace: bool) -> None:
+    """Give the complete folder ``staged`` the name ``path`` in one step, unless another writer did so before."""
+    jvm = spark.sparkContext._jvm
+    src, dst = (jvm.org.apache.hadoop.fs.Path(p) for p in (staged, path))
+    fs = dst.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(dst) and (replace or not _path_exists(spark, path)):
+        old = jvm.org.apache.hadoop.fs.Path(f"{staged}_old")
+        fs.rename(dst, old)
+        fs.delete(old, True)
+    if not fs.exists(dst):
+        fs.rename(src, dst)
+    # the losing folder stands beside the table, or within it where both renamed at once: either is hidden from readers
+    for loser in (src, jvm.org.apache.hadoop.fs.Path(dst, src.getName())):
+        fs.delete(loser, True)
+
+
 def materialize(make: Callable[[], DataFrame], spark: SparkSession, root: str, key: str, overwrite_cache: bool = False) -> DataFrame:
     """reuse a computed dataset stored under a fingerprint key unless ``overwrite_cache``.
 
     ``make`` builds the dataset and is called only when nothing is stored: a hit runs no job.
     The written table also cuts the lineage (a recomputation starts from it).
+
+    The table is written to a folder of its own and renamed when complete, so that a reader never meets half of it and
+    of two writers at once one table stays. A folder that an older job left without its success mark is replaced.
     """
     path = f"{root.rstrip('/')}/{key}"
     if overwrite_cache or not _path_exists(spark, path):
-        make().write.mode("overwrite").parquet(path)
+        staged = f"{root.rstrip('/')}/_staged-{uuid.uuid4().hex}"
+        make().write.parquet(staged)
+        _publish(spark, staged, path, overwrite_cache)
     return spark.read.parquet(path)

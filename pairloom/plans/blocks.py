@@ -149,7 +149,7 @@ TOPK_SCHEMA = "q_id long, rank long, c_id long, score double"
 
 
 def topk_lse_kernel(k: int, scale: float = 1.0):
-    """Top-k of each query with the (max, sum exp) normaliser parts of its row, on its first row only."""
+    """Top-k of each query with the (max, sum exp) normaliser parts of its row on each of them."""
     def kern(q: Side, c: Side) -> pd.DataFrame:
         s = (q.vecs @ c.vecs.T) * scale
         rows, cols = _best(s, k)
@@ -157,7 +157,7 @@ def topk_lse_kernel(k: int, scale: float = 1.0):
         m = s.max(axis=1)
         tot = np.exp(s - m[:, None]).sum(axis=1)
         return pd.DataFrame({"q_id": q.ids[rows], "rank": rank, "c_id": c.ids[cols], "score": s[rows, cols],
-                             "m": np.where(rank == 1, m[rows], np.nan), "s": np.where(rank == 1, tot[rows], np.nan)})
+                             "m": m[rows], "s": tot[rows]})
     return kern
 
 
