@@ -4,7 +4,7 @@
 Tokens stay an array in the row of their text, and ids are put in their place there: the table
 (vocabulary or merges) goes to the tasks, so token occurrences are never shuffled and every
 text keeps its row, also one without tokens. Only counting (vocabulary, pairs) shuffles, after
-a map-side sum. A vocabulary beyond the checked size is joined instead.
+a map-side sum. Against a vocabulary beyond the checked size each block of rows asks once for each of its distinct tokens.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
 from ..plans.indexing import row_index
@@ -24,8 +25,10 @@ from ..session import cut_lineage
 
 #: Bytes of merge-table text that are shipped to the tasks; a larger one is no merge table.
 MAX_MERGE_BYTES = 256 * 1024 * 1024
-#: Vocabulary entries that are shipped to the tasks (16 bytes each); beyond, lookups are joins.
-MAX_ENTRIES = 2_000_000
+#: Vocabulary entries that are shipped to the tasks (16 bytes each), and bytes of their strings; beyond, blocks of rows ask for their entries.
+MAX_ENTRIES, MAX_PIECE_BYTES = 2_000_000, 128 * 1024 * 1024
+#: Rows of a block are 2 to this power.
+BLOCK_BITS = 10
 
 
 def tokenize(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -73,6 +76,57 @@ def _list_of(values: np.ndarray, lists: pa.ListArray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pa.array(values))
 
 
+def _answered(value: pa.DataType, id_type: pa.DataType, out: str):
+    """Blocks of rows (_block, _side, _id, _keys, key, value): a block's entries come first, then the rows that ask for them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, keys, values, table = None, [], [], None
+        for batch in batches:
+            where = batch["_block"].to_numpy(), batch["_side"].to_numpy()
+            starts = np.flatnonzero(np.r_[True, (np.diff(where[0]) != 0) | (np.diff(where[1]) != 0)]) if batch.num_rows else []
+            for at, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                part = batch.slice(at, end - at)
+                if where[0][at] != block:
+                    block, keys, values, table = where[0][at], [], [], None
+                if where[1][at] == 0:
+                    keys.append(part["key"].to_numpy())
+                    values.append(part["value"])
+                    continue
+                if table is None:
+                    flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+                    order = np.argsort(flat, kind="stable")
+                    table = flat[order], (pa.concat_arrays(values) if values else pa.array([], value)).take(pa.array(order))
+                lists = part["_keys"]
+                asked = lists.flatten()
+                x = pc.fill_null(asked, 0).to_numpy()
+                place = np.minimum(np.searchsorted(table[0], x), max(len(table[0]) - 1, 0))
+                known = (table[0][place] == x if len(table[0]) else np.zeros(len(x), bool)) & ~asked.is_null().to_numpy(zero_copy_only=False)
+                offsets = lists.offsets.to_numpy()
+                found = pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), table[1].take(pa.array(place, mask=~known)))
+                yield pa.RecordBatch.from_arrays([part["_id"], found], schema=pa.schema([("_id", id_type), (out, found.type)]))
+
+    return run
+
+
+def _lookup_in_blocks(rows: DataFrame, id_col: str, keys: Column, entries: DataFrame, out: str) -> DataFrame:
+    """(id_col, out): for each row's array of whole-number keys the entries' (key, value) values, null where there is none.
+
+    What is joined is a block's distinct keys, so a frequent token travels once a block, not once an occurrence; the
+    rows move once, packed, to meet their block's entries.
+    """
+    stored = cut_lineage(rows.select(F.col(id_col).alias("_id"), F.coalesce(keys, F.array()).cast("array<long>").alias("_keys"),
+                                     F.monotonically_increasing_id().alias("_row")), "asking-rows")
+    stored = stored.withColumn("_block", F.shiftright("_row", BLOCK_BITS))
+    asked = stored.select("_block", F.explode(F.array_distinct("_keys")).alias("key")).distinct()
+    none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in (*stored.schema.fields, *entries.schema.fields)}
+    answers = asked.join(entries, "key").select("_block", F.lit(0).alias("_side"), none["_id"], none["_keys"], "key", "value")
+    both = answers.unionByName(stored.select("_block", F.lit(1).alias("_side"), "_id", "_keys", none["key"], none["value"]))
+    both = both.repartition("_block").sortWithinPartitions("_block", "_side")
+    kind, id_kind = entries.schema["value"].dataType, stored.schema["_id"].dataType
+    found = both.mapInArrow(_answered(to_arrow_type(kind), to_arrow_type(id_kind), out), f"_id {id_kind.simpleString()}, {out} array<{kind.simpleString()}>")
+    return found.withColumnRenamed("_id", id_col)
+
+
 def lookup_ids(rows: DataFrame, vocab: DataFrame, id_col: str, tokens: str = "tokens",
                unk_id: int | None = None, max_entries: int = MAX_ENTRIES) -> DataFrame:
     """J6 piece -> id, in place: (id_col, ids), one row per input row, empty arrays included.
@@ -101,7 +155,11 @@ def lookup_ids(rows: DataFrame, vocab: DataFrame, id_col: str, tokens: str = "to
             hashed = F.transform(F.coalesce(F.col(tokens), F.array().cast("array<string>")), lambda t: F.xxhash64(t))
             found = rows.select(F.col(id_col), F.arrow_udf(find, "array<long>")(hashed).alias("ids"))
             return found.select(id_col, F.transform("ids", lambda i: F.when(i >= 0, i).otherwise(missing)).alias("ids"))
-    # Too many entries to ship: join on the token (AQE splits hot ones) and gather by row number.
+    hashed = F.transform(tokens, lambda t: F.xxhash64(t))
+    if entries.groupBy("h").count().where(F.col("count") > 1).isEmpty():
+        found = _lookup_in_blocks(rows, id_col, hashed, entries.select(F.col("h").alias("key"), F.col("tid").alias("value")), "ids")
+        return found.select(id_col, F.transform("ids", lambda i: F.coalesce(i, missing)).alias("ids"))
+    # Two tokens share a hash, or a token has two entries: join on the token (AQE splits hot ones) and gather by row number.
     keyed = cut_lineage(rows.select(F.col(id_col), F.col(tokens).alias("_t"), F.monotonically_increasing_id().alias("_row")), "tokens")
     occ = keyed.select("_row", F.posexplode("_t").alias("pos", "token"))
     got = occ.join(entries.select("token", "tid"), "token", "left").withColumn("tid", F.coalesce("tid", missing))
@@ -115,8 +173,9 @@ def lookup_pieces(ids_df: DataFrame, vocab: DataFrame, id_col: str, ids_col: str
     """J6 id -> piece, in place: (id_col, pieces); an id without an entry gives ``unk``, or is an error without it."""
     entries = cut_lineage(vocab.select("token", F.col("id").cast("long").alias("tid")), "vocabulary")
     missing = F.lit(unk) if unk is not None else F.raise_error(F.lit("an id has no entry in the vocabulary")).cast("string")
-    none = F.array().cast("array<string>")
-    if entries.count() <= max_entries:
+    n, size = entries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("token")), F.lit(0))).first()
+    wanted = F.coalesce(F.col(ids_col).cast("array<long>"), F.array().cast("array<long>"))
+    if n <= max_entries and size <= MAX_PIECE_BYTES:
         table = entries.orderBy("tid").toArrow()
         shared = ids_df.sparkSession.sparkContext.broadcast((table["tid"].to_numpy(), table["token"].combine_chunks()))
 
@@ -129,15 +188,11 @@ def lookup_pieces(ids_df: DataFrame, vocab: DataFrame, id_col: str, ids_col: str
                 offsets = lists.offsets.to_numpy()
                 yield pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pieces.take(pa.array(at, mask=~known)))
 
-        wanted = F.coalesce(F.col(ids_col).cast("array<long>"), F.array().cast("array<long>"))
         found = ids_df.select(F.col(id_col), F.arrow_udf(find, "array<string>")(wanted).alias("pieces"))
         return found.select(id_col, F.transform("pieces", lambda p: F.coalesce(p, missing)).alias("pieces"))
-    keyed = cut_lineage(ids_df.select(F.col(id_col), F.col(ids_col).alias("_t"), F.monotonically_increasing_id().alias("_row")), "ids")
-    ex = keyed.select("_row", F.posexplode("_t").alias("pos", "tid"))
-    got = ex.join(entries, "tid", "left").withColumn("token", F.coalesce("token", missing))
-    pieces = (got.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("_p"))
-                 .select("_row", F.transform("_p", lambda s: s["token"]).alias("pieces")))
-    return keyed.join(pieces, "_row", "left").select(id_col, F.coalesce("pieces", none).alias("pieces"))
+    one = entries.groupBy(F.col("tid").alias("key")).agg(F.min("token").alias("value"))
+    found = _lookup_in_blocks(ids_df, id_col, wanted, one, "pieces")
+    return found.select(id_col, F.transform("pieces", lambda p: F.coalesce(p, missing)).alias("pieces"))
 
 
 def distinct_words(rows: DataFrame) -> DataFrame:

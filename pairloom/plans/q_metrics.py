@@ -186,6 +186,16 @@ def q_pool_eos(spark, d):
     return p.select("seq_id", V.vec_round("pooled").alias("pooled"))
 
 
+@register("pool_eos_id", f"""
+WITH {fx.SQL_SEQ}
+SELECT seq_id, list_transform(first(vec ORDER BY pos)::DOUBLE[], lambda x: round(x, 4) + 0.0) AS pooled
+FROM f_seq WHERE token = 1 GROUP BY seq_id
+""")
+def q_pool_eos_id(spark, d):
+    p = PL.pool_eos(fx.f_seq(spark, d), "seq_id", "vec", "pos", "token", eos_id=1)
+    return p.select("seq_id", V.vec_round("pooled").alias("pooled"))
+
+
 @register("position_ids", f"""
 WITH {fx.SQL_SEQ}
 SELECT seq_id, pos, (CASE WHEN token <> 1 THEN 1 + sum(CASE WHEN token <> 1 THEN 1 ELSE 0 END)

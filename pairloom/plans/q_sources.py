@@ -41,6 +41,20 @@ def q_read_splits(spark, d):
                                    F.sum(F.length("source_text") + F.length("target_text")).alias("chars"))
 
 
+@register("read_records", """SELECT doc_id, lang, source, length(text)::BIGINT AS n_chars, md5(text) AS digest,
+  (length(text) - length(replace(text, chr(10), '')))::BIGINT AS n_line_ends FROM documents""")
+def q_read_records(spark, d):
+    """Documents as CSV with line ends in their texts, cut into records by many tasks."""
+    base = scratch_path(spark, "records") + "/all.csv"
+    docs = load(spark, d, "documents").select("doc_id", "lang", "source", "text")
+    (docs.write.mode("overwrite").option("header", "true").option("escape", '"').option("ignoreLeadingWhiteSpace", "false")
+         .option("ignoreTrailingWhiteSpace", "false").csv(base))
+    df = RD.read_splits(spark, {"all": base}, schema=docs.schema, multi_line=True)
+    text = F.coalesce("text", F.lit(""))
+    return df.select("doc_id", "lang", "source", F.length(text).cast("long").alias("n_chars"), F.md5(text).alias("digest"),
+                     (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("long").alias("n_line_ends"))
+
+
 @register("read_prepared", f"WITH {fx.SQL_CAPTIONS} SELECT id, en, fr, de, es FROM f_captions")
 def q_read_prepared(spark, d):
     out = scratch_path(spark, "prepared")

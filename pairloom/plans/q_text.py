@@ -244,6 +244,21 @@ def q_lookup_pieces(spark, d):
     return TK.lookup_pieces(f_tokens(spark, d, vocab), vocab, "doc_id")
 
 
+@register("lookup_ids_blocks", f"WITH {SQL_FTOKENS} SELECT doc_id, ids FROM f_tokens")
+def q_lookup_ids_blocks(spark, d):
+    """The way of a vocabulary too large to ship."""
+    rows = TK.tokenize(load(spark, d, "documents"), "doc_id", "text")
+    return TK.lookup_ids(rows, f_vocabulary(spark, d), "doc_id", max_entries=0)
+
+
+@register("lookup_pieces_blocks", f"""WITH {SQL_TOK}
+SELECT documents.doc_id, coalesce(t.pieces, []::VARCHAR[]) AS pieces FROM documents LEFT JOIN
+  (SELECT doc_id, list(token ORDER BY pos) AS pieces FROM tok GROUP BY doc_id) t USING (doc_id)""")
+def q_lookup_pieces_blocks(spark, d):
+    vocab = f_vocabulary(spark, d)
+    return TK.lookup_pieces(f_tokens(spark, d, vocab), vocab, "doc_id", max_entries=0)
+
+
 @register("tokenize_fixed", f"""WITH {SQL_FTOKENS}, n AS (SELECT count(*) + {fx.N_SPECIAL} AS n FROM vocab),
 {_fixed_sql("f_tokens, n", "n", "n + 1").replace("SELECT doc_id, list_concat([n", "SELECT doc_id, n, list_concat([n").replace("[n + 1::BIGINT]", "[(n + 1)::BIGINT]")}""")
 def q_tokenize_fixed(spark, d):

@@ -159,12 +159,13 @@ def q_recall_at_k_teacher(spark, d):
     return r.select("name", R("value").alias("value"))
 
 
-BATCH = 32
+BATCH, LARGE_BATCH = 32, 300
 
 
-@register("in_batch_pairs", f"""
+def _in_batch_sql(size):
+    return f"""
 WITH {fx.SQL_IMGTEXT},
-b AS (SELECT pair_id, (row_number() OVER (ORDER BY pair_id) - 1) // {BATCH} AS batch_id, image_vec, text_vec
+b AS (SELECT pair_id, (row_number() OVER (ORDER BY pair_id) - 1) // {size} AS batch_id, image_vec, text_vec
       FROM f_imgtext),
 s AS (SELECT x.batch_id, x.pair_id AS id, y.pair_id AS cid,
              {SCALE} * list_cosine_similarity(x.image_vec::DOUBLE[], y.text_vec::DOUBLE[]) AS score
@@ -177,11 +178,23 @@ SELECT s.batch_id::BIGINT AS batch_id, s.id, round(m.mx + ln(sum(exp(s.score - m
        count(*)::BIGINT AS size
 FROM s JOIN m USING (id) JOIN dg USING (id)
 GROUP BY s.batch_id, s.id, m.mx, dg.dg
-""")
+"""
+
+
+@register("in_batch_pairs", _in_batch_sql(BATCH))
 def q_in_batch_pairs(spark, d):
-    p = BT.batch_ids(fx.f_imgtext(spark, d), BATCH, order_by=["pair_id"])
-    r = S.in_batch_pairs(p, batch_col="batch_id", id_col="pair_id", a_vec="image_vec", b_vec="text_vec",
-                         scale=SCALE)
+    return _in_batch(spark, d, BATCH)
+
+
+@register("in_batch_pairs_tiled", _in_batch_sql(LARGE_BATCH))
+def q_in_batch_pairs_tiled(spark, d):
+    """Batches larger than a tile."""
+    return _in_batch(spark, d, LARGE_BATCH, tile_rows=128)
+
+
+def _in_batch(spark, d, size, **how):
+    p = BT.batch_ids(fx.f_imgtext(spark, d), size, order_by=["pair_id"])
+    r = S.in_batch_pairs(p, batch_col="batch_id", id_col="pair_id", a_vec="image_vec", b_vec="text_vec", scale=SCALE, **how)
     return r.select("batch_id", "id", R("lse").alias("lse"), R("diag").alias("diag"), "rank", "size")
 
 
