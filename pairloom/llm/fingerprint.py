@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegralType, NumericType
 
 from ..plans.indexing import assign_buckets
 from .common import mix64
@@ -24,6 +25,10 @@ LENGTH = 64
 MIN_BLOCK = 2
 #: Signatures without a common run of so many characters are taken as unrelated.
 COMMON_RUN = 4
+#: Bytes of text whose arrays (some 50 bytes each) are held at once.
+AT_ONCE = 4 * 1024 * 1024
+#: Most ranges of ids; the driver sees 64 sample ids of each.
+MAX_RANGES = 16_384
 _CHARS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 _MULTIPLIER = np.uint64(0x100000001B3)
 
@@ -64,7 +69,18 @@ def _signatures(flat: np.ndarray, roll: np.ndarray, starts: np.ndarray, sizes: n
 
 
 def fingerprints(texts: list[bytes]) -> list[str]:
-    """The fingerprint of each text; equal texts have equal ones, the empty text has ``2::``."""
+    """The fingerprint of each text; equal texts have equal ones, the empty text has ``2::``. ``AT_ONCE`` bytes (or one longer text) at a time."""
+    out: list[str] = []
+    begin = size = 0
+    for i, t in enumerate(texts):
+        if size + len(t) > AT_ONCE and i > begin:
+            out += _fingerprints(texts[begin:i])
+            begin, size = i, 0
+        size += len(t)
+    return out + _fingerprints(texts[begin:]) if begin < len(texts) else out
+
+
+def _fingerprints(texts: list[bytes]) -> list[str]:
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     pad = b"\0" * (WINDOW - 1)
     flat = np.frombuffer(b"".join(pad + t for t in texts), np.uint8)
@@ -148,40 +164,42 @@ def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text: str = "text
 
     Returns ``id_col``, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, edited. The next document is
     the one before in id order (after the last: the first); rows that repeat an id follow each other by a hash of
-    their text; a null id counts as the smallest. Null texts are empty. A single row follows itself.
+    their text; a null id counts as the smallest. Numbers are in the order of their values, ids of other types in that of their
+    strings. Null texts are empty. A single row follows itself, an empty table gives an empty table, other columns are left out.
 
-    Texts move once, into ranges of ids; a range ends with a copy of the next range's first row.
+    Texts move once, into ranges of ids; a range begins with a copy of the last row of the range below.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    order = [F.col("id").isNull(), F.bitwise_not(F.coalesce("id", F.lit(0)).cast("long")), F.xxhash64("text")]
+    kind = docs.schema[id_col].dataType
+    key = F.col("id").cast("long" if isinstance(kind, IntegralType) else "double" if isinstance(kind, NumericType) else "string")
+    order = [F.col("id").isNotNull(), F.coalesce(key, F.lit(0) if isinstance(kind, NumericType) else F.lit("")), F.bitwise_not(F.xxhash64("text"))]
     rows = rows.withColumns({f"k{i}": o for i, o in enumerate(order)})
-    n_ranges = max(2, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n_ranges = max(2, min(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_RANGES))
     placed = assign_buckets(rows, ["k0", "k1", "k2"], [], n_ranges, name="range").withColumn("key", F.struct("k0", "k1", "k2"))
-    heads = placed.groupBy("range").agg(F.min("key").alias("head"))
+    tails = placed.groupBy("range").agg(F.max("key").alias("tail"))
     # One row a range: a window over them all is bounded by the number of ranges.
-    before = F.coalesce(F.lag("range").over(Window.orderBy("range")), F.max("range").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    heads = heads.withColumn("to", before)
-    ends = (placed.join(F.broadcast(heads.withColumnRenamed("range", "of")), (F.col("range") == F.col("of")) & (F.col("key") == F.col("head")))
-            .select("id", "text", "key", F.col("to").alias("range"), F.lit(True).alias("copy")))
-    ranged = placed.select("id", "text", "key", "range", F.lit(False).alias("copy")).unionByName(ends)
-    ranged = ranged.repartition(n_ranges, "range").sortWithinPartitions("range", "copy", "key").select("id", "text", "range", "copy")
+    whole = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    tails = tails.withColumn("to", F.coalesce(F.lead("range").over(Window.orderBy("range")), F.min("range").over(whole)))
+    ends = (placed.join(F.broadcast(tails.withColumnRenamed("range", "of")), (F.col("range") == F.col("of")) & (F.col("key") == F.col("tail")))
+            .select("id", "text", "key", F.col("to").alias("range"), F.lit(0).alias("own")))
+    ranged = placed.select("id", "text", "key", "range", F.lit(1).alias("own")).unionByName(ends)
+    ranged = ranged.repartition(n_ranges, "range").sortWithinPartitions("range", "own", "key").select("id", "text", "range", "own")
 
     def pairs(batches):
-        """(id, text, next text) where a row's next stands in the same range."""
+        """(row, next text): a row's next stands before it in the same range."""
         held = None
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64).to_pylist()
                 out = []
                 for r in part:
-                    if held is not None and held["range"] == r["range"]:
-                        out.append((held, r["text"]))
-                    held = None if r["copy"] else r
+                    if r["own"] and held is not None and held["range"] == r["range"]:
+                        out.append((r, held["text"]))
+                    held = r
                 if out:
-                    yield _judged(out, id_col, kind)
+                    yield _judged(out, id_col, to_arrow_type(kind))
 
-    kind = to_arrow_type(docs.schema[id_col].dataType)
-    return ranged.mapInArrow(pairs, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, "
+    return ranged.mapInArrow(pairs, f"{id_col} {kind.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, "
                              "edited_fingerprint string, near_edited double, near_next double, edited string")
 
 

@@ -273,6 +273,27 @@ def test_edited_neighbours_with_null_and_repeated_ids(odd_docs):
     assert len(one) == 1 and one[0].near_next == 1.0
 
 
+@pytest.mark.parametrize("kind", ["string", "decimal(12,1)", "date"])
+def test_edited_neighbours_with_ids_of_other_types(spark, kind):
+    key = {"string": F.concat(F.lit("d"), F.col("id").cast("string")), "decimal(12,1)": F.col("id") - F.lit(20.5), "date": F.date_add(F.lit("2024-01-01"), F.col("id").cast("int"))}[kind]
+    rows = spark.range(60).select(key.cast(kind).alias("name"), F.concat(F.lit("text of "), F.repeat(F.col("id").cast("string"), 30)).alias("body"))
+    rows = rows.unionByName(spark.createDataFrame([(None, "without a name")], "name string, body string").select(F.col("name").cast(kind), "body"))
+    docs = sorted(((r.name, r.body) for r in rows.collect()), key=lambda x: (x[0] is not None, x[0] if x[0] is not None and kind != "string" else str(x[0])), reverse=True)
+    got = {r.name: r.edited for r in fingerprint.edited_neighbours(rows, "name", "body").collect()}
+    assert len(got) == len(docs)
+    for i, (name, body) in enumerate(docs):
+        k = len(body) // 3
+        assert got[name] == body[:len(body) - k] + docs[(i + 1) % len(docs)][1][:k]
+
+
+def test_fingerprints_in_parts(monkeypatch):
+    rng = random.Random(5)
+    texts = [rng.randbytes(rng.choice([0, 10, 300, 5000])) for _ in range(40)]
+    whole = fingerprint.fingerprints(texts)
+    monkeypatch.setattr(fingerprint, "AT_ONCE", 1000)
+    assert fingerprint.fingerprints(texts) == whole and fingerprint.fingerprints([]) == []
+
+
 def test_fingerprint_columns(odd_docs):
     rows = fingerprint.add_likeness(fingerprint.add_fingerprint(odd_docs), "fingerprint", "fingerprint").collect()
     assert all(r.likeness == 1.0 for r in rows)
