@@ -9,9 +9,11 @@
 4. Survivors are verified on their full sets. First each class only with its most similar hub, then,
    if that has not connected them, with the others. Confirmed links merge components.
 5. Buckets whose classes are then all connected are done. In the others every pair of classes that are not
-   connected yet still has to be compared, or links would be lost. Such a bucket is cut into blocks; a task
-   holds two blocks, compares their signatures in numpy and verifies survivors as long as they are
-   unconnected. Only confirmed links leave the task, at most one per class: no pairs are emitted.
+   connected yet still has to be compared, or links would be lost. A bucket of more than one block is first
+   split: two sets at the threshold share one of their rarest shingles (as many as one set may lack, and one), in
+   whatever order all sets agree on, so classes that no chain of such shared shingles connects need no comparison. What
+   is left is cut into blocks; a task holds two blocks, compares their signatures in numpy and verifies survivors
+   as long as they are unconnected. Only confirmed links leave the task, at most one per class: no pairs are emitted.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.joins import broadcast_if_small
-from .common import Memo, hash64, mix64, slices, stored
+from .common import Memo, hash64, join_counted, mix64, slices, stored
 from .graph import components
 
 #: For a similarity of 0.8: a pair at the threshold shares no band with probability (1 - 0.8 ** 5) ** 24 = 7e-5.
@@ -37,6 +39,10 @@ MISS = 1e-6
 BLOCK_ROWS, BLOCK_BYTES = 1024, 8 << 20
 #: Bytes of bucket keys or class digests that may be broadcast; beyond, rows are shuffled to them.
 BROADCAST_BYTES = 32 << 20
+#: Counters that order shingles by frequency (2 ** COUNTER_BITS); shingles that share one are ordered less well, never lost.
+COUNTER_BITS = 17
+#: Pairs that meet one row in one place, at least; of more pairs than that, a hundred-thousandth.
+HOT = 1_000
 
 _MASK = (1 << 64) - 1
 _odd = lambda k: (hash64(b"pairloom-%d" % k) | 1) & _MASK
@@ -120,7 +126,17 @@ def _sets(docs: DataFrame, id_col: str, text: str, size: int, bands: int, rows:
         emit, f"id {kind}, text_hash long, n long, digest binary, sig binary, keys array<long>, body string")
 
 
-def _pruned(pairs: DataFrame, sigs: DataFrame, threshold: float, n_hashes: int, miss: float) -> DataFrame:
+def _met(pairs: DataFrame, rows, least: int) -> DataFrame:
+    """``pairs`` (a, b) with the columns of ``rows("a")`` and ``rows("b")``; a ``b`` of more than ``least`` pairs meets them in several places."""
+    hot = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / least).cast("int").alias("places")).where(F.col("places") > 1)
+    hot, _ = _shipped(hot, 32)
+    places = F.coalesce("places", F.lit(1))
+    dealt = pairs.join(hot, "b", "left").withColumn("place", F.pmod(F.xxhash64("a"), places).cast("int")).drop("places")
+    copies = rows("b").join(hot, "b", "left").withColumn("place", F.explode(F.sequence(F.lit(0), places - 1))).drop("places")
+    return dealt.join(rows("a"), "a").join(copies, ["b", "place"])
+
+
+def _pruned(pairs: DataFrame, sigs: DataFrame, threshold: float, n_hashes: int, miss: float, least: int) -> DataFrame:
     """Pairs (a, b) that survive the sequential comparison, with the share of equal values."""
     steps = least_matches(threshold, n_hashes, BATCH, miss)
     slack = 1e-9
@@ -133,19 +149,19 @@ def _pruned(pairs: DataFrame, sigs: DataFrame, threshold: float, n_hashes: int,
                 x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint32).reshape(-1, n_hashes) for c in (left, right))
                 live = np.flatnonzero(np.minimum(na, nb) + slack >= threshold * np.maximum(na, nb))
                 equal = np.zeros(len(live), np.int64)
-                for n, least in steps:
+                for n, fewest in steps:
                     equal += (x[live, n - BATCH: n] == y[live, n - BATCH: n]).sum(axis=1)
-                    keep = equal >= least
+                    keep = equal >= fewest
                     live, equal = live[keep], equal[keep]
                 at = pa.array(live)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(equal / n_hashes)], names=["a", "b", "est"])
 
     s = lambda x: sigs.select(F.col("digest").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}"))
-    both = pairs.join(s("a"), "a").join(s("b"), "b").select("a", "b", "sig_a", "sig_b", "n_a", "n_b")
+    both = _met(pairs, s, least).select("a", "b", "sig_a", "sig_b", "n_a", "n_b")
     return both.mapInArrow(compare, "a binary, b binary, est double")
 
 
-def _confirmed(pairs: DataFrame, bodies: DataFrame, size: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, bodies: DataFrame, size: int, percent: int, least: int) -> DataFrame:
     """Pairs whose full shingle sets have 100 * intersection >= percent * union."""
 
     def verify(batches):
@@ -163,12 +179,55 @@ def _confirmed(pairs: DataFrame, bodies: DataFrame, size: int, percent: int) ->
                 yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at)], names=["a", "b"])
 
     t = lambda x: bodies.select(F.col("digest").alias(x), F.col("body").alias(f"body_{x}"))
-    both = pairs.select("a", "b").join(t("a"), "a").join(t("b"), "b").select("a", "b", "body_a", "body_b")
+    both = _met(pairs.select("a", "b"), t, least).select("a", "b", "body_a", "body_b")
     return both.mapInArrow(verify, "a binary, b binary")
 
 
+def _parts(members: DataFrame, size: int, percent: int) -> DataFrame:
+    """(digest, part) of ``members`` (digest, root, body): only classes of one part can be linked; who shares nothing is left out.
+
+    Of a set of n shingles any other at the threshold holds percent * n / 100 at least, so in any order common to all
+    sets the first shingles, one more than the others, meet those of the other set. The order is by frequency (counted
+    over all members in hashed counters), then by hash: shingles of a template come last.
+    """
+    of = lambda batch, memo: (shingle_set((b or "").encode().split(), size, memo) for b in batch.column(2).to_pylist())
+    shift = np.uint64(64 - COUNTER_BITS)
+
+    def count(batches):
+        memo = Memo(hash64)
+        total = np.zeros(1 << COUNTER_BITS, np.int64)
+        for batch in batches:
+            for part in slices(batch):
+                for s in of(part, memo):
+                    np.add.at(total, (s >> shift).astype(np.int64), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["counter", "n"])
+
+    seen = np.zeros(1 << COUNTER_BITS, np.int64)
+    for r in members.mapInArrow(count, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).collect():
+        seen[r["counter"]] = r["n"]
+
+    def rarest(batches):
+        memo = Memo(hash64)
+        for batch in batches:
+            for part in slices(batch):
+                first = []
+                for s in of(part, memo):
+                    order = np.lexsort((s, seen[(s >> shift).astype(np.int64)]))
+                    first.append(s[order[: len(s) + 1 - -(-percent * len(s) // 100)]].view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(first, pa.list_(pa.int64()))],
+                                                 names=["digest", "root", "first"])
+
+    first = members.mapInArrow(rarest, "digest binary, root binary, first array<long>").select("digest", "root", F.explode("first").alias("s"))
+    first = stored(first, "rarest-shingles")
+    met = first.groupBy("s").agg(F.min("digest").alias("x"), F.min("root").alias("r"), F.max("root").alias("q"), F.count(F.lit(1)).alias("n"))
+    met = stored(met.where(F.col("r") != F.col("q")).select("s", "x", "n"), "shared-shingles")
+    edges = join_counted(first.select("digest", "s"), met, ["s"], "n", first.count(), F.xxhash64("digest")).select("digest", "x").distinct()
+    return components(edges, "digest", "x").select(F.col("node").alias("digest"), F.xxhash64("root").alias("part"))
+
+
 def _unconnected(rows: DataFrame, size: int, percent: int, n_hashes: int, miss: float) -> DataFrame:
-    """Links (a, b) between classes of different roots that meet in a (key, bi, bj) block pair, confirmed on full sets.
+    """Links (a, b) between classes of different roots that meet in a (key, part, bi, bj) block pair, confirmed on full sets.
 
     A pair that shares several buckets is compared in the one of its first shared band only.
     """
@@ -250,7 +309,7 @@ def _unconnected(rows: DataFrame, size: int, percent: int, n_hashes: int, miss:
             for part in slices(batch):
                 links: list = []
                 for r in part.to_pylist():
-                    if group and any(r[k] != group[0][k] for k in ("key", "bi", "bj")):
+                    if group and any(r[k] != group[0][k] for k in ("key", "part", "bi", "bj")):
                         links += linked(group, memo)
                         group = []
                     group.append(r)
@@ -262,7 +321,7 @@ def _unconnected(rows: DataFrame, size: int, percent: int, n_hashes: int, miss:
 
 
 def _block_pairs(members: DataFrame) -> DataFrame:
-    """Each member (key, digest, h, blocks) once for every pair of blocks (bi <= bj) that its own block is part of."""
+    """Each member (key, part, digest, h, blocks) once for every pair of blocks (bi <= bj) that its own block is part of."""
     block = F.pmod(F.col("h"), F.col("blocks")).cast("int")
     pairs = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return pairs.withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")}).drop("other", "blocks", "h")
@@ -300,8 +359,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     ends = keyed.withColumn("h", F.xxhash64("digest")).groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y"))
     shared, _ = _shipped(stored(ends.where(F.col("x") != F.col("y")).select("key"), "shared-keys"), 16)
     member = stored(keyed.join(shared, "key").select("key", "digest", "n").distinct(), "bucket-members")
-    sizes = member.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
-    buckets = stored(member.join(sizes, "key").withColumn("h", F.xxhash64("digest")), "buckets")
+    member = member.withColumn("h", F.xxhash64("digest"))
+    hubs = stored(member.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("h", "digest")).alias("hub"))
+                  .select("key", "m", F.col("m").alias("times"), F.col("hub.digest").alias("hub")), "hubs")
+    total = hubs.agg(F.sum("m")).first()[0] or 0
+    least = max(HOT, total // 100_000)
+    buckets = stored(join_counted(member, hubs, ["key"], "times", total, F.col("h")), "buckets")
     roots = stored(buckets.select("digest").distinct().select("digest", F.col("digest").alias("root")), "roots")
     # Few classes share a bucket: while they are few enough to ship, signatures and texts of the others do not move.
     # Keyed by digest and id, the copies of a hot class spread out; only the first of each class stays.
@@ -312,21 +375,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     sigs, bodies = full_rows.select("digest", "n", "sig", "keys"), full_rows.select("digest", "body")
 
     # Every class of a bucket with the bucket's hub.
-    hub = buckets.groupBy("key").agg(F.min(F.struct("h", "digest")).alias("hub")).select("key", F.col("hub.digest").alias("b"))
-    pairs = buckets.join(hub, "key").where(F.col("digest") != F.col("b")).select(F.col("digest").alias("a"), "b").distinct()
-    alive = stored(_pruned(pairs, sigs, percent / 100, bands * rows, miss), "survivors")
-    best = alive.groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b"))
-    roots = _merged(roots, stored(_confirmed(best, bodies, shingle, percent), "links"))
+    pairs = buckets.where(F.col("digest") != F.col("hub")).select(F.col("digest").alias("a"), F.col("hub").alias("b")).distinct()
+    alive = stored(_pruned(pairs, sigs, percent / 100, bands * rows, miss, least), "survivors")
+    best = stored(alive.groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b")), "best-hubs")
+    roots = _merged(roots, stored(_confirmed(best, bodies, shingle, percent, least), "links"))
     r = lambda x: roots.select(F.col("digest").alias(x), F.col("root").alias(f"r{x}"))
     rest = alive.join(best, ["a", "b"], "left_anti").join(r("a"), "a").join(r("b"), "b").where(F.col("ra") != F.col("rb")).select("a", "b")
-    roots = _merged(roots, stored(_confirmed(rest, bodies, shingle, percent), "links"))
+    roots = _merged(roots, stored(_confirmed(stored(rest, "other-hubs"), bodies, shingle, percent, least), "links"))
 
     # Buckets of two are done; in larger ones whose classes are not all connected, every unconnected pair.
-    named = stored(buckets.where(F.col("m") > 2).join(roots, "digest"), "rooted-buckets")
+    named = stored(buckets.where(F.col("m") > 2).drop("hub").join(roots, "digest"), "rooted-buckets")
     size = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum(F.col("n") * 16) / BLOCK_BYTES)).cast("int")
-    left = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), size.alias("blocks")).where(F.col("x") != F.col("y"))
-    open_rows = _block_pairs(named.join(left.select("key", "blocks"), "key").drop("m", "n"))
-    full = (open_rows.join(full_rows, "digest").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "digest"))
+    sized = lambda members, by: (members.groupBy(*by).agg(F.min("root").alias("x"), F.max("root").alias("y"), size.alias("blocks"))
+                                 .where(F.col("x") != F.col("y")).select(*by, "blocks"))
+    left = stored(sized(named, ["key"]), "open-buckets")
+    named = named.drop("m")
+    open_rows = named.join(left.where(F.col("blocks") == 1), "key").withColumn("part", F.lit(0).cast("long"))
+    wide = left.where(F.col("blocks") > 1).select("key")
+    if not wide.isEmpty():
+        wide, _ = _shipped(wide, 16)
+        members = stored(named.join(wide, "key"), "wide-buckets")
+        parts = _parts(members.select("digest", "root").distinct().join(bodies, "digest"), shingle, percent)
+        members = stored(members.join(parts, "digest"), "split-buckets")
+        open_rows = open_rows.unionByName(members.join(sized(members, ["key", "part"]), ["key", "part"]))
+    full = (_block_pairs(open_rows.drop("n")).join(full_rows, "digest").repartition("key", "part", "bi", "bj")
+            .sortWithinPartitions("key", "part", "bi", "bj", "digest"))
     roots = _merged(roots, stored(_unconnected(full, shingle, percent, bands * rows, miss), "links"))
 
     named = classes.join(roots, "digest", "left").select("digest", "id", F.coalesce("root", "digest").alias("root"))

@@ -270,6 +270,46 @@ def test_near_duplicates_equal_brute_force(spark, n, percent):
     assert all(rows[i].kept == (i == component[i]) for i, _ in docs)
 
 
+def _template_docs():
+    """Pages of one template, most of them alike in nothing else, a few chains of near copies among them, and shorter pages."""
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    template = [word() for _ in range(140)]
+    docs = [" ".join(template + [word() for _ in range(rng.choice([60, 70]))]) for _ in range(60)]
+    for _ in range(4):
+        ws = template + [word() for _ in range(60)]
+        for _ in range(8):
+            ws = list(ws)
+            for _ in range(3):
+                ws[rng.randrange(len(ws))] = word()
+            docs.append(" ".join(ws))
+    docs += [" ".join(template[:n]) for n in range(40, 140, 9)]
+    rng.shuffle(docs)
+    return list(enumerate(docs))
+
+
+@pytest.mark.parametrize("percent", [80, 62])
+def test_near_duplicates_in_buckets_of_many_blocks(spark, monkeypatch, percent):
+    """Buckets are split before their blocks are compared, and hubs are met in several places: no link is lost."""
+    monkeypatch.setattr(near_dup, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(near_dup, "HOT", 5)
+    docs = _template_docs()
+    component, _ = brute.components(docs, 5, percent)
+    rows = {r.doc_id: r for r in near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), percent=percent, bands=40, rows=3).collect()}
+    assert [rows[i].component_id for i, _ in docs] == component
+
+
+def test_parts_of_a_bucket_hold_all_links(spark):
+    """Every link lies within one part; pages that share the template alone are in none."""
+    docs = [(b"%d" % i, " ".join(brute.words(brute.lower(t)))) for i, t in _template_docs()]
+    members = spark.createDataFrame([(d, d, t) for d, t in docs], "digest binary, root binary, body string")
+    part = {bytes(r.digest): r.part for r in near_dup._parts(members, 5, 80).collect()}
+    sets = {d: {tuple(t.split()[k: k + 5]) for k in range(len(t.split()) - 4)} for d, t in docs}
+    links = [(x, y) for x, _ in docs for y, _ in docs if x < y and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])]
+    assert len(links) > 40 and all(x in part and part[x] == part[y] for x, y in links)
+    assert len(part) < len(docs) / 2 + 10 and len(set(part.values())) >= 4
+
+
 def test_near_duplicates_edges(spark, odd_docs):
     rows = near_dup.near_duplicates(odd_docs).collect()
     assert len(rows) == odd_docs.count()
