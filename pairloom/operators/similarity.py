@@ -55,11 +55,10 @@ def similarity(queries: DataFrame, cands: DataFrame, *, q_id: str, q_vec: str, c
     normaliser). ``similarity_both`` gives both directions in one pass.
     """
     q, c = _side(queries, q_id, q_vec, normalize), _side(cands, c_id, c_vec, normalize)
-    parts, whole = B.block_pairs(q, c, B.summary_kernel(scale), B.SUMMARY_SCHEMA, block_rows=block_rows)
+    parts, whole = B.block_pairs(q, c, B.summary_kernel(scale), B.SUMMARY_SCHEMA, block_rows=block_rows, unscored=True)
     if whole:
-        out = parts.select("q_id", "best_id", F.col("m").alias("best_score"), (F.col("m") + F.log("s")).alias("lse"))
-    else:
-        out = _lse(parts, ["q_id"])
+        return parts.select("q_id", "best_id", F.col("m").alias("best_score"), (F.col("m") + F.log("s")).alias("lse"))
+    out = _lse(parts, ["q_id"])
     return out.unionByName(_without_vector(q, "q_id long, best_id long, best_score double, lse double"))
 
 
@@ -80,11 +79,12 @@ def top_k(queries: DataFrame, cands: DataFrame, k: int, *, q_id: str, q_vec: str
     A query without a vector has one row of nulls.
     """
     q, c = _side(queries, q_id, q_vec, normalize), _side(cands, c_id, c_vec, normalize)
-    parts, whole = B.block_pairs(q, c, B.topk_kernel(k, scale), B.TOPK_SCHEMA, block_rows=block_rows)
-    if not whole:
-        # Spark keeps k rows of a query in each task before this shuffle, so a query's group is k x tasks
-        w = Window.partitionBy("q_id").orderBy(F.desc("score"), F.asc("c_id"))
-        parts = parts.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+    parts, whole = B.block_pairs(q, c, B.topk_kernel(k, scale), B.TOPK_SCHEMA, block_rows=block_rows, unscored=True)
+    if whole:
+        return parts
+    # Spark keeps k rows of a query in each task before this shuffle, so a query's group is k x tasks
+    w = Window.partitionBy("q_id").orderBy(F.desc("score"), F.asc("c_id"))
+    parts = parts.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
     return parts.select("q_id", "rank", "c_id", "score").unionByName(_without_vector(q, B.TOPK_SCHEMA))
 
 
@@ -94,7 +94,7 @@ def top_k_softmax(queries: DataFrame, cands: DataFrame, k: int, *, q_id: str, q_
     over *all* candidates (``q_id, rank, c_id, score, prob``). A query without a vector has one row of nulls.
     """
     q, c = _side(queries, q_id, q_vec, normalize), _side(cands, c_id, c_vec, normalize)
-    parts, whole = B.block_pairs(q, c, B.topk_lse_kernel(k, scale), B.TOPK_LSE_SCHEMA, block_rows=block_rows)
+    parts, whole = B.block_pairs(q, c, B.topk_lse_kernel(k, scale), B.TOPK_LSE_SCHEMA, block_rows=block_rows, unscored=True)
     if whole:  # one part per query: its rows already carry the normaliser
         top = parts.withColumn("lse", F.col("m") + F.log("s"))
     else:
@@ -104,7 +104,7 @@ def top_k_softmax(queries: DataFrame, cands: DataFrame, k: int, *, q_id: str, q_
         top = parts.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
         top = top.join(_lse(norm, ["q_id"]).select("q_id", "lse"), "q_id")
     out = top.select("q_id", "rank", "c_id", "score", F.exp(F.col("score") - F.col("lse")).alias("prob"))
-    return out.unionByName(_without_vector(q, "q_id long, rank long, c_id long, score double, prob double"))
+    return out if whole else out.unionByName(_without_vector(q, "q_id long, rank long, c_id long, score double, prob double"))
 
 
 def _dense_kernel(scale: float):
@@ -123,11 +123,13 @@ def dense_scores(queries: DataFrame, cands: DataFrame, *, q_id: str, q_vec: str,
     matrix); a side too large to ship is scored in blocks whose pieces are put together per query.
     """
     c, q = _side(cands, c_id, c_vec, normalize), _side(queries, q_id, q_vec, normalize)
-    parts, whole = B.block_pairs(q, c, _dense_kernel(scale), "q_id long, c_ids array<long>, scores array<double>", block_rows=block_rows)
-    if not whole:
-        flat = parts.select("q_id", F.arrays_zip(F.col("c_ids").alias("c"), F.col("scores").alias("s")).alias("z"))
-        parts = (flat.groupBy("q_id").agg(F.sort_array(F.flatten(F.collect_list("z"))).alias("z"))
-                     .select("q_id", F.transform("z", lambda e: e["c"]).alias("c_ids"), F.transform("z", lambda e: e["s"]).alias("scores")))
+    parts, whole = B.block_pairs(q, c, _dense_kernel(scale), "q_id long, c_ids array<long>, scores array<double>", block_rows=block_rows,
+                                 unscored=True)
+    if whole:
+        return parts
+    flat = parts.select("q_id", F.arrays_zip(F.col("c_ids").alias("c"), F.col("scores").alias("s")).alias("z"))
+    parts = (flat.groupBy("q_id").agg(F.sort_array(F.flatten(F.collect_list("z"))).alias("z"))
+                 .select("q_id", F.transform("z", lambda e: e["c"]).alias("c_ids"), F.transform("z", lambda e: e["s"]).alias("scores")))
     return parts.unionByName(_without_vector(q, "q_id long, c_ids array<long>, scores array<double>"))
 
 

@@ -9,7 +9,8 @@ every block of the other, so tall blocks keep the shuffle small: N x M / block r
 
 Either way numpy scores a bounded number of cells at a time and emits only reductions: top-k, log-sum-exp
 parts, counts. Kernels may reduce rows and columns of one score matrix in the same pass.
-Rows without a vector (null, e.g. a normalised zero vector) take no part; operators add them back.
+Rows without a vector (null, e.g. a normalised zero vector) take no part. With ``unscored`` such queries leave a task
+that holds all candidates as rows of nulls, so that the input is read once; elsewhere operators add them back.
 """
 
 from __future__ import annotations
@@ -48,11 +49,14 @@ class Side:
         return Side(self.ids[cut], self.vecs[cut], *(None if x is None else x[cut] for x in (self.aux_ids, self.aux_vecs)))
 
 
-def _prep(df: DataFrame, id_col: str, vec_col: str, aux_id: str | None, aux_vec: str | None) -> DataFrame:
+def _prep(df: DataFrame, id_col: str, vec_col: str, aux_id: str | None, aux_vec: str | None, unscored: bool = False) -> DataFrame:
     cols = [F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")]
     if aux_id:
         cols += [F.col(aux_id).cast("long").alias("aux_id"), F.col(aux_vec).cast("array<double>").alias("aux_vec")]
-    out = df.select(*cols).filter(F.col("vec").isNotNull())
+    out = df.select(*cols)
+    if unscored:
+        return out
+    out = out.filter(F.col("vec").isNotNull())
     return out.filter(F.col("aux_vec").isNotNull()) if aux_id else out
 
 
@@ -77,26 +81,32 @@ def _scored(kernel, q: Side, c: Side):
 def block_pairs(queries: DataFrame, cands: DataFrame, kernel, out_schema: str, *,
                 q_id: str = "id", q_vec: str = "vec", c_id: str = "id", c_vec: str = "vec",
                 q_aux: tuple[str, str] | None = None, c_aux: tuple[str, str] | None = None,
-                block_rows: int | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+                block_rows: int | None = None, broadcast_bytes: int = BROADCAST_BYTES, unscored: bool = False) -> tuple[DataFrame, bool]:
     """Run ``kernel(q: Side, c: Side) -> pandas`` over all pairs of blocks: (rows of ``out_schema``, whole).
 
     ``whole``: every query met all candidates in one call, so its row results need no merge.
-    ``block_rows`` forces the blocked way with blocks of that size.
+    ``block_rows`` forces the blocked way with blocks of that size. ``unscored`` (queries without ``q_aux``): when whole,
+    a query without a vector gives a row of its ``q_id`` and nulls.
     """
-    q = _prep(queries, q_id, q_vec, *(q_aux or (None, None)))
+    names = [f.split()[0] for f in out_schema.split(", ")]
     c = _prep(cands, c_id, c_vec, *(c_aux or (None, None)))
     nc, width = c.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
     row_bytes = 8 * max(1, width or 1) * (2 if c_aux else 1)
     if block_rows is None and nc * row_bytes <= broadcast_bytes:
-        shared = q.sparkSession.sparkContext.broadcast(_side(c.toPandas(), bool(c_aux)))
+        shared = c.sparkSession.sparkContext.broadcast(_side(c.toPandas(), bool(c_aux)))
 
         def over_queries(it):
             for pdf in it:
+                lost = pdf["vec"].isna().to_numpy()
+                if lost.any():
+                    yield pd.DataFrame({n: pdf["id"][lost] if n == "q_id" else None for n in names})
+                    pdf = pdf[~lost]
                 if len(pdf) and len(shared.value):
                     yield from _scored(kernel, _side(pdf, bool(q_aux)), shared.value)
 
-        return q.mapInPandas(over_queries, out_schema), True
+        return _prep(queries, q_id, q_vec, *(q_aux or (None, None)), unscored).mapInPandas(over_queries, out_schema), True
 
+    q = _prep(queries, q_id, q_vec, *(q_aux or (None, None)))
     rows = block_rows or max(256, min(BLOCK_ROWS, BLOCK_BYTES // row_bytes))
     nbq, nbc = max(1, math.ceil(q.count() / rows)), max(1, math.ceil(nc / rows))
     aux = bool(q_aux or c_aux)
@@ -106,7 +116,6 @@ def block_pairs(queries: DataFrame, cands: DataFrame, kernel, out_schema: str, *
                   F.explode(F.sequence(F.lit(0), F.lit(nbc - 1))).alias("cb"), F.lit(0).alias("side"), "id", "vec", *extra(bool(q_aux)))
     cs = c.select(F.explode(F.sequence(F.lit(0), F.lit(nbq - 1))).alias("qb"),
                   F.pmod(F.xxhash64("id"), F.lit(nbc)).cast("int").alias("cb"), F.lit(1).alias("side"), "id", "vec", *extra(bool(c_aux)))
-    names = [f.split()[0] for f in out_schema.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         sides = [pdf[pdf.side == i] for i in (0, 1)]

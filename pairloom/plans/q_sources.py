@@ -102,11 +102,12 @@ def f_files(spark, d):
     return media.withColumn("page_id", F.regexp_extract("path", r"/(\d+)\.bin$", 1).cast("long"))
 
 
-@register("read_media", """
-SELECT page_id, octet_length(encode(html)) + CASE WHEN page_id % 5 = 0 THEN 8 WHEN page_id % 5 = 1 THEN 3 ELSE 0 END AS length
-FROM pages""")
+@register("read_media", f"""
+SELECT page_id, octet_length(content) AS length, sha256(content) AS content_sha256 FROM (
+  SELECT page_id, unhex(CASE page_id % 5 WHEN 0 THEN '{RD.IMAGE_MAGIC["png"]}' WHEN 1 THEN '{RD.IMAGE_MAGIC["jpeg"]}' ELSE '' END) || encode(html) AS content
+  FROM pages)""")
 def q_read_media(spark, d):
-    return f_files(spark, d).select("page_id", "length")
+    return f_files(spark, d).select("page_id", "length", F.sha2("content", 256).alias("content_sha256"))
 
 
 @register("drop_unreadable", "SELECT page_id FROM pages WHERE page_id % 5 IN (0, 1)")

@@ -24,10 +24,12 @@ from ..operators.udf import embed_corpus
 def embed_new_files(spark: SparkSession, in_glob: str, out_dir: str, checkpoint: str,
                     schema: T.StructType, id_col: str, text_col: str,
                     max_files_per_trigger: int | None = None, encoder_factory: Callable | None = None,
-                    encoder_name: str | None = None) -> None:
+                    encoder_name: str | None = None, files_per_name: int = 8) -> None:
     """Embed the files below ``in_glob`` that earlier runs have not, with the default or a user's encoder.
 
     Output: ``out_dir/batch=<trigger>/name=<input file without extension>``, one folder per input file.
+    An input file's rows are dealt to ``files_per_name`` tasks, so a trigger writes neither tasks x names small files nor a
+    large file from one task.
     """
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
@@ -36,7 +38,8 @@ def embed_new_files(spark: SparkSession, in_glob: str, out_dir: str, checkpoint:
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         emb = embed_corpus(batch, id_col, text_col, encoder_factory, encoder_name=encoder_name, keep=["name"])
-        emb.write.mode("overwrite").partitionBy("name").parquet(f"{out_dir.rstrip('/')}/batch={batch_id}")
+        dealt = emb.repartition("name", F.pmod(F.xxhash64(id_col), F.lit(files_per_name)))
+        dealt.write.mode("overwrite").partitionBy("name").parquet(f"{out_dir.rstrip('/')}/batch={batch_id}")
 
     q = (stream.writeStream.foreachBatch(per_batch)
                .option("checkpointLocation", checkpoint)
