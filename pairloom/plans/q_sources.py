@@ -3,6 +3,7 @@ into a fresh folder below the shared checkpoint folder, then reads it back."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,11 +70,20 @@ def q_read_table(spark, d):
 
 
 def _line_files(spark, d):
+    """Text files of many documents, one after another; each line begins with its document's id and a tab.
+
+    A line's number in its document is its number in the file less those of the lines before the document.
+    """
     out = scratch_path(spark, "lines")
-    docs = load(spark, d, "documents").select("doc_id", "text")
-    docs.repartition(8, "doc_id").write.mode("overwrite").partitionBy("doc_id").text(out)
-    lines = RD.read_lines(spark, out)
-    return lines.select(F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("long").alias("doc_id"), "line_no", "line")
+    docs = load(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    mark = F.concat(F.col("doc_id").cast("string"), F.lit("\t"))
+    lined = F.concat(mark, F.replace("text", F.lit("\n"), F.concat(F.lit("\n"), mark)))
+    docs.repartition("doc_id").sortWithinPartitions("doc_id").select(lined.alias("value")).write.mode("overwrite").text(out)
+    tab = F.instr("line", "\t")
+    lines = RD.read_lines(spark, out).select("path", "line_no", F.substring("line", F.lit(1), tab - 1).cast("long").alias("doc_id"),
+                                             F.substring("line", tab + 1, F.length("line")).alias("line"))
+    before = F.min("line_no").over(Window.partitionBy("path", "doc_id")) - 1
+    return lines.select("doc_id", (F.col("line_no") - before).alias("line_no"), "line")
 
 
 @register("read_lines", f"WITH {fx.SQL_LINES} SELECT doc_id, line_no, line FROM f_lines")

@@ -158,8 +158,9 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_no, line) for text files; every line is kept, numbered from 1.
 
-    Files are split among tasks as usual. Each split numbers its own lines; the lines of the splits
-    before it are added (one row per split). A final newline ends the last line and starts no new one.
+    Files are split among tasks as usual. Each split numbers its own lines, which are stored, so that all that follows
+    meets the same splits; the lines of the splits before it are added (one row per split). A final newline ends the last
+    line and starts no new one.
     """
     raw = (spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
                 .select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")))
@@ -175,10 +176,11 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(at, pa.int64()), batch.column(0)],
                                              names=["path", "block", "at", "line"])
 
-    lines = raw.mapInArrow(number, "path string, block long, at long, line string")
+    lines = cut_lineage(raw.mapInArrow(number, "path string, block long, at long, line string"), "numbered-lines")
     w = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = (raw.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"))
-                 .select(F.col("path").alias("_p"), F.col("block").alias("_b"), F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before")))
+    before = (lines.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"))
+                   .select(F.col("path").alias("_p"), F.col("block").alias("_b"), F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before")))
+    before, _ = broadcast_if_small(before)
     return (lines.join(before, (F.col("path") == F.col("_p")) & (F.col("block") == F.col("_b")))
                  .select("path", (F.col("before") + F.col("at")).alias("line_no"), "line"))
 
