@@ -8,7 +8,8 @@ each (query block, candidate block) pair is one ``applyInPandas`` group. A vecto
 every block of the other, so tall blocks keep the shuffle small: N x M / block rows.
 
 Either way numpy scores a bounded number of cells at a time and emits only reductions: top-k, log-sum-exp
-parts, counts. Kernels may reduce rows and columns of one score matrix in the same pass.
+parts, counts. Kernels may reduce rows and columns of one score matrix in the same pass; those that are ``tiled`` go through
+a block tile by tile and emit one row for each of its rows and columns.
 Rows without a vector (null, e.g. a normalised zero vector) take no part. With ``unscored`` such queries leave a task
 that holds all candidates as rows of nulls, so that the input is read once; elsewhere operators add them back.
 """
@@ -24,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of candidate vectors that are sent to every task.
-BROADCAST_BYTES = 64 * 1024 * 1024
+BROADCAST_BYTES = 16 * 1024 * 1024
 #: Bytes of vectors in one block, and the most rows of it.
 BLOCK_BYTES, BLOCK_ROWS = 32 * 1024 * 1024, 16_384
 #: Score cells computed at once (8 bytes each).
-CELLS = 8 * 1024 * 1024
+CELLS = 2 * 1024 * 1024
+#: Rows and columns of a tile.
+TILE = 512
 TIE_EPS = 1e-12
 
 
@@ -73,6 +76,9 @@ def _side(pdf: pd.DataFrame, aux: bool) -> Side:
 
 
 def _scored(kernel, q: Side, c: Side):
+    if getattr(kernel, "tiled", False):
+        yield kernel(q, c)
+        return
     step = max(1, CELLS // max(1, len(c)))
     for at in range(0, len(q), step):
         yield kernel(q.part(at, step), c)
@@ -173,42 +179,93 @@ def topk_lse_kernel(k: int, scale: float = 1.0):
 TOPK_LSE_SCHEMA = "q_id long, rank long, c_id long, score double, m double, s double"
 
 
-def _summary(s: np.ndarray, ids: np.ndarray, others: np.ndarray, side: int) -> pd.DataFrame:
-    best = np.argmax(s, axis=1)  # first maximum = smallest id among ties
-    m = s[np.arange(len(s)), best]
-    return pd.DataFrame({"side": side, "q_id": ids, "best_id": others[best], "m": m, "s": np.exp(s - m[:, None]).sum(axis=1)})
+def _tiles(q: Side, c: Side, scale: float):
+    """(row, column, scores) of one tile after another."""
+    for at in range(0, len(q), TILE):
+        for other in range(0, len(c), TILE):
+            yield at, other, (q.vecs[at: at + TILE] @ c.vecs[other: other + TILE].T) * scale
+
+
+class _Summary:
+    """Best score, its place among the others, and the sum of exp(score - best) of each row, tile by tile."""
+
+    def __init__(self, n: int):
+        self.best, self.m, self.s = np.zeros(n, np.int64), np.full(n, -np.inf), np.zeros(n)
+
+    def add(self, at: int, other: int, s: np.ndarray) -> None:
+        cut = slice(at, at + len(s))
+        place = np.argmax(s, axis=1)  # first maximum = smallest id among ties
+        m = s[np.arange(len(s)), place]
+        new = np.maximum(m, self.m[cut])
+        self.best[cut] = np.where(m > self.m[cut], other + place, self.best[cut])
+        self.s[cut] = self.s[cut] * np.exp(self.m[cut] - new) + np.exp(s - new[:, None]).sum(axis=1)
+        self.m[cut] = new
+
+    def rows(self, ids: np.ndarray, others: np.ndarray, side: int) -> pd.DataFrame:
+        return pd.DataFrame({"side": side, "q_id": ids, "best_id": others[self.best], "m": self.m, "s": self.s})
 
 
 def summary_kernel(scale: float = 1.0, both: bool = False):
     """Per query: best candidate (score desc, id asc), max and sum of exp(s - max); ``both``: per candidate as well (side 1)."""
     def kern(q: Side, c: Side) -> pd.DataFrame:
-        s = (q.vecs @ c.vecs.T) * scale
-        out = _summary(s, q.ids, c.ids, 0)
-        return pd.concat([out, _summary(np.ascontiguousarray(s.T), c.ids, q.ids, 1)], ignore_index=True) if both else out
+        rows, cols = _Summary(len(q)), _Summary(len(c))
+        for at, other, s in _tiles(q, c, scale):
+            rows.add(at, other, s)
+            if both:
+                cols.add(other, at, s.T)
+        out = rows.rows(q.ids, c.ids, 0)
+        return pd.concat([out, cols.rows(c.ids, q.ids, 1)], ignore_index=True) if both else out
+
+    kern.tiled = True
     return kern
 
 
 SUMMARY_SCHEMA = "side int, q_id long, best_id long, m double, s double"
 
 
-def _better(s: np.ndarray, ids: np.ndarray, truth: np.ndarray, true_ids: np.ndarray, others: np.ndarray, side: int) -> pd.DataFrame:
-    # the truth score and the matrix product sum in different orders, so equal vectors may differ
-    # in the last bits: a gap below TIE_EPS ties
-    t = truth[:, None]
-    tie = np.abs(s - t) <= TIE_EPS * np.maximum(1.0, np.abs(t))
-    better = (((s > t) & ~tie) | (tie & (others[None, :] < true_ids[:, None]))) & (others[None, :] != true_ids[:, None])
-    return pd.DataFrame({"side": side, "q_id": ids, "n_better": better.sum(axis=1).astype("int64")})
+class _Better:
+    """How many of ``others`` rank above each row's truth: a higher score, or an equal one and a smaller id; tile by tile.
+
+    The truth score and the matrix product sum in different orders, so equal vectors may differ in the last bits: a gap
+    below ``TIE_EPS`` ties. Ids ascend, so those before the truth's place count from ``low``, those behind it above ``high``.
+    """
+
+    def __init__(self, side: Side, others: np.ndarray, scale: float):
+        truth = (side.vecs * side.aux_vecs).sum(axis=1) * scale
+        gap = TIE_EPS * np.maximum(1.0, np.abs(truth))
+        self.low, self.high = truth - gap, truth + gap
+        self.first, self.behind = (np.searchsorted(others, side.aux_ids, x) for x in ("left", "right"))
+        self.n = np.zeros(len(side), np.int64)
+
+    def add(self, at: int, other: int, s: np.ndarray) -> None:
+        cut, width = slice(at, at + len(s)), s.shape[1]
+        low, high = self.low[cut, None], self.high[cut, None]
+        first, behind = self.first[cut] - other, self.behind[cut] - other
+        if first.min() >= width:
+            better = s >= low
+        elif behind.max() <= 0:
+            better = s > high
+        else:
+            place = np.arange(width)
+            better = np.where(place < first[:, None], s >= low, (s > high) & (place >= behind[:, None]))
+        self.n[cut] += np.count_nonzero(better, axis=1)
+
+    def rows(self, ids: np.ndarray, side: int) -> pd.DataFrame:
+        return pd.DataFrame({"side": side, "q_id": ids, "n_better": self.n})
 
 
 def better_count_kernel(scale: float = 1.0, both: bool = False):
     """Per query: candidates ranked above its truth (higher score, or equal score and smaller id); ``both``: per candidate as well."""
     def kern(q: Side, c: Side) -> pd.DataFrame:
-        s = (q.vecs @ c.vecs.T) * scale
-        out = _better(s, q.ids, (q.vecs * q.aux_vecs).sum(axis=1) * scale, q.aux_ids, c.ids, 0)
-        if not both:
-            return out
-        other = _better(np.ascontiguousarray(s.T), c.ids, (c.vecs * c.aux_vecs).sum(axis=1) * scale, c.aux_ids, q.ids, 1)
-        return pd.concat([out, other], ignore_index=True)
+        rows, cols = _Better(q, c.ids, scale), _Better(c, q.ids, scale) if both else None
+        for at, other, s in _tiles(q, c, scale):
+            rows.add(at, other, s)
+            if both:
+                cols.add(other, at, s.T)
+        out = rows.rows(q.ids, 0)
+        return pd.concat([out, cols.rows(c.ids, 1)], ignore_index=True) if both else out
+
+    kern.tiled = True
     return kern
 
 
