@@ -7,7 +7,8 @@ fragments are joined ``FAN_IN`` at a time, level by level. Pairs of tokens that
 whole corpus.
 
 Chunks are cut, and words remembered, where both tokenizers start anew: before a single space or line end
-between characters that are no white space.
+between characters that are no white space. Both end there together, so a word's groups are written once, and a
+text has the groups of its words.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import unicodedata
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 from itertools import chain
 from typing import NamedTuple
 
@@ -31,8 +33,8 @@ from .substrings import text_keys
 
 CHUNK_BYTES = 64 << 10
 FAN_IN = 16
-#: Remembered words of one worker, and words encoded in one call.
-WORDS, CALL = 400_000, 2_000
+#: Remembered words of one worker and their characters, and words encoded in one call.
+WORDS, CHARS, CALL = 150_000, 1_500_000, 2_000
 #: Bytes of pair counts that every worker may hold (24 a pair); more are joined.
 BROADCAST_BYTES = 32 << 20
 #: Texts handled at once.
@@ -51,6 +53,11 @@ def words_of(text: str) -> list[str]:
     return _SAFE_CUT.split(text) if _UNSAFE.search(text) else _WORD.findall(text)
 
 
+def _plain(text: str) -> bool:
+    """Whether words may be encoded together: one with other bytes sends all of them to be encoded one by one, hence none that NFKC changes."""
+    return not _UNSAFE.search(text) and _SPACE_MARK not in text and unicodedata.is_normalized("NFKC", text)
+
+
 def chunks_of(text: str, size: int) -> list[str]:
     """Space + ``text`` cut into pieces of about ``size`` UTF-8 bytes at safe places; longer where there is none."""
     whole = " " + text
@@ -108,13 +115,27 @@ def join(x: Fragment, y: Fragment) -> Fragment:
 
 
 class Names:
-    """The ids of a tokenizer as text, with the mark that follows a token inside its group or at its end."""
+    """The ids of a tokenizer as text, with the mark that follows a token inside its group, at its end, or at a word's end."""
+
+    def __init__(self, n: int, *marks: str):
+        self.n, self.table = n, np.array([f"{i}{mark}" for mark in marks for i in range(n)], object)
+
+    def of(self, ids: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        return self.table[ids + self.n * mark]
+
+
+def _grouped(common: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The group of each token, and whether the token closes it."""
+    of = np.searchsorted(common, end)
+    return of, (np.diff(of, append=-1) != 0) & (of < len(common))
 
-    def __init__(self, n: int, inside: str, last: str):
-        self.n, self.table = n, np.array([f"{i}{inside}" for i in range(n)] + [f"{i}{last}" for i in range(n)], object)
 
-    def of(self, ids: np.ndarray, last: np.ndarray) -> np.ndarray:
-        return self.table[ids + self.n * last]
+def _written(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, mark_a: np.ndarray, mark_b: np.ndarray, names: tuple[Names, Names]) -> str:
+    """Whole groups as text; the place of each token is its own number and the tokens of the other side before it."""
+    text = np.empty(len(a) + len(b), object)
+    text[np.arange(len(a)) + np.searchsorted(of_b, of_a)] = names[0].of(a, mark_a)
+    text[np.arange(len(b)) + np.searchsorted(of_a, of_b, "right")] = names[1].of(b, mark_b)
+    return "".join(text.tolist())
 
 
 def fragment(a: np.ndarray, b: np.ndarray, a_end: np.ndarray, b_end: np.ndarray, names: tuple[Names, Names], ok: bool = True) -> Fragment:
@@ -122,19 +143,11 @@ def fragment(a: np.ndarray, b: np.ndarray, a_end: np.ndarray, b_end: np.ndarray,
     common = np.intersect1d(a_end, b_end, assume_unique=True)
     if not len(common):
         return EMPTY._replace(ok=ok, n_a=len(a), n_b=len(b), a0=a.tobytes(), b0=b.tobytes())
-    of_a, of_b = np.searchsorted(common, a_end), np.searchsorted(common, b_end)  # group of each token
-    last_a, last_b = (np.diff(g, append=-1) != 0 for g in (of_a, of_b))
-    last_a, last_b = last_a & (of_a < len(common)), last_b & (of_b < len(common))
+    (of_a, last_a), (of_b, last_b) = _grouped(common, a_end), _grouped(common, b_end)
     (i0, i1), (j0, j1) = (np.searchsorted(g, [1, len(common)]) for g in (of_a, of_b))
-    # Place of each token of the closed groups: its own number and the tokens of the other side before it.
-    size = i1 - i0 + j1 - j0
-    text = np.empty(size, object)
-    at_a = np.arange(i0, i1) - i0 + np.searchsorted(of_b, of_a[i0:i1]) - j0
-    at_b = np.arange(j0, j1) - j0 + np.searchsorted(of_a, of_b[j0:j1], "right") - i0
-    text[at_a] = names[0].of(a[i0:i1], last_a[i0:i1])
-    text[at_b] = names[1].of(b[j0:j1], last_b[j0:j1])
+    closed = _written(a[i0:i1], b[j0:j1], of_a[i0:i1], of_b[j0:j1], last_a[i0:i1], last_b[j0:j1], names)[:-1]
     pairs, counts = np.unique(a[last_a].astype(np.int64) << 32 | b[last_b], return_counts=True)
-    return Fragment(ok, len(a), len(b), True, a[:i0].tobytes(), b[:j0].tobytes(), "".join(text.tolist())[:-1], len(common) - 1,
+    return Fragment(ok, len(a), len(b), True, a[:i0].tobytes(), b[:j0].tobytes(), closed, len(common) - 1,
                     a[i1:].tobytes(), b[j1:].tobytes(), pairs, counts)
 
 
@@ -145,6 +158,10 @@ def finish(x: Fragment) -> tuple:
     return x.n_a, x.n_b, x.n_closed + 1, ";".join(filter(None, (_group(x.a0, x.b0), x.closed))), x.pairs, x.counts
 
 
+#: What is remembered of a word of which a tokenizer gives other bytes.
+CHANGED = "", b"", 0
+
+
 class Coder:
     """Both tokenizers inside a task: A in the JSON format of the tokenizers library (byte level), B of sentencepiece."""
 
@@ -164,10 +181,11 @@ class Coder:
         # Words may be encoded apart if no piece goes on over a space or line end.
         self.apart = not any(re.search(f"[^{_SPACE_MARK}]{_SPACE_MARK}", p) or "\n" in p for p in kinds)
         self.a_size, self.b_size = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
-        self.names = Names(len(self.a_bytes), ",", "|"), Names(len(self.b_bytes), ",", ";")
-        self.a_ids: dict[str, bytes] = {}  # packed ids of the words that are remembered
-        self.b_ids: dict[str, bytes] = {}
-        self.changed: set[str] = set()  # words of which a tokenizer gives other bytes
+        self.names = Names(len(self.a_bytes), ",", "|"), Names(len(self.b_bytes), ",", ";", ";\n")
+        #: Of the words that are remembered: groups with a last ";", packed pairs, ids of A * 2**32 + ids of B; or ``CHANGED``.
+        self.known: dict[str, tuple[str, bytes, int]] = {}
+        self.older: dict[str, tuple[str, bytes, int]] = {}
+        self.chars = 0  # of the words in ``known``
 
     def ids(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Of a text that starts with a space or a line end."""
@@ -176,57 +194,83 @@ class Coder:
         b = self.b.encode(text[1:]) if text[0] == " " else self.b.encode(text)[1:]
         return np.array(a, "<u4"), np.array(b, "<u4")
 
+    def _gives(self, raw: bytes, a: np.ndarray, b: np.ndarray) -> bool:
+        """Whether both tokenizers gave the bytes of the text."""
+        return all(b"".join(map(table.__getitem__, ids.tolist())) == raw for table, ids in ((self.a_bytes, a), (self.b_bytes, b)))
+
     def _one(self, word: str) -> None:
         a, b = self.ids(word)
-        raw = word.encode("utf-8", "surrogatepass")
-        if any(b"".join([table[i] for i in ids.tolist()]) != raw for table, ids in ((self.a_bytes, a), (self.b_bytes, b))):
-            self.changed.add(word)
-        self.a_ids[word], self.b_ids[word] = a.tobytes(), b.tobytes()
+        if not self._gives(word.encode("utf-8", "surrogatepass"), a, b):
+            self.known[word] = CHANGED
+            return
+        n_a, n_b, _, groups, pairs, counts = finish(fragment(a, b, np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]), self.names))
+        self.known[word] = f"{groups};", np.repeat(pairs, counts).tobytes(), n_a << 32 | n_b
 
     def _many(self, words: list[str]) -> bool:
-        """Encode the words as one text, and cut its ids at the words' ends; False where that fails."""
+        """Encode the words as one text, and cut its groups at the words' ends; False where that fails."""
         a, b = self.ids(whole := " a" + "".join(words))
         raw = whole.encode("utf-8", "surrogatepass")
-        if any(b"".join([table[i] for i in ids.tolist()]) != raw for table, ids in ((self.a_bytes, a), (self.b_bytes, b))):
+        if not self._gives(raw, a, b):
             return False
-        ends = np.cumsum([2, *(len(w.encode("utf-8", "surrogatepass")) for w in words)])
-        cuts = []
-        for ids, sizes in ((a, self.a_size), (b, self.b_size)):
-            stop = np.cumsum(sizes[ids])
-            at = np.searchsorted(stop, ends)
-            if (stop[at] != ends).any():
-                return False
-            cuts.append((at + 1).tolist())
-        for known, ids, cut in ((self.a_ids, a, cuts[0]), (self.b_ids, b, cuts[1])):
-            raw, cut = ids.tobytes(), [4 * i for i in cut]
-            known.update(zip(words, [raw[i:j] for i, j in zip(cut, cut[1:])], strict=True))
+        ends = np.cumsum([2, *(len(w) for w in words)] if len(raw) == len(whole) else [2, *(len(w.encode("utf-8", "surrogatepass")) for w in words)])
+        a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        common = np.intersect1d(a_end, b_end, assume_unique=True)
+        last = np.searchsorted(common, ends)  # the last group of each word
+        if (common[last] != ends).any():
+            return False
+        (of_a, last_a), (of_b, last_b) = _grouped(common, a_end), _grouped(common, b_end)
+        mark = np.ones(len(common), np.int64)
+        mark[last] = 2
+        groups = _written(a, b, of_a, of_b, last_a, np.where(last_b, mark[of_b], 0), self.names).split("\n")[1:-1]
+        pairs = (a[last_a].astype(np.int64) << 32 | b[last_b]).tobytes()
+        cut = (8 * (last + 1)).tolist()
+        n_a, n_b = (np.diff(np.searchsorted(of, last, "right")) for of in (of_a, of_b))
+        self.known.update(zip(words, zip(groups, [pairs[i:j] for i, j in zip(cut, cut[1:])], (n_a << 32 | n_b).tolist(), strict=True), strict=True))
         return True
 
     def learn(self, words: set[str]) -> None:
-        new = words.difference(self.a_ids)
-        if len(self.a_ids) + len(new) > WORDS:  # bounds memory; a forgotten word is encoded again
-            for held in (self.a_ids, self.b_ids, self.changed):
-                held.clear()
-            new = words
-        plain = [w for w in new if not _UNSAFE.search(w) and _SPACE_MARK not in w]
-        for at in range(0, len(plain), CALL):
-            part = plain[at: at + CALL]
-            if not self._many(part):
-                for w in part:
-                    self._one(w)
-        for w in new.difference(plain):
-            self._one(w)
+        if len(self.known) > WORDS // 2 or self.chars > CHARS // 2:  # bounds memory; a word not met for so long is forgotten, and encoded again
+            self.older, self.known, self.chars = self.known if self.chars <= CHARS else {}, {}, 0
+        new = words.difference(self.known)
+        self.chars += sum(map(len, new))
+        self.known.update((w, self.older[w]) for w in new if w in self.older)
+        new = list(new.difference(self.older))
+        for at in range(0, len(new), CALL):
+            part = new[at: at + CALL]
+            plain = part if _plain("".join(part)) else [w for w in part if _plain(w)]
+            apart = set(part).difference(plain) if plain and self._many(plain) else part
+            for w in apart:
+                self._one(w)
 
     def fragments(self, chunks: list[str]) -> Iterator[Fragment]:
         """Of chunks that start with a space or line end."""
         cut = [(words_of(c) if self.apart else [c]) if c else [] for c in chunks]
-        self.learn(set(chain.from_iterable(cut)))
-        for ws in cut:
-            if not self.changed.isdisjoint(ws):
-                yield EMPTY._replace(ok=False)
+        words = pa.array(list(chain.from_iterable(cut)), pa.string()).dictionary_encode()
+        distinct, at = words.dictionary.to_numpy(False).tolist(), words.indices
+        self.learn(set(distinct))
+        found = [self.known[w] for w in distinct]
+        # the words' groups and pairs one after another, and where each chunk's end
+        ends = np.cumsum([0, *map(len, cut)])
+        groups, pairs = (pa.array([x[i] for x in found], kind).take(at) for i, kind in ((0, pa.string()), (1, pa.binary())))
+        group_ends, pair_ends = (np.frombuffer(x.buffers()[1], np.int32)[ends].tolist() if len(at) else [0] * len(ends) for x in (groups, pairs))
+        written, packed = (x.buffers()[2] or pa.py_buffer(b"") for x in (groups, pairs))
+        size = np.array([x[2] for x in found], np.int64)[at.to_numpy()]
+        for i, n in enumerate(map(len, cut)):
+            sizes = size[ends[i]: ends[i + 1]]
+            if not n or not sizes.all():
+                yield EMPTY._replace(ok=not n)
                 continue
-            a, b = (np.frombuffer(b"".join(map(known.__getitem__, ws)), "<u4") for known in (self.a_ids, self.b_ids))
-            yield fragment(a, b, np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]), self.names)
+            first, _, closed = written[group_ends[i]: group_ends[i + 1] - 1].to_pybytes().decode().partition(";")
+            a0, b0 = (np.array(list(map(int, x.split(","))), "<u4").tobytes() for x in first.split("|"))
+            each = np.frombuffer(packed[pair_ends[i]: pair_ends[i + 1]], np.int64)
+            yield Fragment(True, int((sizes >> 32).sum()), int((sizes & 0xFFFFFFFF).sum()), True, a0, b0, closed, len(each) - 1, b"", b"",
+                           *np.unique(each, return_counts=True))
+
+
+@lru_cache(1)
+def worker_coder(a_json: str, b_model: bytes) -> Coder:
+    """The coder of a Python worker, which keeps it and its words from task to task."""
+    return Coder(a_json, b_model)
 
 
 _LISTS = pa.list_(pa.int32())
@@ -279,7 +323,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text", chunk_b
     kind = ", ".join(f"{k} {_SQL[t]}" for k, t in kinds.items())
 
     def whole(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        coder = Coder(*shared.value)
+        coder = worker_coder(*shared.value)
         for texts in batches:
             out = [_results([], groups)]
             for at in range(0, len(texts), ROWS):
@@ -304,7 +348,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text", chunk_b
                                                  names=[*key, "no", "chunk"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(*shared.value)
+        coder = worker_coder(*shared.value)
         for batch in batches:
             for at in range(batch.num_rows):
                 one = batch.slice(at, 1)
